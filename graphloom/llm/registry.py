@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm import line_rules, span_dedup
 from graphloom.llm.binary_ids import read_ids, write_ids
+from graphloom.llm.near_dup import near_duplicates
 from graphloom.llm.packing import pack_documents
 
 
@@ -14,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.drop_repeated_spans(_table(spark, sf_dir, "documents"), removed_col="n_removed").select("doc_id", "text", "n_removed")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -22,8 +28,22 @@ def op7_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, write_ids(_table(spark, sf_dir, "documents")))
 
 
+def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.line_rules(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentence_spans": op2_sentence_spans,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_simple8b_ids": op7_simple8b_ids,
+    "op8_dart_minhash": op8_dart_minhash,
+    "op9_line_frequency": op9_line_frequency,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_sentence_spans": span_dedup.ORACLE_SQL,
+    "op9_line_frequency": line_rules.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
