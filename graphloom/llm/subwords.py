@@ -9,6 +9,7 @@ whole. The ids are those of encoding the whole text.
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -19,6 +20,7 @@ import pyarrow.compute as pc
 END_ID = 2
 #: Bytes of text that are encoded at once, and chunks that are remembered.
 SLICE_BYTES, REMEMBERED = 4 << 20, 800_000
+_SPACE_LAST = r"(?:^|[\s\v\x{1c}-\x{1f}\x{85}\p{Z}])$"
 _BESIDE_SPACE = r" [\s\v\x{1c}-\x{1f}\x{85}\p{Z}]|[\s\v\x{1c}-\x{1f}\x{85}\p{Z}] "
 
 
@@ -64,29 +66,51 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.at, self.n, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
-        self.ids = np.zeros(4096, np.int32)
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Chunks that begin with a space and end otherwise are encoded as one text, which the ids' byte lengths take apart again."""
-        joined = [c for c in chunks if c[0:1] == " " and not c[-1].isspace()]
-        single = [c for c in chunks if not (c[0:1] == " " and not c[-1].isspace())]
-        found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(["".join(joined), *single], add_special_tokens=False)]
-        size = np.fromiter((len(c.encode()) for c in joined), np.int64, len(joined))
-        upto = np.searchsorted(np.cumsum(self.bytes_of[found[0]]), np.cumsum(size)) + 1
-        n = np.concatenate([np.diff(upto, prepend=0), np.array([len(x) for x in found[1:]], np.int64)])
-        flat = np.concatenate(found)
-        have = len(self.known)
-        while len(self.at) < have + len(chunks):
+        self.after_space: dict[str, int] = {}
+        self.at_start: dict[str, int] = {}
+        self.at, self.n, self.entries = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
+        self.ids, self.used = np.zeros(4096, np.int32), 0
+
+    def _store(self, n: np.ndarray, flat: np.ndarray) -> range:
+        """Keep the ids of new entries, which have ``n`` ids each."""
+        entries = range(self.entries, self.entries + len(n))
+        while len(self.at) < entries.stop:
             self.at, self.n = np.concatenate([self.at, self.at]), np.concatenate([self.n, self.n])
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate([self.ids, self.ids])
-        self.n[have : have + len(n)] = n
-        self.at[have : have + len(n)] = self.used + np.cumsum(n) - n
+        self.n[entries.start : entries.stop] = n
+        self.at[entries.start : entries.stop] = self.used + np.cumsum(n) - n
         self.ids[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.known.update(zip(joined + single, range(have, have + len(chunks)), strict=True))
+        self.used, self.entries = self.used + len(flat), entries.stop
+        return entries
+
+    def _learn_single(self, known: dict[str, int], words: list[str], before: str) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([before + w for w in words], add_special_tokens=False)]
+        flat = np.fromiter((i for ids in found for i in ids), np.int32)
+        known.update(zip(words, self._store(np.fromiter(map(len, found), np.int64, len(found)), flat), strict=True))
+
+    def _learn(self, words: pa.Array) -> None:
+        """Words that end in no white space are encoded as one text, which the ids' byte lengths take apart again."""
+        apart = pc.match_substring_regex(words, _SPACE_LAST)
+        if pc.any(apart).as_py():
+            self._learn_single(self.after_space, words.filter(apart).to_pylist(), " ")
+            words = words.filter(pc.invert(apart))
+        listed = words.to_pylist()
+        if not listed:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(listed)], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
+        upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
+        self.after_space.update(zip(listed, self._store(np.diff(upto, prepend=0), ids), strict=True))
+
+    def _entries(self, known: dict[str, int], words: pa.Array, learn) -> np.ndarray:
+        listed = words.to_pylist()
+        found = np.fromiter(map(known.get, listed, itertools.repeat(-1)), np.int64, len(listed))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            learn(words.take(pa.array(missing)))
+            found[missing] = [known[listed[i]] for i in missing.tolist()]
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the number of ids of each; null is empty."""
@@ -113,21 +137,19 @@ class ChunkEncoder:
         offsets = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         offsets = offsets - offsets[0]
-        spaced = np.ones(offsets[-1], np.int64)
-        spaced[offsets[:-1][np.diff(offsets) > 0]] = 0
-        key = coded.indices.to_numpy().astype(np.int64) * 2 + spaced
-        seen = np.zeros(2 * len(coded.dictionary), bool)
-        seen[key] = True
-        kinds = np.flatnonzero(seen)
-        words = coded.dictionary.take(pa.array(kinds >> 1)).to_pylist()
-        chunks = [f" {w}" if k & 1 else w for w, k in zip(words, kinds.tolist(), strict=True)]
-        if len(self.known) + len(chunks) > REMEMBERED:
+        first = np.zeros(offsets[-1], bool)
+        first[offsets[:-1][np.diff(offsets) > 0]] = True
+        code = coded.indices.to_numpy()
+        if self.entries > REMEMBERED:
             self._forget()
-        if missing := [c for c in chunks if c not in self.known]:
-            self._learn(missing)
-        place = np.zeros(2 * len(coded.dictionary), np.int64)
-        place[kinds] = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-        at = place[key]
+        at = np.zeros(len(code), np.int64)
+        for of, known, learn in ((~first, self.after_space, self._learn), (first, self.at_start, lambda w: self._learn_single(self.at_start, w.to_pylist(), ""))):
+            seen = np.zeros(len(coded.dictionary), bool)
+            seen[code[of]] = True
+            kinds = np.flatnonzero(seen)
+            place = np.zeros(len(coded.dictionary), np.int64)
+            place[kinds] = self._entries(known, coded.dictionary.take(pa.array(kinds)), learn)
+            at[of] = place[code[of]]
         n = self.n[at]
         before = np.concatenate([[0], np.cumsum(n)])
         return gather(self.ids, self.at[at], n), before[offsets[1:]] - before[offsets[:-1]]
