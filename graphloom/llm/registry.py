@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import line_rules, span_dedup
+from graphloom.llm import line_rules, quality, sharding, span_dedup, topk_search
 from graphloom.llm.binary_ids import read_ids, write_ids
 from graphloom.llm.near_dup import near_duplicates
 from graphloom.llm.packing import pack_documents
@@ -20,10 +21,22 @@ def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.drop_repeated_spans(_table(spark, sf_dir, "documents"), removed_col="n_removed").select("doc_id", "text", "n_removed")
 
 
+def op3_term_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk_search.whole_vectors(_table(spark, sf_dir, "embeddings"))
+    found = topk_search.top_k(rows, rows.where("id % 50 = 0"), 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    return sharding.extendible_shards(rows.withColumn("text_hash", F.xxhash64(text)), ["doc_id", "text_hash"], F.octet_length(text)).drop("text_hash")
+
+
 def op7_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, write_ids(_table(spark, sf_dir, "documents")))
 
@@ -36,14 +49,23 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(_table(spark, sf_dir, "documents"))
 
 
+def op10_semantic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return quality.classify(documents, quality.fit(documents, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentence_spans": op2_sentence_spans,
+    "op3_term_at_a_time": op3_term_at_a_time,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_extendible_hashing": op5_extendible_hashing,
     "op7_simple8b_ids": op7_simple8b_ids,
     "op8_dart_minhash": op8_dart_minhash,
     "op9_line_frequency": op9_line_frequency,
+    "op10_semantic_neighbours": op10_semantic_neighbours,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_sentence_spans": span_dedup.ORACLE_SQL,
+    "op3_term_at_a_time": topk_search.ORACLE_SQL,
     "op9_line_frequency": line_rules.ORACLE_SQL,
 }
