@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import line_rules, quality, sharding, span_dedup, topk_search
+from graphloom.llm import line_rules, pii, quality, sharding, span_dedup, topk_search
 from graphloom.llm.binary_ids import read_ids, write_ids
 from graphloom.llm.near_dup import near_duplicates
 from graphloom.llm.packing import pack_documents
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(_table(spark, sf_dir, "documents"), count_col="n_entities").select("doc_id", "text", "n_entities")
+
+
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.drop_repeated_spans(_table(spark, sf_dir, "documents"), removed_col="n_removed").select("doc_id", "text", "n_removed")
 
@@ -55,6 +59,7 @@ def op10_semantic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_sentence_spans": op2_sentence_spans,
     "op3_term_at_a_time": op3_term_at_a_time,
     "op4_best_fit_packing": op4_best_fit_packing,
