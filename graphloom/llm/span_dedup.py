@@ -9,13 +9,24 @@ the text; upper and lower case and outer white space do not tell two apart.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.store import staged
+from graphloom.llm.subwords import slices
+from graphloom.llm.textkernel import hash_spans, mix, runs, utf8
 
 RUN = 3
 SENTENCE = r"(?s).+?(?:[.!?][ \t\r\n]+|\n[ \t\r\n]*|\z)"
+_BLANK, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_BLANK[list(b" \t\r\n")] = True
+_STOP[list(b".!?")] = True
 
 
 def sentences(text: Column) -> Column:
@@ -23,20 +34,71 @@ def sentences(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0))
 
 
+def sentence_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end without outer white space, text) of the sentences that ``SENTENCE`` finds, on bytes."""
+    blank = _BLANK[raw]
+    first, last = runs(blank, offsets)
+    text = np.searchsorted(offsets, first, "right") - 1
+    feeds = np.concatenate([[0], np.cumsum(raw == 10)])
+    leading = first == offsets[text]
+    fed = feeds[last] > feeds[first + leading]  # a sentence begins with one character at least
+    stopped = ~leading & _STOP[raw[np.maximum(first - 1, 0)]]
+    breaks = (fed | stopped) & (last < offsets[text + 1])
+    first, last, text, fed = first[breaks], last[breaks], text[breaks], fed[breaks]
+    before = np.where(np.append(True, text[1:] != text[:-1])[: len(text)], offsets[text], np.append(0, last[:-1])[: len(text)])
+    if (lone := (before == first - 1) & ~fed).any():  # a stop that is the first character ends nothing
+        keep, at = np.ones(len(text), bool), -1
+        bad = np.isin(text, text[lone])
+        for i in np.flatnonzero(bad).tolist():
+            begin = last[at] if at >= 0 and text[at] == text[i] else offsets[text[i]]
+            if begin == first[i] - 1 and not fed[i]:
+                keep[i] = False
+            else:
+                at = i
+        first, last, text = first[keep], last[keep], text[keep]
+    filled = np.flatnonzero(np.diff(offsets) > 0)
+    begin = np.concatenate([offsets[filled], last])
+    of = np.concatenate([filled, text])
+    order = np.argsort(begin, kind="stable")
+    begin, of = begin[order], of[order]
+    inner = np.searchsorted(_visible := np.flatnonzero(~blank), np.append(begin[1:], len(raw))[: len(begin)]) - 1
+    stop = np.minimum(np.append(begin[1:], len(raw))[: len(begin)], offsets[of + 1])
+    end = np.where(inner >= 0, _visible[np.maximum(inner, 0)] + 1, begin) if len(_visible) else begin
+    head = np.searchsorted(_visible, begin)
+    start = np.where(head < len(_visible), _visible[np.minimum(head, max(len(_visible) - 1, 0))], stop) if len(_visible) else stop
+    start = np.minimum(start, stop)
+    return start, np.maximum(np.minimum(end, stop), start), of
+
+
 def _runs(documents: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
-    """(id, text_hash, place, h1, h2) of each run: 96 bits of hash, and where it stands."""
-    hashed = F.transform(sentences(F.col(text_col)), lambda s: F.xxhash64(F.lower(F.btrim(s, F.lit(" \t\r\n")))))
-    listed = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), hashed.alias("hashes")).where(F.size("hashes") >= run)
-    starts = F.sequence(F.lit(1), F.size("hashes") - (run - 1))
-    hashes = F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice("hashes", i, run)).alias("h1"), F.hash(F.slice("hashes", i, run)).alias("h2")))
-    return listed.select("id", "text_hash", F.posexplode(hashes).alias("place", "h")).select("id", "text_hash", "place", "h.h1", "h.h2")
+    """(id, text_hash, place, h1, h2) of each run: two hashes of its lower-case sentences, and where it stands."""
+    source = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    schema = T.StructType([*source.schema.fields[:2], T.StructField("place", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.IntegerType())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end in slices(batch.column(2), 2 << 20):
+                part = batch.slice(at, end - at)
+                raw, offsets = utf8(pc.utf8_lower(pc.fill_null(part.column(2), "")))
+                start, stop, of = sentence_bounds(raw, offsets)
+                hashed = hash_spans(raw, start, stop)
+                begins = np.flatnonzero(of[run - 1 :] == of[: len(of) - run + 1]) if len(of) >= run else np.zeros(0, np.int64)
+                h1 = h2 = np.zeros(len(begins), np.uint64)
+                for j in range(run):
+                    h1, h2 = mix(h1 + hashed[begins + j]), mix(h2 * np.uint64(31) + (hashed[begins + j] ^ np.uint64(0x5851F42D4C957F2D)))
+                text = of[begins]
+                place = begins - np.searchsorted(of, text)
+                rows = pa.array(text)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(place, pa.int32()), pa.array(h1.astype(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32))], schema.names)
+
+    return source.mapInArrow(find, schema)
 
 
 def repeated_places(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """(id, text_hash, places): for each document, the sorted places of sentences that a repeated run covers."""
-    runs = _runs(documents, id_col, text_col, run)
-    twice = runs.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    found = staged(runs.join(twice, ["h1", "h2"], "left_semi"), "runs")
+    all_runs = _runs(documents, id_col, text_col, run)
+    twice = all_runs.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    found = staged(all_runs.join(twice, ["h1", "h2"], "left_semi"), "runs")
     firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "text_hash", "place")).alias("first"))
     later = found.join(firsts, ["h1", "h2"]).where(~F.struct("id", "text_hash", "place").eqNullSafe(F.col("first")))
     covered = later.groupBy("id", "text_hash").agg(F.collect_set("place").alias("starts"))
@@ -54,8 +116,7 @@ def drop_repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col:
     places = repeated_places(documents, id_col, text_col, run).select(F.col("id").alias("_span_id"), F.col("text_hash").alias("_span_hash"), F.col("places").alias("_span_places"))
     joined = documents.join(places, F.col(id_col).eqNullSafe(F.col("_span_id")) & (F.xxhash64(text_col) == F.col("_span_hash")), "left")
     split = sentences(F.col(text_col))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "_span_places")
-    rest = F.array_join(F.transform(kept, lambda i: F.get(split, i)), "")
+    rest = F.array_join(F.filter(split, lambda s, i: ~F.array_contains("_span_places", i)), "")
     columns = [F.when(F.col("_span_places").isNull(), F.col(c)).otherwise(rest).alias(c) if c == text_col else F.col(c) for c in documents.columns]
     if removed_col:
         columns.append(F.coalesce(F.size("_span_places"), F.lit(0)).cast("long").alias(removed_col))
