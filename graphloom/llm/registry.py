@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import line_rules, pii, quality, sharding, span_dedup, topk_search
+from graphloom.llm import line_rules, merge_dropout, pii, quality, sharding, span_dedup, topk_search
 from graphloom.llm.binary_ids import read_ids, write_ids
 from graphloom.llm.near_dup import near_duplicates
 from graphloom.llm.packing import pack_documents
@@ -41,6 +41,10 @@ def op5_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(rows.withColumn("text_hash", F.xxhash64(text)), ["doc_id", "text_hash"], F.octet_length(text)).drop("text_hash")
 
 
+def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_dropout.encoding_digests(_table(spark, sf_dir, "documents"))
+
+
 def op7_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, write_ids(_table(spark, sf_dir, "documents")))
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_term_at_a_time": op3_term_at_a_time,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_extendible_hashing": op5_extendible_hashing,
+    "op6_merge_dropout": op6_merge_dropout,
     "op7_simple8b_ids": op7_simple8b_ids,
     "op8_dart_minhash": op8_dart_minhash,
     "op9_line_frequency": op9_line_frequency,
