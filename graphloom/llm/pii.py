@@ -39,8 +39,7 @@ SYLLABLES = {
     "latin": ["ba", "be", "bo", "da", "de", "do", "fa", "fe", "ga", "go", "ha", "he", "ka", "ke", "ko", "la", "le", "lo", "ma", "me", "mo", "na", "ne", "no", "pa", "pe", "ra", "re", "ro", "sa", "se", "so", "ta", "te", "to", "va", "ve", "vo", "wa", "we"],
     "cyrillic": ["ба", "бе", "бо", "ва", "ве", "во", "га", "го", "да", "де", "до", "жа", "за", "зо", "ка", "ке", "ко", "ла", "ле", "ло", "ма", "ме", "мо", "на", "не", "но", "па", "по", "ра", "ре", "ро", "са", "се", "со", "та", "те", "то", "фа", "ша", "шо"],
 }
-SURNAME_END = {("m", "latin"): "n", ("f", "latin"): "n", ("m", "cyrillic"): "нов", ("f", "cyrillic"): "нова"}
-_ADDRESS = "|".join([*MALE, *FEMALE, *NEUTRAL])
+_ADDRESS = f"(?=[{''.join(sorted({x[0] for x in [*MALE, *FEMALE, *NEUTRAL]}))}])(?:{'|'.join([*MALE, *FEMALE, *NEUTRAL])})"
 _SECRET = r"(?:token|api[_-]?key|secret|password|passwd|pwd)\s{0,3}[=:]\s{0,3}[\"']?"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\p{L}\p{N}])",
@@ -162,18 +161,21 @@ def _name(plain: Column, gender: Column, key: Column) -> Column:
     script = F.when(plain.rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     whole = F.split(F.lower(plain), " ")
 
-    def first(word: Column) -> Column:
-        digest = _digest(key, F.lit("first"), gender, word)
+    def first(digest: Column) -> Column:
         side = F.when(gender == "n", F.when(_number(digest, 1) % 2 == 0, "m").otherwise("f")).otherwise(gender)
         return reduce(lambda a, k: F.when((side == k[0]) & (script == k[1]), _pick(FIRST[k], _number(digest, 0))).otherwise(a), FIRST, F.lit("").cast("string"))
 
-    def last(word: Column) -> Column:
-        digest = _digest(key, F.lit("last"), gender, word)
+    def last(digest: Column) -> Column:
         made = [F.concat(*[_pick(SYLLABLES[s], _number(digest, i)) for i in range(4)]) for s in ("latin", "cyrillic")]
         end = F.when(script == "latin", "n").when(gender == "f", "нова").otherwise("нов")
         return F.initcap(F.concat(F.when(script == "latin", made[0]).otherwise(made[1]), end))
 
-    return F.array_join(F.transform(whole, lambda w, i: F.when((i == 0) & (F.size(whole) > 1), first(w)).otherwise(last(w))), " ")
+    def word_for(word: Column, i: Column) -> Column:
+        is_first = (i == 0) & (F.size(whole) > 1)
+        part = F.when(is_first, "first").otherwise("last")
+        return _let(_digest(key, part, gender, word), lambda d: F.when(is_first, first(d)).otherwise(last(d)))
+
+    return F.array_join(F.transform(whole, word_for), " ")
 
 
 def surrogate(entity: Column, key: Column) -> Column:
@@ -220,8 +222,8 @@ def clashes(found: DataFrame, key: str) -> DataFrame:
     originals = forms.select("kind", "canonical")
 
     def attempt(rows: DataFrame, number: int) -> DataFrame:
-        made = surrogate(F.col("entity"), F.lit(f"{key}|{number}" if number else key))
-        return rows.withColumn("made", _canonical(made, F.col("kind")))
+        made = staged(rows.withColumn("written", surrogate(F.col("entity"), F.lit(f"{key}|{number}" if number else key))), "made")
+        return made.withColumn("made", _canonical(F.col("written"), F.col("kind"))).drop("written")
 
     def settle(rows: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows whose surrogates stand, and rows that need another."""
