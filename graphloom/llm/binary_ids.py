@@ -44,16 +44,18 @@ def encode_file(ids: np.ndarray) -> bytes:
     bits = np.ceil(np.log2(held.astype(np.float64) + 1)).astype(np.int8)
     bits[held >= np.uint64(2**52)] = 60
     bits[held >= np.uint64(2**60)] = 64
-    selector = np.zeros((blocks, BLOCK_IDS), np.int8)
+    widest = int(bits.max(initial=0))
+    always = int(np.flatnonzero(WIDTH[1:] >= widest)[0]) + 1 if widest <= 60 else len(COUNT)
+    selector = np.full((blocks, BLOCK_IDS), always if widest <= 60 else 0, np.int8)
     place = np.arange(BLOCK_IDS, dtype=np.int16)
-    for s in range(len(COUNT) - 1, 0, -1):
-        wide = bits > WIDTH[s]
-        if COUNT[s] == 1:
-            selector[~wide] = s
+    for s in range(always - 1, 0, -1):
+        narrow = bits <= WIDTH[s]
+        if narrow.mean() ** COUNT[s] < 1e-3:  # too few places, if any, would use it
             continue
-        if wide.size and wide.mean() > 1 - 1 / (4 * BLOCK_IDS):
+        if COUNT[s] == 1:
+            selector[narrow] = s
             continue
-        stop = np.minimum.accumulate(np.where(wide, place, np.int16(2 * BLOCK_IDS))[:, ::-1], axis=1)[:, ::-1]
+        stop = np.minimum.accumulate(np.where(narrow, np.int16(2 * BLOCK_IDS), place)[:, ::-1], axis=1)[:, ::-1]
         selector[stop - place >= COUNT[s]] = s
     at, steps = np.zeros(blocks, np.int64), []
     row = np.arange(blocks)
@@ -128,7 +130,7 @@ def write_ids(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Write all documents' ids, each with the end id, in ascending order of ``id_col``; returns the folder.
 
     Rows: part and file number, ids before the file in its part, the file, and its documents with their
-    lengths. Null ids come first and equal ids in the order of their texts; a null text is an empty one;
+    lengths. Null ids come first and equal ids in the order of their texts' hashes; a null text is an empty one;
     repeated rows are written as often as they occur; a document is never split over two files.
     """
     coded, path = vocabulary or vocabulary_path(), path or new_path(documents.sparkSession, "ids")
@@ -149,7 +151,7 @@ def write_ids(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return pa.RecordBatch.from_arrays(columns, schema.names)
 
         for batch in batches:
-            for at, end in slices(batch.column(1), 2 << 20):
+            for at, end in slices(batch.column(1)):
                 ids, counts = with_end(*coder.encode(batch.column(1).slice(at, end - at)), end_id)
                 held.append((batch.column(0).slice(at, end - at), ids, counts))
                 if sum(len(x) for _, x, _ in held) >= FILE_IDS:
@@ -157,7 +159,8 @@ def write_ids(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if held:
             yield flush()
 
-    ordered = documents.select(id_col, text_col).repartitionByRange(id_col, text_col).sortWithinPartitions(id_col, text_col)
+    order = F.xxhash64(text_col)  # the partitioner samples its keys on the driver: no texts
+    ordered = documents.select(id_col, text_col).repartitionByRange(F.col(id_col), order).sortWithinPartitions(F.col(id_col), order)
     ordered.mapInArrow(encode, schema).write.option("compression", "zstd").parquet(path)
     return path
 

@@ -9,7 +9,6 @@ whole. The ids are those of encoding the whole text.
 
 from __future__ import annotations
 
-import itertools
 import os
 from collections.abc import Iterator
 
@@ -17,9 +16,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from graphloom.llm.textkernel import hash_spans, mix, utf8
+
 END_ID = 2
-#: Bytes of text that are encoded at once, and chunks that are remembered.
-SLICE_BYTES, REMEMBERED = 4 << 20, 800_000
+#: Bytes of text that are encoded at once; slots for chunks, and how many are remembered.
+SLICE_BYTES, SLOTS, REMEMBERED = 4 << 20, 1 << 22, 2_400_000
 _SPACE_LAST = r"(?:^|[\s\v\x{1c}-\x{1f}\x{85}\p{Z}])$"
 _BESIDE_SPACE = r" [\s\v\x{1c}-\x{1f}\x{85}\p{Z}]|[\s\v\x{1c}-\x{1f}\x{85}\p{Z}] "
 
@@ -51,6 +52,38 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         at = end
 
 
+class _Places:
+    """An open-addressing table of 128-bit keys, searched for many keys at once."""
+
+    def __init__(self, slots: int) -> None:
+        self.mask = slots - 1
+        self.key = np.zeros((2, slots), np.uint64)
+        self.place = np.full(slots, -1, np.int32)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The places of keys, -1 for keys that are absent."""
+        out, open_ = np.full(len(a), -1, np.int64), np.arange(len(a))
+        slot = (a & np.uint64(self.mask)).astype(np.int64)
+        while len(open_):
+            place, at = self.place[slot], slot
+            hit = (place >= 0) & (self.key[0, at] == a[open_]) & (self.key[1, at] == b[open_])
+            out[open_[hit]] = place[hit]
+            on = (place >= 0) & ~hit
+            open_, slot = open_[on], (slot[on] + 1) & self.mask
+        return out
+
+    def add(self, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> None:
+        """Enter keys that are absent and differ."""
+        open_ = np.arange(len(a))
+        slot = (a & np.uint64(self.mask)).astype(np.int64)
+        while len(open_):
+            free = self.place[slot] < 0
+            self.place[slot[free]] = place[open_[free]]
+            own = free & (self.place[slot] == place[open_])
+            self.key[0, slot[own]], self.key[1, slot[own]] = a[open_[own]], b[open_[own]]
+            open_, slot = open_[~own], (slot[~own] + 1) & self.mask
+
+
 class ChunkEncoder:
     """Encodes Arrow string arrays; one is made in each Python worker."""
 
@@ -66,51 +99,37 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.after_space: dict[str, int] = {}
-        self.at_start: dict[str, int] = {}
-        self.at, self.n, self.entries = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
+        self.places = _Places(SLOTS)
+        self.at, self.n, self.entries = np.zeros(1024, np.int64), np.zeros(1024, np.int32), 0
         self.ids, self.used = np.zeros(4096, np.int32), 0
 
-    def _store(self, n: np.ndarray, flat: np.ndarray) -> range:
+    def _store(self, n: np.ndarray, flat: np.ndarray) -> np.ndarray:
         """Keep the ids of new entries, which have ``n`` ids each."""
-        entries = range(self.entries, self.entries + len(n))
-        while len(self.at) < entries.stop:
+        begin, end = self.entries, self.entries + len(n)
+        while len(self.at) < end:
             self.at, self.n = np.concatenate([self.at, self.at]), np.concatenate([self.n, self.n])
         while len(self.ids) < self.used + len(flat):
             self.ids = np.concatenate([self.ids, self.ids])
-        self.n[entries.start : entries.stop] = n
-        self.at[entries.start : entries.stop] = self.used + np.cumsum(n) - n
+        self.n[begin:end] = n
+        self.at[begin:end] = self.used + np.cumsum(n) - n
         self.ids[self.used : self.used + len(flat)] = flat
-        self.used, self.entries = self.used + len(flat), entries.stop
-        return entries
-
-    def _learn_single(self, known: dict[str, int], words: list[str], before: str) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([before + w for w in words], add_special_tokens=False)]
-        flat = np.fromiter((i for ids in found for i in ids), np.int32)
-        known.update(zip(words, self._store(np.fromiter(map(len, found), np.int64, len(found)), flat), strict=True))
-
-    def _learn(self, words: pa.Array) -> None:
-        """Words that end in no white space are encoded as one text, which the ids' byte lengths take apart again."""
-        apart = pc.match_substring_regex(words, _SPACE_LAST)
-        if pc.any(apart).as_py():
-            self._learn_single(self.after_space, words.filter(apart).to_pylist(), " ")
-            words = words.filter(pc.invert(apart))
-        listed = words.to_pylist()
-        if not listed:
-            return
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(listed)], add_special_tokens=False)[0].ids, np.int32)
-        ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64) + 1)
-        upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
-        self.after_space.update(zip(listed, self._store(np.diff(upto, prepend=0), ids), strict=True))
-
-    def _entries(self, known: dict[str, int], words: pa.Array, learn) -> np.ndarray:
-        listed = words.to_pylist()
-        found = np.fromiter(map(known.get, listed, itertools.repeat(-1)), np.int64, len(listed))
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            learn(words.take(pa.array(missing)))
-            found[missing] = [known[listed[i]] for i in missing.tolist()]
-        return found
+        self.used, self.entries = self.used + len(flat), end
+        return np.arange(begin, end)
+
+    def _learn(self, words: pa.Array, before: str) -> np.ndarray:
+        """Entries of new words; spaced words that end in no white space are encoded as one text, which the ids' byte lengths take apart again."""
+        out = np.zeros(len(words), np.int64)
+        apart = pc.match_substring_regex(words, _SPACE_LAST).to_numpy(zero_copy_only=False).astype(bool) if before else np.ones(len(words), bool)
+        if apart.any():
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([before + w for w in words.filter(pa.array(apart)).to_pylist()], add_special_tokens=False)]
+            out[apart] = self._store(np.fromiter(map(len, found), np.int64, len(found)), np.fromiter((i for ids in found for i in ids), np.int32))
+        joined = words.filter(pa.array(~apart))
+        if len(joined):
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(joined.to_pylist())], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.cumsum(pc.binary_length(joined).to_numpy().astype(np.int64) + 1)
+            upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
+            out[~apart] = self._store(np.diff(upto, prepend=0), ids)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the number of ids of each; null is empty."""
@@ -142,15 +161,23 @@ class ChunkEncoder:
         code = coded.indices.to_numpy()
         if self.entries > REMEMBERED:
             self._forget()
+        raw, bounds = utf8(coded.dictionary)
+        hashed = [hash_spans(raw, bounds[:-1], bounds[1:]), hash_spans(raw ^ 0x5A, bounds[:-1], bounds[1:])]
         at = np.zeros(len(code), np.int64)
-        for of, known, learn in ((~first, self.after_space, self._learn), (first, self.at_start, lambda w: self._learn_single(self.at_start, w.to_pylist(), ""))):
+        for of, before in ((~first, " "), (first, "")):
             seen = np.zeros(len(coded.dictionary), bool)
             seen[code[of]] = True
             kinds = np.flatnonzero(seen)
+            a, b = (mix(h[kinds] + np.uint64(len(before))) for h in hashed)
+            found = self.places.find(a, b)
+            new = np.flatnonzero(found < 0)
+            if len(new):
+                found[new] = self._learn(coded.dictionary.take(pa.array(kinds[new])), before)
+                self.places.add(a[new], b[new], found[new])
             place = np.zeros(len(coded.dictionary), np.int64)
-            place[kinds] = self._entries(known, coded.dictionary.take(pa.array(kinds)), learn)
+            place[kinds] = found
             at[of] = place[code[of]]
-        n = self.n[at]
+        n = self.n[at].astype(np.int64)
         before = np.concatenate([[0], np.cumsum(n)])
         return gather(self.ids, self.at[at], n), before[offsets[1:]] - before[offsets[:-1]]
 
