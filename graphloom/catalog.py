@@ -1,10 +1,6 @@
 """Registry of the engine's queries and of the SQL that gives the same rows."""
 
-from __future__ import annotations
+from graphloom.plans import graph_queries, result_queries, spectral_queries  # noqa: F401
+from graphloom.plans.register import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
