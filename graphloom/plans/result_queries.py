@@ -1 +1,203 @@
+"""Queries on tables of results: statistics, decisions, bands, reports."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphloom.functions.hashing import sql_uniform, uniform
+from graphloom.operators import reports as R
+from graphloom.operators import stats as S
+from graphloom.plans.graph_queries import r, rounded
+from graphloom.plans.register import query
+from graphloom.sources.tables import table
+
+CONDITIONS = {"label_free": 0.80, "oracle": 0.85, "random": 0.62, "uniform": 0.63}
+PAIRS = [("D1", "oracle", "uniform"), ("D2", "label_free", "uniform"), ("D3", "label_free", "random")]
+CELLS = f"""
+WITH cells AS (
+  SELECT cond, split::INTEGER AS split, seed::INTEGER AS seed, round(mean + 0.02::DOUBLE * ({sql_uniform('cond', 'split', 'seed')} - 0.5::DOUBLE), 6) AS acc
+  FROM (VALUES ('label_free', 0.8::DOUBLE), ('oracle', 0.85::DOUBLE), ('random', 0.62::DOUBLE), ('uniform', 0.63::DOUBLE)) c(cond, mean),
+       (SELECT unnest(range(0, 10)) AS split), (SELECT unnest(range(0, 3)) AS seed)
+), means AS (SELECT cond, split, avg(acc) AS acc FROM cells GROUP BY ALL),
+diffs AS (
+  SELECT name, a.split, a.acc - b.acc AS d
+  FROM (VALUES ('D1', 'oracle', 'uniform'), ('D2', 'label_free', 'uniform'), ('D3', 'label_free', 'random')) p(name, ca, cb)
+  JOIN means a ON a.cond = ca JOIN means b ON b.cond = cb AND b.split = a.split
+)"""
+
+
+def _cells(spark):
+    return S.hash_cells(spark, CONDITIONS)
+
+
+@query("seed_split_means", CELLS + f"SELECT cond, split, {r('acc', 'acc')} FROM means")
+def seed_split_means(spark, folder):
+    return rounded(S.seed_means(_cells(spark)))
+
+
+@query("paired_differences", CELLS + f"SELECT name, split, {r('d', 'd')} FROM diffs")
+def paired_differences(spark, folder):
+    return rounded(S.paired(_cells(spark), PAIRS))
+
+
+@query("paired_effect_size", CELLS + f"SELECT name, {r('avg(d)', 'mean_diff')}, round(CASE WHEN stddev_pop(d) > 1e-12 THEN avg(d) / stddev_pop(d) ELSE 0 END, 3) + 0.0 AS dz, count(*)::BIGINT AS n_pairs FROM diffs GROUP BY name")
+def paired_effect_size(spark, folder):
+    return rounded(S.effect_sizes(S.paired(_cells(spark), PAIRS))).withColumn("dz", F.round("dz", 3))
+
+
+@query("mean_ci95", CELLS + f"SELECT name, {r('avg(d)', 'mean_diff')}, {r('avg(d) - 2.262157::DOUBLE * stddev_samp(d) / sqrt(count(*))', 'ci_low')}, {r('avg(d) + 2.262157::DOUBLE * stddev_samp(d) / sqrt(count(*))', 'ci_high')} FROM diffs GROUP BY name")
+def mean_ci95(spark, folder):
+    return rounded(S.mean_ci(S.paired(_cells(spark), PAIRS), 2.262157))
+
+
+# All sign patterns of 10 distinct ranks: the share with a rank sum no larger than the smaller of the two, doubled.
+@query("wilcoxon_exact", CELLS + """, ranked AS (SELECT name, d, rank() OVER (PARTITION BY name ORDER BY round(abs(d), 12)) + (count(*) OVER (PARTITION BY name, round(abs(d), 12)) - 1) / 2.0::DOUBLE AS k, row_number() OVER (PARTITION BY name ORDER BY round(abs(d), 12), split) AS i FROM diffs WHERE abs(d) > 1e-12),
+low AS (SELECT name, least(sum(k) FILTER (d > 0), sum(k) - coalesce(sum(k) FILTER (d > 0), 0)) AS low FROM ranked GROUP BY name),
+patterns AS (SELECT unnest(range(0, 1024)) AS m),
+sums AS (SELECT name, m, sum(CASE WHEN (m >> (i - 1)::INTEGER) & 1 = 1 THEN k ELSE 0 END) AS s FROM ranked, patterns GROUP BY ALL)
+SELECT name, round(least(1, 2 * avg((s <= coalesce(low, 0) + 1e-9)::INTEGER::DOUBLE)), 9) + 0.0 AS p_wilcoxon FROM sums JOIN low USING (name) GROUP BY name""")
+def wilcoxon_exact(spark, folder):
+    return rounded(S.comparisons(S.paired(_cells(spark), PAIRS)).select("name", "p_wilcoxon"), 9)
+
+
+@query("protocol_table")
+def protocol_table(spark, folder):
+    return S.holm(S.comparisons(S.paired(_cells(spark), PAIRS)), "p_wilcoxon")
+
+
+TESTS = f", tests AS (SELECT 't' || i AS name, (i % 3)::INTEGER AS fam, CASE WHEN i % 7 = 6 THEN NULL ELSE round({sql_uniform('9', 'i')} / 10, 9) END AS p FROM (SELECT unnest(range(0, 30)) AS i))"
+
+
+def _tests(spark):
+    return spark.range(30).select(F.concat(F.lit("t"), "id").alias("name"), (F.col("id") % 3).cast("int").alias("fam"), F.when(F.col("id") % 7 != 6, F.round(uniform(9, "id") / 10, 9)).alias("p"))
+
+
+HOLM = TESTS + ", ranked AS (SELECT *, (count(*) OVER (PARTITION BY fam) - row_number() OVER (PARTITION BY fam ORDER BY p, name) + 1)::DOUBLE AS k FROM tests WHERE p IS NOT NULL), adj AS (SELECT *, least(1, max(k * p) OVER (PARTITION BY fam ORDER BY p, name ROWS UNBOUNDED PRECEDING)) AS p_holm FROM ranked)"
+
+
+@query("holm_adjust", CELLS + HOLM + f"SELECT name, fam, round(p, 9) AS p, round(0.05::DOUBLE / k, 9) AS threshold, round(p_holm, 9) AS p_holm, p_holm <= 0.05::DOUBLE AS rejected FROM adj")
+def holm_adjust(spark, folder):
+    return rounded(S.holm(_tests(spark), "p", ["fam"]), 9)
+
+
+@query("decision_rules")
+def decision_rules(spark, folder):
+    compared = S.comparisons(S.paired(_cells(spark), PAIRS)).select("name", "mean_diff", F.col("p_wilcoxon").alias("p"))
+    return S.decisions(compared, compared.where("name = 'D1'"))
+
+
+ORDERS = """
+WITH o AS (SELECT o_orderpriority AS g, o_totalprice AS x, o_custkey::DOUBLE AS y, (o_orderkey % 97)::DOUBLE AS z FROM orders WHERE o_orderkey % 3 = 0),
+k AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2.0::DOUBLE AS ry, rank() OVER (PARTITION BY g ORDER BY z) + (count(*) OVER (PARTITION BY g, z) - 1) / 2.0::DOUBLE AS rz FROM o)"""
+
+
+def _orders(spark, folder):
+    return table(spark, folder, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("x"), F.col("o_custkey").cast("double").alias("y"), (F.col("o_orderkey") % 97).cast("double").alias("z"))
+
+
+@query("spearman", ORDERS + f"SELECT g, {r('corr(rx, ry)', 'rho')}, count(*)::BIGINT AS n FROM k GROUP BY g")
+def spearman(spark, folder):
+    return rounded(S.spearman(_orders(spark, folder), "x", "y", "g"))
+
+
+@query("partial_spearman", ORDERS + f"SELECT g, {r('(corr(rx, ry) - corr(rx, rz) * corr(ry, rz)) / sqrt((1 - corr(rx, rz) * corr(rx, rz)) * (1 - corr(ry, rz) * corr(ry, rz)))', 'rho')} FROM k GROUP BY g")
+def partial_spearman(spark, folder):
+    return rounded(S.partial_spearman(_orders(spark, folder), "x", "y", "z", "g"))
+
+
+@query("loo_correlation", ORDERS.split(",\nk AS")[0] + f""", f AS (SELECT a.g AS left_out, o.x, o.y FROM (SELECT DISTINCT g FROM o) a JOIN o ON o.g <> a.g),
+kf AS (SELECT left_out, rank() OVER (PARTITION BY left_out ORDER BY x) + (count(*) OVER (PARTITION BY left_out, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY left_out ORDER BY y) + (count(*) OVER (PARTITION BY left_out, y) - 1) / 2.0::DOUBLE AS ry FROM f)
+SELECT left_out, {r('corr(rx, ry)', 'rho')} FROM kf GROUP BY left_out""")
+def loo_correlation(spark, folder):
+    return rounded(S.leave_one_out(_orders(spark, folder), "x", "y", "g"))
+
+
+@query("bootstrap_ci")
+def bootstrap_ci(spark, folder):
+    nations = table(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("n")).agg(F.avg("c_acctbal").alias("x"), F.count("*").cast("double").alias("y"))
+    return S.bootstrap_spearman(nations.withColumn("c", F.col("n") % 12), "x", "y", "c", draws=400)
+
+
+RUNS = f", runs AS (SELECT m AS method, n::INTEGER AS n, rf::DOUBLE AS budget, s::INTEGER AS seed, round(CASE m WHEN 'spectral' THEN 0.2 WHEN 'degree' THEN 0.3 ELSE 0.35 END::DOUBLE + 0.2::DOUBLE * {sql_uniform('m', 'n', 'rf', 's')}, 6) AS err, round({sql_uniform("'g'", 'm', 'n', 's')}, 6) AS gap FROM (SELECT unnest(['spectral', 'degree', 'random']) AS m), (SELECT unnest([64, 128, 256]) AS n), (SELECT unnest([2, 4]) AS rf), (SELECT unnest(range(0, 5)) AS s))"
+
+
+def _runs(spark):
+    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, ["spectral", "degree", "random"]))).alias("method")).withColumn("n", F.explode(F.array(*map(F.lit, [64, 128, 256])))).withColumn("b", F.explode(F.array(F.lit(2), F.lit(4)))).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    mean = F.when(F.col("method") == "spectral", 0.2).when(F.col("method") == "degree", 0.3).otherwise(0.35)
+    return grid.select("method", "n", F.col("b").cast("double").alias("budget"), "seed", F.round(mean + 0.2 * uniform("method", "n", "b", "seed"), 6).alias("err"), F.round(uniform(F.lit("g"), "method", "n", "seed"), 6).alias("gap"))
+
+
+@query("bands", CELLS + RUNS + f", long AS (SELECT n, budget, method, 'err' AS metric, err AS value FROM runs UNION ALL SELECT n, budget, method, 'gap', gap FROM runs) SELECT n, budget, method, metric, {r('avg(value)', 'mean')}, {r('stddev_pop(value)', 'std')}, {r('min(value)', 'least')}, {r('max(value)', 'most')}, count(value)::BIGINT AS n_1 FROM long GROUP BY n, budget, method, metric")
+def bands(spark, folder):
+    found = R.bands(_runs(spark).withColumnRenamed("n", "size"), ["size", "budget"], "method", ["err", "gap"])
+    return rounded(found.withColumnRenamed("n", "n_1").withColumnRenamed("size", "n"))
+
+
+@query("check_bands_pivot", CELLS + RUNS + ", m AS (SELECT n, budget, round(avg(err) FILTER (method = 'spectral'), 9) AS s, round(avg(err) FILTER (method = 'degree'), 9) AS d, round(avg(err) FILTER (method = 'random'), 9) AS u FROM runs GROUP BY ALL) SELECT n, budget, s < d AS below_degree, s < u AS below_random, s < d AND s < u AS below_all FROM m")
+def check_bands_pivot(spark, folder):
+    return R.check_bands(_runs(spark), ["n", "budget"], "method", "err", "spectral", ["degree", "random"])
+
+
+@query("win_counts", CELLS + RUNS + f", m AS (SELECT n, budget, avg(err) FILTER (method = 'spectral') AS s, avg(err) FILTER (method = 'degree') AS d, avg(err) FILTER (method = 'random') AS u FROM runs GROUP BY ALL) SELECT count(*)::BIGINT AS points, count(*) FILTER (s < d)::BIGINT AS n_below_degree, count(*) FILTER (s < d AND s < u)::BIGINT AS n_below_all, {r('avg((s < d AND s < u)::INTEGER::DOUBLE)', 'share')}, bool_and(s < d AND s < u) AS everywhere FROM m")
+def win_counts(spark, folder):
+    checked = R.check_bands(_runs(spark), ["n", "budget"], "method", "err", "spectral", ["degree", "random"])
+    return rounded(R.win_counts(checked, ["below_degree", "below_all"]))
+
+
+@query("rung_summary", CELLS + RUNS + f"SELECT budget, {r('avg(err)', 'mean')}, {r('stddev_samp(err)', 'std')} FROM runs GROUP BY budget")
+def rung_summary(spark, folder):
+    return rounded(R.rung_summary(_runs(spark), "budget", "err"))
+
+
+@query("table2_wide", CELLS + RUNS + f"SELECT n, {r('''avg(err) FILTER (method = 'degree')''', 'degree')}, {r('''avg(err) FILTER (method = 'random')''', 'random')}, {r('''avg(err) FILTER (method = 'spectral')''', 'spectral')} FROM runs GROUP BY n")
+def table2_wide(spark, folder):
+    return rounded(R.wide_table(_runs(spark), ["n"], "method", ["degree", "random", "spectral"], "err"))
+
+
+@query("monotone_by_method", CELLS + RUNS + ", m AS (SELECT method, n, avg(err) AS e FROM runs GROUP BY ALL), l AS (SELECT method, lag(e) OVER (PARTITION BY method ORDER BY n DESC) <= e OR lag(e) OVER (PARTITION BY method ORDER BY n DESC) IS NULL AS up FROM m) SELECT method, bool_and(up) AS monotone FROM l GROUP BY method")
+def monotone_by_method(spark, folder):
+    return S.monotone(_runs(spark).groupBy("method", "n").agg(F.avg("err").alias("e")), "method", "n", "e")
+
+
+@query("mean_gain", CELLS + f"SELECT {r('avg(a.acc - b.acc)', 'gain')}, count(*)::BIGINT AS n FROM cells a JOIN cells b USING (split, seed) WHERE a.cond = 'oracle' AND b.cond = 'uniform'")
+def mean_gain(spark, folder):
+    return rounded(R.mean_gain(_cells(spark), "oracle", "uniform"))
+
+
+@query("loo_k_selection", CELLS + RUNS + ", kr AS (SELECT n AS k, seed AS split, avg(err) AS acc FROM runs GROUP BY ALL), o AS (SELECT *, round((sum(acc) OVER (PARTITION BY k) - acc) / (count(*) OVER (PARTITION BY k) - 1), 9) AS rest FROM kr) SELECT split, k, round(acc, 6) + 0.0 AS acc FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY rest DESC, k) AS i FROM o) WHERE i = 1")
+def loo_k_selection(spark, folder):
+    rows = _runs(spark).groupBy(F.col("n").alias("k"), F.col("seed").alias("split")).agg(F.avg("err").alias("acc"))
+    return rounded(S.leave_one_split_k(rows))
+
+
+@query("thresholds_existence", CELLS + RUNS + "SELECT min(n) FILTER (gap > 0.8::DOUBLE)::INTEGER AS existence, min(n) FILTER (gap > 0.99::DOUBLE)::INTEGER AS deployable FROM runs")
+def thresholds_existence(spark, folder):
+    return S.first_thresholds(_runs(spark).withColumn("a", F.col("gap") > 0.8).withColumn("b", F.col("gap") > 0.99), "n", "a", "b")
+
+
+@query("ladder_resume", CELLS + RUNS + "SELECT DISTINCT method, n, budget FROM runs WHERE NOT (method = 'degree' AND n < 200)")
+def ladder_resume(spark, folder):
+    grid = _runs(spark).select("method", "n", "budget").distinct()
+    return R.remaining(grid, grid.where("method = 'degree' AND n < 200"), ["method", "n", "budget"])
+
+
+@query("distinct_rounded", "SELECT count(DISTINCT round(l_discount * l_tax, 3))::BIGINT AS n_distinct FROM lineitem")
+def distinct_rounded(spark, folder):
+    return R.distinct_rounded(table(spark, folder, "lineitem").select((F.col("l_discount") * F.col("l_tax")).alias("v")), "v", 3)
+
+
+@query("purity_mapping", f"WITH c AS (SELECT o_orderstatus AS grp, (o_custkey % 4)::INTEGER AS col, count(*) AS n FROM orders GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, col) AS i, sum(n) OVER (PARTITION BY grp) AS size FROM c) SELECT grp, col, n::BIGINT AS n, {r('n / size::DOUBLE', 'purity')} FROM k WHERE i = 1")
+def purity_mapping(spark, folder):
+    rows = table(spark, folder, "orders").select(F.col("o_orderstatus").alias("grp"), (F.col("o_custkey") % 4).cast("int").alias("col"))
+    return rounded(R.purity_mapping(rows, "grp", "col"))
+
+
+@query("pooled_and_each", f"SELECT coalesce(c_mktsegment, 'all') AS segment, {r('avg(c_acctbal)', 'mean')} FROM customer GROUP BY GROUPING SETS ((c_mktsegment), ())")
+def pooled_and_each(spark, folder):
+    rows = table(spark, folder, "customer").select(F.col("c_mktsegment").alias("segment"), "c_acctbal")
+    return rounded(R.pooled_and_each(rows, "segment", F.avg("c_acctbal"), "mean"))
+
+
+@query("json_fields", "SELECT event_id, (props->>'$.k')::BIGINT AS k, coalesce(props->>'$.none', '-') AS missing FROM events")
+def json_fields(spark, folder):
+    return table(spark, folder, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.coalesce(F.get_json_object("props", "$.none"), F.lit("-")).alias("missing"))

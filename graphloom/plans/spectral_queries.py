@@ -1 +1,151 @@
+"""Queries on spectra and on experts. Graphs are the suppliers' and a planted one, whose components fit one task."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphloom.graph import Graph
+from graphloom.operators import experts as E
+from graphloom.operators import generators as B
+from graphloom.operators import routing as R
+from graphloom.operators import scores as S
+from graphloom.operators import sparsify as X
+from graphloom.operators import spectral as K
+from graphloom.operators import splits as L
+from graphloom.operators import stats as T
+from graphloom.plans.graph_queries import PLANTED, STRONG, r, rounded, sql
+from graphloom.plans.register import query
+from graphloom.sources.tables import part_graph
+
+
+def _strong(spark, folder) -> Graph:
+    g = part_graph(spark, folder)
+    return Graph(g.nodes, X.threshold(g.edges, 0.6))
+
+
+def _planted(spark) -> Graph:
+    return B.planted_regimes(spark, 300, seed=1)
+
+
+@query("trace_identity", sql(f"SELECT {r('(SELECT sum(w) * 2 FROM strong)', 'trace')}, {r('(SELECT sum(d * d) FROM (SELECT src, sum(w) AS d FROM (SELECT src, w FROM strong UNION ALL SELECT dst, w FROM strong) GROUP BY src)) + 2 * (SELECT sum(w * w) FROM strong)', 'trace_square')}, ((SELECT count(*) FROM nodes) - (SELECT count(DISTINCT component) FROM named))::BIGINT AS resistance_energy, (SELECT count(DISTINCT component) FROM named)::BIGINT AS zeros", STRONG, recursive=True))
+def trace_identity(spark, folder):
+    return rounded(K.identities(_strong(spark, folder)))
+
+
+@query("spectral_ratio_identity", sql(f"SELECT node_id, {r('wdeg', 'energy')}, {r('wdeg / ((SELECT max(wdeg) FROM deg) + 1e-12)', 'ratio')} FROM deg"))
+def spectral_ratio_identity(spark, folder):
+    return rounded(K.spectral_ratio(part_graph(spark, folder)))
+
+
+@query("spectrum_traces", sql(f"SELECT {r('(SELECT sum(w) * 2 FROM strong)', 'trace')}, {r('(SELECT sum(d * d) FROM (SELECT src, sum(w) AS d FROM (SELECT src, w FROM strong UNION ALL SELECT dst, w FROM strong) GROUP BY src)) + 2 * (SELECT sum(w * w) FROM strong)', 'trace_square')}, (SELECT count(DISTINCT component) FROM named)::BIGINT AS zeros", STRONG, recursive=True))
+def spectrum_traces(spark, folder):
+    """The kernel's eigenvalues, summed: they have to give the closed forms."""
+    v = F.col("eigenvalue")
+    return rounded(K.spectrum(_strong(spark, folder)).agg(F.sum(v).alias("trace"), F.sum(v * v).alias("trace_square"), F.count_if(v < 1e-8).alias("zeros")))
+
+
+@query("resistance_energy", sql("SELECT ((SELECT count(*) FROM nodes) - (SELECT count(DISTINCT component) FROM named))::DOUBLE AS energy", STRONG, recursive=True))
+def resistance_energy(spark, folder):
+    """The kernel's resistances: the sum of w r is the nodes less the components."""
+    return rounded(K.effective_resistance(_strong(spark, folder)).agg(F.sum(F.col("w") * F.col("r")).alias("energy")), 5)
+
+
+@query("spectrum_small")
+def spectrum_small(spark, folder):
+    return rounded(K.spectrum(_planted(spark)))
+
+
+@query("fiedler_gap")
+def fiedler_gap(spark, folder):
+    return K.eigengap(K.spectrum(_planted(spark)))
+
+
+@query("effective_resistance_topk")
+def effective_resistance_topk(spark, folder):
+    return K.effective_resistance(_planted(spark), k=16)
+
+
+@query("resistance_rel_errors")
+def resistance_rel_errors(spark, folder):
+    g = _planted(spark)
+    return K.resistance_errors(K.effective_resistance(g), K.effective_resistance(g, k=32))
+
+
+@query("sparsify_leverage")
+def sparsify_leverage(spark, folder):
+    return X.spectral_edges(K.effective_resistance(_planted(spark)), 300, 400, epsilon=1.0)
+
+
+@query("distortion_report")
+def distortion_report(spark, folder):
+    g = _planted(spark)
+    return K.distortion_report(K.spectrum(g), K.spectrum(Graph(g.nodes, X.degree_edges(g, 400))))
+
+
+@query("mode_scores")
+def mode_scores(spark, folder):
+    g = _planted(spark)
+    modes = K.modes(g, 8).persist()
+    return K.mode_similarity(g, modes, 8).join(K.mode_centrality(modes, 8), "node_id").join(K.resistance_scores(g, K.effective_resistance(g)), "node_id")
+
+
+@query("kmeans_pool")
+def kmeans_pool(spark, folder):
+    g = _planted(spark)
+    return E.kmeans_gates(g.nodes.select("node_id", "x"), "0")
+
+
+@query("label_free_kmeans")
+def label_free_kmeans(spark, folder):
+    g = _planted(spark)
+    fields = S.feature_homophily(g, 8).join(S.degree_family(g), "node_id").select("node_id", F.array("hx", "log_degree", "degree_proxy").alias("x"))
+    return E.kmeans_gates(fields, "0")
+
+
+def _pool(spark):
+    g = _planted(spark)
+    one = S.propagate(g, g.nodes.select("node_id", "x"), 8).withColumnRenamed("x", "x1")
+    nodes = g.nodes.join(one, "node_id").select("node_id", "y", "regime", F.concat("x", "x1").alias("x"))
+    splits = None
+    for split in range(3):
+        part = L.stratified_split(nodes, 0.5, split).select(F.lit(split).alias("split"), F.lit(0).alias("seed"), "node_id", "part")
+        splits = part if splits is None else splits.union(part)
+    return nodes, E.fit_pool(nodes, splits, R.by_regime(nodes, "regime"), 5).persist()
+
+
+def _cells(spark):
+    nodes, predictions = _pool(spark)
+    oracle = R.by_regime(nodes, "regime")
+    named = {"oracle": oracle, "uniform": R.uniform_gates(nodes), "random": R.random_like(oracle)}
+    conditions = None
+    for name, gates in named.items():
+        part = R.with_channel(gates).select(F.lit(name).alias("cond"), "node_id", "channel")
+        conditions = part if conditions is None else conditions.union(part)
+    return E.mixture_cells(predictions, nodes, conditions)
+
+
+@query("protocol_b_cells")
+def protocol_b_cells(spark, folder):
+    return _cells(spark)
+
+
+@query("d2_table")
+def d2_table(spark, folder):
+    return T.holm(T.comparisons(T.paired(_cells(spark), [("oracle vs uniform", "oracle", "uniform"), ("oracle vs random", "oracle", "random")])), "p_wilcoxon")
+
+
+@query("ensemble_soft_vote")
+def ensemble_soft_vote(spark, folder):
+    nodes, predictions = _pool(spark)
+    return E.soft_vote(predictions, nodes, 5)
+
+
+@query("router_targets")
+def router_targets(spark, folder):
+    nodes, predictions = _pool(spark)
+    return E.router_targets(predictions, nodes)
+
+
+@query("planted_label_counts", PLANTED + "SELECT y, count(*)::BIGINT AS n FROM n GROUP BY y")
+def planted_label_counts(spark, folder):
+    return _planted(spark).nodes.groupBy("y").agg(F.count("*").alias("n"))
