@@ -9,7 +9,10 @@ from graphloom.functions.hashing import uniform
 from graphloom.functions.vectors import argmax
 
 CHANNELS = 3
-UNIFORM = F.array(*[F.lit(1.0 / CHANNELS)] * CHANNELS)
+
+
+def _uniform() -> Column:
+    return F.array(*[F.lit(1.0 / CHANNELS)] * CHANNELS)
 
 
 def _one_hot(channel: Column) -> Column:
@@ -34,7 +37,7 @@ def bucket_by_quantile(scores: DataFrame, score: str = "score", guarded: bool =
     channel = F.when(value >= F.col("hi"), 0).when(value <= F.col("lo"), 2).otherwise(1)
     gates = _one_hot(channel)
     if guarded:
-        gates = F.when(F.col("lo") >= F.col("hi"), UNIFORM).otherwise(gates)
+        gates = F.when(F.col("lo") >= F.col("hi"), _uniform()).otherwise(gates)
     return scores.join(F.broadcast(bounds)).select("node_id", gates.alias("gates"))  # one row is broadcast
 
 
@@ -50,7 +53,7 @@ def bucket_by_homophily(scores: DataFrame, score: str = "h", low: float = 0.4, h
         tied = F.col("lo").isNull() | (F.col("lo") >= F.col("hi"))
         bounds = bounds.select(F.when(tied, low).otherwise(F.col("lo")).alias("lo"), F.when(tied, high).otherwise(F.col("hi")).alias("hi"))
     a, b, c = map(F.lit, gates)
-    chosen = F.when(F.col(score).isNull(), UNIFORM).when(F.col(score) >= F.col("hi"), F.array(a, b, c)).when(F.col(score) <= F.col("lo"), F.array(c, b, a)).otherwise(F.array(b, a, c))
+    chosen = F.when(F.col(score).isNull(), _uniform()).when(F.col(score) >= F.col("hi"), F.array(a, b, c)).when(F.col(score) <= F.col("lo"), F.array(c, b, a)).otherwise(F.array(b, a, c))
     return scores.join(F.broadcast(bounds)).select("node_id", chosen.alias("gates"))  # one row is broadcast
 
 
@@ -59,7 +62,7 @@ def by_regime(nodes: DataFrame, regime: str) -> DataFrame:
 
 
 def uniform_gates(nodes: DataFrame) -> DataFrame:
-    return nodes.select("node_id", UNIFORM.alias("gates"))
+    return nodes.select("node_id", _uniform().alias("gates"))
 
 
 def with_channel(assigned: DataFrame) -> DataFrame:

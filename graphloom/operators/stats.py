@@ -130,16 +130,21 @@ def average_rank(value: str, *partition: str) -> Column:
     return F.rank().over(Window.partitionBy(*partition).orderBy(value)) + (F.count("*").over(Window.partitionBy(*partition, value)) - 1) / 2.0
 
 
+def _corr(x: str, y: str) -> Column:
+    """Aggregate: Pearson's correlation; null if either is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
 def spearman(rows: DataFrame, x: str, y: str, group: str) -> DataFrame:
     """(group, rho, n) of each group."""
     ranked = rows.select(group, average_rank(x, group).alias("_rx"), average_rank(y, group).alias("_ry"))
-    return ranked.groupBy(group).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
+    return ranked.groupBy(group).agg(_corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
 
 
 def partial_spearman(rows: DataFrame, x: str, y: str, z: str, group: str) -> DataFrame:
     """(group, rho) of x and y given z, from the three pairwise correlations of ranks; null with fewer than 4 rows or a constant."""
     ranked = rows.select(group, *[average_rank(c, group).alias(f"_r{i}") for i, c in enumerate((x, y, z))])
-    r = ranked.groupBy(group).agg(F.corr("_r0", "_r1").alias("xy"), F.corr("_r0", "_r2").alias("xz"), F.corr("_r1", "_r2").alias("yz"), F.count("*").alias("n"))
+    r = ranked.groupBy(group).agg(_corr("_r0", "_r1").alias("xy"), _corr("_r0", "_r2").alias("xz"), _corr("_r1", "_r2").alias("yz"), F.count("*").alias("n"))
     below = F.sqrt((1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz")))
     return r.select(group, F.when((F.col("n") >= 4) & (below > 0), (F.col("xy") - F.col("xz") * F.col("yz")) / below).alias("rho"))
 
