@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.store import staged
+from graphloom.llm.store import by_bytes, staged
 from graphloom.llm.subwords import slices
 from graphloom.llm.textkernel import hash_spans, mix, numbered, utf8, words
 
@@ -115,7 +115,7 @@ def _measured(documents: DataFrame, id_col: str, text_col: str, host_col: str) -
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + len(part))), part.column(0), part.column(1), *[pa.array(found[f], pa.int64()) for f in FIGURES], lines], schema.names)
                 key += len(part)
 
-    return source.mapInArrow(measure, schema)
+    return by_bytes(source).mapInArrow(measure, schema)
 
 
 def frequent_lines(measured: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -147,9 +147,9 @@ def remove_frequent_lines(documents: DataFrame, id_col: str = "doc_id", text_col
     lines = measured.select("id", "host", F.explode("lines").alias("line")).select("id", "host", "line.hash")
     gone = lines.join(frequent_lines(measured, share, least), ["host", "hash"]).groupBy("id").agg(F.collect_set("hash").alias("_gone"))
     joined = documents.join(gone.withColumnRenamed("id", "_gone_id"), F.col(id_col) == F.col("_gone_id"), "left").drop("_gone_id")
+    names, at = documents.columns, documents.columns.index(text_col)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = documents.columns.index(text_col)
         for batch in batches:
             texts, gone = batch.column(at), batch.column(batch.num_columns - 1)
             out = texts.to_pylist()
@@ -157,9 +157,9 @@ def remove_frequent_lines(documents: DataFrame, id_col: str = "doc_id", text_col
                 hashed, _, _, which = normal_lines(texts.slice(row, 1))
                 drop = set(which[np.isin(hashed.astype(np.int64), gone[row].values.to_numpy())].tolist())
                 out[row] = "\n".join(line for i, line in enumerate(out[row].split("\n")) if i not in drop)
-            yield pa.RecordBatch.from_arrays([pa.array(out, texts.type) if i == at else batch.column(i) for i in range(batch.num_columns - 1)], documents.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(out, texts.type) if i == at else batch.column(i) for i in range(batch.num_columns - 1)], names)
 
-    return joined.mapInArrow(strip, documents.schema)
+    return by_bytes(joined).mapInArrow(strip, documents.schema)
 
 
 ORACLE_SQL = r"""
