@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.store import new_path
+from graphloom.llm.store import by_bytes, new_path
 from graphloom.llm.subwords import END_ID, encoder, slices, vocabulary_path, with_end
 
 MAGIC, HEAD = b"GLS8", struct.Struct("<4sIQQQQ")
@@ -161,7 +161,7 @@ def write_ids(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     order = F.xxhash64(text_col)  # the partitioner samples its keys on the driver: no texts
     ordered = documents.select(id_col, text_col).repartitionByRange(F.col(id_col), order).sortWithinPartitions(F.col(id_col), order)
-    ordered.mapInArrow(encode, schema).write.option("compression", "zstd").parquet(path)
+    by_bytes(ordered).mapInArrow(encode, schema).write.option("compression", "zstd").parquet(path)
     return path
 
 
@@ -189,4 +189,4 @@ def read_ids(spark, path: str, id_col: str = "doc_id", with_ids: bool = False) -
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    return files.select("part", "ids_before", "data", "document_ids", "lengths").mapInArrow(decode, T.StructType(fields))
+    return by_bytes(files.select("part", "ids_before", "data", "document_ids", "lengths")).mapInArrow(decode, T.StructType(fields))

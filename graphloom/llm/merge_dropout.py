@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.store import by_bytes
 from graphloom.llm.subwords import gather, slices
 from graphloom.llm.textkernel import hash_spans, mix, utf8
 
@@ -273,7 +274,7 @@ def _encoded(documents, id_col, text_col, path, dropout, seed, variants, digest)
                     columns = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema.names)
 
-    return documents.select(id_col, text_col).mapInArrow(encode, schema)
+    return by_bytes(documents.select(id_col, text_col), SLICE_BYTES).mapInArrow(encode, schema)
 
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -286,4 +287,4 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(np.array(ids or [], np.int64)) for ids in batch.column(1).to_pylist()], pa.string())], schema.names)
 
-    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(decode, schema)
+    return by_bytes(encoded.select(F.col(id_col), F.col(ids_col))).mapInArrow(decode, schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.store import staged
+from graphloom.llm.store import by_bytes, staged
 from graphloom.llm.subwords import END_ID, encoder, slices, vocabulary_path, with_end
 
 MAX_LENGTH = 1024
@@ -192,7 +192,7 @@ def pieces(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ids, pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    return documents.select(id_col, text_col).mapInArrow(encode, T.StructType(fields))
+    return by_bytes(documents.select(id_col, text_col)).mapInArrow(encode, T.StructType(fields))
 
 
 def pack(table: DataFrame, order: list[str], most: int = MAX_LENGTH) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.line_rules import figures
+from graphloom.llm.store import by_bytes
 from graphloom.llm.subwords import slices
 from graphloom.llm.textkernel import hash_spans, mix, numbered, utf8, words
 
@@ -126,7 +127,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(columns, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(matrix[rows, columns]))], ["label_id", "label", "term", "weight"])
 
     schema = T.StructType([T.StructField("label_id", documents.schema[id_col].dataType), T.StructField("label", known.schema["label"].dataType), T.StructField("term", T.ArrayType(T.IntegerType())), T.StructField("weight", T.ArrayType(T.FloatType()))])
-    rows = texts.select("label_id", "label", "text").mapInArrow(terms, schema).dropDuplicates(["label_id"]).orderBy("label_id").limit(sample).collect()
+    rows = by_bytes(texts.select("label_id", "label", "text")).mapInArrow(terms, schema).dropDuplicates(["label_id"]).orderBy("label_id").limit(sample).collect()
     matrix, y = np.zeros((len(rows), TERMS), np.float32), np.array([r["label"] for r in rows], np.float64)
     for i, r in enumerate(rows):
         matrix[i, r["term"]] = r["weight"]
@@ -160,7 +161,7 @@ def score(documents: DataFrame, model: Model, text_col: str = "text", score_col:
                 part = batch.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.score(part.column(at)))], schema.names)
 
-    return documents.mapInArrow(apply, schema)
+    return by_bytes(documents).mapInArrow(apply, schema)
 
 
 def classify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.store import staged
+from graphloom.llm.store import by_bytes, staged
 from graphloom.llm.subwords import slices
 from graphloom.llm.textkernel import hash_spans, mix, runs, utf8
 
@@ -91,7 +91,7 @@ def _runs(documents: DataFrame, id_col: str, text_col: str, run: int) -> DataFra
                 rows = pa.array(text)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(place, pa.int32()), pa.array(h1.astype(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32))], schema.names)
 
-    return source.mapInArrow(find, schema)
+    return by_bytes(source).mapInArrow(find, schema)
 
 
 def repeated_places(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:

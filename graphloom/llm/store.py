@@ -32,6 +32,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def by_bytes(df: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """``df``, with Arrow batches to Python bounded in bytes, not only in rows: long texts would fill a worker's memory.
+
+    Sets the session's ``spark.sql.execution.arrow.maxBytesPerBatch`` unless it is lower already.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= most:
+        conf.set(name, str(most))
+    return df
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return it reread."""
     path = new_path(df.sparkSession, name)

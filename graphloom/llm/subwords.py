@@ -20,7 +20,7 @@ from graphloom.llm.textkernel import hash_spans, mix, utf8
 
 END_ID = 2
 #: Bytes of text that are encoded at once; slots for chunks, and how many are remembered.
-SLICE_BYTES, SLOTS, REMEMBERED = 4 << 20, 1 << 22, 2_400_000
+SLICE_BYTES, SLOTS, REMEMBERED = 4 << 20, 1 << 21, 1_200_000
 _SPACE_LAST = r"(?:^|[\s\v\x{1c}-\x{1f}\x{85}\p{Z}])$"
 _BESIDE_SPACE = r" [\s\v\x{1c}-\x{1f}\x{85}\p{Z}]|[\s\v\x{1c}-\x{1f}\x{85}\p{Z}] "
 

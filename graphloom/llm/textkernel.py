@@ -54,7 +54,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def hash_spans(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes; equal spans have equal hashes, wherever they are."""
     if len(_powers[0]) <= len(raw):
-        n = 1 << int(len(raw)).bit_length()
+        n = (len(raw) // (1 << 18) + 1) << 18
         for i, base in enumerate((_BASE, _INVERSE)):
             _powers[i] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base, np.uint64)]))
     upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * _powers[0][: len(raw)])])
