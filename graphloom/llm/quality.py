@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from graphloom.llm.line_rules import figures
 from graphloom.llm.store import by_bytes
-from graphloom.llm.subwords import slices
+from graphloom.llm.subwords import forget_encoders, slices
 from graphloom.llm.textkernel import hash_spans, mix, numbered, utf8, words
 
 #: Labelled rows that are used at most, half of each label; dimensions; neighbours; the power of a similarity.
@@ -119,6 +119,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     texts = documents.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(sampled), "label_id")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in batches:
             if len(batch):
                 matrix = term_matrix(batch.column(2))
@@ -155,6 +156,7 @@ def score(documents: DataFrame, model: Model, text_col: str = "text", score_col:
     sent = documents.sparkSession.sparkContext.broadcast(packed.getvalue())
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         own = Model(**np.load(io.BytesIO(sent.value)))
         for batch in batches:
             for begin, end in slices(batch.column(at), 2 << 20):

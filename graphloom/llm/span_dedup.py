@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.store import by_bytes, staged
-from graphloom.llm.subwords import slices
+from graphloom.llm.subwords import forget_encoders, slices
 from graphloom.llm.textkernel import hash_spans, mix, runs, utf8
 
 RUN = 3
@@ -76,6 +76,7 @@ def _runs(documents: DataFrame, id_col: str, text_col: str, run: int) -> DataFra
     schema = T.StructType([*source.schema.fields[:2], T.StructField("place", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.IntegerType())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for batch in batches:
             for at, end in slices(batch.column(2), 2 << 20):
                 part = batch.slice(at, end - at)

@@ -9,6 +9,7 @@ whole. The ids are those of encoding the whole text.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -41,14 +42,22 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task would keep it from the others."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes, or of one row."""
+    """Row ranges of at most ``most`` bytes, or of one row. After each, memory that its work has freed goes back to the system."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(size):
         before = size[at - 1] if at else 0
         end = max(at + 1, int(np.searchsorted(size, before + most, "right")))
         yield at, end
+        give_back()
         at = end
 
 
@@ -192,6 +201,12 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
+def forget_encoders() -> None:
+    """Drop this process's encoders: other kernels call it first, as Spark hands them workers that have encoded before."""
+    _encoders.clear()
+    give_back()
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """The end id appended to each document."""
     return np.insert(ids, np.cumsum(counts), end_id), counts + 1
