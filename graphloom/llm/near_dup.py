@@ -9,12 +9,16 @@ of k coordinates: the time is the text's length plus k ln k, not their
 product. Two texts keep the same dart with probability equal to their
 similarity.
 
-Texts that agree in a band of coordinates are candidates. Buckets are compared
-as stars, around the member that shares most buckets with others; members that
-are in another class after that are compared with one another, in buckets of
-up to ``SMALL`` directly and in larger ones if they agree in one of the next
-bands too. Every link is checked against the texts. Rows grow with bucket
-sizes, never with their squares. Equal texts are one node from the start.
+Texts that agree in a band of coordinates are candidates, and every pair of
+candidates is compared unless links join the two already. Buckets are first
+compared as stars, around the member that shares most buckets with others.
+What is in several classes after that is compared pair by pair in buckets of
+up to ``SMALL``. Larger ones go round by round: members outside the bucket's
+largest class are compared with all others and then leave it, twice as many
+in each round, until no two classes are left in a bucket. Every link is
+checked against the texts. Copies cost rows in proportion to a bucket's size;
+members that stay apart cost one comparison a pair, as any exact way does.
+Equal texts are one node from the start.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from graphloom.llm.textkernel import mix, numbered, shingles
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 8
-SMALL, DEEPER = 64, 4
+SMALL = 64
 _STEP, _DART, _COPY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 _NONE = np.uint64(2**64 - 1)
 
@@ -142,6 +146,23 @@ def _across(buckets: DataFrame) -> DataFrame:
     return buckets.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("other"))).select(F.col("node").alias("a"), "b")
 
 
+def _centres(rest: DataFrame, many: int) -> DataFrame:
+    """(key, node, component) of about ``many`` members of each bucket, and of one at least: those outside its largest component, whose members need no comparison with one another."""
+    parts = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"))
+    outside = rest.join(largest, "key").where(F.col("component") != F.col("largest.component"))
+    first = outside.groupBy("key").agg(F.max(F.struct("shared", "node")).alias("first"))
+    groups = F.ceil((F.col("all") - F.col("largest.n")) / F.lit(many))
+    drawn = F.pmod(F.xxhash64("key", "node", F.lit(many)), groups) == 0
+    return outside.join(first, "key").where(drawn | (F.col("node") == F.col("first.node"))).select("key", "node", "component")
+
+
+def _from_centres(centres: DataFrame, rest: DataFrame) -> DataFrame:
+    """Pairs of each centre with all members of its bucket that are in other components."""
+    other = rest.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
+    return centres.join(other, "key").where(F.col("component") != F.col("other")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, with_node: bool = False) -> DataFrame:
     """The class of every row: id and class_id, the smallest id of the class.
 
@@ -163,18 +184,19 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     links = _linked(_stars(apart), held, threshold, words)
     named = components(links)
 
-    joined = apart.drop("component").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = joined.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = staged(joined.join(split, "key", "left_semi"), "rest")
-    finer = rest.where(F.col("size") > SMALL).join(nodes.select("node", "keys"), "node")
-    at = F.array_position("keys", F.col("key"))
-    finer = finer.withColumn("step", F.explode(F.array(*[F.lit(i) for i in range(DEEPER)])))
-    finer = finer.withColumn("key", F.xxhash64("key", F.element_at("keys", (F.pmod(at + F.col("step"), F.lit(bands)) + 1).cast("int")))).select("key", "node", "shared", "component")
-    finer_sizes = finer.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "size")
-    finer = staged(finer.join(finer_sizes, "key"), "finer")
-    small = rest.where(F.col("size") <= SMALL).select("key", "node", "component").union(finer.where(F.col("size") <= SMALL).select("key", "node", "component"))
-    more = _linked(_across(small).union(_stars(finer.where(F.col("size") > SMALL))), held, threshold, words)
-    named = components(links.union(more))
+    def open_buckets(rows: DataFrame, named: DataFrame) -> DataFrame:
+        """``rows`` with their components of now, less those of buckets that lie in one component."""
+        joined = rows.drop("component").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        split = joined.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        return joined.join(split, "key", "left_semi")
+
+    rest = staged(open_buckets(apart, named), "rest")
+    links = links.union(_linked(_across(rest.where(F.col("size") <= SMALL)), held, threshold, words))
+    named, rest, many = components(links), rest.where(F.col("size") > SMALL), SMALL
+    while (rest := staged(open_buckets(rest, named), "rest")).limit(1).count():
+        centres = staged(_centres(rest, many), "centres")
+        links = links.union(_linked(_from_centres(centres, rest), held, threshold, words))
+        named, rest, many = components(links), rest.join(centres, ["key", "node"], "left_anti"), 2 * many
 
     class_of = nodes.select("node", "id").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = class_of.groupBy("component").agg(F.min("id").alias("class_id"))

@@ -239,6 +239,24 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted(r["doc_id"] for r in near_dup.drop_near_duplicates(documents).collect()) == sorted(set(name))
 
 
+def test_near_duplicates_in_large_buckets(spark):
+    shared, texts = prose(0, 100), []
+    for pair in range(150):  # a template with own ends, each end twice: one bucket holds most, and its centre is like none but its twin
+        own = prose(1000 + pair, 80).split()
+        texts += [f"{shared} {' '.join(own)}", f"{shared} {' '.join(own[:-4])} {prose(5000 + pair, 4)}"]
+    key = near_dup.band_keys(near_dup.signatures(pa.array(texts), 1)[0], 1)[:, 0]
+    assert max(collections.Counter(key.tolist()).values()) > 2 * near_dup.SMALL
+    sets = [multiset(t) for t in texts]
+    assert all(weighted(sets[0], s) < 0.8 for s in sets[2:])
+    wanted = list(range(len(texts)))
+    for i in range(0, len(texts), 2):
+        assert weighted(sets[i], sets[i + 1]) >= 0.8
+        if key[i] == key[i + 1]:
+            wanted[i + 1] = i
+    found = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(frame(spark, texts), bands=1, rows=1).collect()}
+    assert [found[i] for i in range(len(texts))] == wanted
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101)], "a long, b long")
     found = {r["node"]: r["component"] for r in components(links).collect()}
