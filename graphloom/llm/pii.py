@@ -41,9 +41,11 @@ SYLLABLES = {
 }
 _ADDRESS = f"(?=[{''.join(sorted({x[0] for x in [*MALE, *FEMALE, *NEUTRAL]}))}])(?:{'|'.join([*MALE, *FEMALE, *NEUTRAL])})"
 _SECRET = r"(?:token|api[_-]?key|secret|password|passwd|pwd)\s{0,3}[=:]\s{0,3}[\"']?"
+#: A secret's value runs over letters, digits and these; a stop at its end is the sentence's. Four letters or digits at least, so that it can change.
+_MARKS = r"[_\-+/=.~!#$%*@^]"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\p{L}\p{N}])",
-    "secret": rf"(?<![\p{{L}}\p{{N}}])(?i:{_SECRET})[A-Za-z0-9_\-]{{8,128}}",
+    "secret": rf"(?<![\p{{L}}\p{{N}}])(?i:{_SECRET})(?=(?:{_MARKS}*[A-Za-z0-9]){{4}})[A-Za-z0-9{_MARKS[1:]}{{8,}}(?<!\.)",
     "access_key": r"(?<![\p{L}\p{N}])(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}])",
     "account": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}.+-])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![\p{L}\p{N}])",

@@ -354,6 +354,21 @@ def test_surrogates_keep_form_and_coreference(spark):
     assert [rows[i]["text"] for i in (16, 17, 18)] == texts[16:] and rows[16]["n"] == 0
 
 
+def test_whole_secrets_are_replaced(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(500))
+    secrets = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U", long, "c2VjcmV0+dmFsdWU/aXM=", "p@ssw0rd!2024$x%^*#9"]
+    texts = [form.format(s) for s in secrets for form in ("secret = {}", 'say token: "{}", then', "the password={}. Next")]
+    rows = pii.replace_entities(frame(spark, texts), count_col="n").orderBy("doc_id").collect()
+    for i, r in enumerate(rows):
+        old = secrets[i // 3]
+        head, tail = texts[i].split(old)
+        assert r["n"] == 1 and r["text"].startswith(head) and r["text"].endswith(tail) and len(r["text"]) == len(texts[i])
+        new = r["text"][len(head) : len(r["text"]) - len(tail)]
+        assert not any(old[k : k + 6] in new for k in range(len(old) - 5))
+    assert [r["n"] for r in pii.replace_entities(frame(spark, ["secret: ========== token = ..........", "secret: https://example.com/a"]), count_col="n").collect()] == [0, 0]
+
+
 def test_surrogates_of_names(spark):
     texts = ["Mr. John Smith met Frau Anna Miller.", "Mr. Smith left.", "г-жа Ирина Петрова", "Dr Who Knows"]
     found = [r["text"] for r in pii.replace_entities(frame(spark, texts)).orderBy("doc_id").collect()]
