@@ -37,7 +37,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def remove_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less the sentences of passages that occurred before."""
-    return _counted(drop_repeated_spans(docs))
+    return _counted(drop_repeated_spans(docs, run=2, long_words=50))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from graphloom.llm.store import by_bytes, staged
 from graphloom.llm.subwords import forget_encoders, slices
-from graphloom.llm.textkernel import hash_spans, mix, runs, utf8
+from graphloom.llm.textkernel import hash_spans, mix, runs, utf8, words
 
 RUN = 3
 SENTENCE = r"(?s).+?(?:[.!?][ \t\r\n]+|\n[ \t\r\n]*|\z)"
@@ -70,8 +70,12 @@ def sentence_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return start, np.maximum(np.minimum(end, stop), start), of
 
 
-def _runs(documents: DataFrame, id_col: str, text_col: str, run: int) -> DataFrame:
-    """(id, text_hash, place, h1, h2) of each run: two hashes of its lower-case sentences, and where it stands."""
+def _runs(documents: DataFrame, id_col: str, text_col: str, run: int, long_words: int | None = None) -> DataFrame:
+    """(id, text_hash, place, h1, h2) of each run: two hashes of its lower-case sentences, and where it stands.
+
+    With ``long_words``, shorter runs that hold as many words count too. ``place`` is the first sentence's place
+    times ``run``, plus the run's sentences less one.
+    """
     source = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     schema = T.StructType([*source.schema.fields[:2], T.StructField("place", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.IntegerType())])
 
@@ -83,38 +87,45 @@ def _runs(documents: DataFrame, id_col: str, text_col: str, run: int) -> DataFra
                 raw, offsets = utf8(pc.utf8_lower(pc.fill_null(part.column(2), "")))
                 start, stop, of = sentence_bounds(raw, offsets)
                 hashed = hash_spans(raw, start, stop)
-                begins = np.flatnonzero(of[run - 1 :] == of[: len(of) - run + 1]) if len(of) >= run else np.zeros(0, np.int64)
-                h1 = h2 = np.zeros(len(begins), np.uint64)
-                for j in range(run):
-                    h1, h2 = mix(h1 + hashed[begins + j]), mix(h2 * np.uint64(31) + (hashed[begins + j] ^ np.uint64(0x5851F42D4C957F2D)))
-                text = of[begins]
-                place = begins - np.searchsorted(of, text)
-                rows = pa.array(text)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(place, pa.int32()), pa.array(h1.astype(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32))], schema.names)
+                if long_words is not None:
+                    word = words(raw, offsets)[0]
+                    before = np.searchsorted(word, start), np.searchsorted(word, stop)
+                for length in range(run if long_words is None else 1, run + 1):
+                    begins = np.flatnonzero(of[length - 1 :] == of[: len(of) - length + 1]) if len(of) >= length else np.zeros(0, np.int64)
+                    if length < run:
+                        begins = begins[before[1][begins + length - 1] - before[0][begins] >= long_words]
+                    h1 = h2 = np.full(len(begins), run - length, np.uint64)
+                    for j in range(length):
+                        h1, h2 = mix(h1 + hashed[begins + j]), mix(h2 * np.uint64(31) + (hashed[begins + j] ^ np.uint64(0x5851F42D4C957F2D)))
+                    text = of[begins]
+                    place = (begins - np.searchsorted(of, text)) * run + length - 1
+                    rows = pa.array(text)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(place, pa.int32()), pa.array(h1.astype(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32))], schema.names)
 
     return by_bytes(source).mapInArrow(find, schema)
 
 
-def repeated_places(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def repeated_places(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_words: int | None = None) -> DataFrame:
     """(id, text_hash, places): for each document, the sorted places of sentences that a repeated run covers."""
-    all_runs = _runs(documents, id_col, text_col, run)
+    all_runs = _runs(documents, id_col, text_col, run, long_words)
     twice = all_runs.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     found = staged(all_runs.join(twice, ["h1", "h2"], "left_semi"), "runs")
     firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "text_hash", "place")).alias("first"))
     later = found.join(firsts, ["h1", "h2"]).where(~F.struct("id", "text_hash", "place").eqNullSafe(F.col("first")))
     covered = later.groupBy("id", "text_hash").agg(F.collect_set("place").alias("starts"))
-    places = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (run - 1))))))
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(F.floor(p / run).cast("int"), (F.floor(p / run) + p % run).cast("int"))))))
     return covered.select("id", "text_hash", places.alias("places"))
 
 
-def drop_repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, removed_col: str | None = None) -> DataFrame:
+def drop_repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, removed_col: str | None = None, long_words: int | None = None) -> DataFrame:
     """``documents`` with each text less its repeated sentences, and the number of those in ``removed_col`` on request.
 
     Every row stays, also one whose text becomes empty; null texts stay null; texts of fewer than ``run``
-    sentences have no runs and stay as they are. Rows equal in id and text are one document: they are changed
+    sentences have no runs and stay as they are; with ``long_words``, fewer sentences that hold as many words are
+    a run too. Rows equal in id and text are one document: they are changed
     alike. A null id comes before all others. Other columns are kept, whatever their names.
     """
-    places = repeated_places(documents, id_col, text_col, run).select(F.col("id").alias("_span_id"), F.col("text_hash").alias("_span_hash"), F.col("places").alias("_span_places"))
+    places = repeated_places(documents, id_col, text_col, run, long_words).select(F.col("id").alias("_span_id"), F.col("text_hash").alias("_span_hash"), F.col("places").alias("_span_places"))
     joined = documents.join(places, F.col(id_col).eqNullSafe(F.col("_span_id")) & (F.xxhash64(text_col) == F.col("_span_hash")), "left")
     split = sentences(F.col(text_col))
     rest = F.array_join(F.filter(split, lambda s, i: ~F.array_contains("_span_places", i)), "")

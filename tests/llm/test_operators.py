@@ -157,6 +157,15 @@ def test_spans(spark):
     assert "second one" not in found[6]
 
 
+def test_pipeline_removes_passages_of_few_sentences(spark):
+    import corpus_pipeline
+
+    one, two = f"{prose(1, 60)}. ", f"{prose(2, 30)}. {prose(3, 30)}. "
+    texts = [f"{prose(10 + i, 9)}. {p}{prose(20 + i, 9)}." for i, p in enumerate([one, one, two, two, f"{prose(4, 40)}. ", f"{prose(4, 40)}. "])]
+    found = {r["doc_id"]: r["text"] for r in corpus_pipeline.remove_repeated_spans(spark, frame(spark, texts), "").collect()}
+    assert [found[i] for i in range(6)] == [t.replace(p, "") if p else t for t, p in zip(texts, ["", one, "", two, "", ""], strict=True)]
+
+
 def test_sentence_bounds_equal_the_pattern():
     rng, pattern = random.Random(5), re.compile(span_dedup.SENTENCE.replace(r"\z", r"\Z"))
     texts = ["".join(rng.choice("aé.! \n\t") for _ in range(rng.randrange(15))) for _ in range(5000)]
