@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.vectors import dot, norm, unit, vector_sum
 from graphloom.graph import Graph, degrees
+from graphloom.storage import staged
 
 
 def _with_neighbours(graph: Graph, columns: list[str]) -> DataFrame:
@@ -164,6 +165,6 @@ def pagerank(graph: Graph, damping: float = 0.85, rounds: int = 20) -> DataFrame
     for i in range(rounds):
         sent = links.join(state.select(F.col("node_id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
         state = state.drop("rank").join(sent, "node_id", "left").select("node_id", "n", ((1 - damping) / F.col("n") + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if i % 5 == 4 and i + 1 < rounds and state.sparkSession.sparkContext.getCheckpointDir():
-            state = state.checkpoint()
+        if i % 5 == 4 and i + 1 < rounds:
+            state = staged(state, "pagerank")
     return state.select("node_id", "rank")

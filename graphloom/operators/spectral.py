@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from graphloom.graph import Graph, degrees
 from graphloom.operators.components import connected_components
 
-MAX_NODES, EXACT_NODES = 3000, 2000
+#: A dense matrix of a component has 8 bytes a cell: 1.2 GB at ``MAX_NODES``. Up to ``EXACT_NODES`` resistances are exact by default.
+MAX_NODES, EXACT_NODES = 12_000, 2000
 EPS = 1e-8
 
 
