@@ -3,25 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from graphloom.llm.store import staged
+from graphloom.operators.components import link_components
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of every node that has a link; a component's name is its smallest node.
-
-    Each round gives a node the smallest name among its neighbours and then follows that name's own name,
-    so that the number of rounds grows with the logarithm of the longest path.
-    """
-    both = staged(links.select(F.col(a).alias("node"), F.col(b).alias("to")).union(links.select(F.col(b), F.col(a))).distinct(), "links")
-    named = staged(both.groupBy("node").agg(F.min("to").alias("component")).select("node", F.least("node", "component").alias("component")), "components")
-    while True:
-        near = both.join(named.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("component").alias("near"))
-        lower = named.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("via"))
-        names = named.select(F.col("node").alias("via"), F.col("component").alias("component"))
-        new = staged(lower.join(names, "via").select("node", "component", "was"), "components")
-        changed = new.where(F.col("component") != F.col("was")).limit(1).count()
-        named = new.drop("was")
-        if not changed:
-            return named
+    """(node, component) of every node that has a link; a component's name is its smallest node."""
+    return link_components(links, a, b)[0]

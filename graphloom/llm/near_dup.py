@@ -12,12 +12,14 @@ similarity.
 Texts that agree in a band of coordinates are candidates, and every pair of
 candidates is compared unless links join the two already. Buckets are first
 compared as stars, around the member that shares most buckets with others.
-What is in several classes after that is compared pair by pair in buckets of
-up to ``SMALL``. Larger ones go round by round: members outside the bucket's
-largest class are compared with all others and then leave it, twice as many
-in each round, until no two classes are left in a bucket. Every link is
-checked against the texts. Copies cost rows in proportion to a bucket's size;
-members that stay apart cost one comparison a pair, as any exact way does.
+In a bucket that still holds several classes, members outside its largest class
+are then compared with all members of other classes, in square blocks of at
+most about ``BLOCK`` members a side: a task gets the two sides' sketches, not
+pairs. A sketch holds the parities of a text's units in ``BITS`` cells; the
+number of cells in which two sketches differ is never above the size of the
+texts' symmetric difference, so that it bounds their similarity from above, and
+pairs whose bound is below the threshold are left out without loss. No size of
+a bucket changes what is compared. Every link is checked against the texts.
 Equal texts are one node from the start.
 """
 
@@ -38,7 +40,8 @@ from graphloom.llm.textkernel import mix, numbered, shingles
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 8
-SMALL = 64
+#: Members of a block's side, on average at most; cells of a sketch.
+BLOCK, BITS = 512, 4096
 _STEP, _DART, _COPY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 _NONE = np.uint64(2**64 - 1)
 
@@ -140,30 +143,119 @@ def _stars(buckets: DataFrame) -> DataFrame:
     return far.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b"))
 
 
-def _across(buckets: DataFrame) -> DataFrame:
-    """All pairs between components in buckets of at most ``SMALL`` members."""
-    other = buckets.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
-    return buckets.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("other"))).select(F.col("node").alias("a"), "b")
-
-
-def _centres(rest: DataFrame, many: int) -> DataFrame:
-    """(key, node, component) of about ``many`` members of each bucket, and of one at least: those outside its largest component, whose members need no comparison with one another."""
+def _blocks(rest: DataFrame, drawn: DataFrame, block: int) -> DataFrame:
+    """(key, i, j, centre, node, component, sketch): the sides of each bucket's blocks; members outside its largest class are centres, all are partners."""
     parts = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"))
-    outside = rest.join(largest, "key").where(F.col("component") != F.col("largest.component"))
-    first = outside.groupBy("key").agg(F.max(F.struct("shared", "node")).alias("first"))
-    groups = F.ceil((F.col("all") - F.col("largest.n")) / F.lit(many))
-    drawn = F.pmod(F.xxhash64("key", "node", F.lit(many)), groups) == 0
-    return outside.join(first, "key").where(drawn | (F.col("node") == F.col("first.node"))).select("key", "node", "component")
+    sizes = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("all"))
+    rows = rest.join(sizes, "key").withColumn("outside", F.col("component") != F.col("largest.component"))
+    rows = rows.withColumn("wide", F.ceil(F.col("all") / block)).withColumn("high", F.ceil((F.col("all") - F.col("largest.n")) / block))
+    mark, spread = F.xxhash64("node"), F.transform
+    centres = spread(F.sequence(F.lit(0), F.col("wide") - 1), lambda i: F.struct(F.lit(True).alias("centre"), i.cast("int").alias("i"), F.pmod(mark, F.col("high")).cast("int").alias("j")))
+    partners = spread(F.sequence(F.lit(0), F.col("high") - 1), lambda j: F.struct(F.lit(False).alias("centre"), F.pmod(mark, F.col("wide")).cast("int").alias("i"), j.cast("int").alias("j")))
+    placed = rows.select("key", "node", "component", F.explode(F.when(F.col("outside"), F.concat(centres, partners)).otherwise(partners)).alias("place"))
+    return placed.select("key", "place.i", "place.j", "place.centre", "node", "component").join(drawn, "node").select("key", "i", "j", "centre", "node", "component", "sketch")
+
+
+def sketches(texts: pa.Array, words: int = WORDS) -> np.ndarray:
+    """A row of 64-bit words for each text: the number of its units, then the parities of their numbers in ``BITS`` cells."""
+    out = np.zeros((len(texts), 1 + BITS // 64), np.uint64)
+    for at in range(0, len(texts), 1024):
+        unit, text = units(texts.slice(at, 1024), words)
+        n = min(1024, len(texts) - at)
+        cell = (mix(unit ^ _DART) % np.uint64(BITS)).astype(np.int64)
+        odd = (np.bincount(text * BITS + cell, minlength=n * BITS) & 1).astype(np.uint8)
+        out[at : at + n, 0] = np.bincount(text, minlength=n)
+        out[at : at + n, 1:] = np.packbits(odd.reshape(n, BITS), axis=1).view(np.uint64)
+    return out
+
+
+def most_alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """No less than the similarity of each pair of sketched texts."""
+    size_a, size_b = a[:, 0].astype(np.int64), b[:, 0].astype(np.int64)
+    apart = np.maximum(np.bitwise_count(a[:, 1:] ^ b[:, 1:]).sum(1, dtype=np.int64), np.abs(size_a - size_b))
+    return (size_a + size_b - apart) / np.maximum(size_a + size_b + apart, 1)
+
+
+def _fixed(column: pa.Array) -> np.ndarray:
+    """A binary column whose values have one length, a multiple of 8, as rows of 64-bit words."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(len(column), -1).view(np.uint64)
+
+
+def alike(sides: pa.Table, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (centre, partner) of one block and different components that may be similar enough; rows are sorted by block."""
+    column = {n: sides.column(n).combine_chunks() for n in sides.column_names}
+    column = {n: c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for n, c in column.items()}
+    place = np.stack([column[n].to_numpy().astype(np.int64) for n in ("key", "i", "j")])
+    group = np.cumsum(np.append(False, (place[:, 1:] != place[:, :-1]).any(0)))
+    centre = column["centre"].to_numpy(zero_copy_only=False).astype(bool)
+    component, sketch = _fixed(column["component"]), _fixed(column["sketch"])
+    a, b = np.flatnonzero(centre), np.flatnonzero(~centre)
+    many_b = np.bincount(group[b], minlength=group[-1] + 1)
+    first_b = np.cumsum(many_b) - many_b
+    per = many_b[group[a]]  # a centre's pairs are those with all partners of its block
+    ends, at, found = np.cumsum(per), 0, [(a[:0], b[:0])]
+    while at < len(a):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 15), "right")))
+        n = per[at:to]
+        left = np.repeat(a[at:to], n)
+        right = b[np.arange(len(left)) + np.repeat(first_b[group[a[at:to]]] - (np.cumsum(n) - n), n)]
+        apart = (component[left] != component[right]).any(1)
+        left, right = left[apart], right[apart]
+        close = most_alike(sketch[left], sketch[right]) >= threshold
+        found.append((left[close], right[close]))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _candidates(blocks: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that their sketches let be similar enough."""
+    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
+        held: list[pa.RecordBatch] = []
+
+        def pairs(sides: pa.Table) -> pa.RecordBatch:
+            left, right = alike(sides, threshold)
+            return pa.RecordBatch.from_arrays([sides.column("node").take(pa.array(x)).combine_chunks() for x in (left, right)], schema.names)
 
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            place = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])
+            new = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0))
+            cut = int(new[-1]) + 1 if len(new) else 0  # the last block may go on in the next batch
+            if not cut and len(held) > 1 and any(held[-2].column(i)[-1].as_py() != place[i, 0] for i in range(3)):
+                cut = -1
+            if cut:
+                whole, held = [*held[:-1], *([batch.slice(0, cut)] if cut > 0 else [])], [batch.slice(cut) if cut > 0 else batch]
+                yield pairs(pa.Table.from_batches(whole))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    dealt = by_bytes(blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"))
+    found = dealt.mapInArrow(compare, schema)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _sketched(held: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, sketch) of the nodes, whose texts are in ``held``."""
+    schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
+        for batch in batches:
+            for at, end in slices(batch.column(1), 2 << 20):
+                part = batch.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([row.tobytes() for row in sketches(part.column(1), words)], pa.binary())], schema.names)
 
-def _from_centres(centres: DataFrame, rest: DataFrame) -> DataFrame:
-    """Pairs of each centre with all members of its bucket that are in other components."""
-    other = rest.select("key", F.col("node").alias("b"), F.col("component").alias("other"))
-    return centres.join(other, "key").where(F.col("component") != F.col("other")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+    return by_bytes(held.join(nodes, "node", "left_semi").select("node", "text")).mapInArrow(sketch, schema)
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, with_node: bool = False) -> DataFrame:
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, with_node: bool = False) -> DataFrame:
     """The class of every row: id and class_id, the smallest id of the class.
 
     Equal texts are in one class, with null as the empty text. Texts without words are alike only if they are
@@ -181,22 +273,16 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     held = staged(source.select("node", "text").join(candidates, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     shared = buckets.groupBy("node").agg(F.sum("size").alias("shared"))
     apart = buckets.join(shared, "node").withColumn("component", F.col("node"))
-    links = _linked(_stars(apart), held, threshold, words)
-    named = components(links)
-
-    def open_buckets(rows: DataFrame, named: DataFrame) -> DataFrame:
-        """``rows`` with their components of now, less those of buckets that lie in one component."""
-        joined = rows.drop("component").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = joined.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        return joined.join(split, "key", "left_semi")
-
-    rest = staged(open_buckets(apart, named), "rest")
-    links = links.union(_linked(_across(rest.where(F.col("size") <= SMALL)), held, threshold, words))
-    named, rest, many = components(links), rest.where(F.col("size") > SMALL), SMALL
-    while (rest := staged(open_buckets(rest, named), "rest")).limit(1).count():
-        centres = staged(_centres(rest, many), "centres")
-        links = links.union(_linked(_from_centres(centres, rest), held, threshold, words))
-        named, rest, many = components(links), rest.join(centres, ["key", "node"], "left_anti"), 2 * many
+    named = components(_linked(_stars(apart), held, threshold, words))
+    joined = buckets.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = joined.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    rest = staged(joined.join(split, "key", "left_semi").select("key", "node", "component"), "rest")
+    drawn = staged(_sketched(held, rest.select("node").distinct(), words), "sketches")
+    more = _linked(_candidates(_blocks(rest, drawn, block), threshold), held, threshold, words)
+    for end in ("a", "b"):  # links between classes, by the classes' names
+        more = more.join(named.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    merged = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    named = named.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).union(merged.join(named, "component", "left_anti").select("component", "whole"))
 
     class_of = nodes.select("node", "id").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = class_of.groupBy("component").agg(F.min("id").alias("class_id"))

@@ -1,35 +1,12 @@
-"""Intermediate tables in the folder that driver and executors share.
-
-A written table cuts lineage: if an executor is lost, later stages reread the
-files instead of recomputing Python stages.
-"""
+"""Batches of bounded size; the written tables are those of ``graphloom.storage``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_written: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only in local mode, where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    found = tempfile.mkdtemp(prefix="graphloom-")
-    spark.sparkContext.setCheckpointDir(f"file://{found}")
-    return f"file://{found}"
+from pyspark.sql import DataFrame
 
+from graphloom.storage import new_path, release, shared_dir, staged
 
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
-    return path
+__all__ = ["by_bytes", "new_path", "release", "shared_dir", "staged"]
 
 
 def by_bytes(df: DataFrame, most: int = 4 << 20) -> DataFrame:
@@ -42,18 +19,3 @@ def by_bytes(df: DataFrame, most: int = 4 << 20) -> DataFrame:
     if now is None or not now.isdigit() or not 0 < int(now) <= most:
         conf.set(name, str(most))
     return df
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return it reread."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the tables written so far; frames that read them are then of no more use."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)

@@ -137,15 +137,17 @@ def test_written_ids_are_in_order(spark):
 # spans, lines, near-duplicates
 
 
-def brute_spans(texts, run=3):
+def brute_spans(texts, run=2, long_words=50):
     pattern = re.compile(span_dedup.SENTENCE.replace(r"\z", r"\Z"))
     split = [pattern.findall(t or "") for t in texts]
     seen, gone = set(), collections.defaultdict(set)
     for i, s in enumerate(split):
-        for p in range(len(s) - run + 1):
-            key = tuple(x.strip(" \t\r\n").lower() for x in s[p : p + run])
-            gone[i] |= set(range(p, p + run)) if key in seen else set()
-            seen.add(key)
+        for p in range(len(s)):
+            for length in range(1, run + 1):
+                key = tuple(x.strip(" \t\r\n").lower() for x in s[p : p + length])
+                if len(key) == length and (length == run or sum(len(re.findall(r"[^\x20\x09-\x0d]+", x)) for x in key) >= long_words):
+                    gone[i] |= set(range(p, p + length)) if key in seen else set()
+                    seen.add(key)
     return [t if not gone[i] else "".join(x for p, x in enumerate(split[i]) if p not in gone[i]) for i, t in enumerate(texts)]
 
 
@@ -155,6 +157,13 @@ def test_spans(spark):
     found = {r["doc_id"]: r["text"] for r in span_dedup.drop_repeated_spans(frame(spark, texts)).collect()}
     assert [found[i] for i in range(len(texts))] == brute_spans(texts)
     assert "second one" not in found[6]
+    rng = random.Random(11)
+    stock = [" ".join(rng.choice("abcdef") * rng.randrange(1, 3) for _ in range(rng.choice([1, 3, 60]))) for _ in range(12)]
+    mixed = ["".join(rng.choice(stock) + rng.choice([". ", "! \n", "\n", "? ", ".", " "]) for _ in range(rng.randrange(40))) for _ in range(150)]
+    found = {r["doc_id"]: r["text"] for r in span_dedup.drop_repeated_spans(frame(spark, mixed), removed_col="gone").collect()}
+    assert [found[i] for i in range(150)] == brute_spans(mixed)
+    found = {r["doc_id"]: r["text"] for r in span_dedup.drop_repeated_spans(frame(spark, mixed), run=3, long_words=None).collect()}
+    assert [found[i] for i in range(150)] == brute_spans(mixed, 3, 10**9)
 
 
 def test_pipeline_removes_passages_of_few_sentences(spark):
@@ -254,7 +263,7 @@ def test_near_duplicates_in_large_buckets(spark):
         own = prose(1000 + pair, 80).split()
         texts += [f"{shared} {' '.join(own)}", f"{shared} {' '.join(own[:-4])} {prose(5000 + pair, 4)}"]
     key = near_dup.band_keys(near_dup.signatures(pa.array(texts), 1)[0], 1)[:, 0]
-    assert max(collections.Counter(key.tolist()).values()) > 2 * near_dup.SMALL
+    assert max(collections.Counter(key.tolist()).values()) > 128
     sets = [multiset(t) for t in texts]
     assert all(weighted(sets[0], s) < 0.8 for s in sets[2:])
     wanted = list(range(len(texts)))
@@ -262,8 +271,19 @@ def test_near_duplicates_in_large_buckets(spark):
         assert weighted(sets[i], sets[i + 1]) >= 0.8
         if key[i] == key[i + 1]:
             wanted[i + 1] = i
-    found = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(frame(spark, texts), bands=1, rows=1).collect()}
-    assert [found[i] for i in range(len(texts))] == wanted
+    for block in (512, 16):
+        found = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(frame(spark, texts), bands=1, rows=1, block=block).collect()}
+        assert [found[i] for i in range(len(texts))] == wanted
+
+
+def test_sketches_bound_similarity():
+    words = prose(1, 400).split()
+    texts = [" ".join(["new"] * n + words[n:]) for n in (0, 1, 5, 20, 60, 150, 300, 400)] + ["", "one", prose(9, 5000), ODD[8]]
+    a, b = np.repeat(np.arange(len(texts)), len(texts)), np.tile(np.arange(len(texts)), len(texts))
+    drawn = near_dup.sketches(pa.array(texts))
+    exact = near_dup.similarities(pa.array([texts[i] for i in a]), pa.array([texts[i] for i in b]))
+    bound = near_dup.most_alike(drawn[a], drawn[b])
+    assert (bound >= exact).all() and np.abs(bound - exact)[(a < 8) & (b < 8) & (exact > 0.7)].max() < 0.02
 
 
 def test_components_of_a_path(spark):
@@ -450,7 +470,7 @@ def test_odd_rows_have_results(spark, odd):
     kept = near_dup.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and kept.count() == odd.select(F.coalesce("text", F.lit(""))).distinct().count()
     spans = span_dedup.drop_repeated_spans(odd, removed_col="gone")
-    assert spans.count() == n and spans.where("doc_id = 11").first()["text"] == "" and spans.where("doc_id = 10").first()["gone"] == 0
+    assert spans.count() == n and spans.where("doc_id = 11").first()["text"] == "" and spans.where("doc_id = 10").first()["gone"] == 0 and spans.columns == [*odd.columns, "gone"]
     assert line_rules.line_rules(odd).count() == n
     assert merge_dropout.encoding_digests(odd).where("lossless").count() == n
     replaced = pii.replace_entities(odd)
