@@ -1,10 +1,15 @@
 """Operator 2: substring deduplication by runs of sentences.
 
-Every run of ``RUN`` consecutive sentences of every text is hashed and counted
-over the whole corpus. The first occurrence of a run, by id, then text, then
-place, stays; sentences that any other occurrence covers are removed. A
-sentence ends with a stop and the white space after it, with a line, or with
-the text; upper and lower case and outer white space do not tell two apart.
+Every run of ``RUN`` consecutive sentences of every text is hashed, and so is
+every sentence of ``LONG_WORDS`` words and more; the hashes are joined over the
+whole corpus. The first occurrence of a run, by id, then text, then place,
+stays; sentences that any other occurrence covers are removed. A sentence ends
+with a stop and the white space after it, with a line, or with the text; upper
+and lower case and outer white space do not tell two apart.
+
+The first occurrence is a partial aggregate, so that a run of a third of all
+rows is one row a task after it; the join with it is left to adaptive execution,
+which broadcasts a small side and splits a hot run's rows.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,20 +27,15 @@ from graphloom.llm.store import by_bytes, staged
 from graphloom.llm.subwords import forget_encoders, slices
 from graphloom.llm.textkernel import hash_spans, mix, runs, utf8, words
 
-RUN = 3
+RUN, LONG_WORDS = 2, 50
 SENTENCE = r"(?s).+?(?:[.!?][ \t\r\n]+|\n[ \t\r\n]*|\z)"
 _BLANK, _STOP = np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[list(b" \t\r\n")] = True
 _STOP[list(b".!?")] = True
 
 
-def sentences(text: Column) -> Column:
-    """The sentences of a text, which joined give the text again; none for null and empty texts."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0))
-
-
-def sentence_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, end without outer white space, text) of the sentences that ``SENTENCE`` finds, on bytes."""
+def sentence_begins(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, text) of the sentences that ``SENTENCE`` finds, on bytes: each goes on to the next one or to the text's end."""
     blank = _BLANK[raw]
     first, last = runs(blank, offsets)
     text = np.searchsorted(offsets, first, "right") - 1
@@ -60,7 +60,13 @@ def sentence_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     begin = np.concatenate([offsets[filled], last])
     of = np.concatenate([filled, text])
     order = np.argsort(begin, kind="stable")
-    begin, of = begin[order], of[order]
+    return begin[order], of[order]
+
+
+def sentence_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, text) of the sentences without outer white space."""
+    begin, of = sentence_begins(raw, offsets)
+    blank = _BLANK[raw]
     inner = np.searchsorted(_visible := np.flatnonzero(~blank), np.append(begin[1:], len(raw))[: len(begin)]) - 1
     stop = np.minimum(np.append(begin[1:], len(raw))[: len(begin)], offsets[of + 1])
     end = np.where(inner >= 0, _visible[np.maximum(inner, 0)] + 1, begin) if len(_visible) else begin
@@ -70,7 +76,7 @@ def sentence_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return start, np.maximum(np.minimum(end, stop), start), of
 
 
-def _runs(documents: DataFrame, id_col: str, text_col: str, run: int, long_words: int | None = None) -> DataFrame:
+def _runs(documents: DataFrame, id_col: str, text_col: str, run: int, long_words: int | None) -> DataFrame:
     """(id, text_hash, place, h1, h2) of each run: two hashes of its lower-case sentences, and where it stands.
 
     With ``long_words``, shorter runs that hold as many words count too. ``place`` is the first sentence's place
@@ -105,34 +111,58 @@ def _runs(documents: DataFrame, id_col: str, text_col: str, run: int, long_words
     return by_bytes(source).mapInArrow(find, schema)
 
 
-def repeated_places(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_words: int | None = None) -> DataFrame:
+def repeated_places(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_words: int | None = LONG_WORDS) -> DataFrame:
     """(id, text_hash, places): for each document, the sorted places of sentences that a repeated run covers."""
     all_runs = _runs(documents, id_col, text_col, run, long_words)
-    twice = all_runs.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    found = staged(all_runs.join(twice, ["h1", "h2"], "left_semi"), "runs")
-    firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "text_hash", "place")).alias("first"))
-    later = found.join(firsts, ["h1", "h2"]).where(~F.struct("id", "text_hash", "place").eqNullSafe(F.col("first")))
+    firsts = all_runs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "text_hash", "place")).alias("first")).where("n > 1")
+    firsts = staged(firsts.select("h1", "h2", "first"), "firsts")
+    later = all_runs.join(firsts, ["h1", "h2"]).where(~F.struct("id", "text_hash", "place").eqNullSafe(F.col("first")))
     covered = later.groupBy("id", "text_hash").agg(F.collect_set("place").alias("starts"))
     places = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(F.floor(p / run).cast("int"), (F.floor(p / run) + p % run).cast("int"))))))
     return covered.select("id", "text_hash", places.alias("places"))
 
 
-def drop_repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, removed_col: str | None = None, long_words: int | None = None) -> DataFrame:
+def _without(texts: pa.Array, places: pa.Array) -> pa.Array:
+    """Texts less their sentences at ``places`` (lists of places, or null)."""
+    raw, offsets = utf8(texts)
+    begin, of = sentence_begins(raw, offsets)
+    first = np.searchsorted(begin, offsets[:-1])
+    listed = pc.list_parent_indices(places).to_numpy()
+    keep = np.ones(len(begin), bool)
+    keep[first[listed] + places.flatten().to_numpy()] = False
+    left = np.repeat(keep, np.diff(np.append(begin, len(raw))))
+    size = np.concatenate([[0], np.cumsum(left)])[offsets]
+    out = pa.StringArray.from_buffers(len(texts), pa.py_buffer(size.astype(np.int32)), pa.py_buffer(raw[left].tobytes()))
+    return pc.if_else(pc.is_valid(places), out, texts)
+
+
+def drop_repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, removed_col: str | None = None, long_words: int | None = LONG_WORDS) -> DataFrame:
     """``documents`` with each text less its repeated sentences, and the number of those in ``removed_col`` on request.
 
     Every row stays, also one whose text becomes empty; null texts stay null; texts of fewer than ``run``
-    sentences have no runs and stay as they are; with ``long_words``, fewer sentences that hold as many words are
-    a run too. Rows equal in id and text are one document: they are changed
+    sentences have no runs and stay as they are, unless they have a sentence of ``long_words`` (None: such sentences
+    do not count by themselves). Rows equal in id and text are one document: they are changed
     alike. A null id comes before all others. Other columns are kept, whatever their names.
     """
     places = repeated_places(documents, id_col, text_col, run, long_words).select(F.col("id").alias("_span_id"), F.col("text_hash").alias("_span_hash"), F.col("places").alias("_span_places"))
     joined = documents.join(places, F.col(id_col).eqNullSafe(F.col("_span_id")) & (F.xxhash64(text_col) == F.col("_span_hash")), "left")
-    split = sentences(F.col(text_col))
-    rest = F.array_join(F.filter(split, lambda s, i: ~F.array_contains("_span_places", i)), "")
-    columns = [F.when(F.col("_span_places").isNull(), F.col(c)).otherwise(rest).alias(c) if c == text_col else F.col(c) for c in documents.columns]
-    if removed_col:
-        columns.append(F.coalesce(F.size("_span_places"), F.lit(0)).cast("long").alias(removed_col))
-    return joined.select(*columns)
+    at, n = documents.columns.index(text_col), len(documents.columns)
+    schema = T.StructType([*documents.schema.fields, *([T.StructField(removed_col, T.LongType())] if removed_col else [])])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
+        for batch in batches:
+            for begin, end in slices(batch.column(at), 2 << 20):
+                part = batch.slice(begin, end - begin)
+                gone = part.column(n)
+                columns = list(part.columns[:n])
+                if gone.null_count < len(gone):
+                    columns[at] = _without(columns[at].cast(pa.string()), gone)
+                if removed_col:
+                    columns.append(pc.fill_null(pc.list_value_length(gone), 0).cast(pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return by_bytes(joined.select(*documents.columns, "_span_places")).mapInArrow(cut, schema)
 
 
 ORACLE_SQL = r"""
@@ -141,13 +171,17 @@ WITH pieces AS (
 ), normal AS (
   SELECT doc_id, text, s, list_transform(s, lambda x: lower(trim(x, chr(32) || chr(9) || chr(13) || chr(10)))) AS k FROM pieces
 ), runs AS (
-  SELECT doc_id, place, k[place + 1 : place + 3] AS run
-  FROM (SELECT doc_id, k, unnest(range(0, len(k) - 2)) AS place FROM normal)
+  SELECT doc_id, place, k[place + 1 : place + 2] AS run
+  FROM (SELECT doc_id, k, unnest(range(0, len(k) - 1)) AS place FROM normal)
+  UNION ALL
+  SELECT doc_id, place, k[place + 1 : place + 1] AS run
+  FROM (SELECT doc_id, k, unnest(range(0, len(k))) AS place FROM normal)
+  WHERE len(regexp_extract_all(k[place + 1], '[^\x20\x09-\x0D]+')) >= 50
 ), ranked AS (
-  SELECT doc_id, place, row_number() OVER (PARTITION BY run ORDER BY doc_id, place) AS nth FROM runs
+  SELECT doc_id, place, len(run) AS n, row_number() OVER (PARTITION BY run ORDER BY doc_id, place) AS nth FROM runs
 ), covered AS (
   SELECT doc_id, list(DISTINCT place + step) AS places
-  FROM ranked, (SELECT unnest([0, 1, 2]) AS step) WHERE nth > 1 GROUP BY doc_id
+  FROM ranked, (SELECT unnest([0, 1]) AS step) WHERE nth > 1 AND step < n GROUP BY doc_id
 )
 SELECT n.doc_id,
        CASE WHEN c.places IS NULL THEN n.text
