@@ -137,50 +137,55 @@ def test_written_ids_are_in_order(spark):
 # spans, lines, near-duplicates
 
 
-def brute_spans(texts, run=2, long_words=50):
-    pattern = re.compile(span_dedup.SENTENCE.replace(r"\z", r"\Z"))
+def brute_spans(texts, run=2, least_words=20):
+    pattern = re.compile(span_dedup.PIECE.replace(r"\z", r"\Z"))
     split = [pattern.findall(t or "") for t in texts]
     seen, gone = set(), collections.defaultdict(set)
     for i, s in enumerate(split):
         for p in range(len(s)):
-            for length in range(1, run + 1):
-                key = tuple(x.strip(" \t\r\n").lower() for x in s[p : p + length])
-                if len(key) == length and (length == run or sum(len(re.findall(r"[^\x20\x09-\x0d]+", x)) for x in key) >= long_words):
-                    gone[i] |= set(range(p, p + length)) if key in seen else set()
-                    seen.add(key)
+            end = p + run
+            while end < len(s) and sum(len(re.findall(r"[^\x20\x09-\x0d]+", x)) for x in s[p:end]) < least_words:
+                end += 1
+            key = tuple(x.strip(" \t\r\n").lower() for x in s[p:end])
+            if end <= len(s) and sum(len(re.findall(r"[^\x20\x09-\x0d]+", x)) for x in key) >= least_words:
+                gone[i] |= set(range(p, end)) if key in seen else set()
+                seen.add(key)
     return [t if not gone[i] else "".join(x for p, x in enumerate(split[i]) if p not in gone[i]) for i, t in enumerate(texts)]
 
 
 def test_spans(spark):
-    passage = "The first one is here. Then a second one follows! Is there a third? Yes there is."
+    passage = f"The first one is here. Then a second one follows, does it! Is there a third? {prose(8, 12)}: yes there is."
     texts = [f"{prose(1, 9)}. {passage} {prose(2, 9)}.", f"{passage.upper()}\n{prose(3, 9)}.", "A. B. C. A. B. C.", "Only two. Sentences.", None, "", f"Head.\n{passage}"]
     found = {r["doc_id"]: r["text"] for r in span_dedup.drop_repeated_spans(frame(spark, texts)).collect()}
     assert [found[i] for i in range(len(texts))] == brute_spans(texts)
-    assert "second one" not in found[6]
+    assert "second one" in found[0] and "second one" not in found[6] and found[2] == texts[2]
     rng = random.Random(11)
-    stock = [" ".join(rng.choice("abcdef") * rng.randrange(1, 3) for _ in range(rng.choice([1, 3, 60]))) for _ in range(12)]
-    mixed = ["".join(rng.choice(stock) + rng.choice([". ", "! \n", "\n", "? ", ".", " "]) for _ in range(rng.randrange(40))) for _ in range(150)]
-    found = {r["doc_id"]: r["text"] for r in span_dedup.drop_repeated_spans(frame(spark, mixed), removed_col="gone").collect()}
-    assert [found[i] for i in range(150)] == brute_spans(mixed)
-    found = {r["doc_id"]: r["text"] for r in span_dedup.drop_repeated_spans(frame(spark, mixed), run=3, long_words=None).collect()}
-    assert [found[i] for i in range(150)] == brute_spans(mixed, 3, 10**9)
+    stock = [" ".join(rng.choice("abcdef") * rng.randrange(1, 3) for _ in range(rng.choice([1, 3, 25]))) for _ in range(12)]
+    mixed = ["".join(rng.choice(stock) + rng.choice([". ", "! \n", "\n", ", ", ".", " ", "\x0b\n"]) for _ in range(rng.randrange(40))) for _ in range(150)]
+    for options in ({}, {"run": 3, "least_words": 0}, {"run": 1, "least_words": 5}):
+        found = {r["doc_id"]: r["text"] for r in span_dedup.drop_repeated_spans(frame(spark, mixed), **options).collect()}
+        assert [found[i] for i in range(150)] == brute_spans(mixed, **options)
 
 
-def test_pipeline_removes_passages_of_few_sentences(spark):
+def test_pipeline_removes_passages_within_sentences(spark):
     import corpus_pipeline
 
-    one, two = f"{prose(1, 60)}. ", f"{prose(2, 30)}. {prose(3, 30)}. "
-    texts = [f"{prose(10 + i, 9)}. {p}{prose(20 + i, 9)}." for i, p in enumerate([one, one, two, two, f"{prose(4, 40)}. ", f"{prose(4, 40)}. "])]
-    found = {r["doc_id"]: r["text"] for r in corpus_pipeline.remove_repeated_spans(spark, frame(spark, texts), "").collect()}
-    assert [found[i] for i in range(6)] == [t.replace(p, "") if p else t for t, p in zip(texts, ["", one, "", two, "", ""], strict=True)]
-
-
-def test_sentence_bounds_equal_the_pattern():
-    rng, pattern = random.Random(5), re.compile(span_dedup.SENTENCE.replace(r"\z", r"\Z"))
-    texts = ["".join(rng.choice("aé.! \n\t") for _ in range(rng.randrange(15))) for _ in range(5000)]
+    rng = random.Random(1)
+    piece = lambda seed: prose(seed, rng.randrange(4, 12)) + rng.choice([". ", ", ", ": ", ".\n"])
+    for _ in range(5):
+        words = "".join(piece(rng.random()) for _ in range(12)).split(" ")
+        passage = " ".join(words[3:63])  # begins and ends within pieces
+        texts = [f"{prose(rng.random(), 30)} {passage} {prose(rng.random(), 30)}" for _ in range(2)] + [prose(rng.random(), 80)]
+        found = {r["doc_id"]: r["text"] for r in corpus_pipeline.remove_repeated_spans(spark, frame(spark, texts), "").collect()}
+        assert found[0] == texts[0] and found[2] == texts[2] and len(found[1].split()) < 60 + 30
+
+
+def test_piece_bounds_equal_the_pattern():
+    rng, pattern = random.Random(5), re.compile(span_dedup.PIECE.replace(r"\z", r"\Z"))
+    texts = ["".join(rng.choice("aé.!, \n\t") for _ in range(rng.randrange(15))) for _ in range(5000)]
     raw, offsets = span_dedup.utf8(pa.array(texts))
     found = [[] for _ in texts]
-    for a, b, t in zip(*(x.tolist() for x in span_dedup.sentence_bounds(raw, offsets)), strict=True):
+    for a, b, t in zip(*(x.tolist() for x in span_dedup.piece_bounds(raw, offsets)), strict=True):
         found[t].append(raw[a:b].tobytes().decode())
     assert found == [[x.strip(" \t\r\n") for x in pattern.findall(t)] for t in texts]
 
@@ -470,7 +475,7 @@ def test_odd_rows_have_results(spark, odd):
     kept = near_dup.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and kept.count() == odd.select(F.coalesce("text", F.lit(""))).distinct().count()
     spans = span_dedup.drop_repeated_spans(odd, removed_col="gone")
-    assert spans.count() == n and spans.where("doc_id = 11").first()["text"] == "" and spans.where("doc_id = 10").first()["gone"] == 0 and spans.columns == [*odd.columns, "gone"]
+    assert spans.count() == n and spans.where("doc_id = 11").first()["text"] == ODD[11] and spans.where("doc_id = 10").first()["gone"] == 0 and spans.columns == [*odd.columns, "gone"]
     assert line_rules.line_rules(odd).count() == n
     assert merge_dropout.encoding_digests(odd).where("lossless").count() == n
     replaced = pii.replace_entities(odd)
