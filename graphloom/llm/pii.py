@@ -1,18 +1,25 @@
 """Operator 1: surrogates for personal data.
 
 Entities are e-mail addresses, telephone, card, account and social-security
-numbers, IPv4 addresses, access keys and secrets, and names after a form of
-address. An entity's surrogate is a keyed function of its canonical form, so
-that an entity is replaced alike wherever and however it is written.
+numbers, IPv4 and IPv6 addresses, access keys and secrets, names after a form of
+address, and what bears such a name elsewhere in the same text: the full name or
+its last word. An entity's surrogate is a keyed function of its canonical form,
+so that an entity is replaced alike wherever and however it is written.
 
 All kinds but names go through a keyed permutation of the strings of their
 shape (an alternating Feistel network over letters and digits, each staying
 within its own alphabet): equal shapes have distinct surrogates, separators
-and format stay, a card's check digit is made right again. A name's surrogate
-has the gender of its form of address and the script of its letters. A check
+and format stay, a card's check digit is made right again. A name is replaced
+word by word, each by its own key, in the script of its letters; the gender
+chooses only which list a first name comes from. It is that of the form of
+address, after a neutral one that of the same first name elsewhere in the text,
+else that which the first name's ending suggests. A Slavic surname's ending
+stays masculine or feminine, with one stem for both. A check
 over all distinct entities of the corpus finds surrogates that two entities
 share or that are themselves an entity of the corpus; the later entity takes
-its next surrogate until there are none.
+its next surrogate until there are none, from a space of names that grows with
+the attempts. (A full name that had to move and its last word alone may then
+differ in that word.)
 
 DataFrame operations only: texts are cut at their entities and joined again.
 """
@@ -40,6 +47,10 @@ SYLLABLES = {
     "cyrillic": ["ба", "бе", "бо", "ва", "ве", "во", "га", "го", "да", "де", "до", "жа", "за", "зо", "ка", "ке", "ко", "ла", "ле", "ло", "ма", "ме", "мо", "на", "не", "но", "па", "по", "ра", "ре", "ро", "са", "се", "со", "та", "те", "то", "фа", "ша", "шо"],
 }
 _ADDRESS = f"(?=[{''.join(sorted({x[0] for x in [*MALE, *FEMALE, *NEUTRAL]}))}])(?:{'|'.join([*MALE, *FEMALE, *NEUTRAL])})"
+#: A word of a name: Smith, McDonald, O'Brien, D’Angelo.
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:['’]?\p{Lu}\p{Ll}+)*(?![\p{L}])"
+#: Marks that stand in a text's list of entities, not in texts: a name without a form of address, and a gender found elsewhere.
+_BARE, _TOLD = "\u0002", "\u0001"
 _SECRET = r"(?:token|api[_-]?key|secret|password|passwd|pwd)\s{0,3}[=:]\s{0,3}[\"']?"
 #: A secret's value runs over letters, digits and these; a stop at its end is the sentence's. Four letters or digits at least, so that it can change.
 _MARKS = r"[_\-+/=.~!#$%*@^]"
@@ -51,23 +62,25 @@ PATTERNS = {
     "card": r"(?<![\p{L}\p{N}.+-])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
     "social": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "phone": r"(?<![\p{L}\p{N}.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![\p{L}\p{N}])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\p{L}\p{N}])",
-    "name": rf"(?<=(?<![\p{{L}}\p{{N}}])(?:{_ADDRESS})\.? )\p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}",
+    # Three groups between spaces are a telephone number only with a country code, brackets or a word that says so: tables have them too.
+    "phone": r"(?<![\p{L}\p{N}.+-])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.+-])[0-9]{3}(?:-[0-9]{3,4}-|\.[0-9]{3,4}\.)[0-9]{4}(?![\p{L}\p{N}]|[.-][0-9])|(?<=(?i:tel|phone|call|fax|mobile|cell)[.:]{0,2} )[0-9]{3,4}(?: [0-9]{3,4}){2}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\p{L}\p{N}])",
+    "ip6": r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_ADDRESS})\.? {_WORD}(?:[ -]{_WORD}){{0,2}}",
 }
 _GROUPLESS = {**PATTERNS, "card": r"(?<![\p{L}\p{N}.+-])[0-9]{4}(?:[0-9]{12}|(?: [0-9]{4}){3}|(?:-[0-9]{4}){3})(?![\p{L}\p{N}])"}
-#: A name carries its form of address along, so that its gender is known; that is kept.
-_GROUPLESS["name"] = rf"(?<![\p{{L}}\p{{N}}])(?:{_ADDRESS})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+){{0,2}}"
 ENTITY = "|".join(f"(?:{p})" for p in _GROUPLESS.values())
 #: What every text with an entity has: cheaper to look for than the entities.
-HINT = rf"[0-9@=:]|(?:{_ADDRESS})\.? \p{{Lu}}"
-ROUNDS = 4
+_NAMED = rf"^(?:(?:{_ADDRESS})\.? |{_BARE})"
+HINT, ADDRESSED = r"[0-9@=:]", rf"(?<![\p{{L}}\p{{N}}])(?:{_ADDRESS})\.? \p{{Lu}}"
+#: Turns of the permutation; attempts at a surrogate that is free, each from a permutation of its own.
+ROUNDS, ATTEMPTS = 4, 256
 
 
 def _kind(entity: Column) -> Column:
     """The kind of a string that matched ``ENTITY``."""
     return (
         F.when(entity.rlike(r"^[^\s=:]+@"), "email").when(entity.rlike(rf"^(?i:{_SECRET})"), "secret").when(entity.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$"), "access_key")
-        .when(entity.rlike(r"^\p{L}+\.? \p{Lu}\p{Ll}|^г-"), "name").when(entity.rlike(r"^[A-Z]{2}[0-9]{2}"), "account").when(entity.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "ip")
+        .when(entity.rlike(_NAMED), "name").when(entity.rlike(r"^[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]*$"), "ip6").when(entity.rlike(r"^[A-Z]{2}[0-9]{2}"), "account").when(entity.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "ip")
         .when(entity.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "social").when(entity.rlike(r"^[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}$"), "card").otherwise("phone")
     )
 
@@ -76,19 +89,31 @@ def _fixed(entity: Column, kind: Column) -> Column:
     """The head of an entity that stays: a secret's label, a key's prefix, a country code, a form of address, a card's issuer."""
     return (
         F.when(kind == "secret", F.regexp_extract(entity, rf"^(?i:{_SECRET})", 0)).when(kind == "access_key", F.substring(entity, 1, 4)).when(kind == "account", F.substring(entity, 1, 2))
-        .when(kind == "phone", F.regexp_extract(entity, r"^\+[0-9]{1,3}(?=[ .(-])[ .-]?|^\+[0-9]{2}|^", 0)).when(kind == "name", F.regexp_extract(entity, r"^\S+ ", 0)).when(kind == "card", F.substring(entity, 1, 1)).otherwise("")
+        .when(kind == "phone", F.regexp_extract(entity, r"^\+[0-9]{1,3}(?=[ .(-])[ .-]?|^\+[0-9]{2}|^", 0)).when(kind == "name", F.regexp_extract(entity, _NAMED, 0)).when(kind == "card", F.substring(entity, 1, 1)).otherwise("")
     )
 
 
 def _canonical(entity: Column, kind: Column) -> Column:
     """What tells entities of a kind apart: their letters and digits, in lower case where case says nothing."""
     head, plain = _fixed(entity, kind), F.substring(entity, F.length(_fixed(entity, kind)) + 1, F.length(entity))
-    return F.when(kind == "name", F.concat(_gender(head), F.lit(":"), F.lower(plain))).when(kind == "email", F.lower(entity)).when(kind.isin("ip", "secret", "access_key"), plain).otherwise(F.concat(F.regexp_replace(head, r"[ .(-]", ""), F.lit(":"), F.regexp_replace(plain, r"[ ().-]", "")))
+    name = F.concat_ws(" ", F.transform(F.split(_bare_name(entity), "[ -]"), _stem))
+    return F.when(kind == "name", F.concat(F.when(name.contains(" "), _gender(entity)).otherwise(""), F.lit(":"), name)).when(kind.isin("email", "ip6"), F.lower(entity)).when(kind.isin("ip", "secret", "access_key"), plain).otherwise(F.concat(F.regexp_replace(head, r"[ .(-]", ""), F.lit(":"), F.regexp_replace(plain, r"[ ().-]", "")))
 
 
-def _gender(address: Column) -> Column:
-    bare = F.regexp_replace(address, r"[. ]", "")
-    return F.when(bare.isin(MALE), "m").when(bare.isin(FEMALE), "f").otherwise("n")
+def _bare_name(entity: Column) -> Column:
+    """A name without its form of address and marks."""
+    return F.regexp_replace(entity, rf"{_NAMED}|{_TOLD}.*$", "")
+
+
+def _stem(word: Column) -> Column:
+    """One form for both of a Slavic surname's, in lower case."""
+    return F.regexp_replace(F.regexp_replace(F.lower(word), "(?<=\\p{IsCyrillic}(?:ов|ев|ин|ын))а$", ""), "ская$", "ский")
+
+
+def _gender(entity: Column) -> Column:
+    """m, f or n: as told by its mark, else by its form of address."""
+    told, bare = F.regexp_extract(entity, rf"{_TOLD}(.)$", 1), F.regexp_replace(F.regexp_extract(entity, _NAMED, 0), r"[. ]", "")
+    return F.when(told != "", told).when(bare.isin(MALE), "m").when(bare.isin(FEMALE), "f").otherwise("n")
 
 
 def _digest(*parts: Column) -> Column:
@@ -158,30 +183,32 @@ def _pick(words: list[str], number: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, words)), number % len(words) + 1)
 
 
-def _name(plain: Column, gender: Column, key: Column) -> Column:
-    """A name of as many words, of the gender and the script of the given one; each word is replaced by its own key."""
+def _name(plain: Column, gender: Column, key: Column, attempt: Column) -> Column:
+    """A name of as many words in the script of the given one, the first of the gender; each word is replaced by its own key."""
     script = F.when(plain.rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    whole = F.split(F.lower(plain), " ")
+    whole, between = F.split(plain, "[ -]"), F.regexp_extract_all(plain, F.lit("[ -]"), F.lit(0))
 
-    def first(digest: Column) -> Column:
-        side = F.when(gender == "n", F.when(_number(digest, 1) % 2 == 0, "m").otherwise("f")).otherwise(gender)
+    def first(word: Column, digest: Column) -> Column:
+        side = F.when(gender != "n", gender).when(F.lower(word).rlike("[aeаяé]$"), "f").otherwise("m")
         return reduce(lambda a, k: F.when((side == k[0]) & (script == k[1]), _pick(FIRST[k], _number(digest, 0))).otherwise(a), FIRST, F.lit("").cast("string"))
 
-    def last(digest: Column) -> Column:
-        made = [F.concat(*[_pick(SYLLABLES[s], _number(digest, i)) for i in range(4)]) for s in ("latin", "cyrillic")]
-        end = F.when(script == "latin", "n").when(gender == "f", "нова").otherwise("нов")
+    def last(word: Column, digest: Column) -> Column:
+        made = [F.array_join(F.transform(F.sequence(F.lit(0), 3 + F.floor(attempt / 8).cast("int")), lambda i: _pick(SYLLABLES[s], _number(digest, i % 16))), "") for s in ("latin", "cyrillic")]  # noqa: B023
+        low = F.lower(word)
+        end = F.when(script == "latin", "n").when(low.rlike("(?:ов|ев|ин|ын)а$|ская$"), "нова").when(low.rlike("(?:ов|ев|ин|ын|ский)$"), "нов").otherwise("нко")
         return F.initcap(F.concat(F.when(script == "latin", made[0]).otherwise(made[1]), end))
 
     def word_for(word: Column, i: Column) -> Column:
-        is_first = (i == 0) & (F.size(whole) > 1)
+        is_first = (i == 0) & plain.contains(" ")
         part = F.when(is_first, "first").otherwise("last")
-        return _let(_digest(key, part, gender, word), lambda d: F.when(is_first, first(d)).otherwise(last(d)))
+        return _let(_digest(key, part, _stem(word)), lambda d: F.when(is_first, first(word, d)).otherwise(last(word, d)))
 
-    return F.array_join(F.transform(whole, word_for), " ")
+    return F.array_join(F.zip_with(F.transform(whole, word_for), between, lambda w, b: F.concat(w, F.coalesce(b, F.lit("")))), "")
 
 
-def surrogate(entity: Column, key: Column) -> Column:
-    """The surrogate of a string that matched ``ENTITY``."""
+def surrogate(entity: Column, key: Column, attempt: Column | None = None) -> Column:
+    """The surrogate of one of ``entities``."""
+    attempt = F.lit(0) if attempt is None else attempt
     split = _let(_kind(entity), lambda k: F.struct(k.alias("kind"), _fixed(entity, k).alias("head")))
 
     def by_kind(s: Column) -> Column:
@@ -199,7 +226,7 @@ def surrogate(entity: Column, key: Column) -> Column:
         last = F.substring_index(host, ".", -1)
         email = F.concat(_permute(local, F.concat(keyed, F.lit("|local"))), F.lit("@"), _permute(F.substring(host, F.lit(1), F.length(host) - F.length(last) - 1), F.concat(keyed, F.lit("|host"))), F.lit("."), last)
         return (
-            F.when(kind == "email", email).when(kind == "ip", _permute_address(plain, keyed)).when(kind == "name", F.concat(head, _name(plain, _gender(head), keyed)))
+            F.when(kind == "email", email).when(kind == "ip", _permute_address(plain, keyed)).when(kind == "ip6", _permute(low, keyed, F.lit(True))).when(kind == "name", F.concat(F.regexp_replace(head, _BARE, ""), _name(_bare_name(entity), _gender(entity), keyed, attempt)))
             .when(kind == "card", F.concat(head, _reshape(card(compact), plain))).when(kind.isin("secret", "access_key"), F.concat(head, _permute(plain, keyed, plain.rlike("^[0-9a-f]+$"))))
             .otherwise(F.concat(head, _reshape(_permute(compact, keyed), plain)))
         )
@@ -207,9 +234,45 @@ def surrogate(entity: Column, key: Column) -> Column:
     return _let(split, by_kind)
 
 
+def _learned(text: Column) -> Column:
+    """The names after forms of address in a text, as written there; none for most texts."""
+    return F.filter(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), lambda e: e.rlike(_NAMED))
+
+
+def _pattern(names: Column) -> Column:
+    """``ENTITY``, and the full names and last words of ``names`` wherever they stand by themselves."""
+    full = F.transform(names, _bare_name)
+    last = F.filter(F.transform(full, lambda n: F.regexp_extract(n, r"[^ ]+$", 0)), lambda w: F.length(w) >= 3)
+    listed = F.array_sort(F.array_distinct(F.concat(full, last)), lambda a, b: F.length(b) - F.length(a))
+    return F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}@.'’-])(?:"), F.array_join(listed, "|"), F.lit(r")(?![\p{L}\p{N}@'’])"))
+
+
 def entities(text: Column) -> Column:
-    """The entities of a text, in order; none for null."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    """(found, between) of a text: its entities in order, with marks on names, and what stands before, between and after them.
+
+    Both are empty for null and for texts without entities.
+    """
+    none = F.array().cast("array<string>")
+
+    def marked(names: Column, entity: Column) -> Column:
+        """A name with what the text's other names say of its gender."""
+        plain = _bare_name(entity)
+        head = F.substring_index(plain, " ", 1)
+        known = F.filter(names, lambda n: (_gender(n) != "n") & (F.substring_index(_bare_name(n), " ", 1) == head))
+        side = F.when(plain.contains(" "), F.coalesce(_gender(F.get(known, 0)), F.lit("n"))).otherwise("n")
+        return F.when(_gender(entity) != "n", entity).otherwise(F.concat(entity, F.lit(_TOLD), side))
+
+    def with_names(names: Column) -> Column:
+        pattern = _pattern(names)
+        full = F.transform(names, _bare_name)
+        known = F.concat(full, F.transform(full, lambda n: F.regexp_extract(n, r"[^ ]+$", 0)))
+        bare = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda e: F.when(F.array_contains(known, e), F.concat(F.lit(_BARE), e)).otherwise(e))
+        found = F.transform(bare, lambda e: F.when(e.rlike(_NAMED), marked(names, e)).otherwise(e))
+        return F.struct(found.alias("found"), F.split(text, pattern, -1).alias("between"))
+
+    plain = F.struct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("found"), F.split(text, ENTITY, -1).alias("between"))
+    named = _let(_learned(text), lambda names: F.when(F.size(names) > 0, with_names(names)).otherwise(plain))
+    return F.when(text.rlike(ADDRESSED), named).when(text.rlike(HINT), plain).otherwise(F.struct(none.alias("found"), none.alias("between")))
 
 
 def clashes(found: DataFrame, key: str) -> DataFrame:
@@ -224,8 +287,12 @@ def clashes(found: DataFrame, key: str) -> DataFrame:
     originals = forms.select("kind", "canonical")
 
     def attempt(rows: DataFrame, number: int) -> DataFrame:
-        made = staged(rows.withColumn("written", surrogate(F.col("entity"), F.lit(f"{key}|{number}" if number else key))), "made")
-        return made.withColumn("made", _canonical(F.col("written"), F.col("kind"))).drop("written")
+        dealt = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "canonical")  # few bytes, but work for all cores
+        made = staged(dealt.withColumn("written", surrogate(F.col("entity"), F.lit(f"{key}|{number}" if number else key), F.lit(number))), "made")
+        # a name's surrogate is compared as what it is written as, with the entity's own gender
+        written = F.when((F.col("kind") == "name") & ~F.col("written").rlike(_NAMED), F.concat(F.lit(_BARE), "written")).otherwise(F.col("written"))
+        written = F.when(F.col("kind") == "name", F.concat(written, F.lit(_TOLD), _gender(F.col("entity")))).otherwise(written)
+        return made.withColumn("made", _canonical(written, F.col("kind"))).drop("written")
 
     def settle(rows: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rows whose surrogates stand, and rows that need another."""
@@ -239,6 +306,8 @@ def clashes(found: DataFrame, key: str) -> DataFrame:
     moved, number = None, 0
     while rest.limit(1).count():
         number += 1
+        if number > ATTEMPTS:
+            raise RuntimeError(f"entities are left without a surrogate of their shape after {ATTEMPTS} attempts")
         taken = originals.union(stand.select("kind", F.col("made").alias("canonical")))
         if moved is not None:
             taken = taken.union(moved.select("kind", F.col("made").alias("canonical")))
@@ -248,7 +317,7 @@ def clashes(found: DataFrame, key: str) -> DataFrame:
     if moved is None:
         return known.select("entity", F.col("entity").alias("replacement")).limit(0)
     keyed = F.concat(F.lit(f"{key}|"), F.col("attempt").cast("string"))
-    return known.join(moved.select("kind", "canonical", "attempt"), ["kind", "canonical"]).select("entity", surrogate(F.col("entity"), keyed).alias("replacement"))
+    return known.join(moved.select("kind", "canonical", "attempt"), ["kind", "canonical"]).select("entity", surrogate(F.col("entity"), keyed, F.col("attempt")).alias("replacement"))
 
 
 def replace_entities(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY, count_col: str | None = None) -> DataFrame:
@@ -257,20 +326,19 @@ def replace_entities(documents: DataFrame, id_col: str = "doc_id", text_col: str
     Every row stays; null texts stay null, and texts without entities stay as they are. Equal rows are changed alike.
     Other columns are kept, whatever their names.
     """
-    listed = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.explode(entities(F.col(text_col))).alias("entity"))
+    listed = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.explode(entities(F.col(text_col))["found"]).alias("entity"))
     listed = staged(listed.distinct(), "found")
     changed = staged(clashes(listed.select("entity").distinct(), key), "clashes")
-    found = entities(F.col(text_col))
     joined, own = documents, F.lit(None).cast("map<string,string>")
     if changed.limit(1).count():
         other = listed.join(changed, "entity").groupBy("id", "text_hash").agg(F.map_from_entries(F.collect_list(F.struct("entity", "replacement"))).alias("_pii_own"))
         other = other.select(F.col("id").alias("_pii_id"), F.col("text_hash").alias("_pii_hash"), "_pii_own")
         joined, own = documents.join(other, F.col(id_col).eqNullSafe(F.col("_pii_id")) & (F.xxhash64(text_col) == F.col("_pii_hash")), "left"), F.col("_pii_own")
-    made = F.transform(F.col("_pii_found"), lambda e: F.coalesce(F.element_at(own, e), surrogate(e, F.lit(key))))
-    between = F.split(F.col(text_col), ENTITY, -1)
+    found, between = F.col("_pii")["found"], F.col("_pii")["between"]
+    made = F.transform(found, lambda e: F.coalesce(F.element_at(own, e), surrogate(e, F.lit(key))))
     woven = F.array_join(F.zip_with(between, made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    joined = joined.withColumn("_pii_found", found)
-    columns = [F.when(F.size("_pii_found") > 0, woven).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in documents.columns]
+    joined = joined.withColumn("_pii", entities(F.col(text_col)))
+    columns = [F.when(F.size(found) > 0, woven).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in documents.columns]
     if count_col:
-        columns.append(F.size("_pii_found").cast("long").alias(count_col))
+        columns.append(F.size(found).cast("long").alias(count_col))
     return joined.select(*columns)

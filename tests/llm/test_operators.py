@@ -404,12 +404,44 @@ def test_whole_secrets_are_replaced(spark):
 
 
 def test_surrogates_of_names(spark):
-    texts = ["Mr. John Smith met Frau Anna Miller.", "Mr. Smith left.", "г-жа Ирина Петрова", "Dr Who Knows"]
+    texts = ["Mr. John Smith met Frau Anna Miller.", "Mr. Smith left.", "г-жа Ирина Петрова и г-н Петров", "Dr Who Knows", "Mr McDonald saw Ms O'Brien and Mr Smith-Jones."]
+    texts += ["Dr. Anna Smith spoke. Ms Anna Smith left; then Anna Smith and Smith, not Smithson, sat.", "Anna Smith is not known here", "Dr Smith, Mr Smith and Smith"]
     found = [r["text"] for r in pii.replace_entities(frame(spark, texts)).orderBy("doc_id").collect()]
     man, woman = re.fullmatch(r"Mr\. (\w+) (\w+) met Frau (\w+) (\w+)\.", found[0]).groups()[::2]
+    smith = found[0].split()[2]
     assert man in pii.FIRST["m", "latin"] and woman in pii.FIRST["f", "latin"]
-    assert found[1].split()[1] == found[0].split()[2]
-    assert found[2].split()[1] in pii.FIRST["f", "cyrillic"] and "Петрова" not in found[2]
+    assert found[1].split()[1] == smith
+    given, hers, his = re.fullmatch(r"г-жа (\w+) (\w+) и г-н (\w+)", found[2]).groups()
+    assert given in pii.FIRST["f", "cyrillic"] and hers == his + "а" and his != "Петров"
+    assert re.fullmatch(r"Mr [A-Z][a-z]+ saw Ms [A-Z][a-z]+ and Mr [A-Z][a-z]+-[A-Z][a-z]+\.", found[4]) and not re.search("Don|Brien|Smith|Jones", found[4])
+    anna = re.fullmatch(rf"Dr\. (\w+) {smith} spoke\. Ms \1 {smith} left; then \1 {smith} and {smith}, not Smithson, sat\.", found[5])
+    assert anna and anna[1] in pii.FIRST["f", "latin"]
+    assert found[6] == texts[6] and found[7] == f"Dr {smith}, Mr {smith} and {smith}"
+
+
+def test_addresses_and_figures(spark):
+    texts = ["at 2001:0db8:85a3:0000:0000:8a2e:0370:7334 and fe80::1ff:fe23:4567:890a, 12:30:45 std::dec", "table 100 200 3000 and 100 200 300", "call 666 555 3292 or 666-555-3292", "+44 20 7946 0958"]
+    found = [r["text"] for r in pii.replace_entities(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert re.fullmatch(r"at [0-9a-f:]{39} and [0-9a-f:]+, 12:30:45 std::dec", found[0]) and "8a2e" not in found[0] and "890a" not in found[0]
+    assert found[1] == texts[1]
+    assert re.fullmatch(r"call [0-9]{3} [0-9]{3} [0-9]{4} or [0-9]{3}-[0-9]{3}-[0-9]{4}", found[2]) and "3292" not in found[2]
+    assert found[3].startswith("+44 ") and "7946" not in found[3]
+
+
+def test_surrogates_against_a_list_of_entities(spark):
+    """Every entity, found by plain patterns, is gone; equal ones become equal, different ones different; the rest stays."""
+    rng = random.Random(12)
+    make = [lambda: f"u{rng.randrange(90)}@h{rng.randrange(4)}.org", lambda: f"10.1.{rng.randrange(4)}.{rng.randrange(200)}", lambda: f"{rng.randrange(100, 140)}-55-{rng.randrange(1000, 1400)}", lambda: f"password={rng.randrange(16**8):08x}aa", lambda: f"Mr. B{rng.choice('aeiou')}r{rng.choice('aeiou')}k"]
+    listed = [[rng.choice(make)() for _ in range(rng.randrange(6))] for _ in range(400)]
+    texts = ["".join(f"w{i} {e} , " for e in own) for i, own in enumerate(listed)]
+    found = {r["doc_id"]: r for r in pii.replace_entities(frame(spark, texts), count_col="n").collect()}
+    to = {}
+    for i, own in enumerate(listed):
+        parts = re.split(rf"w{i} (.*?) , ", found[i]["text"])[1::2]
+        assert len(parts) == len(own) == found[i]["n"] and "".join(f"w{i} {e} , " for e in parts) == found[i]["text"]
+        for old, new in zip(own, parts, strict=True):
+            assert to.setdefault(old, new) == new
+    assert len(set(to.values())) == len(to) and not set(to) & set(to.values())
 
 
 def luhn(digits):
