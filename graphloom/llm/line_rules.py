@@ -4,8 +4,10 @@ One pass over the texts gives each document's base figures and its distinct
 normalised lines (lower case, white space alike) as hashes. Lines are counted
 by distinct documents of each host; a line above its host's limit is
 boilerplate. A document that loses more than ``DEPLETED`` of its words with
-its boilerplate is rejected. The limit is a share of the host's documents, so
-that it means the same at every size, and no less than ``LEAST``.
+its boilerplate is rejected. The limit is a share of the host's documents; a
+line of ``LEAST`` documents or fewer is never frequent, which says something only
+on hosts of fewer than ``LEAST / SHARE`` documents: on a host of four or more, a
+line that more than three of them have is boilerplate.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from graphloom.llm.store import by_bytes, staged
 from graphloom.llm.subwords import slices
 from graphloom.llm.textkernel import hash_spans, mix, numbered, utf8, words
 
-SHARE, LEAST, DEPLETED = 0.01, 10, 0.5
+SHARE, LEAST, DEPLETED = 0.01, 3, 0.5
 FEW_WORDS, REPEAT_PERCENT = 50, 50
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SYMBOL = np.zeros(256, bool)
@@ -180,7 +182,7 @@ WITH base AS (
 ), frequent AS (
   SELECT p.host, p.norm FROM per_doc p
   JOIN (SELECT host, count(*) AS size FROM base GROUP BY host) s USING (host)
-  GROUP BY p.host, p.norm, s.size HAVING count(*) > 10 AND count(*) > s.size * 0.01::DOUBLE
+  GROUP BY p.host, p.norm, s.size HAVING count(*) > 3 AND count(*) > s.size * 0.01::DOUBLE
 ), lost AS (
   SELECT p.doc_id, sum(p.words)::BIGINT AS n_frequent_words FROM per_doc p JOIN frequent USING (host, norm) GROUP BY p.doc_id
 ), windows AS (

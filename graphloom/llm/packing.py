@@ -4,8 +4,9 @@ Documents become pieces of at most ``max_length`` tokens. The histogram of the
 pieces' lengths has at most ``max_length`` entries whatever the corpus is, so
 the plan is made on the driver: all patterns of up to three lengths that fill
 a sequence exactly are enumerated, their repeat counts are fitted to the
-histogram by non-negative least squares and rounded, and what is left over is
-packed best fit decreasing, on counts. A piece's place follows from its rank
+histogram by non-negative least squares and rounded down, and what is left over
+is packed best fit decreasing, on counts. Of a few shares of the fitted repeats
+the one with the fewest sequences counts, the largest of those. A piece's place follows from its rank
 among the pieces of its length. Ranks are counted in salted groups, so that a
 length which a third of all pieces have is no hot key.
 """
@@ -27,6 +28,8 @@ from graphloom.llm.store import by_bytes, staged
 from graphloom.llm.subwords import END_ID, encoder, slices, vocabulary_path, with_end
 
 MAX_LENGTH = 1024
+#: Shares of the fitted repeats that are tried: whole patterns waste nothing, but use up the short pieces that fill the other sequences.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.0)
 
 
 @dataclass
@@ -135,21 +138,17 @@ def make_plan(histogram: dict[int, int], most: int = MAX_LENGTH) -> Plan:
         counts[length] = n
     patterns = exact_patterns(most)
     patterns = patterns[(counts[patterns] > 0)[:, 0] & ((counts[patterns] > 0) | (patterns == 0)).all(1)]
-    left, chosen = counts.copy(), []
-    if len(patterns):
-        fitted = fit_repeats(patterns, counts.astype(float))
-        repeats = np.floor(fitted).astype(np.int64)
-        left -= sum(np.bincount(patterns[:, j], repeats, most + 1).astype(np.int64) for j in range(3))
+    fitted = fit_repeats(patterns, counts.astype(float)) if len(patterns) else np.zeros(0)
+    fewest = None
+    for share in SHARES:
+        repeats = np.floor(fitted * share).astype(np.int64)
+        used = sum(np.bincount(patterns[:, j], repeats, most + 1).astype(np.int64) for j in range(3)) if len(patterns) else 0
+        left = counts - used
         left[0] = 0
-        rows = patterns.tolist()
-        for i in np.argsort(repeats - fitted, kind="stable").tolist():  # rounding up, the largest fractions first
-            need = Counter(x for x in rows[i] if x)
-            if fitted[i] > repeats[i] + 1e-3 and all(left[x] >= n for x, n in need.items()):
-                repeats[i] += 1
-                for x, n in need.items():
-                    left[x] -= n
-        chosen = [(tuple(x for x in rows[i] if x), int(repeats[i])) for i in np.flatnonzero(repeats).tolist()]
-    chosen += best_fit(left, most)
+        rest = best_fit(left, most)
+        if fewest is None or repeats.sum() + sum(n for _, n in rest) < fewest:
+            fewest = repeats.sum() + sum(n for _, n in rest)
+            chosen = [(tuple(x for x in patterns[i].tolist() if x), int(repeats[i])) for i in np.flatnonzero(repeats).tolist()] + rest
     slots, used, first = [], Counter(), 0
     for pattern, repeats in chosen:
         offset = 0

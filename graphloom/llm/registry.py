@@ -36,9 +36,9 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
-    return sharding.extendible_shards(rows.withColumn("text_hash", F.xxhash64(text)), ["doc_id", "text_hash"], F.octet_length(text)).drop("text_hash")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.md5(text).alias("text_md5"), F.octet_length(text).alias("size"))
+    return sharding.extendible_shards(rows, ["doc_id", "text_md5"], F.col("size"), sharding.QUERY_BYTES).drop("text_md5")
 
 
 def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,5 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_sentence_spans": span_dedup.ORACLE_SQL,
     "op3_term_at_a_time": topk_search.ORACLE_SQL,
+    "op5_extendible_hashing": sharding.ORACLE_SQL,
     "op9_line_frequency": line_rules.ORACLE_SQL,
 }

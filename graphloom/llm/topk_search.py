@@ -6,7 +6,8 @@ query's weight times the posting's weights into a dense array of scores, which
 fits the processor's cache. The best k of a block are selected by partition and
 merged over blocks and tasks. Queries are sent in blocks of ``QUERY_BLOCK``, a
 pass over the corpus for each, so that what is broadcast has a fixed bound.
-Ties go to the smaller id.
+Ties go to the smaller id. Rows that share an id are one item, which scores as
+the best of them, whether they are asked for or found.
 """
 
 from __future__ import annotations
@@ -54,7 +55,9 @@ def accumulate(queries: Postings, n_queries: int, rows: Postings, n_rows: int) -
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of each query's k best rows but its own; ``ids`` ascend."""
+    """(query id, id, score) of each query's k best rows but its own; ``ids`` ascend."""
+    if len(ids) and (first := np.append(True, ids[1:] != ids[:-1])).sum() < len(ids):
+        scores, ids = np.maximum.reduceat(scores, np.flatnonzero(first), axis=1), ids[first]
     own = query_ids[:, None] == ids[None, :]
     lowest = -(2**62)
     scores = np.where(own, lowest, scores)
@@ -63,11 +66,15 @@ def best_of(scores: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int)
         query, column = np.nonzero((scores >= bar[:, None]) & ~own)
     else:
         query, column = np.nonzero(~own)
-    value = scores[query, column]
-    return first_of(query, ids[column], value, k)
+    return first_of(query_ids[query], ids[column], scores[query, column], k)
 
 
 def first_of(query: np.ndarray, row_id: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, an id counting once."""
+    order = np.lexsort((-value, row_id, query))
+    query, row_id, value = query[order], row_id[order], value[order]
+    once = np.append(True, (query[1:] != query[:-1]) | (row_id[1:] != row_id[:-1]))[: len(query)]
+    query, row_id, value = query[once], row_id[once], value[once]
     order = np.lexsort((row_id, -value, query))
     query, row_id, value = query[order], row_id[order], value[order]
     begin = np.maximum.accumulate(np.where(np.append(True, query[1:] != query[:-1])[: len(query)], np.arange(len(query)), 0))
@@ -86,8 +93,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id") -> Da
 
     Both frames have ``id_col`` (long), ``terms`` (array of int) and ``weights`` (array of long). Absent terms weigh 0,
     and rows that share no term with a query score 0 and count like others. A query with fewer other rows than ``k``
-    gets all of them.
+    gets all of them; no rows or no queries give none. Rows with a null id take no part; other columns play none.
     """
+    rows, queries = rows.where(F.col(id_col).isNotNull()), queries.where(F.col(id_col).isNotNull())
     spark = rows.sparkSession
     asked = queries.count()
     blocks = max(1, -(-asked // (QUERY_BLOCK // 2)))
@@ -115,15 +123,16 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id") -> Da
                     for i, (query_ids, query) in enumerate(groups):
                         new = best_of(accumulate(query, len(query_ids), postings, len(ids)), ids, query_ids, k)
                         best[i] = list(first_of(*(np.concatenate(pair) for pair in zip(best[i], new, strict=True)), k))
-            for (query_ids, _), (query, row_id, value) in zip(groups, best, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[query]), pa.array(row_id), pa.array(value)], schema.names)
+            for query, row_id, value in best:
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(row_id), pa.array(value)], schema.names)
 
         if held:
             rows.select(id_col, "terms", "weights").mapInArrow(search, schema).write.mode("append").parquet(path)
     if not asked:
         return spark.createDataFrame([], "query_id long, rank int, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return spark.read.schema(schema).parquet(path).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    best = spark.read.schema(schema).parquet(path).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def whole_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -141,8 +150,9 @@ WITH v AS (
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2]))::BIGINT AS score
+         max(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])))::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+  GROUP BY q.vec_id, c.vec_id
 ), ranked AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
 )

@@ -81,6 +81,19 @@ def test_packing_is_tight():
     assert packing.make_plan(dict(counts)).sequences <= 1.005 * sum(k * n for k, n in counts.items()) / 1024 + 1
 
 
+@pytest.mark.parametrize("kind", ["documents", "long", "halves"])
+def test_packing_is_no_worse_than_best_fit(kind):
+    rng = np.random.default_rng(1)
+    if kind == "documents":  # lengths as documents have them: most are short, long ones are cut into whole pieces and a rest
+        lengths = rng.lognormal(5.7, 1.3, 30000).astype(int) + 1
+        lengths = np.concatenate([lengths % 1024, np.full(int((lengths // 1024).sum()), 1024)])
+    else:
+        lengths = rng.integers(*{"long": (300, 1025), "halves": (480, 560)}[kind], 20000)
+    counts = collections.Counter(lengths[lengths > 0].tolist())
+    plain = sum(n for _, n in packing.best_fit(np.array([counts[i] for i in range(1025)]), 1024))
+    assert packing.make_plan(dict(counts)).sequences <= plain
+
+
 def check_packed(rows, ids):
     held, pieces = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
@@ -209,12 +222,12 @@ def test_line_figures():
 
 def test_frequent_lines(spark):
     line = "Share  this page with FRIENDS now and always"
-    texts = [f"{prose(i, 60)}\n{line if i % 2 else line.lower().replace('  ', ' ')}" for i in range(20)] + [f"{line}\n" * 9 + prose(99, 5)] + [f"{prose(200 + i, 60)}\n{line}" for i in range(5)]
-    documents = frame(spark, texts, source=["h"] * 21 + ["other"] * 5)
+    texts = [f"{prose(i, 60)}\n{line if i % 2 else line.lower().replace('  ', ' ')}" for i in range(20)] + [f"{line}\n" * 9 + prose(99, 5)] + [f"{prose(200 + i, 60)}\n{line}" for i in range(7)]
+    documents = frame(spark, texts, source=["h"] * 21 + ["other"] * 3 + ["four"] * 4)
     found = {r["doc_id"]: r for r in line_rules.line_rules(documents).collect()}
     assert found[0]["n_frequent_words"] == 8 and found[0]["kept"]
     assert found[20]["n_frequent_words"] == 72 and not found[20]["kept"]
-    assert found[22]["n_frequent_words"] == 0 and found[22]["kept"]
+    assert found[22]["n_frequent_words"] == 0 and found[22]["kept"] and found[25]["n_frequent_words"] == 8
     cleaned = {r["doc_id"]: r["text"] for r in line_rules.remove_frequent_lines(documents).collect()}
     assert cleaned[0] == prose(0, 60) and cleaned[22] == texts[22]
 
@@ -313,6 +326,15 @@ def test_top_k_against_brute_force(spark):
         assert found[q] == [(i, scores[i]) for i in sorted((i for i in range(300) if i != q), key=lambda i: (-scores[i], i))[:5]]
 
 
+def test_top_k_of_repeated_ids(spark):
+    rows = spark.createDataFrame([(0, [1], [2], "x"), (0, [1], [5], "y"), (1, [1], [3], "z"), (1, [1], [3], "z"), (1, [1], [4], "z"), (2, [1], [1], "u"), (None, [1], [9], "n"), (3, [2], [1], "u")], "id long, terms array<int>, weights array<long>, score string").repartition(3)
+    for k in (2, 5):
+        found = [(r["query_id"], r["rank"], r["id"], r["score"]) for r in topk_search.top_k(rows, rows.where("id = 0"), k).orderBy("rank").collect()]
+        assert found == [(0, 1, 1, 20), (0, 2, 2, 5), (0, 3, 3, 0)][:k]
+    none = rows.limit(0)
+    assert topk_search.top_k(none, none, 5).count() == 0 and topk_search.top_k(none, rows.where("id = 0"), 5).count() == 0
+
+
 def test_top_k_edges(spark):
     few = spark.createDataFrame([(0, [1], [2]), (1, [1], [3]), (2, [], [])], "id long, terms array<int>, weights array<long>")
     assert [(r["id"], r["score"]) for r in topk_search.top_k(few, few.where("id = 0"), 5).orderBy("rank").collect()] == [(1, 6), (2, 0)]
@@ -341,6 +363,9 @@ def test_equal_rows_are_cut(spark):
     rows = spark.range(100).select(F.lit(1).alias("k"), F.lit(50).alias("n"))
     found = sharding.extendible_shards(rows, ["k"], F.col("n"), limit=500).groupBy("shard", "piece").agg(F.sum("n_bytes").alias("b")).collect()
     assert len(found) == 10 and max(r["b"] for r in found) == 500
+    mixed = spark.range(5000).select(F.when(F.col("id") < 3000, 1).otherwise(F.col("id")).alias("k"), F.lit(50).alias("n"))
+    found = sharding.extendible_shards(mixed, ["k"], F.col("n"), limit=700).groupBy("shard", "piece").agg(F.sum("n_bytes").alias("b"), F.count_distinct("k").alias("kinds")).collect()
+    assert max(r["b"] for r in found) == 700 and sum(r["b"] for r in found) == 250_000 and max(r["piece"] for r in found) == -(-3000 // 14) - 1
 
 
 def test_merge_dropout_is_lossless_and_exact_at_zero(spark):
