@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -387,6 +388,60 @@ def test_merge_dropout_is_lossless_and_exact_at_zero(spark):
     assert [back[i] for i in range(len(texts))] == [t or "" for t in texts]
 
 
+def brute_cut(own, part, key, dropout):
+    """The agenda of one part, worked off one candidate after another."""
+    symbols = [(i, int(own.of_char[0x2581 if c == " " else ord(c)])) for i, c in enumerate(part)]
+    skipped = set()
+    while True:
+        turns = []
+        for j in range(len(symbols) - 1):
+            (i, a), (_, b) = symbols[j], symbols[j + 1]
+            at = int(own.find(np.array([a]), np.array([b]))[0])
+            if at >= 0 and (i, a, b) not in skipped:
+                turns.append((int(own.rank[at]), j, int(own.merged[at])))
+        if not turns:
+            return [x for _, x in symbols]
+        _, j, made = min(turns)
+        (i, a), (_, b) = symbols[j], symbols[j + 1]
+        if merge_dropout._draw(np.array([key]), np.array([i]), np.array([a]), np.array([b]))[0] < merge_dropout._bar(dropout):
+            skipped.add((i, a, b))
+        else:
+            symbols[j : j + 2] = [(i, made)]
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.5])
+def test_merge_dropout_against_brute_force(dropout, monkeypatch):
+    own = merge_dropout.model(merge_dropout.model_path())
+    rng = random.Random(7)
+    words = ["international", "the", "running", "of", "organisation", "a", "understanding"]
+    texts = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(40)]
+    salt, wanted = near_dup.mix(np.array([merge_dropout.SEED], np.uint64))[0], []
+    for text in texts:
+        raw, offsets = subwords.utf8(pa.array([text]))
+        text_key, ids = subwords.hash_spans(raw, offsets[:-1], offsets[1:]), []
+        for place, word in enumerate(text.split(" ")):
+            key = near_dup.mix(text_key + np.array([place], np.uint64) * merge_dropout._A + salt)[0]
+            ids += brute_cut(own, " " + word, key, dropout)
+        wanted.append(ids)
+    for long in (64, 3):  # side by side, and by a heap each
+        monkeypatch.setattr(merge_dropout, "LONG", long)
+        ids, n = own.encode(pa.array(texts), dropout)
+        ends = np.cumsum(n)
+        assert [ids[a:b].tolist() for a, b in zip(ends - n, ends, strict=True)] == wanted
+    assert len({tuple(own.encode(pa.array([f"{i} international"]), dropout)[0][2:].tolist()) for i in range(300)}) > 20
+
+
+def test_merge_dropout_of_a_long_part():
+    own = merge_dropout.model(merge_dropout.model_path())
+    rng = random.Random(3)
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(200_000))
+    for dropout in (0, 0.1):
+        began = time.time()
+        ids, _ = own.encode(pa.array([text, text[:100]]), dropout)
+        assert time.time() - began < 20 and own.decode(ids[: -len(own.encode(pa.array([text[:100]]), dropout)[0])]) == text
+    assert own.encode(pa.array([text[:5000]]), 0)[0].tolist() == own.library.encode(text[:5000])
+
+
 def test_dropout_rate_of_candidates():
     own = merge_dropout.model(merge_dropout.model_path())
     text = pa.array([prose(3, 2000)])
