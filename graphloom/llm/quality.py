@@ -1,7 +1,8 @@
 """Operator 10: quality by votes of nearest labelled texts in a latent-semantic space.
 
-A text's terms are hashed trigrams of its characters' kinds (runs of letters or
-digits count once, each symbol is a kind of its own) and how much of it repeats.
+A text's terms are hashed words (lower case), hashed trigrams of its characters'
+kinds (runs of letters or digits count once, each symbol is a kind of its own)
+and how much of it repeats; words and trigrams have shares of their own.
 The space is the leading right singular vectors of the labelled sample's
 weighted term matrix. The labelled vectors are at most ``SAMPLE`` rows, however
 large the corpus is, so they are broadcast; every document's cosine with all of
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,9 +30,11 @@ from graphloom.llm.textkernel import hash_spans, mix, numbered, utf8, words
 
 #: Labelled rows that are used at most, half of each label; dimensions; neighbours; the power of a similarity.
 SAMPLE, DIMENSIONS, NEIGHBOURS, POWER = 4096, 32, 25, 8
+#: What all words of a text weigh, against 1 for all its trigrams.
+WORD_WEIGHT = 0.1
 ACCEPT = 0.7
-HASHED, REPEATS = 4096, 4
-TERMS = HASHED + REPEATS
+HASHED, WORDS, REPEATS = 4096, 8192, 4
+TERMS = HASHED + WORDS + REPEATS
 _KIND = np.zeros(256, np.uint8)
 for _code in range(256):
     _char = chr(_code)
@@ -38,7 +42,7 @@ for _code in range(256):
 
 
 def term_shares(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, share) of every term of every text; a text's trigrams have shares that add up to 1."""
+    """(text, term, share) of every term of every text; a text's trigrams have shares that add up to 1, its words to ``WORD_WEIGHT``."""
     raw, offsets = utf8(texts)
     n = len(offsets) - 1
     kind = _KIND[raw]
@@ -51,6 +55,11 @@ def term_shares(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     of, term = np.divmod(keys, HASHED)
     share = counts / np.bincount(text[whole], minlength=n)[of]
 
+    low, low_offsets = utf8(pc.utf8_lower(pc.fill_null(texts, "")))
+    begin, end, owner = words(low, low_offsets)
+    keys, counts = np.unique(owner * WORDS + (hash_spans(low, begin, end) % np.uint64(WORDS)).astype(np.int64), return_counts=True)
+    of_word, word = np.divmod(keys, WORDS)
+    word_share = WORD_WEIGHT * counts / np.maximum(np.bincount(owner, minlength=n), 1)[of_word]
     begin, end, owner = words(raw, offsets)
     hashed = hash_spans(raw, begin, end)
     n_words = np.maximum(np.bincount(owner, minlength=n), 1)
@@ -63,7 +72,7 @@ def term_shares(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         np.bincount(owner, numbered(hashed, owner) == 0, n) / n_words,
     ]
     rows = np.arange(n)
-    return np.concatenate([of, *[rows] * REPEATS]), np.concatenate([term, *[np.full(n, HASHED + i) for i in range(REPEATS)]]), np.concatenate([share, *repeats])
+    return np.concatenate([of, of_word, *[rows] * REPEATS]), np.concatenate([term, HASHED + word, *[np.full(n, HASHED + WORDS + i) for i in range(REPEATS)]]), np.concatenate([share, word_share, *repeats])
 
 
 def term_matrix(texts: pa.Array) -> np.ndarray:
@@ -121,11 +130,12 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_encoders()
         for batch in batches:
-            if len(batch):
-                matrix = term_matrix(batch.column(2))
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                matrix = term_matrix(part.column(2))
                 rows, columns = np.nonzero(matrix)
-                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(batch)))]), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(columns, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(matrix[rows, columns]))], ["label_id", "label", "term", "weight"])
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(part)))]), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(ends, pa.array(columns, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(matrix[rows, columns]))], ["label_id", "label", "term", "weight"])
 
     schema = T.StructType([T.StructField("label_id", documents.schema[id_col].dataType), T.StructField("label", known.schema["label"].dataType), T.StructField("term", T.ArrayType(T.IntegerType())), T.StructField("weight", T.ArrayType(T.FloatType()))])
     rows = by_bytes(texts.select("label_id", "label", "text")).mapInArrow(terms, schema).dropDuplicates(["label_id"]).orderBy("label_id").limit(sample).collect()
@@ -135,15 +145,16 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if not len(rows):
         return Model(np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y, y)
     idf = (np.log((1 + len(rows)) / (1 + (matrix > 0).sum(0))) + 1).astype(np.float32)
-    weighted = matrix * idf
-    basis = weighted.T @ (weighted @ np.random.default_rng(0).standard_normal((TERMS, min(TERMS, dimensions + 16))).astype(np.float32))
+    matrix *= idf
+    basis = matrix.T @ (matrix @ np.random.default_rng(0).standard_normal((TERMS, min(TERMS, dimensions + 16)), np.float32))
     for _ in range(4):  # subspace iteration: the range of the leading singular vectors
-        basis = weighted.T @ (weighted @ np.linalg.qr(basis)[0])
+        basis = matrix.T @ (matrix @ np.linalg.qr(basis)[0])
     basis = np.linalg.qr(basis)[0]
-    project = (basis @ np.linalg.svd(weighted @ basis, full_matrices=False)[2].T)[:, :dimensions] * idf[:, None]
+    leading = (basis @ np.linalg.svd(matrix @ basis, full_matrices=False)[2].T)[:, :dimensions]
+    vectors = matrix @ leading
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     used = {label: max(1, int((y == label).sum())) for label in (0, 1)}
-    model = Model(project.astype(np.float32), np.zeros((0, 1), np.float32), y, np.array([sizes[label] / used[label] for label in y]))
-    model.vectors = model.embed(matrix)
+    model = Model((leading * idf[:, None]).astype(np.float32), vectors.astype(np.float32), y, np.array([sizes[label] / used[label] for label in y]))
     return model
 
 

@@ -571,6 +571,10 @@ def test_classifier_learns_and_holds_out(spark):
     assert all(rows[i]["held_out"] == held_out(i) for i in rows)
     assert np.mean([rows[i]["predicted"] == quality_of[i] for i in tested]) > 0.95
     assert rows[1000]["score"] == rows[1001]["score"] == 0 and all(0 <= r["score"] <= 1 for r in rows.values())
+    near = [sum(a * b for a, b in zip(model.embed(quality.term_matrix(pa.array([t])))[0].tolist(), v.tolist(), strict=True)) for t in [texts[3]] for v in model.vectors]
+    best = sorted(range(len(near)), key=lambda i: -near[i])[: quality.NEIGHBOURS]  # the vote, one neighbour after another
+    votes = [(max(near[i], 0) ** quality.POWER * model.weights[i], model.labels[i]) for i in best]
+    assert rows[3]["score"] == pytest.approx(sum(v * y for v, y in votes) / sum(v for v, _ in votes), abs=1e-3)
     alone = quality.fit(documents, labels.limit(0))
     assert quality.classify(documents, alone).where("predicted = 1").count() == 0
 
