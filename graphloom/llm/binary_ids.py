@@ -135,7 +135,7 @@ def write_ids(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     coded, path = vocabulary or vocabulary_path(), path or new_path(documents.sparkSession, "ids")
     id_type = documents.schema[id_col].dataType
-    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("file", T.IntegerType()), T.StructField("ids_before", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("data", T.BinaryType()), T.StructField("document_ids", T.ArrayType(id_type)), T.StructField("lengths", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("file", T.IntegerType()), T.StructField("ids_before", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("data", T.BinaryType()), T.StructField("document_ids", T.ArrayType(id_type)), T.StructField("lengths", T.BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, file, before = encoder(coded), TaskContext.get().partitionId(), 0, 0
@@ -146,7 +146,7 @@ def write_ids(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             names = pa.concat_arrays([x for x, _, _ in held])
             ids, counts = (np.concatenate([x[i] for x in held]) for i in (1, 2))
             ends = pa.array([0, len(names)], pa.int32())
-            columns = [pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([encode_file(ids)], pa.binary()), pa.ListArray.from_arrays(ends, names), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))]
+            columns = [pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([encode_file(ids)], pa.binary()), pa.ListArray.from_arrays(ends, names), pa.array([encode_file(counts)], pa.binary())]
             file, before, held = file + 1, before + len(ids), []
             return pa.RecordBatch.from_arrays(columns, schema.names)
 
@@ -180,7 +180,7 @@ def read_ids(spark, path: str, id_col: str = "doc_id", with_ids: bool = False) -
         for batch in batches:
             for row in range(len(batch)):
                 part, before, data, names, counts = (batch.column(i).slice(row, 1) for i in range(5))
-                ids, n = decode_file(data[0].as_py()), counts.flatten().to_numpy()
+                ids, n = decode_file(data[0].as_py()), decode_file(counts[0].as_py()).astype(np.int64)
                 ends = np.cumsum(n)
                 raw = ids.astype("<u4")
                 start = base[part[0].as_py()] + before[0].as_py() + ends - n
