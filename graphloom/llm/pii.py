@@ -247,13 +247,16 @@ def _pattern(names: Column) -> Column:
     return F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}@.'’-])(?:"), F.array_join(listed, "|"), F.lit(r")(?![\p{L}\p{N}@'’])"))
 
 
-def entities(text: Column) -> Column:
-    """(found, between) of a text: its entities in order, with marks on names, and what stands before, between and after them.
+def entities(text: Column, between: bool = False) -> Column:
+    """The entities of a text in order, with marks on names; with ``between`` a struct (found, between) of them and of what stands before, between and after them.
 
     Both are empty for null and for texts without entities.
     """
     none = F.array().cast("array<string>")
 
+    def parts(found: Column, pattern: Column | str) -> Column:
+        return F.struct(found.alias("found"), F.split(text, pattern, -1).alias("between")) if between else found
+
     def marked(names: Column, entity: Column) -> Column:
         """A name with what the text's other names say of its gender."""
         plain = _bare_name(entity)
@@ -268,11 +271,11 @@ def entities(text: Column) -> Column:
         known = F.concat(full, F.transform(full, lambda n: F.regexp_extract(n, r"[^ ]+$", 0)))
         bare = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda e: F.when(F.array_contains(known, e), F.concat(F.lit(_BARE), e)).otherwise(e))
         found = F.transform(bare, lambda e: F.when(e.rlike(_NAMED), marked(names, e)).otherwise(e))
-        return F.struct(found.alias("found"), F.split(text, pattern, -1).alias("between"))
+        return parts(found, pattern)
 
-    plain = F.struct(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)).alias("found"), F.split(text, ENTITY, -1).alias("between"))
+    plain = parts(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), ENTITY)
     named = _let(_learned(text), lambda names: F.when(F.size(names) > 0, with_names(names)).otherwise(plain))
-    return F.when(text.rlike(ADDRESSED), named).when(text.rlike(HINT), plain).otherwise(F.struct(none.alias("found"), none.alias("between")))
+    return F.when(text.rlike(ADDRESSED), named).when(text.rlike(HINT), plain).otherwise(F.struct(none.alias("found"), none.alias("between")) if between else none)
 
 
 def clashes(found: DataFrame, key: str) -> DataFrame:
@@ -326,7 +329,7 @@ def replace_entities(documents: DataFrame, id_col: str = "doc_id", text_col: str
     Every row stays; null texts stay null, and texts without entities stay as they are. Equal rows are changed alike.
     Other columns are kept, whatever their names.
     """
-    listed = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.explode(entities(F.col(text_col))["found"]).alias("entity"))
+    listed = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.explode(entities(F.col(text_col))).alias("entity"))
     listed = staged(listed.distinct(), "found")
     changed = staged(clashes(listed.select("entity").distinct(), key), "clashes")
     joined, own = documents, F.lit(None).cast("map<string,string>")
@@ -337,7 +340,7 @@ def replace_entities(documents: DataFrame, id_col: str = "doc_id", text_col: str
     found, between = F.col("_pii")["found"], F.col("_pii")["between"]
     made = F.transform(found, lambda e: F.coalesce(F.element_at(own, e), surrogate(e, F.lit(key))))
     woven = F.array_join(F.zip_with(between, made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    joined = joined.withColumn("_pii", entities(F.col(text_col)))
+    joined = joined.withColumn("_pii", entities(F.col(text_col), between=True))
     columns = [F.when(F.size(found) > 0, woven).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in documents.columns]
     if count_col:
         columns.append(F.size(found).cast("long").alias(count_col))
