@@ -21,7 +21,9 @@ class Logistic:
     def __init__(self, n_classes: int, c: float = 1.0, steps: int = 25) -> None:
         self.n_classes, self.c, self.steps = n_classes, c, steps
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Logistic:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Logistic:
+        """Rows weigh 1, or as ``weight`` says."""
+        each = np.ones(len(x)) if weight is None else weight
         self.classes = np.unique(y)
         if len(self.classes) < 2:
             return self
@@ -32,14 +34,14 @@ class Logistic:
         self.w = np.zeros((d, m))
         for _ in range(self.steps):
             p = self._proba(xb)
-            gradient = xb.T @ (p - one) + penalty[:, None] * self.w
+            gradient = xb.T @ ((p - one) * each[:, None]) + penalty[:, None] * self.w
             if np.abs(gradient).max() < 1e-8:
                 break
             hessian = np.zeros((d * m, d * m))
             for i in range(m):
                 for j in range(i, m):
-                    weight = p[:, i] * ((i == j) - p[:, j])
-                    block = (xb * weight[:, None]).T @ xb
+                    curve = each * p[:, i] * ((i == j) - p[:, j])
+                    block = (xb * curve[:, None]).T @ xb
                     hessian[i * d : (i + 1) * d, j * d : (j + 1) * d] = hessian[j * d : (j + 1) * d, i * d : (i + 1) * d] = block
             hessian[np.diag_indices(d * m)] += np.tile(penalty, m) + 1e-9
             self.w -= np.linalg.solve(hessian, gradient.T.reshape(-1)).reshape(m, d).T

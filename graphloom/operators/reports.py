@@ -68,7 +68,7 @@ def pooled_and_each(rows: DataFrame, group: str, aggregate, name: str) -> DataFr
 
 def latex_table(rows: DataFrame, columns: list[str]) -> str:
     """A LaTeX table of a (small) report."""
-    special = {"&": r"\&", "%": r"\%", "_": r"\_", "#": r"\#", "$": r"\$", "{": r"\{", "}": r"\}"}
+    special = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "_": r"\_", "#": r"\#", "$": r"\$", "{": r"\{", "}": r"\}"}
     tex = lambda v: "".join(special.get(c, c) for c in (f"{v:.4f}" if isinstance(v, float) else str(v)))
     body = [" & ".join(map(tex, r)) + r" \\" for r in rows.select(*columns).collect()]
     return "\n".join([rf"\begin{{tabular}}{{{'l' * len(columns)}}}", " & ".join(map(tex, columns)) + r" \\ \hline", *body, r"\end{tabular}"])
@@ -77,3 +77,49 @@ def latex_table(rows: DataFrame, columns: list[str]) -> str:
 def markdown_table(rows: DataFrame, columns: list[str]) -> str:
     show = lambda v: f"{v:.4f}" if isinstance(v, float) else str(v)
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *["| " + " | ".join(map(show, r)) + " |" for r in rows.select(*columns).collect()]])
+
+
+def finite_scores(scores: DataFrame, candidate: str = "candidate", score: str = "score") -> DataFrame:
+    """The rows of candidates all of whose scores are finite."""
+    good = F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(F.col(score)) < float("inf"))
+    whole = scores.groupBy(candidate).agg(F.bool_and(good).alias("_good")).where("_good").select(candidate)
+    return scores.join(whole, candidate, "left_semi")
+
+
+def clean_points(rows: DataFrame, collapsed: str = "router_collapse_seeds") -> DataFrame:
+    """The rows without a seed whose router sent all nodes one way."""
+    return rows.where(F.coalesce(F.col(collapsed), F.lit(0)) <= 0)
+
+
+def field_summary(rows: DataFrame, method: str, fields: list[str]) -> DataFrame:
+    """(method, field, mean, std (population)) of each numeric field."""
+    return rows.unpivot([method], fields, "field", "value").groupBy(method, "field").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+
+
+def order_invariance(cells: DataFrame, forward: str, backward: str) -> DataFrame:
+    """One row: how far accuracies of two conditions that differ in the experts' order alone are apart at most, and whether they are equal."""
+    a = cells.where(F.col("cond") == forward).select("split", "seed", F.col("acc").alias("a"))
+    b = cells.where(F.col("cond") == backward).select("split", "seed", F.col("acc").alias("b"))
+    return a.join(b, ["split", "seed"]).agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("most"), F.count("*").alias("n")).withColumn("invariant", F.col("most") <= 1e-12)
+
+
+def interpretation(deltas: DataFrame, oracle: str, random: str, margin: float = 0.1, loss: float = 0.05) -> DataFrame:
+    """``deltas`` with a verdict from how far the oracle is above the global expert and random routing below it."""
+    passed = (F.col(oracle) > margin) & (F.col(random) < -loss)
+    verdict = F.when(passed, F.format_string("routing pays: oracle %+.3f, random %+.3f", oracle, random)).when(F.col(oracle) > margin, "the oracle pays, random routing does no harm").otherwise("routing does not pay here")
+    return deltas.withColumn("passed", passed).withColumn("verdict", verdict)
+
+
+def write_record(rows: DataFrame, path: str) -> None:
+    """A report as one JSON file in a folder; a report has few rows."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
+def append_points(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Points of a grid added to a folder of JSON lines by their keys: what is written stays if a later point fails."""
+    rows.write.mode("append").partitionBy(*keys).json(path)
+
+
+def write_csv(rows: DataFrame, path: str, fields: list[str]) -> None:
+    """A report as CSV with a head line and its fields in the given order."""
+    rows.select(*fields).coalesce(1).write.mode("overwrite").option("header", True).csv(path)

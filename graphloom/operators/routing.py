@@ -110,3 +110,8 @@ def delta_sweep(scores: DataFrame, deltas: list[float], score: str = "h") -> Dat
     spread = scores.withColumn("delta", F.explode(F.array(*map(F.lit, deltas))))
     channel = F.when(F.col(score).isNull() | (F.col(score) >= 0.5 + F.col("delta")), 0).when(F.col(score) <= 0.5 - F.col("delta"), 2).otherwise(1)
     return spread.select("delta", "node_id", channel.alias("channel"))
+
+
+def single_gate(nodes: DataFrame) -> DataFrame:
+    """(node_id, gates): one channel for all."""
+    return nodes.select("node_id", F.array(F.lit(1.0)).alias("gates"))

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.graph import Graph, degrees
+from graphloom.graph import Graph, degrees, induced
 from graphloom.operators.components import connected_components
 
 #: A dense matrix of a component has 8 bytes a cell: 1.2 GB at ``MAX_NODES``. Up to ``EXACT_NODES`` resistances are exact by default.
@@ -68,22 +68,49 @@ def modes(graph: Graph, k: int, limit: int = MAX_NODES) -> DataFrame:
     return by_component(graph, limit).groupBy("component").applyInPandas(solve, "node_id long, component long, v array<double>")
 
 
+def _on_cycles(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Which edges are left when nodes with one edge are taken off again and again: resistances of the others are 1 / w."""
+    keep = np.ones(len(src), bool)
+    _, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = ends[: len(src)], ends[len(src) :]
+    while True:
+        degree = np.bincount(np.concatenate([a[keep], b[keep]]), minlength=ends.max(initial=0) + 1)
+        leaf = keep & ((degree[a] == 1) | (degree[b] == 1))
+        if not leaf.any():
+            return keep
+        keep &= ~leaf
+
+
+def resistances(graph: Graph, k: int = 16, limit: int = MAX_NODES) -> DataFrame:
+    """``effective_resistance``, exact on components of up to ``EXACT_NODES`` nodes, by ``k`` modes on larger ones."""
+    named = connected_components(graph)
+    sizes = named.groupBy("component").agg(F.count("*").alias("n"))
+    small = named.join(sizes.where(F.col("n") <= EXACT_NODES), "component").select("node_id")
+    large = named.join(sizes.where(F.col("n") > EXACT_NODES), "component").select("node_id")
+    return effective_resistance(induced(graph, small), None, limit).union(effective_resistance(induced(graph, large), k, limit))
+
+
 def effective_resistance(graph: Graph, k: int | None = None, limit: int = MAX_NODES) -> DataFrame:
     """(src, dst, w, r) of every edge: exact from the pseudo-inverse, or with ``k`` a lower bound from the k smallest positive modes."""
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.dropna(subset=["src"])
-        ids, lap = dense_laplacian(part)
-        a, b = np.searchsorted(ids, part["src"]), np.searchsorted(ids, part["dst"])
-        if k is None or k >= len(ids) - 1:
-            inverse = np.linalg.pinv(lap, hermitian=True)
-            r = inverse[a, a] + inverse[b, b] - 2 * inverse[a, b]
-        else:
+        part = part.dropna(subset=["src"]).astype({"src": "int64", "dst": "int64"})
+        if k is not None and k < part[["src", "dst"]].stack().nunique() - 1:
+            ids, lap = dense_laplacian(part)
+            a, b = np.searchsorted(ids, part["src"]), np.searchsorted(ids, part["dst"])
             values, vectors = np.linalg.eigh(lap)
             keep = np.flatnonzero(values > 1e-10)[:k]
             z = vectors[:, keep] / np.sqrt(values[keep])
             r = ((z[a] - z[b]) ** 2).sum(1)
-        return part[["src", "dst", "w"]].astype({"src": "int64", "dst": "int64"}).assign(r=np.maximum(r, 0.0))
+        else:
+            r = 1.0 / part["w"].to_numpy()  # right for edges of trees that hang on the core
+            core = part[_on_cycles(part["src"].to_numpy(), part["dst"].to_numpy())]
+            if len(core):
+                ids, lap = dense_laplacian(core)
+                inverse = np.linalg.inv(lap + 1.0 / len(ids))  # the core is connected, as the component is
+                a, b = np.searchsorted(ids, core["src"]), np.searchsorted(ids, core["dst"])
+                r[part.index.get_indexer(core.index)] = inverse[a, a] + inverse[b, b] - 2 * inverse[a, b]
+        return part[["src", "dst", "w"]].assign(r=np.maximum(r, 0.0))
 
     return by_component(graph, limit).groupBy("component").applyInPandas(solve, "src long, dst long, w double, r double")
 
@@ -124,7 +151,7 @@ def eigengap(spec: DataFrame) -> DataFrame:
 def distortion(reference: np.ndarray, other: np.ndarray, low: int = 32) -> dict[str, float]:
     """Measures of how far one ascending spectrum has moved from another of the same length."""
     n, top = len(reference), max(float(reference[-1]), EPS)
-    legacy = np.abs(reference - other) / np.maximum(np.abs(reference), EPS)
+    legacy = np.abs(reference - other) / (np.abs(reference) + EPS)
     legacy[0] = 0.0
     down_ref, down_other = reference[::-1], other[::-1]
     ranked = np.abs(down_ref - down_other) / (down_ref + EPS)
@@ -137,7 +164,7 @@ def distortion(reference: np.ndarray, other: np.ndarray, low: int = 32) -> dict[
     isolated = max(0, zeros_other - zeros_ref)
     return {
         "sd": float(legacy.max()), "sd_p50": float(np.quantile(legacy, 0.5)), "sd_p90": float(np.quantile(legacy, 0.9)), "sd_p99": float(np.quantile(legacy, 0.99)), "low_mode_mean": float(legacy[1 : low + 1].mean()) if n > 1 else 0.0,
-        "rank_top1": float(ranked[:1].max()), "rank_top8": float(ranked[:8].max()), "rank_top32": float(ranked[:32].max()), "low_freq_mean": float(low_error.mean()), "low_freq_max": float(low_error.max()),
+        "rank_top1": float(ranked[:1].max()), "rank_top8": float(ranked[:8].max()), "rank_top32": float(ranked[:32].max()), "rank_top128": float(ranked[:128].max()), "sd_at": float(legacy.argmax()), "largest": float(reference[-1]), "retention": max(0.0, 1 - float(legacy.max())), "low_freq_mean": float(low_error.mean()), "low_freq_max": float(low_error.max()),
         "isolated": float(isolated), "min_gap": gap, "fragility": float(legacy.max()) / (gap + EPS), "survival": float(max(0.0, (1 - min(max(float(low_error.mean()), 0.0), 1.0)) * (1 - isolated / n))),
     }
 
@@ -189,3 +216,20 @@ def bounds(reference: np.ndarray, other: np.ndarray) -> dict[str, bool | float]:
         "weyl": bool((np.abs(a - b) <= change + 1e-9).all()), "davis_kahan": 2 * float(np.linalg.norm(reference - other)) / (gap + EPS),
         "interlacing": bool((a[:-1] <= inner + 1e-9).all() and (inner <= a[1:] + 1e-9).all()), "change": change,
     }
+
+
+def retention(distortion: Column) -> Column:
+    """What is left of the spectrum: 1 less the distortion, not below 0."""
+    return F.greatest(F.lit(0.0), 1 - distortion)
+
+
+def davis_kahan(frobenius: Column, gap: Column) -> Column:
+    """The bound on how far eigenvectors turn."""
+    return 2 * frobenius / (gap + EPS)
+
+
+def fiedler_neighbours(graph: Graph, mode_table: DataFrame) -> DataFrame:
+    """(node_id, sim): the mean of the neighbours' entries of the first mode, whose largest entry is positive; 0 for isolated nodes."""
+    first = mode_table.select(F.col("node_id").alias("dst"), F.get("v", 0).alias("v"))
+    found = graph.both_ways().join(first, "dst").groupBy(F.col("src").alias("node_id")).agg(F.avg("v").alias("sim"))
+    return graph.nodes.select("node_id").join(found, "node_id", "left").select("node_id", F.coalesce("sim", F.lit(0.0)).alias("sim"))

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.hashing import uniform
-from graphloom.plans.ranking import global_rank
+from graphloom.plans.ranking import global_rank, grouped_rank
 
 
 def stratified_split(nodes: DataFrame, fraction: float, seed: int, label: str = "y") -> DataFrame:
     """(node_id, label, part): of each label the first max(1, round half even of fraction x size) rows by hash train, the rest test."""
-    order = Window.partitionBy(label).orderBy("_u", "node_id")
-    ranked = nodes.select("node_id", label, uniform(seed, "node_id").alias("_u")).withColumn("_n", F.row_number().over(order))
+    ranked = grouped_rank(nodes.select("node_id", label, uniform(seed, "node_id").alias("_u")), label, F.asc("_u"), F.asc("node_id"), name="_n")
     sizes = nodes.groupBy(label).agg(F.count("*").alias("_size"))
     part = F.when(F.col("_n") <= F.greatest(F.lit(1.0), F.rint(F.lit(fraction) * F.col("_size"))), "train").otherwise("test")
     return ranked.join(sizes, label).select("node_id", label, part.alias("part"))
@@ -26,9 +25,8 @@ def fit_router_split(split: DataFrame, fraction: float, seed: int, label: str =
 
 def permute_within(rows: DataFrame, strata: str, value: str, seed: int) -> DataFrame:
     """``rows`` (node_id, strata, value) with the values of each stratum dealt anew among its nodes."""
-    by_id, by_hash = Window.partitionBy(strata).orderBy("node_id"), Window.partitionBy(strata).orderBy("_u", "node_id")
-    seats = rows.select("node_id", strata, F.row_number().over(by_id).alias("_n"))
-    dealt = rows.select(strata, F.col(value), "node_id", uniform(seed, "node_id").alias("_u")).select(strata, value, F.row_number().over(by_hash).alias("_n"))
+    seats = grouped_rank(rows.select("node_id", strata), strata, F.asc("node_id"), name="_n")
+    dealt = grouped_rank(rows.select(strata, F.col(value), "node_id", uniform(seed, "node_id").alias("_u")), strata, F.asc("_u"), F.asc("node_id"), name="_n").select(strata, value, "_n")
     return seats.join(dealt, [strata, "_n"]).select("node_id", strata, value)
 
 

@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.hashing import uniform
+from graphloom.plans.ranking import average_rank, global_rank
+
+
+#: A report has a row for each point of a grid of experiments; each task of a bootstrap holds all of them, 16 bytes a row.
+REPORT_ROWS = 1_000_000
 
 
 def seed_means(cells: DataFrame) -> DataFrame:
@@ -125,11 +130,6 @@ def holm(tests: DataFrame, p: str = "p", family: list[str] | None = None, alpha:
     return ranked.withColumn("threshold", F.lit(alpha) / F.col("_left")).withColumn("p_holm", adjusted).withColumn("rejected", F.col("p_holm") <= alpha).drop("_left")
 
 
-def average_rank(value: str, *partition: str) -> Column:
-    """Rank with ties sharing their mean rank."""
-    return F.rank().over(Window.partitionBy(*partition).orderBy(value)) + (F.count("*").over(Window.partitionBy(*partition, value)) - 1) / 2.0
-
-
 def _corr(x: str, y: str) -> Column:
     """Aggregate: Pearson's correlation; null if either is constant."""
     return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
@@ -137,13 +137,22 @@ def _corr(x: str, y: str) -> Column:
 
 def spearman(rows: DataFrame, x: str, y: str, group: str) -> DataFrame:
     """(group, rho, n) of each group."""
-    ranked = rows.select(group, average_rank(x, group).alias("_rx"), average_rank(y, group).alias("_ry"))
+    ranked = average_rank(average_rank(rows.select(group, x, y), group, x, "_rx"), group, y, "_ry")
     return ranked.groupBy(group).agg(_corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
 
 
+def strided_spearman(rows: DataFrame, order: str, x: str, y: str, most: int = 200_000) -> DataFrame:
+    """(rho, n) on every k-th row in the given order, k so that ``most`` rows are used at most."""
+    stride = max(1, -(-rows.count() // most))
+    drawn = global_rank(rows, F.asc(order), name="_row").where(F.col("_row") % stride == 0)
+    return spearman(drawn.select(F.lit(1).alias("_all"), x, y), x, y, "_all").select("rho", "n")
+
+
 def partial_spearman(rows: DataFrame, x: str, y: str, z: str, group: str) -> DataFrame:
     """(group, rho) of x and y given z, from the three pairwise correlations of ranks; null with fewer than 4 rows or a constant."""
-    ranked = rows.select(group, *[average_rank(c, group).alias(f"_r{i}") for i, c in enumerate((x, y, z))])
+    ranked = rows.select(group, x, y, z)
+    for i, c in enumerate((x, y, z)):
+        ranked = average_rank(ranked, group, c, f"_r{i}")
     r = ranked.groupBy(group).agg(_corr("_r0", "_r1").alias("xy"), _corr("_r0", "_r2").alias("xz"), _corr("_r1", "_r2").alias("yz"), F.count("*").alias("n"))
     below = F.sqrt((1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz")))
     return r.select(group, F.when((F.col("n") >= 4) & (below > 0), (F.col("xy") - F.col("xz") * F.col("yz")) / below).alias("rho"))
@@ -154,6 +163,9 @@ def bootstrap_spearman(rows: DataFrame, x: str, y: str, cluster: str, draws: int
 
     Draws are spread over tasks; each holds the clusters' rows, which a report has few of.
     """
+    total = rows.count()
+    if total > REPORT_ROWS:
+        raise ValueError(f"a report of {total} rows; draws hold {REPORT_ROWS} at most")
     held = [(c, g[[x, y]].to_numpy()) for c, g in rows.select(x, y, cluster).toPandas().groupby(cluster)]
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -555,6 +555,57 @@ def gen_separable(spark, folder):
     return rounded(B.separable(spark, 600, 0.6))
 
 
-@query("gen_roles")
+ROLES = "WITH n AS (SELECT i::BIGINT AS id, (CASE WHEN i < 40 THEN 0 WHEN i < 110 THEN 1 WHEN i < 120 THEN 2 ELSE 3 END)::INTEGER AS r FROM (SELECT unnest(range(0, 200)) AS i))"
+
+
+@query("gen_roles", ROLES + f""", rules(a, b, p) AS (VALUES (0, 1, 0.30::DOUBLE), (0, 2, 0.10::DOUBLE), (1, 1, 0.05::DOUBLE), (1, 3, 0.25::DOUBLE), (2, 3, 0.15::DOUBLE), (1, 2, 0.20::DOUBLE)),
+drawn AS (SELECT x.id AS src, z.id AS dst, 0.2::DOUBLE + 0.8::DOUBLE * {sql_uniform('0', "'w'", 'x.id', 'z.id')} AS w FROM n x JOIN n z ON x.id < z.id JOIN rules ON rules.a = x.r AND rules.b = z.r WHERE {sql_uniform('0', 'x.id', 'z.id')} < p),
+placed AS (SELECT id, row_number() OVER (ORDER BY {sql_uniform('0', "'b'", 'id')}, id) AS place FROM n),
+path AS (SELECT least(l.id, m.id) AS src, greatest(l.id, m.id) AS dst, 0.3::DOUBLE AS w FROM placed l JOIN placed m ON m.place = l.place + 1)
+SELECT src, dst, {r('max(w)', 'w')} FROM (SELECT * FROM drawn UNION ALL SELECT * FROM path) GROUP BY src, dst""")
 def gen_roles(spark, folder):
     return rounded(B.roles(spark, 200).edges)
+
+
+ERP = f"""WITH n AS (SELECT i::BIGINT AS id, (floor({sql_uniform('0', "'y'", 'i')} * 5)::INTEGER % 5)::INTEGER AS y, (CASE WHEN i < 40 THEN 0 WHEN i < 110 THEN 1 WHEN i < 120 THEN 2 ELSE 3 END)::INTEGER AS r FROM (SELECT unnest(range(0, 200)) AS i)),
+g AS (SELECT *, (CASE r WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 1 END)::INTEGER AS regime, (r = 2)::INTEGER AS fraud FROM n)"""
+
+
+@query("gen_erp_nodes", ERP + " SELECT id AS node_id, y, r AS role, regime, fraud FROM g")
+def gen_erp_nodes(spark, folder):
+    return B.erp_fraud(spark, 200).nodes.select("node_id", "y", "role", "regime", "fraud")
+
+
+@query("gen_erp_edges", ERP + f""", rules(low, high, chance) AS (VALUES {", ".join(f"({a}, {b}, {c}::DOUBLE)" for a, b, c in B.ERP_RULES)})
+SELECT a.id AS src, b.id AS dst, {r("0.2::DOUBLE + 0.8::DOUBLE * " + sql_uniform('0', "'w'", 'a.id', 'b.id'), 'w')}
+FROM g a JOIN g b ON a.id < b.id JOIN rules ON low = least(a.r, b.r) AND high = greatest(a.r, b.r)
+WHERE {sql_uniform('0', 'a.id', 'b.id')} < chance * 0.2::DOUBLE * CASE WHEN a.r <> b.r THEN 1.0::DOUBLE WHEN a.regime = 0 THEN CASE WHEN a.y = b.y THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END WHEN a.regime = 1 THEN CASE WHEN (a.y + 1) % 5 = b.y OR (b.y + 1) % 5 = a.y THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END ELSE 0.5::DOUBLE END""")
+def gen_erp_edges(spark, folder):
+    return rounded(B.erp_fraud(spark, 200).edges)
+
+
+BLOCKS = [[0.3, 0.02, 0.05], [0.02, 0.1, 0.1], [0.05, 0.1, 0.02]]
+
+
+@query("gen_homophily_range", f"WITH n AS (SELECT i::BIGINT AS id, (i % 3)::INTEGER AS y FROM (SELECT unnest(range(0, 150)) AS i)), p(a, b, c) AS (VALUES {', '.join(f'({i}, {j}, {c}::DOUBLE)' for i, row in enumerate(BLOCKS) for j, c in enumerate(row))}) SELECT x.id AS src, z.id AS dst, 1.0::DOUBLE AS w FROM n x JOIN n z ON x.id < z.id JOIN p ON a = x.y AND b = z.y WHERE {sql_uniform('0', 'x.id', 'z.id')} < c")
+def gen_homophily_range(spark, folder):
+    return B.homophily_range(spark, 150, BLOCKS).edges
+
+
+@query("gen_sbm_halved", SBM.replace("0.05::DOUBLE + 0.95::DOUBLE * ", "0.025::DOUBLE + 0.475::DOUBLE * "))
+def gen_sbm_halved(spark, folder):
+    return rounded(B.halved_sbm(spark, 120, 3).edges)
+
+
+@query("labelled_block", sql("SELECT src, dst, round(w, 6) + 0.0 AS w FROM edges WHERE src >= 500 AND dst >= 500"))
+def labelled_block(spark, folder):
+    from graphloom.sources.tables import labelled_block as block
+
+    return rounded(block(part_graph(spark, folder), 500).edges)
+
+
+@query("largest_sample")
+def largest_sample(spark, folder):
+    from graphloom.sources.tables import largest_sample as sample
+
+    return sample(part_graph(spark, folder), 300).nodes.select("node_id", "y")

@@ -1,21 +1,22 @@
-"""Ranks over a whole table without sending it to one task."""
+"""Ranks over a whole table without sending it, or a group of it, to one task."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.storage import staged
+
 
 def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """``df`` with its row number (from 1) in the given order, which must leave no ties.
+    """``df`` with its row number (from 1) in the given order; rows that tie get theirs in any order.
 
     Rows are range-partitioned and sorted where they are; a row's number is its place in its partition plus the rows
-    of the partitions before, of which there is one count each. The sorted rows are kept, since both uses must see
-    the same partitions.
+    of the partitions before, of which there is one count each. The sorted rows are written, so that every use, also
+    one after a lost executor, sees the same partitions.
     """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
-    ordered = ordered.persist(StorageLevel.MEMORY_AND_DISK)
+    ordered = staged(ordered, "ranked")
     sizes = sorted((r["_part"], r["count"]) for r in ordered.groupBy("_part").count().collect())  # one row a partition
     before, upto = [], 0
     for part, n in sizes:
@@ -23,3 +24,17 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
         upto += n
     offsets = df.sparkSession.createDataFrame(before or [(0, 0)], "_part int, _before long")
     return ordered.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
+def grouped_rank(df: DataFrame, group: str, *order: Column, name: str = "rank") -> DataFrame:
+    """``df`` with each row's number (from 1) within its group; a group of any size is spread over all tasks."""
+    ranked = global_rank(df, F.asc(group), *order, name=name)
+    firsts = ranked.groupBy(F.col(group).alias("_group")).agg(F.min(name).alias("_first"))
+    return ranked.join(firsts, F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_group", "_first")
+
+
+def average_rank(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """``df`` with the rank of ``value`` within the group, ties sharing their mean rank; null values come first."""
+    ranked = grouped_rank(df, group, F.asc(value), name="_row")
+    shared = ranked.groupBy(F.col(group).alias("_group"), F.col(value).alias("_value")).agg(F.avg("_row").alias(name))
+    return ranked.join(shared, F.col(group).eqNullSafe(F.col("_group")) & F.col(value).eqNullSafe(F.col("_value"))).drop("_row", "_group", "_value")

@@ -87,12 +87,12 @@ def decision_rules(spark, folder):
 
 
 ORDERS = """
-WITH o AS (SELECT o_orderpriority AS g, o_totalprice AS x, o_custkey::DOUBLE AS y, (o_orderkey % 97)::DOUBLE AS z FROM orders WHERE o_orderkey % 3 = 0),
+WITH o AS (SELECT o_orderpriority AS g, o_totalprice AS x, o_custkey::DOUBLE AS y, (o_orderkey % 97)::DOUBLE AS z FROM orders),
 k AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2.0::DOUBLE AS ry, rank() OVER (PARTITION BY g ORDER BY z) + (count(*) OVER (PARTITION BY g, z) - 1) / 2.0::DOUBLE AS rz FROM o)"""
 
 
 def _orders(spark, folder):
-    return table(spark, folder, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("x"), F.col("o_custkey").cast("double").alias("y"), (F.col("o_orderkey") % 97).cast("double").alias("z"))
+    return table(spark, folder, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("x"), F.col("o_custkey").cast("double").alias("y"), (F.col("o_orderkey") % 97).cast("double").alias("z"))
 
 
 @query("spearman", ORDERS + f"SELECT g, {r('corr(rx, ry)', 'rho')}, count(*)::BIGINT AS n FROM k GROUP BY g")

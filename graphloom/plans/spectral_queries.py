@@ -89,6 +89,40 @@ def mode_scores(spark, folder):
     return K.mode_similarity(g, modes, 8).join(K.mode_centrality(modes, 8), "node_id").join(K.resistance_scores(g, K.effective_resistance(g)), "node_id")
 
 
+@query("resistances_dispatched", sql("SELECT ((SELECT count(*) FROM nodes) - (SELECT count(DISTINCT component) FROM named))::DOUBLE AS energy", STRONG, recursive=True))
+def resistances_dispatched(spark, folder):
+    """Exact on components of up to ``EXACT_NODES`` nodes, which all are at small scale factors."""
+    return rounded(K.resistances(_strong(spark, folder), 16).agg(F.sum(F.col("w") * F.col("r")).alias("energy")), 5)
+
+
+@query("fiedler_neighbours")
+def fiedler_neighbours(spark, folder):
+    g = _planted(spark)
+    return K.fiedler_neighbours(g, K.modes(g, 1))
+
+
+@query("sparsify_leverage_unclipped")
+def sparsify_leverage_unclipped(spark, folder):
+    """The budget's edges of highest w r, without the clip at 1 that makes edges tie."""
+    from graphloom.plans.ranking import global_rank
+
+    scored = K.effective_resistance(_planted(spark)).withColumn("score", F.round(F.col("w") * F.col("r"), 9))
+    return global_rank(scored, F.desc("score"), F.asc("src"), F.asc("dst")).where(F.col("rank") <= 400).select("src", "dst", "score")
+
+
+@query("mode_scores_all")
+def mode_scores_all(spark, folder):
+    """Similarity and centrality for 2, 8, 32 and 128 modes, signed and absolute."""
+    g = _planted(spark)
+    modes = K.modes(g, 128).persist()
+    out = g.nodes.select("node_id")
+    for k in (2, 8, 32, 128):
+        for absolute in (False, True):
+            out = out.join(K.mode_similarity(g, modes, k, absolute).withColumnRenamed("sim", f"{'abs_' if absolute else ''}sim_{k}"), "node_id")
+        out = out.join(K.mode_centrality(modes, k).withColumnRenamed("centrality", f"centrality_{k}"), "node_id")
+    return out
+
+
 @query("kmeans_pool")
 def kmeans_pool(spark, folder):
     g = _planted(spark)

@@ -97,6 +97,60 @@ def stored_graph(spark: SparkSession, folder: str) -> Graph:
     return built
 
 
+def labelled_block(graph: Graph, first: int) -> Graph:
+    """The subgraph of the nodes from ``first`` on: in some sets the nodes before it have no labels."""
+    from graphloom.graph import induced
+
+    return induced(graph, graph.nodes.where(F.col("node_id") >= first))
+
+
+def largest_sample(graph: Graph, n: int, seed: int = 0, tries: int = 16) -> Graph:
+    """The largest component of a hashed sample of the largest component's nodes, with both labels in it.
+
+    The sample begins with ``n`` nodes and doubles until its largest component has two labels, ``tries`` times at most.
+    """
+    from graphloom.functions.hashing import uniform
+    from graphloom.graph import induced
+    from graphloom.operators.components import largest_component
+
+    whole = induced(graph, largest_component(graph))
+    total = whole.nodes.count()
+    for turn in range(tries):
+        share = min(1.0, n * 2**turn / max(total, 1))
+        drawn = induced(whole, whole.nodes.where(uniform(seed, "node_id") < share))
+        found = induced(drawn, largest_component(drawn))
+        if share >= 1 or found.nodes.agg(F.count_distinct("y")).first()[0] > 1:
+            break
+    if found.nodes.agg(F.count_distinct("y")).first()[0] < 2:
+        raise ValueError("the largest component has one label only")
+    return found
+
+
+def joined_passages(attention: DataFrame, passage_col: str = "passage_id") -> DataFrame:
+    """(src, dst, w, passage): the tokens of all passages as one graph of separate blocks, each after those of the passages before."""
+    from pyspark.sql import Window
+
+    sizes = attention.groupBy(passage_col).agg((F.max(F.greatest("query", "key")) + 1).alias("n"))
+    upto = F.sum("n").over(Window.orderBy(passage_col).rowsBetween(Window.unboundedPreceding, -1))  # a row for each passage
+    offsets = sizes.withColumn("before", F.coalesce(upto, F.lit(0)))
+    joined = attention.join(offsets, passage_col)
+    return joined.select((F.col("before") + F.col("query")).alias("src"), (F.col("before") + F.col("key")).alias("dst"), F.col("p").alias("w"), F.col(passage_col).alias("passage"))
+
+
+def read_points(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
+    """Points that a ladder or a report has written: JSON lines or CSV with a head line."""
+    return spark.read.option("header", True).option("inferSchema", True).format(kind).load(path)
+
+
+def merged_settings(*layers: dict) -> dict:
+    """Settings of which later layers win; those that are tables themselves are merged the same way."""
+    out: dict = {}
+    for layer in layers:
+        for name, value in layer.items():
+            out[name] = merged_settings(out[name], value) if isinstance(value, dict) and isinstance(out.get(name), dict) else value
+    return out
+
+
 LOADERS: dict[str, Callable[[SparkSession, str], Graph]] = {"part": part_graph, "embedding": embedding_graph, "stored": stored_graph}
 
 
