@@ -41,22 +41,27 @@ def encode_file(ids: np.ndarray) -> bytes:
     blocks = -(-len(ids) // BLOCK_IDS)
     held = np.zeros((blocks, BLOCK_IDS), np.uint64)
     held.reshape(-1)[: len(ids)] = ids
-    bits = np.ceil(np.log2(held.astype(np.float64) + 1)).astype(np.int8)
-    bits[held >= np.uint64(2**52)] = 60
-    bits[held >= np.uint64(2**60)] = 64
+    top = int(held.max(initial=0))
+    if top < 2**24:
+        bits = np.frexp(held.astype(np.float32))[1].astype(np.int8)
+    else:
+        bits = np.frexp(held.astype(np.float64))[1].astype(np.int8)
+        bits[held >= np.uint64(2**52)] = 60
+        bits[held >= np.uint64(2**60)] = 64
     widest = int(bits.max(initial=0))
     always = int(np.flatnonzero(WIDTH[1:] >= widest)[0]) + 1 if widest <= 60 else len(COUNT)
     selector = np.full((blocks, BLOCK_IDS), always if widest <= 60 else 0, np.int8)
-    place = np.arange(BLOCK_IDS, dtype=np.int16)
+    place, back = np.arange(BLOCK_IDS, dtype=np.int16), np.ascontiguousarray(bits[:, ::-1])
+    far = np.int16(2 * BLOCK_IDS)
     for s in range(always - 1, 0, -1):
-        narrow = bits <= WIDTH[s]
-        if narrow.mean() ** COUNT[s] < 1e-3:  # too few places, if any, would use it
+        narrow = back <= WIDTH[s]
+        if (np.count_nonzero(narrow) / max(narrow.size, 1)) ** COUNT[s] < 1e-3:  # too few places, if any, would use it
             continue
         if COUNT[s] == 1:
-            selector[narrow] = s
+            selector[narrow[:, ::-1]] = s
             continue
-        stop = np.minimum.accumulate(np.where(narrow, np.int16(2 * BLOCK_IDS), place)[:, ::-1], axis=1)[:, ::-1]
-        selector[stop - place >= COUNT[s]] = s
+        stop = np.minimum.accumulate(np.where(narrow, far, place[::-1]), axis=1)[:, ::-1]
+        np.copyto(selector, np.int8(s), where=stop - place >= COUNT[s])
     at, steps = np.zeros(blocks, np.int64), []
     row = np.arange(blocks)
     length = np.full(blocks, BLOCK_IDS)

@@ -134,7 +134,8 @@ class ChunkEncoder:
             out[apart] = self._store(np.fromiter(map(len, found), np.int64, len(found)), np.fromiter((i for ids in found for i in ids), np.int32))
         joined = words.filter(pa.array(~apart))
         if len(joined):
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(joined.to_pylist())], add_special_tokens=False)[0].ids, np.int32)
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(joined)], pa.int32()), joined), " ")[0].as_py()
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.int32)
             ends = np.cumsum(pc.binary_length(joined).to_numpy().astype(np.int64) + 1)
             upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
             out[~apart] = self._store(np.diff(upto, prepend=0), ids)
