@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.graph import Graph, edges_from_pairs
+from graphloom.storage import staged
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -113,15 +114,20 @@ def largest_sample(graph: Graph, n: int, seed: int = 0, tries: int = 16) -> Grap
     from graphloom.graph import induced
     from graphloom.operators.components import largest_component
 
-    whole = induced(graph, largest_component(graph))
+    def kept(part: Graph) -> Graph:
+        return Graph(staged(part.nodes, "nodes"), staged(part.edges, "edges"))
+
+    graph = kept(graph)
+    whole = kept(induced(graph, largest_component(graph)))
     total = whole.nodes.count()
     for turn in range(tries):
         share = min(1.0, n * 2**turn / max(total, 1))
-        drawn = induced(whole, whole.nodes.where(uniform(seed, "node_id") < share))
-        found = induced(drawn, largest_component(drawn))
-        if share >= 1 or found.nodes.agg(F.count_distinct("y")).first()[0] > 1:
+        drawn = kept(induced(whole, whole.nodes.where(uniform(seed, "node_id") < share)))
+        found = kept(induced(drawn, largest_component(drawn)))
+        labels = found.nodes.agg(F.count_distinct("y")).first()[0]
+        if share >= 1 or labels > 1:
             break
-    if found.nodes.agg(F.count_distinct("y")).first()[0] < 2:
+    if labels < 2:
         raise ValueError("the largest component has one label only")
     return found
 
