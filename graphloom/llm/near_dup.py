@@ -269,8 +269,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = staged(members.select("node", "key").join(sizes, "key"), "buckets")
     # Candidates grow with the corpus, so that their list is never broadcast: the texts are shuffled once.
+    # Copies are combined where they are read, so that no task gets all rows of one text.
     candidates = buckets.select("node").distinct().hint("merge")
-    held = staged(source.select("node", "text").join(candidates, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    held = staged(source.groupBy("node").agg(F.first("text").alias("text")).join(candidates, "node", "left_semi"), "texts")
     shared = buckets.groupBy("node").agg(F.sum("size").alias("shared"))
     apart = buckets.join(shared, "node").withColumn("component", F.col("node"))
     named = components(_linked(_stars(apart), held, threshold, words))
