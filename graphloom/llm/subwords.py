@@ -159,6 +159,19 @@ class ChunkEncoder:
         starts[~whole], starts[whole] = np.cumsum(n) - n, len(ids) + np.cumsum(counts[whole]) - counts[whole]
         return gather(both, starts, counts), counts
 
+    def _entries(self, chunks: pa.Array, hashed: list[np.ndarray], wanted: np.ndarray, before: str) -> np.ndarray:
+        """The entry of each wanted chunk with ``before`` in front of it; 0 for the others."""
+        kinds = np.flatnonzero(wanted)
+        a, b = (mix(h[kinds] + np.uint64(len(before))) for h in hashed)
+        found = self.places.find(a, b)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = self._learn(chunks.take(pa.array(kinds[new])), before)
+            self.places.add(a[new], b[new], found[new])
+        out = np.zeros(len(chunks), np.int64)
+        out[kinds] = found
+        return out
+
     def _encode_chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
@@ -166,30 +179,20 @@ class ChunkEncoder:
         offsets = split.offsets.to_numpy().astype(np.int64)
         coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         offsets = offsets - offsets[0]
-        first = np.zeros(offsets[-1], bool)
-        first[offsets[:-1][np.diff(offsets) > 0]] = True
         code = coded.indices.to_numpy()
+        begin = offsets[:-1][np.diff(offsets) > 0]
+        first = code[begin]
         if self.entries > REMEMBERED:
             self._forget()
         raw, bounds = utf8(coded.dictionary)
         hashed = [hash_spans(raw, bounds[:-1], bounds[1:]), hash_spans(raw ^ 0x5A, bounds[:-1], bounds[1:])]
-        at = np.zeros(len(code), np.int64)
-        for of, before in ((~first, " "), (first, "")):
-            seen = np.zeros(len(coded.dictionary), bool)
-            seen[code[of]] = True
-            kinds = np.flatnonzero(seen)
-            a, b = (mix(h[kinds] + np.uint64(len(before))) for h in hashed)
-            found = self.places.find(a, b)
-            new = np.flatnonzero(found < 0)
-            if len(new):
-                found[new] = self._learn(coded.dictionary.take(pa.array(kinds[new])), before)
-                self.places.add(a[new], b[new], found[new])
-            place = np.zeros(len(coded.dictionary), np.int64)
-            place[kinds] = found
-            at[of] = place[code[of]]
-        n = self.n[at].astype(np.int64)
+        opening = np.bincount(first, minlength=len(coded.dictionary))
+        spaced = self._entries(coded.dictionary, hashed, np.bincount(code, minlength=len(coded.dictionary)) > opening, " ")
+        alone = self._entries(coded.dictionary, hashed, opening > 0, "")[first]
+        at, n = self.at[spaced][code], self.n[spaced].astype(np.int64)[code]
+        at[begin], n[begin] = self.at[alone], self.n[alone]
         before = np.concatenate([[0], np.cumsum(n)])
-        return gather(self.ids, self.at[at], n), before[offsets[1:]] - before[offsets[:-1]]
+        return gather(self.ids, at, n), before[offsets[1:]] - before[offsets[:-1]]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
