@@ -51,18 +51,34 @@ def mean_ci95(spark, folder):
 
 
 # All sign patterns of 10 distinct ranks: the share with a rank sum no larger than the smaller of the two, doubled.
-@query("wilcoxon_exact", CELLS + """, ranked AS (SELECT name, d, rank() OVER (PARTITION BY name ORDER BY round(abs(d), 12)) + (count(*) OVER (PARTITION BY name, round(abs(d), 12)) - 1) / 2.0::DOUBLE AS k, row_number() OVER (PARTITION BY name ORDER BY round(abs(d), 12), split) AS i FROM diffs WHERE abs(d) > 1e-12),
+WILCOXON = CELLS + """, ranked AS (SELECT name, d, rank() OVER (PARTITION BY name ORDER BY round(abs(d), 12)) + (count(*) OVER (PARTITION BY name, round(abs(d), 12)) - 1) / 2.0::DOUBLE AS k, row_number() OVER (PARTITION BY name ORDER BY round(abs(d), 12), split) AS i FROM diffs WHERE abs(d) > 1e-12),
 low AS (SELECT name, least(sum(k) FILTER (d > 0), sum(k) - coalesce(sum(k) FILTER (d > 0), 0)) AS low FROM ranked GROUP BY name),
 patterns AS (SELECT unnest(range(0, 1024)) AS m),
-sums AS (SELECT name, m, sum(CASE WHEN (m >> (i - 1)::INTEGER) & 1 = 1 THEN k ELSE 0 END) AS s FROM ranked, patterns GROUP BY ALL)
+sums AS (SELECT name, m, sum(CASE WHEN (m >> (i - 1)::INTEGER) & 1 = 1 THEN k ELSE 0 END) AS s FROM ranked, patterns GROUP BY ALL)"""
+
+
+@query("wilcoxon_exact", WILCOXON + """
 SELECT name, round(least(1, 2 * avg((s <= coalesce(low, 0) + 1e-9)::INTEGER::DOUBLE)), 9) + 0.0 AS p_wilcoxon FROM sums JOIN low USING (name) GROUP BY name""")
 def wilcoxon_exact(spark, folder):
     return rounded(S.comparisons(S.paired(_cells(spark), PAIRS)).select("name", "p_wilcoxon"), 9)
 
 
-@query("protocol_table")
+# Student's t with 9 degrees of freedom has a closed form; 2.2621571627409915 is its 97.5 % point.
+COMPARED = WILCOXON + """, pw AS (SELECT name, least(1, 2 * avg((s <= coalesce(low, 0) + 1e-9)::INTEGER::DOUBLE)) AS p FROM sums JOIN low USING (name) GROUP BY name),
+t AS (SELECT name, avg(d) AS m, stddev_samp(d) / sqrt(count(*)) AS se, stddev_pop(d) AS s0, count(*) AS n, atan(abs(avg(d)) / (stddev_samp(d) / sqrt(count(*))) / 3) AS th FROM diffs GROUP BY name)"""
+
+
+def _holm_sql(source: str) -> str:
+    return f", h AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, name) + 1)::DOUBLE AS k FROM {source}), adj AS (SELECT *, least(1, max(k * p) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING)) AS p_holm FROM h)"
+
+
+@query("protocol_table", COMPARED + _holm_sql("pw") + """
+SELECT name, round(m, 9) + 0.0 AS mean_diff, round(m - 2.2621571627409915::DOUBLE * se, 9) + 0.0 AS ci_low, round(m + 2.2621571627409915::DOUBLE * se, 9) + 0.0 AS ci_high, round(p, 9) + 0.0 AS p_wilcoxon,
+  round(1 - 2 / pi() * (th + sin(th) * (cos(th) + 2 / 3::DOUBLE * pow(cos(th), 3) + 8 / 15::DOUBLE * pow(cos(th), 5) + 16 / 35::DOUBLE * pow(cos(th), 7))), 9) + 0.0 AS p_paired_t,
+  round(CASE WHEN s0 > 1e-12 THEN m / s0 ELSE 0 END, 3) + 0.0 AS effect_size_dz, n::INTEGER AS n_pairs, round(0.05::DOUBLE / k, 9) + 0.0 AS threshold, round(p_holm, 9) + 0.0 AS p_holm, p_holm <= 0.05::DOUBLE AS rejected
+FROM adj JOIN t USING (name)""")
 def protocol_table(spark, folder):
-    return S.holm(S.comparisons(S.paired(_cells(spark), PAIRS)), "p_wilcoxon")
+    return rounded(S.holm(S.comparisons(S.paired(_cells(spark), PAIRS)), "p_wilcoxon"), 9).withColumn("effect_size_dz", F.round("effect_size_dz", 3))
 
 
 TESTS = f", tests AS (SELECT 't' || i AS name, (i % 3)::INTEGER AS fam, CASE WHEN i % 7 = 6 THEN NULL ELSE round({sql_uniform('9', 'i')} / 10, 9) END AS p FROM (SELECT unnest(range(0, 30)) AS i))"
@@ -80,10 +96,14 @@ def holm_adjust(spark, folder):
     return rounded(S.holm(_tests(spark), "p", ["fam"]), 9)
 
 
-@query("decision_rules")
+RULES = ", ".join(f"bool_or(ok) FILTER (name = '{d}') AS \"{d}\", round(max(p_holm) FILTER (name = '{d}'), 6) + 0.0 AS \"{d}_p\"" for d in ("D1", "D2", "D3", "D4"))
+
+
+@query("decision_rules", COMPARED + ", u AS (SELECT name, p, m FROM pw JOIN t USING (name) UNION ALL SELECT 'D4', p, m FROM pw JOIN t USING (name) WHERE name = 'D1')" + _holm_sql("u") + f""", w AS (SELECT {RULES} FROM (SELECT *, p_holm <= 0.05::DOUBLE AND m > 0 AS ok FROM adj))
+SELECT *, CASE WHEN "D1" AND "D2" AND "D4" THEN 'supported' WHEN "D1" AND NOT "D2" THEN 'existence only' ELSE 'not supported' END AS verdict FROM w""")
 def decision_rules(spark, folder):
     compared = S.comparisons(S.paired(_cells(spark), PAIRS)).select("name", "mean_diff", F.col("p_wilcoxon").alias("p"))
-    return S.decisions(compared, compared.where("name = 'D1'"))
+    return rounded(S.decisions(compared, compared.where("name = 'D1'")))
 
 
 ORDERS = """
