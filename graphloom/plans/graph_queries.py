@@ -358,6 +358,11 @@ def assign_quantile(spark, folder):
     return R.with_channel(R.bucket_by_quantile(_scores(spark, folder), "h")).select("node_id", "channel")
 
 
+@query("assign_quantile_unguarded", sql("SELECT node_id, CASE WHEN h >= hi THEN 0 WHEN h <= lo THEN 2 ELSE 1 END::INTEGER AS channel FROM (SELECT node_id, round(h, 9) AS h FROM hom), (SELECT quantile_cont(round(h, 9), 1.0/3) AS lo, quantile_cont(round(h, 9), 2.0/3) AS hi FROM hom WHERE h IS NOT NULL)", HOM))
+def assign_quantile_unguarded(spark, folder):
+    return R.with_channel(R.bucket_by_quantile(_scores(spark, folder), "h", guarded=False)).select("node_id", "channel")
+
+
 @query("assign_fixed", sql("SELECT node_id, channel::INTEGER AS channel FROM fixed", ROUTED))
 def assign_fixed(spark, folder):
     return R.with_channel(R.bucket_by_homophily(_scores(spark, folder))).select("node_id", "channel")
@@ -407,6 +412,16 @@ def assignment_agreement(spark, folder):
     return rounded(R.agreement(R.bucket_by_quantile(h, "h"), R.bucket_by_homophily(h)))
 
 
+@query("hard_gates", sql("SELECT node_id, [(channel = 0)::INTEGER::DOUBLE, (channel = 1)::INTEGER::DOUBLE, (channel = 2)::INTEGER::DOUBLE] AS gates FROM fixed", ROUTED))
+def hard_gates(spark, folder):
+    return R.hard(R.bucket_by_homophily(_scores(spark, folder)))
+
+
+@query("normalised_gates", sql("SELECT node_id, [round(x[1] / greatest(s, 1e-12), 6) + 0.0, round(x[2] / greatest(s, 1e-12), 6) + 0.0, round(x[3] / greatest(s, 1e-12), 6) + 0.0] AS gates FROM (SELECT node_id, x, x[1] + x[2] + x[3] AS s FROM nodes)"))
+def normalised_gates(spark, folder):
+    return rounded(R.normalised(part_graph(spark, folder).nodes.select("node_id", F.col("x").alias("gates"))))
+
+
 @query("expert_mask", sql("SELECT q.node_id, q.channel = 1 OR (SELECT lo >= hi FROM bq) AS routed FROM quant q", ROUTED))
 def expert_mask(spark, folder):
     return R.expert_mask(R.bucket_by_quantile(_scores(spark, folder), "h"), 1)
@@ -499,7 +514,15 @@ def word_tokens(spark, folder):
     return P.word_tokens(texts, "text_id", "text")
 
 
-@query("sentence_ids")
+SENTENCES = r"""WITH t AS (SELECT conv_id * 1000 + turn AS text_id, text FROM conversations), w AS (SELECT text_id, regexp_extract_all(text, '\s*\S+') AS m FROM t), u AS (SELECT text_id, m, unnest(range(1, len(m) + 1)) AS i FROM w),
+k AS (SELECT text_id, (i - 1)::INTEGER AS pos, regexp_extract(m[i], '\S+') AS token, (coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) + length(m[i]) - length(regexp_extract(m[i], '\S+')))::INTEGER AS start FROM u),
+p AS (SELECT text_id, regexp_extract_all(text, '(?s).*?(?:[.!?]+\s+|[.!?]+$|\n[ \t]*\n|\z)') AS m FROM t), q AS (SELECT text_id, m, unnest(range(1, len(m) + 1)) AS i FROM p),
+e AS (SELECT text_id, coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) + length(regexp_replace(m[i], '\s+$', '')) - CASE WHEN regexp_matches(m[i], '(?s)\n[ \t]*\n$') AND NOT regexp_matches(m[i], '(?s)[.!?]\s+$') THEN 0 ELSE 1 END AS place FROM q WHERE length(m[i]) > 0),
+b AS (SELECT text_id, list(DISTINCT place) AS ends FROM (SELECT * FROM e UNION ALL SELECT text_id, length(text) FROM t) GROUP BY text_id)
+SELECT k.*, len(list_filter(ends, lambda x: x < start))::INTEGER AS sentence_id FROM k JOIN b USING (text_id)"""
+
+
+@query("sentence_ids", SENTENCES)
 def sentence_ids(spark, folder):
     texts = table(spark, folder, "conversations").withColumn("text_id", F.col("conv_id") * 1000 + F.col("turn"))
     return P.sentence_ids(P.word_tokens(texts, "text_id", "text"), texts, "text_id", "text")
