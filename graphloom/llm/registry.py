@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import line_rules, merge_dropout, pii, quality, sharding, span_dedup, topk_search
+from graphloom.llm import conversation_trie, fill_middle, line_rules, merge_dropout, pii, quality, sharding, sim_hash, span_dedup, topk_search
 from graphloom.llm.binary_ids import read_ids, write_ids
 from graphloom.llm.near_dup import near_duplicates
 from graphloom.llm.packing import pack_documents
@@ -62,6 +62,20 @@ def op10_semantic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents, quality.fit(documents, _table(spark, sf_dir, "labels")))
 
 
+def op11_byte_dfa_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_middle.restored(F.col("text"), F.col("fim.form"))
+    return made.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", F.sha2("text", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_pivot_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sim_hash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_family_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations")).drop("node", "parent")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_sentence_spans": op2_sentence_spans,
@@ -73,10 +87,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_dart_minhash": op8_dart_minhash,
     "op9_line_frequency": op9_line_frequency,
     "op10_semantic_neighbours": op10_semantic_neighbours,
+    "op11_byte_dfa_middles": op11_byte_dfa_middles,
+    "op12_pivot_simhash": op12_pivot_simhash,
+    "op13_family_trie": op13_family_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_sentence_spans": span_dedup.ORACLE_SQL,
     "op3_term_at_a_time": topk_search.ORACLE_SQL,
     "op5_extendible_hashing": sharding.ORACLE_SQL,
     "op9_line_frequency": line_rules.ORACLE_SQL,
+    "op11_byte_dfa_middles": fill_middle.ORACLE_SQL,
+    "op13_family_trie": conversation_trie.ORACLE_SQL,
 }
