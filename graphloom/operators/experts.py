@@ -1,17 +1,21 @@
 """Experts on routed nodes, and the mixtures' accuracies.
 
-Experts of a (split, seed) are fitted side by side, one group for each expert.
+Experts of all (split, seed) are fitted side by side, by passes over the nodes.
 A condition is then a join of its channels with the experts' predictions: any
 number of routings costs no further fit.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators import fitting
+from graphloom.storage import staged
+
 MIN_ROWS = 10
 
 
@@ -89,31 +93,50 @@ class Mlp:
         return self._softmax(np.maximum(x @ self.p[0] + self.p[2], 0) @ self.p[1] + self.p[3])
 
 
-HEADS = {"logistic": lambda n, seed: Logistic(n), "mlp": lambda n, seed: Mlp(n, seed=seed), "mlp_wide": lambda n, seed: Mlp(n, width=128, seed=seed)}
+#: Widths of the networks' hidden layers by head; ``dendrites`` gives each expert another one.
+WIDTHS = {"mlp": [64], "mlp_wide": [128], "dendrites": [16, 64, 128]}
 
 
 def fit_pool(nodes: DataFrame, splits: DataFrame, pool: DataFrame, n_classes: int, n_channels: int = 3, head: str = "logistic") -> DataFrame:
-    """(split, seed, expert, node_id, pred, proba) of every expert on every test node.
+    """(split, seed, expert, node_id, pred, proba) of every expert on every node that it was not trained on.
 
     ``splits`` has (split, seed, node_id, part), ``pool`` (node_id, gates). An expert trains on nodes whose gate is 0.01
-    at least; with fewer than ``MIN_ROWS`` of them on all, so that no expert is missing. A graph has to fit one task;
-    what is parallel is (split, seed, expert).
+    at least; with fewer than ``MIN_ROWS`` of them on all, so that no expert is missing. All experts of all (split, seed),
+    of which a protocol has few, are fitted side by side by passes over the nodes, wherever they are (``fitting``).
+    Heads: logistic, or a network of ``WIDTHS``. An expert that has seen one class only always says that class.
     """
-    rows = splits.join(nodes.select("node_id", "x", "y"), "node_id").join(pool.select("node_id", "gates"), "node_id")
-    spread = rows.withColumn("expert", F.explode(F.sequence(F.lit(0), F.lit(n_channels - 1))))
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("node_id")
-        k, seed = int(part["expert"].iloc[0]), int(part["seed"].iloc[0])
-        train = (part["part"] == "train").to_numpy()
-        routed = np.array([g[k] >= 0.01 for g in part["gates"]])
-        use = train & routed if (train & routed).sum() >= MIN_ROWS else train
-        x, y = np.stack(part["x"]), part["y"].to_numpy()
-        proba = HEADS[head](n_classes, seed).fit(x[use], y[use]).predict_proba(x[~train])
-        test = part.loc[~train]
-        return pd.DataFrame({"split": test["split"], "seed": test["seed"], "expert": k, "node_id": test["node_id"], "pred": proba.argmax(1).astype(np.int32), "proba": list(proba)})
-
-    return spread.groupBy("split", "seed", "expert").applyInPandas(fit, "split int, seed int, expert int, node_id long, pred int, proba array<double>")
+    cells = [(r["split"], r["seed"]) for r in splits.select("split", "seed").distinct().orderBy("split", "seed").collect()]
+    models = [(split, seed, k) for split, seed in cells for k in range(n_channels)]
+    part = lambda name, cell: F.max(((F.col("part") == name) & (F.col("split") == cell[0]) & (F.col("seed") == cell[1])).cast("int"))
+    other = lambda cell: F.max(((F.col("part") != "train") & (F.col("split") == cell[0]) & (F.col("seed") == cell[1])).cast("int"))
+    parts = splits.groupBy("node_id").agg(F.array(*[part("train", c) for c in cells]).alias("train"), F.array(*[other(c) for c in cells]).alias("other"))
+    rows = nodes.select("node_id", "x", "y").join(parts, "node_id").join(pool.select("node_id", "gates"), "node_id")
+    train = [F.get("train", cells.index(m[:2])).cast("double") for m in models]
+    routed = [t * (F.get("gates", m[2]) >= 0.01).cast("double") for t, m in zip(train, models, strict=True)]
+    rows = staged(rows.select("node_id", "x", "y", F.array(*routed).alias("routed"), F.array(*train).alias("train"), F.array(*[F.get("other", cells.index(m[:2])).cast("double") for m in models]).alias("test")), "rows")
+    few = fitting.class_counts(rows.select("y", F.col("routed").alias("use")), len(models), n_classes).sum(1) < MIN_ROWS
+    used = F.array(*[F.get("train" if small else "routed", j) for j, small in enumerate(few.tolist())])
+    rows = staged(rows.select("node_id", "x", "y", used.alias("use"), "test"), "rows")
+    counts = fitting.class_counts(rows, len(models), n_classes)
+    first = rows.select(F.size("x").alias("n")).first()
+    width = first["n"] if first else 0
+    if head == "logistic":
+        weights = fitting.fit_logistic(rows, counts > 0, width)
+        made = [partial(_linear, weights[j], counts[j] > 0) for j in range(len(models))]
+    else:
+        hidden = [WIDTHS[head][m[2] % len(WIDTHS[head])] for m in models]
+        made = [partial(_network, p) for p in fitting.fit_mlp(rows, counts, width, hidden, [m[1] for m in models])]
+    return fitting.predicted(rows, models, made)
+
+
+def _linear(w: np.ndarray, seen: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not seen.any():
+        return np.full((len(x), len(seen)), 1.0 / len(seen))
+    return fitting.softmax(np.where(seen, x @ w[:-1] + w[-1], -np.inf))
+
+
+def _network(p: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    return fitting.softmax(np.maximum(x @ p[0] + p[2], 0) @ p[1] + p[3])
 
 
 def mixture_cells(predictions: DataFrame, nodes: DataFrame, conditions: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.hashing import uniform
 from graphloom.functions.vectors import argmax
+from graphloom.plans.ranking import quantiles
+from graphloom.storage import staged
 
 CHANNELS = 3
 
@@ -19,9 +21,12 @@ def _one_hot(channel: Column) -> Column:
     return F.array(*[(channel == k).cast("double") for k in range(CHANNELS)])
 
 
-def _terciles(scores: DataFrame, score: str) -> DataFrame:
+def _terciles(scores: DataFrame, score: str) -> tuple[DataFrame, DataFrame]:
+    """The scores, written as they are read several times, and one row: q (the terciles), least and most."""
+    scores = staged(scores, "scores")
+    low, high = quantiles(scores, score, [1 / 3, 2 / 3])
     finite = scores.where(F.col(score).isNotNull() & ~F.isnan(score))
-    return finite.agg(F.percentile(score, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"), F.min(score).alias("least"), F.max(score).alias("most"))
+    return scores, finite.agg(F.min(score).alias("least"), F.max(score).alias("most")).withColumn("q", F.array(F.lit(low).cast("double"), F.lit(high).cast("double")))
 
 
 def bucket_by_quantile(scores: DataFrame, score: str = "score", guarded: bool = True) -> DataFrame:
@@ -29,7 +34,8 @@ def bucket_by_quantile(scores: DataFrame, score: str = "score", guarded: bool =
 
     Guarded: equal terciles give way to minimum and maximum; if those are equal too, all gates are uniform.
     """
-    bounds = _terciles(scores, score).select(F.get("q", 0).alias("lo"), F.get("q", 1).alias("hi"), "least", "most")
+    scores, found = _terciles(scores, score)
+    bounds = found.select(F.get("q", 0).alias("lo"), F.get("q", 1).alias("hi"), "least", "most")
     if guarded:
         tied = F.col("lo") >= F.col("hi")
         bounds = bounds.select(F.when(tied, F.col("least")).otherwise(F.col("lo")).alias("lo"), F.when(tied, F.col("most")).otherwise(F.col("hi")).alias("hi"))
@@ -46,10 +52,11 @@ def bucket_by_homophily(scores: DataFrame, score: str = "h", low: float = 0.4, h
 
     Adaptive bounds are the terciles, unless they are equal: then the fixed ones hold.
     """
-    bounds = _terciles(scores, score).select(F.get("q", 0).alias("lo"), F.get("q", 1).alias("hi"))
     if not adaptive:
-        bounds = bounds.select(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
+        bounds = scores.sparkSession.range(1).select(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
     else:
+        scores, found = _terciles(scores, score)
+        bounds = found.select(F.get("q", 0).alias("lo"), F.get("q", 1).alias("hi"))
         tied = F.col("lo").isNull() | (F.col("lo") >= F.col("hi"))
         bounds = bounds.select(F.when(tied, low).otherwise(F.col("lo")).alias("lo"), F.when(tied, high).otherwise(F.col("hi")).alias("hi"))
     a, b, c = map(F.lit, gates)

@@ -91,8 +91,8 @@ def mass_match(sparse: DataFrame, full: DataFrame) -> DataFrame:
     return sparse.join(F.broadcast(total)).select("src", "dst", F.when(F.col("_own") > 0, F.col("w") * F.col("_full") / F.col("_own")).otherwise(F.col("w")).alias("w"))
 
 
-def retention_grid(graph: Graph, retentions: list[float], seed: int = 0) -> DataFrame:
-    """(method, retention, src, dst, w) of the random, degree and weight methods at all retentions.
+def retention_grid(graph: Graph, retentions: list[float], seed: int = 0, methods: tuple[str, ...] = ("random", "degree", "weight")) -> DataFrame:
+    """(method, retention, src, dst, w) of the methods at all retentions: random, degree, weight and er (``resistance_grid``).
 
     Each method ranks the edges once; a point is a comparison with its budget, so that a grid costs no more shuffles
     than a single point. Budgets round half to even.
@@ -106,10 +106,41 @@ def retention_grid(graph: Graph, retentions: list[float], seed: int = 0) -> Data
         factor = F.when(F.col("p.budget") < total, F.lit(float(total)) / F.col("p.budget")).otherwise(1.0) if scale else F.lit(1.0)
         return rows.select(F.lit(method).alias("method"), F.col("p.retention").alias("retention"), "src", "dst", (F.col("w") * factor).alias("w"))
 
-    by_hash = global_rank(graph.edges.withColumn("_u", uniform(seed, "src", "dst")), F.asc("_u"), F.asc("src"), F.asc("dst"))
-    by_degree = global_rank(degree_scores(graph), F.desc("score"), F.asc("src"), F.asc("dst"))
-    by_weight = global_rank(graph.edges, F.desc("w"), F.asc("src"), F.asc("dst"))
-    return at_points(by_hash, "random", True).union(at_points(by_degree, "degree", False)).union(at_points(by_weight, "weight", False))
+    ranked = {
+        "random": lambda: global_rank(graph.edges.withColumn("_u", uniform(seed, "src", "dst")), F.asc("_u"), F.asc("src"), F.asc("dst")),
+        "degree": lambda: global_rank(degree_scores(graph), F.desc("score"), F.asc("src"), F.asc("dst")),
+        "weight": lambda: global_rank(graph.edges, F.desc("w"), F.asc("src"), F.asc("dst")),
+    }
+    if unknown := set(methods) - {*ranked, "er"}:
+        raise ValueError(f"unknown methods: {sorted(unknown)}")
+    out = None
+    for method in methods:
+        part = resistance_grid(graph, retentions, seed) if method == "er" else at_points(ranked[method](), method, method == "random")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def resistance_edges(graph: Graph, budget: int, seed: int = 0, epsilon: float = 0.1) -> DataFrame:
+    """``budget`` edges by effective resistance, drawn with ``spectral_edges``' probabilities; resistances are projected ones (``iterative``)."""
+    from graphloom.operators.iterative import sketched_resistance
+
+    return spectral_edges(sketched_resistance(graph, seed=seed), graph.nodes.count(), budget, epsilon, sample=True, seed=seed)
+
+
+def resistance_grid(graph: Graph, retentions: list[float], seed: int = 0, epsilon: float = 0.1) -> DataFrame:
+    """(method, retention, src, dst, w) of the resistance method (``er``) at all retentions; resistances are worked out once.
+
+    An edge's probability depends on the budget, so that each point draws for itself. Budgets round half to even.
+    """
+    from graphloom.operators.iterative import sketched_resistance
+
+    scored = sketched_resistance(graph, seed=seed)
+    total, nodes = _count(scored), graph.nodes.count()
+    points = [spectral_edges(scored, nodes, int(round(r * total)), epsilon, sample=True, seed=seed).select(F.lit("er").alias("method"), F.lit(r).alias("retention"), "src", "dst", "w") for r in retentions]
+    out = points[0]
+    for point in points[1:]:
+        out = out.union(point)
+    return out
 
 
 def frobenius_delta(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -123,5 +154,6 @@ def frobenius_delta(a: DataFrame, b: DataFrame) -> DataFrame:
 METHODS: dict[str, Callable[[Graph, int, int], DataFrame]] = {
     "random": lambda g, budget, seed: random_edges(g.edges, budget, seed),
     "degree": lambda g, budget, seed: degree_edges(g, budget),
+    "er": lambda g, budget, seed: resistance_edges(g, budget, seed),
     "threshold": lambda g, budget, seed: threshold_for_budget(g.edges, budget),
 }

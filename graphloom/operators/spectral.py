@@ -1,11 +1,14 @@
-"""Spectra of graphs' components, by dense kernels on one component each.
+"""Spectra, modes and resistances of graphs.
 
-A component is gathered in one task, so its size is checked: larger ones are
-refused rather than tried. What has a closed form is in ``identities``.
+Components of up to ``EXACT_NODES`` nodes are solved by dense kernels, one task
+each; larger ones by the solvers of ``iterative``, whose work is spread over
+all tasks. What has a closed form is in ``identities``.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,21 +16,39 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, degrees, induced
 from graphloom.operators.components import connected_components
+from graphloom.operators.iterative import extreme_modes, quadrature, sketched_resistance
+from graphloom.storage import staged
 
-#: A dense matrix of a component has 8 bytes a cell: 1.2 GB at ``MAX_NODES``. Up to ``EXACT_NODES`` resistances are exact by default.
-MAX_NODES, EXACT_NODES = 12_000, 2000
+#: A dense matrix of a component has 8 bytes a cell: 32 MB at this size.
+EXACT_NODES = 2000
 EPS = 1e-8
 
 
-def by_component(graph: Graph, limit: int = MAX_NODES) -> DataFrame:
-    """(component, src, dst, w) of all edges, and a row with null ends for each component of one node."""
-    named = connected_components(graph)
+@dataclass(frozen=True)
+class Parts:
+    """A graph by the size of its components: ``small`` has (component, src, dst, w), with a row of null ends for each lone node;
+    ``names`` are the large components, of which there are fewer than nodes / ``limit``; ``named`` has every node's component."""
+
+    graph: Graph
+    small: DataFrame
+    named: DataFrame
+    names: list[int]
+
+    def large(self, name: int | None = None) -> Graph:
+        """A large component, or all of them."""
+        chosen = self.named.where(F.col("component").isin(self.names if name is None else [name]))
+        return induced(self.graph, chosen)
+
+
+def parted(graph: Graph, limit: int = EXACT_NODES) -> Parts:
+    graph = Graph(graph.nodes, staged(graph.edges, "edges"))
+    named = staged(connected_components(graph), "named")
     sizes = named.groupBy("component").agg(F.count("*").alias("n"))
-    if (largest := sizes.agg(F.max("n")).first()[0] or 0) > limit:
-        raise ValueError(f"a component has {largest} nodes; dense kernels take {limit} at most")
-    edges = graph.edges.join(named.withColumnRenamed("node_id", "src"), "src").select("component", "src", "dst", "w")
-    alone = sizes.where("n = 1").select("component", F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("double").alias("w"))
-    return edges.union(alone)
+    names = [r["component"] for r in sizes.where(F.col("n") > limit).select("component").collect()]
+    few = named.join(sizes.where(F.col("n") <= limit), "component")
+    edges = graph.edges.join(few.select(F.col("node_id").alias("src"), "component"), "src").select("component", "src", "dst", "w")
+    alone = sizes.where((F.col("n") == 1) & (F.col("n") <= limit)).select("component", F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("double").alias("w"))
+    return Parts(graph, edges.union(alone), named, names)
 
 
 def dense_laplacian(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -42,19 +63,35 @@ def dense_laplacian(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return ids, out
 
 
-def spectrum(graph: Graph, limit: int = MAX_NODES) -> DataFrame:
-    """(component, idx, eigenvalue) of the Laplacian, ascending within each component."""
-
+def _dense_spectrum(parts: Parts) -> DataFrame:
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         _, lap = dense_laplacian(part)
         values = np.linalg.eigvalsh(lap) if len(lap) else np.zeros(1)
-        return pd.DataFrame({"component": part["component"].iloc[0], "idx": np.arange(len(values), dtype=np.int32), "eigenvalue": np.maximum(values, 0)})
+        return pd.DataFrame({"component": part["component"].iloc[0], "idx": np.arange(len(values), dtype=np.int32), "eigenvalue": np.maximum(values, 0), "weight": 1.0})
 
-    return by_component(graph, limit).groupBy("component").applyInPandas(solve, "component long, idx int, eigenvalue double")
+    return parts.small.groupBy("component").applyInPandas(solve, "component long, idx int, eigenvalue double, weight double")
 
 
-def modes(graph: Graph, k: int, limit: int = MAX_NODES) -> DataFrame:
-    """(node_id, component, v): entries of the component's k eigenvectors after the constant one; the largest entry of each is positive."""
+def spectrum(graph: Graph, limit: int = EXACT_NODES, probes: int = 32, steps: int = 24) -> DataFrame:
+    """(component, idx, eigenvalue, weight) of the Laplacian, ascending within each component.
+
+    All eigenvalues of components of up to ``limit`` nodes, each of weight 1. A larger component has the points of a
+    quadrature instead, whose weights sum to its number of nodes.
+    """
+    parts = parted(graph, limit)
+    found = _dense_spectrum(parts)
+    for name in parts.names:
+        values, weights = quadrature(parts.large(name), probes, steps)
+        rows = [(name, i, float(v), float(w)) for i, (v, w) in enumerate(zip(values, weights, strict=True))]
+        found = found.union(graph.edges.sparkSession.createDataFrame(rows, found.schema))
+    return found
+
+
+def modes(graph: Graph, k: int, limit: int = EXACT_NODES) -> DataFrame:
+    """(node_id, component, v): entries of the component's k eigenvectors after the constant one; the largest entry of each is positive.
+
+    A component of fewer nodes has zeros in the places of modes that it lacks.
+    """
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         ids, lap = dense_laplacian(part)
@@ -65,7 +102,15 @@ def modes(graph: Graph, k: int, limit: int = MAX_NODES) -> DataFrame:
         vectors = np.pad(vectors, ((0, 0), (0, k - vectors.shape[1])))
         return pd.DataFrame({"node_id": ids, "component": part["component"].iloc[0], "v": list(vectors)})
 
-    return by_component(graph, limit).groupBy("component").applyInPandas(solve, "node_id long, component long, v array<double>")
+    parts = parted(graph, limit)
+    found = parts.small.groupBy("component").applyInPandas(solve, "node_id long, component long, v array<double>")
+    for name in parts.names:
+        vectors, values, _ = extreme_modes(parts.large(name), k)
+        entry = [F.get("v", i) for i in range(len(values))]
+        turned = vectors.agg(F.array(*[F.signum(F.max_by(e, F.struct(F.round(F.abs(e), 9), -F.col("node_id")))) for e in entry]).alias("turn"))
+        right = vectors.join(F.broadcast(turned)).select("node_id", F.lit(name).cast("long").alias("component"), F.zip_with("v", "turn", lambda x, s: x * s).alias("v"))  # one row is broadcast
+        found = found.union(right.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), k - len(values)))))
+    return found
 
 
 def _on_cycles(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
@@ -81,18 +126,21 @@ def _on_cycles(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
         keep &= ~leaf
 
 
-def resistances(graph: Graph, k: int = 16, limit: int = MAX_NODES) -> DataFrame:
-    """``effective_resistance``, exact on components of up to ``EXACT_NODES`` nodes, by ``k`` modes on larger ones."""
-    named = connected_components(graph)
-    sizes = named.groupBy("component").agg(F.count("*").alias("n"))
-    small = named.join(sizes.where(F.col("n") <= EXACT_NODES), "component").select("node_id")
-    large = named.join(sizes.where(F.col("n") > EXACT_NODES), "component").select("node_id")
-    return effective_resistance(induced(graph, small), None, limit).union(effective_resistance(induced(graph, large), k, limit))
+def resistances(graph: Graph, k: int = 100, limit: int = EXACT_NODES) -> DataFrame:
+    """``effective_resistance``, exact on components of up to ``limit`` nodes, by ``k`` modes on larger ones."""
+    return _resistances(parted(graph, limit), None, k)
 
 
-def effective_resistance(graph: Graph, k: int | None = None, limit: int = MAX_NODES) -> DataFrame:
-    """(src, dst, w, r) of every edge: exact from the pseudo-inverse, or with ``k`` a lower bound from the k smallest positive modes."""
+def effective_resistance(graph: Graph, k: int | None = None, limit: int = EXACT_NODES, width: int = 64) -> DataFrame:
+    """(src, dst, w, r) of every edge, or with ``k`` a lower bound of it from the k smallest positive modes.
 
+    Without ``k``, components of up to ``limit`` nodes get the exact value from the pseudo-inverse, larger ones an
+    estimate by a projection onto ``width`` dimensions, whose standard error is sqrt(2 / width) of the value.
+    """
+    return _resistances(parted(graph, limit), k, k, width)
+
+
+def _resistances(parts: Parts, k: int | None, k_large: int | None, width: int = 64) -> DataFrame:
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         part = part.dropna(subset=["src"]).astype({"src": "int64", "dst": "int64"})
         if k is not None and k < part[["src", "dst"]].stack().nunique() - 1:
@@ -112,7 +160,18 @@ def effective_resistance(graph: Graph, k: int | None = None, limit: int = MAX_NO
                 r[part.index.get_indexer(core.index)] = inverse[a, a] + inverse[b, b] - 2 * inverse[a, b]
         return part[["src", "dst", "w"]].assign(r=np.maximum(r, 0.0))
 
-    return by_component(graph, limit).groupBy("component").applyInPandas(solve, "src long, dst long, w double, r double")
+    found = parts.small.groupBy("component").applyInPandas(solve, "src long, dst long, w double, r double")
+    if parts.names and k_large is None:
+        return found.union(sketched_resistance(parts.large(), width))
+    for name in parts.names:
+        part = parts.large(name)
+        vectors, values, _ = extreme_modes(part, k_large)
+        root = F.array(*[F.lit(float(1 / np.sqrt(v)) if v > 1e-10 else 0.0) for v in values])
+        place = staged(vectors.select("node_id", F.zip_with("v", root, lambda x, s: x * s).alias("z")), "places")
+        a, b = place.select(F.col("node_id").alias("src"), F.col("z").alias("zs")), place.select(F.col("node_id").alias("dst"), F.col("z").alias("zd"))
+        apart = F.aggregate(F.zip_with("zs", "zd", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+        found = found.union(part.edges.join(a, "src").join(b, "dst").select("src", "dst", "w", apart.alias("r")))
+    return found
 
 
 def resistance_errors(exact: DataFrame, approximate: DataFrame) -> DataFrame:
@@ -138,50 +197,111 @@ def spectral_ratio(graph: Graph) -> DataFrame:
     return deg.join(F.broadcast(top)).select("node_id", F.col("wdeg").alias("energy"), (F.col("wdeg") / (F.col("_top") + 1e-12)).alias("ratio"))  # one row is broadcast
 
 
-def eigengap(spec: DataFrame) -> DataFrame:
-    """(component, min_gap, fiedler, zeros) of each component's spectrum."""
+def eigengap(graph: Graph, limit: int = EXACT_NODES) -> DataFrame:
+    """(component, min_gap, fiedler, zeros) of each component.
+
+    The smallest gap is that of the whole spectrum, which only components of up to ``limit`` nodes have; larger ones have null there.
+    """
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         v = np.sort(part["eigenvalue"].to_numpy())
         return pd.DataFrame([{"component": part["component"].iloc[0], "min_gap": float(np.diff(v).min()) if len(v) > 1 else None, "fiedler": max(float(v[1]), 0.0) if len(v) > 1 else 0.0, "zeros": int((v < 1e-8).sum())}])
 
-    return spec.groupBy("component").applyInPandas(solve, "component long, min_gap double, fiedler double, zeros int")
-
-
-def distortion(reference: np.ndarray, other: np.ndarray, low: int = 32) -> dict[str, float]:
-    """Measures of how far one ascending spectrum has moved from another of the same length."""
-    n, top = len(reference), max(float(reference[-1]), EPS)
-    legacy = np.abs(reference - other) / (np.abs(reference) + EPS)
-    legacy[0] = 0.0
-    down_ref, down_other = reference[::-1], other[::-1]
-    ranked = np.abs(down_ref - down_other) / (down_ref + EPS)
-    tol = max(EPS, 1e-10 * top)
-    zeros_ref, zeros_other = int((reference < tol).sum()), int((other < tol).sum())
-    pos_ref, pos_other = reference[reference >= tol], other[other >= tol]
-    m = min(low, len(pos_ref), len(pos_other))
-    low_error = np.abs(pos_ref[:m] - pos_other[:m]) / top if m else np.ones(1)
-    gap = float(np.diff(reference).min()) if n > 1 else 0.0
-    isolated = max(0, zeros_other - zeros_ref)
-    return {
-        "sd": float(legacy.max()), "sd_p50": float(np.quantile(legacy, 0.5)), "sd_p90": float(np.quantile(legacy, 0.9)), "sd_p99": float(np.quantile(legacy, 0.99)), "low_mode_mean": float(legacy[1 : low + 1].mean()) if n > 1 else 0.0,
-        "rank_top1": float(ranked[:1].max()), "rank_top8": float(ranked[:8].max()), "rank_top32": float(ranked[:32].max()), "rank_top128": float(ranked[:128].max()), "sd_at": float(legacy.argmax()), "largest": float(reference[-1]), "retention": max(0.0, 1 - float(legacy.max())), "low_freq_mean": float(low_error.mean()), "low_freq_max": float(low_error.max()),
-        "isolated": float(isolated), "min_gap": gap, "fragility": float(legacy.max()) / (gap + EPS), "survival": float(max(0.0, (1 - min(max(float(low_error.mean()), 0.0), 1.0)) * (1 - isolated / n))),
-    }
-
-
-def distortion_report(reference: DataFrame, other: DataFrame) -> DataFrame:
-    """(measure, value): of two spectra (component, idx, eigenvalue) of graphs on the same nodes, pooled over components.
-
-    Pooled spectra have a number for each node, which the dense kernels have bounded before.
+    parts = parted(graph, limit)
+    found = _dense_spectrum(parts).groupBy("component").applyInPandas(solve, "component long, min_gap double, fiedler double, zeros int")
+    rows = [(name, None, max(extreme_modes(parts.large(name), 1)[1][0], 0.0), 1) for name in parts.names]
+    return found.union(graph.edges.sparkSession.createDataFrame(rows, found.schema)) if rows else found
+
+
+@dataclass(frozen=True)
+class Ends:
+    """What is known of a spectrum of ``n`` eigenvalues: the largest, falling; the smallest positive, rising; the number of zeros; and
+    points with weights that stand for the rest. All of it is of bounded size."""
+
+    n: int
+    top: np.ndarray
+    low: np.ndarray
+    zeros: int
+    points: np.ndarray
+    weights: np.ndarray
+
+    def at(self, rank: np.ndarray) -> np.ndarray:
+        """The eigenvalues of these ranks, from 0 for the smallest."""
+        upto = np.cumsum(self.weights) * (self.n / max(self.weights.sum(), 1e-300))
+        out = self.points[np.minimum(np.searchsorted(upto, rank + 0.5), len(self.points) - 1)]
+        above, below = self.n - 1 - rank, rank - self.zeros
+        if len(self.top):
+            out = np.where(above < len(self.top), self.top[np.clip(above, 0, len(self.top) - 1)], np.minimum(out, self.top[-1]))
+        if len(self.low):
+            out = np.where((below >= 0) & (below < len(self.low)), self.low[np.clip(below, 0, len(self.low) - 1)], np.where(below >= len(self.low), np.maximum(out, self.low[-1]), out))
+        return np.where(below < 0, 0.0, out)
+
+
+def ends_of_spectrum(graph: Graph, low: int = 32, top: int = 128, limit: int = EXACT_NODES, probes: int = 32, steps: int = 24) -> Ends:
+    """The ends of a graph's spectrum: dense on small components, by block gradients on large ones; the rest by quadrature."""
+    parts = parted(graph, limit)
+    n = graph.nodes.count()
+    exact = staged(_dense_spectrum(parts).select("eigenvalue"), "eigenvalues")
+    tol = F.lit(EPS)
+    first = [r[0] for r in exact.where(F.col("eigenvalue") > tol).orderBy("eigenvalue").limit(low).collect()]
+    last = [r[0] for r in exact.orderBy(F.desc("eigenvalue")).limit(top).collect()]
+    for name in parts.names:
+        part = parts.large(name)
+        first += extreme_modes(part, low)[1]
+        last += extreme_modes(part, top, largest=True, tolerance=1e-5)[1]
+    first, last = np.sort([v for v in first if v > EPS])[:low], np.sort(last)[::-1][:top]
+    zeros = exact.where(F.col("eigenvalue") <= tol).count() + len(parts.names)
+    return Ends(n, last, first, zeros, *quadrature(parts.graph, probes, steps))
+
+
+def distortion(reference: Ends, other: Ends, grid: int = 1 << 14) -> dict[str, float | None]:
+    """Measures of how far one spectrum has moved from another of the same length.
+
+    Pairs by rank from below are those of all ranks, or of ``grid`` ranks of a longer spectrum; those by rank from above and of
+    the positive eigenvalues are the ends'. What needs every eigenvalue, as the smallest gap does, is null for a longer spectrum.
     """
-    tagged = reference.select(F.lit(0).alias("which"), "eigenvalue").union(other.select(F.lit(1), "eigenvalue"))
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        sides = [np.sort(part.loc[part["which"] == i, "eigenvalue"].to_numpy()) for i in (0, 1)]
-        found = distortion(*sides)
-        return pd.DataFrame({"measure": list(found), "value": list(found.values())})
-
-    return tagged.groupBy(F.lit(1).alias("all")).applyInPandas(lambda part: solve(part), "measure string, value double")
+    if reference.n != other.n:
+        raise ValueError(f"spectra of {reference.n} and {other.n} eigenvalues")
+    n, top = reference.n, max(float(reference.top[0]), 0.0) if reference.n else 0.0
+    whole = n <= len(reference.points) and bool((reference.weights == 1).all())
+    ranks = np.arange(n) if n <= grid else np.unique(np.linspace(0, n - 1, grid).round().astype(np.int64))
+    a, b = reference.at(ranks), other.at(ranks)
+    paired = np.abs(a - b) / (np.abs(a) + EPS)
+    paired[0] = 0.0
+    sd, worst = float(paired.max()), int(ranks[paired.argmax()])
+    gap = (float(np.diff(a).min()) if n > 1 else float("inf")) if whole else None
+    at_low = np.arange(1, min(n, 33))
+    low_a, low_b = reference.at(at_low), other.at(at_low)
+    out = {"sd": sd, "sd_at": float(worst), "sd_p50": float(np.quantile(paired, 0.5)), "sd_p90": float(np.quantile(paired, 0.9)), "sd_p99": float(np.quantile(paired, 0.99)), "low_mode_mean": float((np.abs(low_a - low_b) / (np.abs(low_a) + EPS)).mean()) if n > 1 else 0.0}
+    out |= {"retention": max(0.0, 1 - sd), "min_gap": gap, "fragility": None if gap is None else sd / (gap + EPS), "largest": top, "largest_other": float(other.top[0])}
+    for k in (1, 8, 32, 128):
+        if k <= n:
+            m = min(k, len(reference.top), len(other.top))
+            out[f"rank_top{k}"] = float((np.abs(reference.top[:m] - other.top[:m]) / (reference.top[:m] + EPS)).max())
+    m = min(len(reference.low), len(other.low))
+    error = np.abs(reference.low[:m] - other.low[:m]) / (top + EPS) if m else np.ones(1)
+    out |= {"low_freq_k": float(m), "low_freq_mean": float(error.mean()), "low_freq_median": float(np.median(error)), "low_freq_p90": float(np.quantile(error, 0.9)), "low_freq_max": float(error.max()), "low_freq_gap": (float(np.diff(reference.low[:m]).min()) if m > 1 else float("inf")) if m else 0.0}
+    isolated = max(0, other.zeros - reference.zeros)
+    out |= {"positive": float(n - reference.zeros), "positive_other": float(n - other.zeros), "zeros": float(reference.zeros), "zeros_other": float(other.zeros), "isolated": float(isolated)}
+    out["survival"] = max(0.0, (1 - min(max(out["low_freq_mean"], 0.0), 1.0)) * (1 - isolated / max(n, 1)))
+    return out
+
+
+def whole_ends(values: np.ndarray, low: int = 32) -> Ends:
+    """A spectrum of which every eigenvalue is known."""
+    values = np.sort(np.asarray(values, float))
+    tol = max(EPS, 1e-10 * float(values[-1])) if len(values) else EPS
+    return Ends(len(values), values[::-1], values[values > tol][:low], int((values <= tol).sum()), values, np.ones(len(values)))
+
+
+def distortion_report(reference: Graph, other: Graph, limit: int = EXACT_NODES, low: int = 32, **options) -> DataFrame:
+    """(measure, value) of two graphs on the same nodes: from all eigenvalues if there are up to ``limit``, else from the ends of the spectra."""
+    spark = reference.edges.sparkSession
+    if reference.nodes.count() <= limit:
+        sides = [whole_ends([r["eigenvalue"] for r in _dense_spectrum(parted(g, limit)).collect()], low) for g in (reference, other)]
+    else:
+        sides = [ends_of_spectrum(g, low, limit=limit, **options) for g in (reference, other)]
+    return spark.createDataFrame(list(distortion(*sides).items()), "measure string, value double")
 
 
 def mode_similarity(graph: Graph, mode_table: DataFrame, k: int, absolute: bool = False) -> DataFrame:

@@ -7,15 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions.hashing import uniform
+from graphloom.operators.iterative import totals
 from graphloom.plans.ranking import average_rank, global_rank
-
-
-#: A report has a row for each point of a grid of experiments; each task of a bootstrap holds all of them, 16 bytes a row.
-REPORT_ROWS = 1_000_000
+from graphloom.storage import staged
 
 
 def seed_means(cells: DataFrame) -> DataFrame:
@@ -158,29 +159,77 @@ def partial_spearman(rows: DataFrame, x: str, y: str, z: str, group: str) -> Dat
     return r.select(group, F.when((F.col("n") >= 4) & (below > 0), (F.col("xy") - F.col("xz") * F.col("yz")) / below).alias("rho"))
 
 
-def bootstrap_spearman(rows: DataFrame, x: str, y: str, cluster: str, draws: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """One row: Spearman's rho and its percentile interval, over draws of clusters with replacement.
+#: Chances that a Poisson variable of mean 1 is at most 0, 1, 2 and so on.
+POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+
+
+def poisson_weight(*parts: Column | str | int) -> Column:
+    """How often a draw takes a cluster: a Poisson number of mean 1 from the parts' hash."""
+    u = uniform(*parts)
+    return F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda p: p <= u)).cast("double")
 
-    Draws are spread over tasks; each holds the clusters' rows, which a report has few of.
+
+def _weighted_ranks(held: DataFrame, value: str, draws: int) -> DataFrame:
+    """(value, rank) of each distinct value: its average rank among all rows, in each draw, rows counting as often as they weigh.
+
+    Weights are summed by value, and summed up along the sorted values: within a task, then over the tasks before.
+    """
+    schema = T.StructType([T.StructField(value, T.DoubleType()), T.StructField("part", T.IntegerType()), T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("upto", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), np.zeros(draws)
+        for batch in batches:
+            if not len(batch):
+                continue
+            w = batch.column(1).flatten().to_numpy().reshape(len(batch), draws)
+            upto = before + np.cumsum(w, axis=0)
+            before = upto[-1].copy()
+            ends = np.arange(len(batch) + 1, dtype=np.int32) * draws
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(batch), part, np.int32)), *[pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1))) for x in (w, upto)]], schema.names)
+
+    summed = held.groupBy(value).agg(F.array(*[F.sum(F.get("w", i)) for i in range(draws)]).alias("w"))
+    along = staged(summed.repartitionByRange(value).sortWithinPartitions(value).mapInArrow(run, schema), "along")
+    parts = {r["part"]: np.array(r["w"]) for r in along.groupBy("part").agg(F.array(*[F.sum(F.get("w", i)) for i in range(draws)]).alias("w")).collect()}  # one row a task
+    rows, total = [], np.zeros(draws)
+    for part in sorted(parts):
+        rows.append((part, total.tolist()))
+        total = total + parts[part]
+    before = held.sparkSession.createDataFrame(rows, "part int, before array<double>")
+    whole = along.join(F.broadcast(before), "part")
+    return whole.select(value, F.transform(F.arrays_zip("w", "upto", "before"), lambda t: t["before"] + t["upto"] - t["w"] + (t["w"] + 1) / 2).alias(f"rank_{value}"))
+
+
+def bootstrap_spearman(rows: DataFrame, x: str, y: str, cluster: str, draws: int = 2000, seed: int = 0, level: float = 0.95, at_once: int = 50) -> DataFrame:
+    """One row: Spearman's rho, its percentile interval and p-value over ``draws`` Poisson draws of clusters.
+
+    In a draw every cluster counts as often as a Poisson number of mean 1 says, which depends on (seed, cluster, draw) only; ranks
+    are of the rows so counted. ``at_once`` draws share one pass. Rows without x or y take no part, null clusters are one.
+    A draw in which either side is constant, or that is empty, does not count; without any, interval and p are null.
     """
-    total = rows.count()
-    if total > REPORT_ROWS:
-        raise ValueError(f"a report of {total} rows; draws hold {REPORT_ROWS} at most")
-    held = [(c, g[[x, y]].to_numpy()) for c, g in rows.select(x, y, cluster).toPandas().groupby(cluster)]
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for i in frame["id"]:
-                rng = np.random.default_rng([seed, int(i)])
-                part = np.concatenate([held[j][1] for j in rng.integers(0, len(held), len(held))])
-                out.append(pd.Series(part[:, 0]).rank().corr(pd.Series(part[:, 1]).rank()))
-            yield pd.DataFrame({"rho": out})
-
-    drawn = rows.sparkSession.range(draws).mapInPandas(draw, "rho double").where(F.col("rho").isNotNull() & ~F.isnan("rho"))
-    tails = drawn.agg(F.percentile("rho", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("q"), (2 * F.least(F.avg((F.col("rho") <= 0).cast("double")), F.avg((F.col("rho") >= 0).cast("double")))).alias("p"))
-    rho = rows.select(F.lit(1).alias("_g"), x, y)
-    return spearman(rho, x, y, "_g").join(F.broadcast(tails)).select("rho", F.get("q", 0).alias("ci_low"), F.get("q", 1).alias("ci_high"), F.least("p", F.lit(1.0)).alias("p"))
+    held = staged(rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.coalesce(F.col(cluster).cast("string"), F.lit("")).alias("c")).where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)"), "rows")
+    clusters = staged(held.select("c").distinct(), "clusters")
+    found: list[float] = []
+    for at in range(0, draws, at_once):
+        many = min(at_once, draws - at)
+        weights = clusters.select("c", F.transform(F.sequence(F.lit(at), F.lit(at + many - 1)), lambda i: poisson_weight(seed, "c", i)).alias("w"))
+        drawn = staged(held.join(weights, "c").select("x", "y", "w"), "drawn")
+        if not drawn.take(1):
+            break
+        ranked = drawn.join(_weighted_ranks(drawn, "x", many), "x").join(_weighted_ranks(drawn, "y", many), "y")
+
+        def sums(b: dict[str, np.ndarray]) -> np.ndarray:
+            w, p, q = b["w"], b["rank_x"], b["rank_y"]
+            return np.concatenate([w.sum(0), (w * p).sum(0), (w * q).sum(0), (w * p * p).sum(0), (w * q * q).sum(0), (w * p * q).sum(0)])
+
+        n, p, q, pp, qq, pq = totals(ranked.select("w", "rank_x", "rank_y"), sums, 6 * many).reshape(6, many)
+        n = np.maximum(n, 1)
+        below = (pp / n - (p / n) ** 2) * (qq / n - (q / n) ** 2)
+        good = below > 1e-9
+        found += ((pq / n - p / n * q / n)[good] / np.sqrt(below[good])).tolist()
+    rho = spearman(held.select(F.lit(1).alias("_g"), "x", "y"), "x", "y", "_g")
+    low, high = np.quantile(found, [(1 - level) / 2, (1 + level) / 2]).tolist() if found else (None, None)
+    p = min(1.0, 2 * min(np.mean(np.array(found) <= 0), np.mean(np.array(found) >= 0))) if found else None
+    return rho.select("rho", F.lit(low).cast("double").alias("ci_low"), F.lit(high).cast("double").alias("ci_high"), F.lit(None if p is None else float(p)).cast("double").alias("p"))
 
 
 def leave_one_out(rows: DataFrame, x: str, y: str, group: str) -> DataFrame:
@@ -195,19 +244,26 @@ def monotone(rows: DataFrame, method: str, order: str, value: str) -> DataFrame:
     return rows.withColumn("_up", (before <= F.col(value)) | before.isNull()).groupBy(method).agg(F.bool_and("_up").alias("monotone"))
 
 
+#: What the rules compare: alternative and baseline.
+RULES = [("D1", "oracle", "uniform"), ("D2", "label_free", "random"), ("D3", "oracle", "random")]
+
+
 def decisions(compared: DataFrame, control: DataFrame | None = None, alpha: float = 0.05) -> DataFrame:
-    """One row: D1 (label-based against uniform), D2 (label-free against uniform), D3 (against random), D4 (the control's D1), and a verdict.
+    """One row: D1 (the signal exists: oracle against uniform), D2 (a router finds it: label-free against random), D3 (it is not capacity:
+    oracle against random), D4 (the control's D1), each rule's own p-value, and a verdict.
 
     A rule holds if its difference is positive and its p-value stands after Holm's correction over the rules that are
-    there; without a control D4 is null. ``compared`` and ``control`` have (name, mean_diff, p).
+    there; one that is not there is null. All four have to hold, else the verdict names those that don't. ``compared`` and
+    ``control`` have (name, mean_diff, p).
     """
     rules = compared.where(F.col("name").isin("D1", "D2", "D3")).select("name", "mean_diff", "p")
     if control is not None:
         rules = rules.union(control.where("name = 'D1'").select(F.lit("D4"), "mean_diff", "p"))
     judged = holm(rules, "p", alpha=alpha).withColumn("ok", F.col("rejected") & (F.col("mean_diff") > 0))
-    wide = judged.agg(*[f(F.when(F.col("name") == d, F.col(c))).alias(n) for d in ("D1", "D2", "D3", "D4") for f, c, n in ((F.bool_or, "ok", d), (F.max, "p_holm", f"{d}_p"))])
-    verdict = F.when(F.col("D1") & F.col("D2") & F.coalesce("D4", F.lit(True)), "supported").when(F.col("D1") & ~F.col("D2"), "existence only").otherwise("not supported")
-    return wide.withColumn("verdict", verdict)
+    names = ("D1", "D2", "D3", "D4")
+    wide = judged.agg(*[f(F.when(F.col("name") == d, F.col(c))).alias(n) for d in names for f, c, n in ((F.bool_or, "ok", d), (F.max, "p", f"{d}_p"))])
+    failed = F.concat_ws(", ", *[F.when(~F.coalesce(d, F.lit(False)), d) for d in names])
+    return wide.withColumn("verdict", F.when(failed == "", "supported").otherwise(F.concat(F.lit("not supported: "), failed)))
 
 
 def leave_one_split_k(rows: DataFrame) -> DataFrame:
@@ -223,6 +279,12 @@ def first_thresholds(rows: DataFrame, at: str, existence: str, deployable: str)
     return rows.agg(F.min(F.when(F.col(existence), F.col(at))).alias("existence"), F.min(F.when(F.col(deployable), F.col(at))).alias("deployable"))
 
 
+def grouped_cells(rows: DataFrame, cond: Column, split: Column, seed: Column, value: Column) -> DataFrame:
+    """Cells of measured rows: the mean of ``value`` for each condition, split and seed; rows without a condition take no part."""
+    named = rows.select(cond.alias("cond"), split.cast("int").alias("split"), seed.cast("int").alias("seed"), value.alias("v")).where("cond IS NOT NULL")
+    return named.groupBy("cond", "split", "seed").agg(F.round(F.avg("v"), 6).alias("acc"))
+
+
 def hash_cells(spark, conditions: dict[str, float], splits: int = 10, seeds: int = 3, spread: float = 0.02) -> DataFrame:
     """Cells of known means with hashed noise, for checks of everything above."""
     base = spark.createDataFrame(sorted(conditions.items()), "cond string, mean double")

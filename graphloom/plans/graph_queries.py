@@ -253,9 +253,10 @@ def pagerank_10(spark, folder):
     return rounded(S.pagerank(part_graph(spark, folder), rounds=10), 9)
 
 
-STRONG = """, strong AS (SELECT * FROM edges WHERE w > 0.6::DOUBLE), both_ways AS (SELECT src, dst FROM strong UNION ALL SELECT dst, src FROM strong),
+NAMED = """, both_ways AS (SELECT src, dst FROM strong UNION ALL SELECT dst, src FROM strong),
 reach AS (SELECT node_id, node_id AS root FROM nodes UNION SELECT b.dst, r.root FROM reach r JOIN both_ways b ON b.src = r.node_id WHERE r.root < b.dst),
 named AS (SELECT node_id, min(root) AS component FROM reach GROUP BY node_id)"""
+STRONG = ", strong AS (SELECT * FROM edges WHERE w > 0.6::DOUBLE)" + NAMED
 
 
 def _strong(spark, folder) -> G.Graph:

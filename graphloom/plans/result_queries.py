@@ -4,50 +4,57 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.functions.hashing import sql_uniform, uniform
+from graphloom.functions.hashing import sql_uniform
 from graphloom.operators import reports as R
 from graphloom.operators import stats as S
 from graphloom.plans.graph_queries import r, rounded
 from graphloom.plans.register import query
 from graphloom.sources.tables import table
 
-CONDITIONS = {"label_free": 0.80, "oracle": 0.85, "random": 0.62, "uniform": 0.63}
-PAIRS = [("D1", "oracle", "uniform"), ("D2", "label_free", "uniform"), ("D3", "label_free", "random")]
+PRIORITY = {"1-URGENT": "oracle", "2-HIGH": "label_free", "3-MEDIUM": "random", "4-NOT SPECIFIED": "uniform", "5-LOW": "control"}
 CELLS = f"""
 WITH cells AS (
-  SELECT cond, split::INTEGER AS split, seed::INTEGER AS seed, round(mean + 0.02::DOUBLE * ({sql_uniform('cond', 'split', 'seed')} - 0.5::DOUBLE), 6) AS acc
-  FROM (VALUES ('label_free', 0.8::DOUBLE), ('oracle', 0.85::DOUBLE), ('random', 0.62::DOUBLE), ('uniform', 0.63::DOUBLE)) c(cond, mean),
-       (SELECT unnest(range(0, 10)) AS split), (SELECT unnest(range(0, 3)) AS seed)
+  SELECT cond, split, seed, round(avg(v), 6) AS acc
+  FROM (SELECT CASE o_orderpriority {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in PRIORITY.items())} END AS cond, (o_custkey % 10)::INTEGER AS split, (o_orderkey % 3)::INTEGER AS seed, o_totalprice / 500000.0::DOUBLE AS v FROM orders)
+  WHERE cond IS NOT NULL GROUP BY ALL
 ), means AS (SELECT cond, split, avg(acc) AS acc FROM cells GROUP BY ALL),
 diffs AS (
   SELECT name, a.split, a.acc - b.acc AS d
-  FROM (VALUES ('D1', 'oracle', 'uniform'), ('D2', 'label_free', 'uniform'), ('D3', 'label_free', 'random')) p(name, ca, cb)
+  FROM (VALUES {', '.join(map(str, S.RULES))}) p(name, ca, cb)
   JOIN means a ON a.cond = ca JOIN means b ON b.cond = cb AND b.split = a.split
-)"""
+), control AS (SELECT a.split, a.acc - b.acc AS d FROM means a JOIN means b ON a.cond = 'control' AND b.cond = 'uniform' AND a.split = b.split)"""
 
 
-def _cells(spark):
-    return S.hash_cells(spark, CONDITIONS)
+def _cells_of(orders):
+    """The mean price of orders as a result: the priority names the condition, keys name split and seed."""
+    cond = F.when(F.lit(False), "")
+    for priority, name in PRIORITY.items():
+        cond = cond.when(F.col("o_orderpriority") == priority, name)
+    return S.grouped_cells(orders, cond, F.col("o_custkey") % 10, F.col("o_orderkey") % 3, F.col("o_totalprice") / 500000.0)
+
+
+def _cells(spark, folder):
+    return _cells_of(table(spark, folder, "orders"))
 
 
 @query("seed_split_means", CELLS + f"SELECT cond, split, {r('acc', 'acc')} FROM means")
 def seed_split_means(spark, folder):
-    return rounded(S.seed_means(_cells(spark)))
+    return rounded(S.seed_means(_cells(spark, folder)))
 
 
 @query("paired_differences", CELLS + f"SELECT name, split, {r('d', 'd')} FROM diffs")
 def paired_differences(spark, folder):
-    return rounded(S.paired(_cells(spark), PAIRS))
+    return rounded(S.paired(_cells(spark, folder), S.RULES))
 
 
 @query("paired_effect_size", CELLS + f"SELECT name, {r('avg(d)', 'mean_diff')}, round(CASE WHEN stddev_pop(d) > 1e-12 THEN avg(d) / stddev_pop(d) ELSE 0 END, 3) + 0.0 AS dz, count(*)::BIGINT AS n_pairs FROM diffs GROUP BY name")
 def paired_effect_size(spark, folder):
-    return rounded(S.effect_sizes(S.paired(_cells(spark), PAIRS))).withColumn("dz", F.round("dz", 3))
+    return rounded(S.effect_sizes(S.paired(_cells(spark, folder), S.RULES))).withColumn("dz", F.round("dz", 3))
 
 
 @query("mean_ci95", CELLS + f"SELECT name, {r('avg(d)', 'mean_diff')}, {r('avg(d) - 2.262157::DOUBLE * stddev_samp(d) / sqrt(count(*))', 'ci_low')}, {r('avg(d) + 2.262157::DOUBLE * stddev_samp(d) / sqrt(count(*))', 'ci_high')} FROM diffs GROUP BY name")
 def mean_ci95(spark, folder):
-    return rounded(S.mean_ci(S.paired(_cells(spark), PAIRS), 2.262157))
+    return rounded(S.mean_ci(S.paired(_cells(spark, folder), S.RULES), 2.262157))
 
 
 # All sign patterns of 10 distinct ranks: the share with a rank sum no larger than the smaller of the two, doubled.
@@ -60,7 +67,7 @@ sums AS (SELECT name, m, sum(CASE WHEN (m >> (i - 1)::INTEGER) & 1 = 1 THEN k EL
 @query("wilcoxon_exact", WILCOXON + """
 SELECT name, round(least(1, 2 * avg((s <= coalesce(low, 0) + 1e-9)::INTEGER::DOUBLE)), 9) + 0.0 AS p_wilcoxon FROM sums JOIN low USING (name) GROUP BY name""")
 def wilcoxon_exact(spark, folder):
-    return rounded(S.comparisons(S.paired(_cells(spark), PAIRS)).select("name", "p_wilcoxon"), 9)
+    return rounded(S.comparisons(S.paired(_cells(spark, folder), S.RULES)).select("name", "p_wilcoxon"), 9)
 
 
 # Student's t with 9 degrees of freedom has a closed form; 2.2621571627409915 is its 97.5 % point.
@@ -78,14 +85,15 @@ SELECT name, round(m, 9) + 0.0 AS mean_diff, round(m - 2.2621571627409915::DOUBL
   round(CASE WHEN s0 > 1e-12 THEN m / s0 ELSE 0 END, 3) + 0.0 AS effect_size_dz, n::INTEGER AS n_pairs, round(0.05::DOUBLE / k, 9) + 0.0 AS threshold, round(p_holm, 9) + 0.0 AS p_holm, p_holm <= 0.05::DOUBLE AS rejected
 FROM adj JOIN t USING (name)""")
 def protocol_table(spark, folder):
-    return rounded(S.holm(S.comparisons(S.paired(_cells(spark), PAIRS)), "p_wilcoxon"), 9).withColumn("effect_size_dz", F.round("effect_size_dz", 3))
+    return rounded(S.holm(S.comparisons(S.paired(_cells(spark, folder), S.RULES)), "p_wilcoxon"), 9).withColumn("effect_size_dz", F.round("effect_size_dz", 3))
 
 
-TESTS = f", tests AS (SELECT 't' || i AS name, (i % 3)::INTEGER AS fam, CASE WHEN i % 7 = 6 THEN NULL ELSE round({sql_uniform('9', 'i')} / 10, 9) END AS p FROM (SELECT unnest(range(0, 30)) AS i))"
+TESTS = ", tests AS (SELECT c_name AS name, c_mktsegment AS fam, CASE WHEN c_custkey % 7 = 6 THEN NULL ELSE round(abs(c_acctbal) / 100000.0::DOUBLE, 9) END AS p FROM customer)"
 
 
-def _tests(spark):
-    return spark.range(30).select(F.concat(F.lit("t"), "id").alias("name"), (F.col("id") % 3).cast("int").alias("fam"), F.when(F.col("id") % 7 != 6, F.round(uniform(9, "id") / 10, 9)).alias("p"))
+def _tests(spark, folder):
+    """A p-value for each customer, of their balance; some have none."""
+    return table(spark, folder, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("fam"), F.when(F.col("c_custkey") % 7 != 6, F.round(F.abs("c_acctbal") / 100000.0, 9)).alias("p"))
 
 
 HOLM = TESTS + ", ranked AS (SELECT *, (count(*) OVER (PARTITION BY fam) - row_number() OVER (PARTITION BY fam ORDER BY p, name) + 1)::DOUBLE AS k FROM tests WHERE p IS NOT NULL), adj AS (SELECT *, least(1, max(k * p) OVER (PARTITION BY fam ORDER BY p, name ROWS UNBOUNDED PRECEDING)) AS p_holm FROM ranked)"
@@ -93,17 +101,19 @@ HOLM = TESTS + ", ranked AS (SELECT *, (count(*) OVER (PARTITION BY fam) - row_n
 
 @query("holm_adjust", CELLS + HOLM + f"SELECT name, fam, round(p, 9) AS p, round(0.05::DOUBLE / k, 9) AS threshold, round(p_holm, 9) AS p_holm, p_holm <= 0.05::DOUBLE AS rejected FROM adj")
 def holm_adjust(spark, folder):
-    return rounded(S.holm(_tests(spark), "p", ["fam"]), 9)
+    return rounded(S.holm(_tests(spark, folder), "p", ["fam"]), 9)
 
 
-RULES = ", ".join(f"bool_or(ok) FILTER (name = '{d}') AS \"{d}\", round(max(p_holm) FILTER (name = '{d}'), 6) + 0.0 AS \"{d}_p\"" for d in ("D1", "D2", "D3", "D4"))
+RULED = ", ".join(f"bool_or(ok) FILTER (name = '{d}') AS \"{d}\", round(max(p) FILTER (name = '{d}'), 6) + 0.0 AS \"{d}_p\"" for d in ("D1", "D2", "D3", "D4"))
+FAILED = ", ".join(f"CASE WHEN NOT \"{d}\" THEN '{d}' END" for d in ("D1", "D2", "D3", "D4"))
 
 
-@query("decision_rules", COMPARED + ", u AS (SELECT name, p, m FROM pw JOIN t USING (name) UNION ALL SELECT 'D4', p, m FROM pw JOIN t USING (name) WHERE name = 'D1')" + _holm_sql("u") + f""", w AS (SELECT {RULES} FROM (SELECT *, p_holm <= 0.05::DOUBLE AND m > 0 AS ok FROM adj))
-SELECT *, CASE WHEN "D1" AND "D2" AND "D4" THEN 'supported' WHEN "D1" AND NOT "D2" THEN 'existence only' ELSE 'not supported' END AS verdict FROM w""")
+@query("decision_rules", CELLS.replace("diffs AS (", "diffs AS (SELECT 'D4' AS name, a.split, a.acc - b.acc AS d FROM means a JOIN means b ON a.cond = 'control' AND b.cond = 'uniform' AND a.split = b.split UNION ALL ") + COMPARED.removeprefix(CELLS) + ", u AS (SELECT name, p, m FROM pw JOIN t USING (name))" + _holm_sql("u") + f""", w AS (SELECT {RULED} FROM (SELECT *, p_holm <= 0.05::DOUBLE AND m > 0 AS ok FROM adj))
+SELECT *, CASE WHEN "D1" AND "D2" AND "D3" AND "D4" THEN 'supported' ELSE 'not supported: ' || concat_ws(', ', {FAILED}) END AS verdict FROM w""")
 def decision_rules(spark, folder):
-    compared = S.comparisons(S.paired(_cells(spark), PAIRS)).select("name", "mean_diff", F.col("p_wilcoxon").alias("p"))
-    return rounded(S.decisions(compared, compared.where("name = 'D1'")))
+    cells = _cells(spark, folder)
+    judge = lambda pairs: S.comparisons(S.paired(cells, pairs)).select("name", "mean_diff", F.col("p_wilcoxon").alias("p"))
+    return rounded(S.decisions(judge(S.RULES), judge([("D1", "control", "uniform")])))
 
 
 ORDERS = """
@@ -132,72 +142,96 @@ def loo_correlation(spark, folder):
     return rounded(S.leave_one_out(_orders(spark, folder), "x", "y", "g"))
 
 
-@query("bootstrap_ci")
+DRAWS = 200
+WEIGHT = " + ".join(f"(u >= {p!r}::DOUBLE)::INTEGER" for p in S.POISSON)
+BOOTSTRAP = f"""
+WITH o AS (SELECT o_totalprice::DOUBLE AS x, o_custkey::DOUBLE AS y, o_custkey AS c FROM orders),
+w AS (SELECT c, b, ({WEIGHT})::DOUBLE AS w FROM (SELECT c, b, {sql_uniform("'0'", 'c', 'b')} AS u FROM (SELECT DISTINCT c FROM o), (SELECT unnest(range(0, {DRAWS})) AS b))),
+d AS (SELECT x, y, b, w FROM o JOIN w USING (c) WHERE w > 0),
+vx AS (SELECT b, x, sum(s) OVER (PARTITION BY b ORDER BY x) - s + (s + 1) / 2 AS rx FROM (SELECT b, x, sum(w) AS s FROM d GROUP BY ALL)),
+vy AS (SELECT b, y, sum(s) OVER (PARTITION BY b ORDER BY y) - s + (s + 1) / 2 AS ry FROM (SELECT b, y, sum(w) AS s FROM d GROUP BY ALL)),
+m AS (SELECT b, sum(w) AS n, sum(w * rx) / sum(w) AS p, sum(w * ry) / sum(w) AS q, sum(w * rx * rx) / sum(w) AS pp, sum(w * ry * ry) / sum(w) AS qq, sum(w * rx * ry) / sum(w) AS pq FROM d JOIN vx USING (b, x) JOIN vy USING (b, y) GROUP BY b),
+f AS (SELECT (pq - p * q) / sqrt((pp - p * p) * (qq - q * q)) AS rho FROM m),
+k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM o)
+SELECT (SELECT {r('corr(rx, ry)', 'rho').removesuffix(' AS rho')} FROM k) AS rho, {r('quantile_cont(rho, 0.025)', 'ci_low')}, {r('quantile_cont(rho, 0.975)', 'ci_high')},
+  {r('least(1, 2 * least(avg((rho <= 0)::INTEGER::DOUBLE), avg((rho >= 0)::INTEGER::DOUBLE)))', 'p')} FROM f"""
+
+
+@query("bootstrap_ci", BOOTSTRAP)
 def bootstrap_ci(spark, folder):
-    nations = table(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("n")).agg(F.avg("c_acctbal").alias("x"), F.count("*").cast("double").alias("y"))
-    return S.bootstrap_spearman(nations.withColumn("c", F.col("n") % 12), "x", "y", "c", draws=400)
+    """Price against customer number over all orders, customers drawn as clusters."""
+    rows = table(spark, folder, "orders").select(F.col("o_totalprice").cast("double").alias("x"), F.col("o_custkey").cast("double").alias("y"), F.col("o_custkey").alias("c"))
+    return rounded(S.bootstrap_spearman(rows, "x", "y", "c", draws=DRAWS))
 
 
-RUNS = f", runs AS (SELECT m AS method, n::INTEGER AS n, rf::DOUBLE AS budget, s::INTEGER AS seed, round(CASE m WHEN 'spectral' THEN 0.2 WHEN 'degree' THEN 0.3 ELSE 0.35 END::DOUBLE + 0.2::DOUBLE * {sql_uniform('m', 'n', 'rf', 's')}, 6) AS err, round({sql_uniform("'g'", 'm', 'n', 's')}, 6) AS gap FROM (SELECT unnest(['spectral', 'degree', 'random']) AS m), (SELECT unnest([64, 128, 256]) AS n), (SELECT unnest([2, 4]) AS rf), (SELECT unnest(range(0, 5)) AS s))"
+FLAGS = {"A": "spectral", "N": "degree", "R": "random"}
+RUNS = f""", runs AS (
+  SELECT method, n, budget, seed, round(avg(l_discount), 6) AS err, round(avg(l_quantity) / 50.0::DOUBLE, 6) AS gap
+  FROM (SELECT *, CASE l_returnflag {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in FLAGS.items())} END AS method, (64 << (l_linenumber % 3)::INTEGER)::INTEGER AS n, (l_suppkey % 2 * 2 + 2)::DOUBLE AS budget, (l_orderkey % 5)::INTEGER AS seed FROM lineitem)
+  WHERE method IS NOT NULL GROUP BY ALL)"""
 
 
-def _runs(spark):
-    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, ["spectral", "degree", "random"]))).alias("method")).withColumn("n", F.explode(F.array(*map(F.lit, [64, 128, 256])))).withColumn("b", F.explode(F.array(F.lit(2), F.lit(4)))).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    mean = F.when(F.col("method") == "spectral", 0.2).when(F.col("method") == "degree", 0.3).otherwise(0.35)
-    return grid.select("method", "n", F.col("b").cast("double").alias("budget"), "seed", F.round(mean + 0.2 * uniform("method", "n", "b", "seed"), 6).alias("err"), F.round(uniform(F.lit("g"), "method", "n", "seed"), 6).alias("gap"))
+def _runs(spark, folder):
+    """Mean discounts and quantities of lines as a ladder's results: the flag names the method, keys name size, budget and seed."""
+    method = F.when(F.lit(False), "")
+    for flag, name in FLAGS.items():
+        method = method.when(F.col("l_returnflag") == flag, name)
+    rows = table(spark, folder, "lineitem").select(method.alias("method"), F.lit(64).cast("int").alias("base"), "l_linenumber", ((F.col("l_suppkey") % 2) * 2 + 2).cast("double").alias("budget"), (F.col("l_orderkey") % 5).cast("int").alias("seed"), "l_discount", "l_quantity")
+    rows = rows.withColumn("n", F.expr("shiftleft(base, CAST(l_linenumber % 3 AS INT))")).where("method IS NOT NULL")
+    return rows.groupBy("method", "n", "budget", "seed").agg(F.round(F.avg("l_discount"), 6).alias("err"), F.round(F.avg("l_quantity") / 50.0, 6).alias("gap"))
 
 
 @query("bands", CELLS + RUNS + f", long AS (SELECT n, budget, method, 'err' AS metric, err AS value FROM runs UNION ALL SELECT n, budget, method, 'gap', gap FROM runs) SELECT n, budget, method, metric, {r('avg(value)', 'mean')}, {r('stddev_pop(value)', 'std')}, {r('min(value)', 'least')}, {r('max(value)', 'most')}, count(value)::BIGINT AS n_1 FROM long GROUP BY n, budget, method, metric")
 def bands(spark, folder):
-    found = R.bands(_runs(spark).withColumnRenamed("n", "size"), ["size", "budget"], "method", ["err", "gap"])
+    found = R.bands(_runs(spark, folder).withColumnRenamed("n", "size"), ["size", "budget"], "method", ["err", "gap"])
     return rounded(found.withColumnRenamed("n", "n_1").withColumnRenamed("size", "n"))
 
 
 @query("check_bands_pivot", CELLS + RUNS + ", m AS (SELECT n, budget, round(avg(err) FILTER (method = 'spectral'), 9) AS s, round(avg(err) FILTER (method = 'degree'), 9) AS d, round(avg(err) FILTER (method = 'random'), 9) AS u FROM runs GROUP BY ALL) SELECT n, budget, s < d AS below_degree, s < u AS below_random, s < d AND s < u AS below_all FROM m")
 def check_bands_pivot(spark, folder):
-    return R.check_bands(_runs(spark), ["n", "budget"], "method", "err", "spectral", ["degree", "random"])
+    return R.check_bands(_runs(spark, folder), ["n", "budget"], "method", "err", "spectral", ["degree", "random"])
 
 
 @query("win_counts", CELLS + RUNS + f", m AS (SELECT n, budget, avg(err) FILTER (method = 'spectral') AS s, avg(err) FILTER (method = 'degree') AS d, avg(err) FILTER (method = 'random') AS u FROM runs GROUP BY ALL) SELECT count(*)::BIGINT AS points, count(*) FILTER (s < d)::BIGINT AS n_below_degree, count(*) FILTER (s < d AND s < u)::BIGINT AS n_below_all, {r('avg((s < d AND s < u)::INTEGER::DOUBLE)', 'share')}, bool_and(s < d AND s < u) AS everywhere FROM m")
 def win_counts(spark, folder):
-    checked = R.check_bands(_runs(spark), ["n", "budget"], "method", "err", "spectral", ["degree", "random"])
+    checked = R.check_bands(_runs(spark, folder), ["n", "budget"], "method", "err", "spectral", ["degree", "random"])
     return rounded(R.win_counts(checked, ["below_degree", "below_all"]))
 
 
 @query("rung_summary", CELLS + RUNS + f"SELECT budget, {r('avg(err)', 'mean')}, {r('stddev_samp(err)', 'std')} FROM runs GROUP BY budget")
 def rung_summary(spark, folder):
-    return rounded(R.rung_summary(_runs(spark), "budget", "err"))
+    return rounded(R.rung_summary(_runs(spark, folder), "budget", "err"))
 
 
 @query("table2_wide", CELLS + RUNS + f"SELECT n, {r('''avg(err) FILTER (method = 'degree')''', 'degree')}, {r('''avg(err) FILTER (method = 'random')''', 'random')}, {r('''avg(err) FILTER (method = 'spectral')''', 'spectral')} FROM runs GROUP BY n")
 def table2_wide(spark, folder):
-    return rounded(R.wide_table(_runs(spark), ["n"], "method", ["degree", "random", "spectral"], "err"))
+    return rounded(R.wide_table(_runs(spark, folder), ["n"], "method", ["degree", "random", "spectral"], "err"))
 
 
 @query("monotone_by_method", CELLS + RUNS + ", m AS (SELECT method, n, avg(err) AS e FROM runs GROUP BY ALL), l AS (SELECT method, lag(e) OVER (PARTITION BY method ORDER BY n DESC) <= e OR lag(e) OVER (PARTITION BY method ORDER BY n DESC) IS NULL AS up FROM m) SELECT method, bool_and(up) AS monotone FROM l GROUP BY method")
 def monotone_by_method(spark, folder):
-    return S.monotone(_runs(spark).groupBy("method", "n").agg(F.avg("err").alias("e")), "method", "n", "e")
+    return S.monotone(_runs(spark, folder).groupBy("method", "n").agg(F.avg("err").alias("e")), "method", "n", "e")
 
 
 @query("mean_gain", CELLS + f"SELECT {r('avg(a.acc - b.acc)', 'gain')}, count(*)::BIGINT AS n FROM cells a JOIN cells b USING (split, seed) WHERE a.cond = 'oracle' AND b.cond = 'uniform'")
 def mean_gain(spark, folder):
-    return rounded(R.mean_gain(_cells(spark), "oracle", "uniform"))
+    return rounded(R.mean_gain(_cells(spark, folder), "oracle", "uniform"))
 
 
 @query("loo_k_selection", CELLS + RUNS + ", kr AS (SELECT n AS k, seed AS split, avg(err) AS acc FROM runs GROUP BY ALL), o AS (SELECT *, round((sum(acc) OVER (PARTITION BY k) - acc) / (count(*) OVER (PARTITION BY k) - 1), 9) AS rest FROM kr) SELECT split, k, round(acc, 6) + 0.0 AS acc FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY rest DESC, k) AS i FROM o) WHERE i = 1")
 def loo_k_selection(spark, folder):
-    rows = _runs(spark).groupBy(F.col("n").alias("k"), F.col("seed").alias("split")).agg(F.avg("err").alias("acc"))
+    rows = _runs(spark, folder).groupBy(F.col("n").alias("k"), F.col("seed").alias("split")).agg(F.avg("err").alias("acc"))
     return rounded(S.leave_one_split_k(rows))
 
 
-@query("thresholds_existence", CELLS + RUNS + "SELECT min(n) FILTER (gap > 0.8::DOUBLE)::INTEGER AS existence, min(n) FILTER (gap > 0.99::DOUBLE)::INTEGER AS deployable FROM runs")
+@query("thresholds_existence", CELLS + RUNS + "SELECT min(n) FILTER (gap > 0.51::DOUBLE)::INTEGER AS existence, min(n) FILTER (gap > 0.53::DOUBLE)::INTEGER AS deployable FROM runs")
 def thresholds_existence(spark, folder):
-    return S.first_thresholds(_runs(spark).withColumn("a", F.col("gap") > 0.8).withColumn("b", F.col("gap") > 0.99), "n", "a", "b")
+    return S.first_thresholds(_runs(spark, folder).withColumn("a", F.col("gap") > 0.51).withColumn("b", F.col("gap") > 0.53), "n", "a", "b")
 
 
 @query("ladder_resume", CELLS + RUNS + "SELECT DISTINCT method, n, budget FROM runs WHERE NOT (method = 'degree' AND n < 200)")
 def ladder_resume(spark, folder):
-    grid = _runs(spark).select("method", "n", "budget").distinct()
+    grid = _runs(spark, folder).select("method", "n", "budget").distinct()
     return R.remaining(grid, grid.where("method = 'degree' AND n < 200"), ["method", "n", "budget"])
 
 

@@ -1,21 +1,25 @@
-"""Queries on spectra and on experts. Graphs are the suppliers' and a planted one, whose components fit one task."""
+"""Queries on spectra, resistances and experts. Spectra are those of the parts' graph, whole or of its strong edges."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom import graph as G
 from graphloom.graph import Graph
+from graphloom.operators import components as C
 from graphloom.operators import experts as E
 from graphloom.operators import generators as B
+from graphloom.operators import iterative as I  # noqa: E741
 from graphloom.operators import routing as R
 from graphloom.operators import scores as S
 from graphloom.operators import sparsify as X
 from graphloom.operators import spectral as K
 from graphloom.operators import splits as L
 from graphloom.operators import stats as T
-from graphloom.plans.graph_queries import PLANTED, STRONG, r, rounded, sql
+from graphloom.plans.graph_queries import NAMED, PLANTED, RETENTIONS, STRONG, r, rounded, sql
 from graphloom.plans.register import query
 from graphloom.sources.tables import part_graph
+from graphloom.storage import staged
 
 
 def _strong(spark, folder) -> Graph:
@@ -37,55 +41,115 @@ def spectral_ratio_identity(spark, folder):
     return rounded(K.spectral_ratio(part_graph(spark, folder)))
 
 
+def _whole(spark, folder) -> Graph:
+    g = part_graph(spark, folder)
+    return Graph(g.nodes, staged(g.edges, "edges"))
+
+
 @query("spectrum_traces", sql(f"SELECT {r('(SELECT sum(w) * 2 FROM strong)', 'trace')}, {r('(SELECT sum(d * d) FROM (SELECT src, sum(w) AS d FROM (SELECT src, w FROM strong UNION ALL SELECT dst, w FROM strong) GROUP BY src)) + 2 * (SELECT sum(w * w) FROM strong)', 'trace_square')}, (SELECT count(DISTINCT component) FROM named)::BIGINT AS zeros", STRONG, recursive=True))
 def spectrum_traces(spark, folder):
-    """The kernel's eigenvalues, summed: they have to give the closed forms."""
-    v = F.col("eigenvalue")
-    return rounded(K.spectrum(_strong(spark, folder)).agg(F.sum(v).alias("trace"), F.sum(v * v).alias("trace_square"), F.count_if(v < 1e-8).alias("zeros")))
+    """The eigenvalues, summed: they have to give the closed forms, exactly on components of up to ``EXACT_NODES`` nodes, which all are at small scale factors."""
+    v, w = F.col("eigenvalue"), F.col("weight")
+    found = K.spectrum(_strong(spark, folder))
+    zero = F.count_distinct(F.when((v < 1e-8) | (w != 1), F.struct("component")))
+    return rounded(found.agg(F.sum(v * w).alias("trace"), F.sum(v * v * w).alias("trace_square"), zero.alias("zeros")))
 
 
 @query("resistance_energy", sql("SELECT ((SELECT count(*) FROM nodes) - (SELECT count(DISTINCT component) FROM named))::DOUBLE AS energy", STRONG, recursive=True))
 def resistance_energy(spark, folder):
-    """The kernel's resistances: the sum of w r is the nodes less the components."""
+    """Resistances, exact on components of up to ``EXACT_NODES`` nodes, which all are at small scale factors: the sum of w r is the nodes less the components."""
     return rounded(K.effective_resistance(_strong(spark, folder)).agg(F.sum(F.col("w") * F.col("r")).alias("energy")), 5)
 
 
+@query("resistance_sketch_energy", sql("SELECT ((SELECT count(*) FROM nodes) - (SELECT count(DISTINCT component) FROM named))::BIGINT AS energy, true AS within", ", strong AS (SELECT * FROM edges)" + NAMED, recursive=True))
+def resistance_sketch_energy(spark, folder):
+    """Whether the projected resistances of the whole graph sum to the nodes less the components within 2 %."""
+    g = _whole(spark, folder)
+    known = K.identities(g).select(F.col("resistance_energy").alias("energy"))
+    found = I.sketched_resistance(g).agg(F.sum(F.col("w") * F.col("r")).alias("found"))
+    return known.join(F.broadcast(found)).select("energy", (F.abs(F.col("found") - F.col("energy")) <= 0.02 * F.col("energy")).alias("within"))  # one row each
+
+
+@query("resistance_sketch_errors")
+def resistance_sketch_errors(spark, folder):
+    """Errors of projected resistances against exact ones, over the edges of components that have them."""
+    parts = K.parted(_strong(spark, folder))
+    exact = K.effective_resistance(Graph(parts.graph.nodes, parts.small.where("src IS NOT NULL").select("src", "dst", "w")))
+    return K.resistance_errors(exact, I.sketched_resistance(parts.graph))
+
+
+@query("smallest_modes")
+def smallest_modes(spark, folder):
+    """The 16 smallest eigenvalues after 0 of the largest component's Laplacian, and whether their residuals are below a millionth."""
+    g = _whole(spark, folder)
+    part = G.induced(g, C.largest_component(g))
+    _, values, residuals = I.extreme_modes(part, 16, tolerance=2e-8)
+    rows = [(i, round(v, 6) + 0.0, r < 1e-6) for i, (v, r) in enumerate(zip(values, residuals, strict=True))]
+    return spark.createDataFrame(rows, "idx int, eigenvalue double, converged boolean")
+
+
+@query("largest_modes")
+def largest_modes(spark, folder):
+    """The 8 largest eigenvalues of the whole graph's Laplacian."""
+    _, values, _ = I.extreme_modes(_whole(spark, folder), 8, largest=True)
+    return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(values)], "idx int, eigenvalue double")
+
+
+@query("spectral_density")
+def spectral_density(spark, folder):
+    """How many eigenvalues of the whole graph lie below each sixteenth of the interval that holds them all, estimated."""
+    g = _whole(spark, folder)
+    values, weights = I.quadrature(g)
+    top = 2 * G.degrees(g).agg(F.max("wdeg")).first()[0]
+    rows = [(i, float(weights[values <= top * i / 16].sum())) for i in range(1, 17)]
+    return spark.createDataFrame(rows, "sixteenths int, nodes double")
+
+
 @query("spectrum_small")
 def spectrum_small(spark, folder):
-    return rounded(K.spectrum(_planted(spark)))
+    return rounded(K.spectrum(_strong(spark, folder)))
 
 
 @query("fiedler_gap")
 def fiedler_gap(spark, folder):
-    return K.eigengap(K.spectrum(_planted(spark)))
+    return K.eigengap(_strong(spark, folder))
 
 
 @query("effective_resistance_topk")
 def effective_resistance_topk(spark, folder):
-    return K.effective_resistance(_planted(spark), k=16)
+    return K.effective_resistance(_whole(spark, folder), k=16)
 
 
 @query("resistance_rel_errors")
 def resistance_rel_errors(spark, folder):
-    g = _planted(spark)
+    g = _whole(spark, folder)
     return K.resistance_errors(K.effective_resistance(g), K.effective_resistance(g, k=32))
 
 
 @query("sparsify_leverage")
 def sparsify_leverage(spark, folder):
-    return X.spectral_edges(K.effective_resistance(_planted(spark)), 300, 400, epsilon=1.0)
+    """Half of the edges, by resistance."""
+    g = _whole(spark, folder)
+    return X.spectral_edges(K.effective_resistance(g), g.nodes.count(), g.edges.count() // 2, epsilon=1.0)
+
+
+@query("sparsify_er_ladder")
+def sparsify_er_ladder(spark, folder):
+    """Edges kept and their weight at each retention, drawn by resistances of the projection."""
+    kept = X.resistance_grid(_whole(spark, folder), RETENTIONS)
+    return kept.groupBy("method", "retention").agg(F.count("*").alias("n_edges"), F.round(F.sum("w"), 6).alias("weight"))
 
 
 @query("distortion_report")
 def distortion_report(spark, folder):
-    g = _planted(spark)
-    return K.distortion_report(K.spectrum(g), K.spectrum(Graph(g.nodes, X.degree_edges(g, 400))))
+    g = _whole(spark, folder)
+    return K.distortion_report(g, Graph(g.nodes, X.degree_edges(g, g.edges.count() // 2)))
 
 
 @query("mode_scores")
 def mode_scores(spark, folder):
-    g = _planted(spark)
-    modes = K.modes(g, 8).persist()
+    g = _whole(spark, folder)
+    modes = staged(K.modes(g, 8), "modes")
     return K.mode_similarity(g, modes, 8).join(K.mode_centrality(modes, 8), "node_id").join(K.resistance_scores(g, K.effective_resistance(g)), "node_id")
 
 
@@ -97,24 +161,25 @@ def resistances_dispatched(spark, folder):
 
 @query("fiedler_neighbours")
 def fiedler_neighbours(spark, folder):
-    g = _planted(spark)
-    return K.fiedler_neighbours(g, K.modes(g, 1))
+    g = _whole(spark, folder)
+    return K.fiedler_neighbours(g, staged(K.modes(g, 1), "modes"))
 
 
 @query("sparsify_leverage_unclipped")
 def sparsify_leverage_unclipped(spark, folder):
-    """The budget's edges of highest w r, without the clip at 1 that makes edges tie."""
+    """Half of the edges, of highest w r, without the clip at 1 that makes edges tie."""
     from graphloom.plans.ranking import global_rank
 
-    scored = K.effective_resistance(_planted(spark)).withColumn("score", F.round(F.col("w") * F.col("r"), 9))
-    return global_rank(scored, F.desc("score"), F.asc("src"), F.asc("dst")).where(F.col("rank") <= 400).select("src", "dst", "score")
+    g = _whole(spark, folder)
+    scored = K.effective_resistance(g).withColumn("score", F.round(F.col("w") * F.col("r"), 9))
+    return global_rank(scored, F.desc("score"), F.asc("src"), F.asc("dst")).where(F.col("rank") <= g.edges.count() // 2).select("src", "dst", "score")
 
 
 @query("mode_scores_all")
 def mode_scores_all(spark, folder):
     """Similarity and centrality for 2, 8, 32 and 128 modes, signed and absolute."""
-    g = _planted(spark)
-    modes = K.modes(g, 128).persist()
+    g = _whole(spark, folder)
+    modes = staged(K.modes(g, 128), "modes")
     out = g.nodes.select("node_id")
     for k in (2, 8, 32, 128):
         for absolute in (False, True):

@@ -134,11 +134,10 @@ def largest_sample(graph: Graph, n: int, seed: int = 0, tries: int = 16) -> Grap
 
 def joined_passages(attention: DataFrame, passage_col: str = "passage_id") -> DataFrame:
     """(src, dst, w, passage): the tokens of all passages as one graph of separate blocks, each after those of the passages before."""
-    from pyspark.sql import Window
+    from graphloom.plans.ranking import running_total
 
     sizes = attention.groupBy(passage_col).agg((F.max(F.greatest("query", "key")) + 1).alias("n"))
-    upto = F.sum("n").over(Window.orderBy(passage_col).rowsBetween(Window.unboundedPreceding, -1))  # a row for each passage
-    offsets = sizes.withColumn("before", F.coalesce(upto, F.lit(0)))
+    offsets = running_total(sizes, "n", F.asc(passage_col))
     joined = attention.join(offsets, passage_col)
     return joined.select((F.col("before") + F.col("query")).alias("src"), (F.col("before") + F.col("key")).alias("dst"), F.col("p").alias("w"), F.col(passage_col).alias("passage"))
 

@@ -38,7 +38,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return it reread."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_at = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more: a round of an iteration whose successor is written."""
+    spark, path = df.sparkSession, df.written_at
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _written.remove(path)
 
 
 def release(spark: SparkSession) -> None:

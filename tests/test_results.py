@@ -1,6 +1,7 @@
 """Statistics, reports and experts."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from graphloom.operators import reports as P
 from graphloom.operators import routing as R
 from graphloom.operators import splits as L
 from graphloom.operators import stats as S
+from graphloom.plans import ranking
 
 
 def test_p_values():
@@ -31,9 +33,53 @@ def test_holm(spark):
 
 def test_protocol_and_decisions(spark):
     cells = S.hash_cells(spark, {"oracle": 0.9, "uniform": 0.6, "label_free": 0.8, "random": 0.6})
-    compared = S.comparisons(S.paired(cells, [("D1", "oracle", "uniform"), ("D2", "label_free", "uniform"), ("D3", "label_free", "random")]))
-    rules = S.decisions(compared.select("name", "mean_diff", F.col("p_wilcoxon").alias("p"))).first()
-    assert rules["D1"] and rules["D2"] and rules["D3"] and rules["D4"] is None and rules["verdict"] == "supported"
+    compared = S.comparisons(S.paired(cells, S.RULES)).select("name", "mean_diff", F.col("p_wilcoxon").alias("p"))
+    control = S.comparisons(S.paired(S.hash_cells(spark, {"oracle": 0.9, "uniform": 0.5}), S.RULES)).select("name", "mean_diff", F.col("p_wilcoxon").alias("p"))
+    rules = S.decisions(compared, control).first()
+    assert rules["D1"] and rules["D2"] and rules["D3"] and rules["D4"] and rules["verdict"] == "supported"
+    assert rules["D1_p"] == pytest.approx(2 / 1024)  # the test's own p-value, not the corrected one
+    without = S.decisions(compared).first()
+    assert without["D4"] is None and without["verdict"] == "not supported: D4"
+    weak = S.decisions(compared.where("name <> 'D3'"), control.withColumn("mean_diff", -F.col("mean_diff"))).first()
+    assert weak["D3"] is None and weak["D4"] is False and weak["verdict"] == "not supported: D3, D4"
+
+
+def test_quantiles_are_exact(spark):
+    import random
+
+    rng = random.Random(1)
+    for values in ([rng.gauss(0, 1) for _ in range(3000)], [rng.choice([1.0, 2.0, 5.0]) for _ in range(2000)], [10.0 ** rng.uniform(-200, 200) for _ in range(2500)], [7.0], [3.0] * 500):
+        table = spark.createDataFrame([(v,) for v in values + [None, float("nan")]], "v double")
+        at = [0.0, 0.025, 1 / 3, 0.5, 2 / 3, 1.0]
+        assert ranking.quantiles(table, "v", at) == pytest.approx(np.quantile(values, at).tolist())
+        ranks = [0, len(values) // 3, len(values) - 1, len(values)]
+        assert ranking.order_statistics(table, "v", ranks, few=20) == [*(sorted(values)[r] for r in ranks[:3]), None]
+    assert ranking.quantiles(table.limit(0), "v", [0.5]) == [None]
+
+
+def test_running_total(spark):
+    rows = spark.createDataFrame([(i, (i * 7) % 5) for i in range(50)], "k long, n long")
+    found = {r["k"]: r["before"] for r in ranking.running_total(rows, "n", F.asc("k")).collect()}
+    assert found == {i: sum((j * 7) % 5 for j in range(i)) for i in range(50)}
+
+
+def test_bootstrap_against_repeated_rows(spark):
+    """Each draw is Spearman's rho of the rows repeated as often as their cluster's weight says."""
+    rng = np.random.default_rng(2)
+    data = [(float(rng.integers(0, 9)), float(rng.integers(0, 9)) + 0.3 * i, f"c{i % 7}") for i in range(40)] + [(None, 1.0, "c1"), (1.0, 2.0, None)]
+    rows = spark.createDataFrame(data, "x double, y double, c string")
+    weights = {(r["c"], r["b"]): int(r["w"]) for r in rows.select(F.coalesce("c", F.lit("")).alias("c")).distinct().crossJoin(spark.range(30).withColumnRenamed("id", "b")).select("c", "b", S.poisson_weight(5, "c", "b").alias("w")).collect()}
+    rhos = []
+    for b in range(30):
+        part = np.array([(x, y) for x, y, c in data if x is not None for _ in range(weights[c or "", b])]).reshape(-1, 2)
+        rx, ry = (pd.Series(part[:, i]).rank() for i in (0, 1))
+        if len(part) and rx.std() > 0 and ry.std() > 0:
+            rhos.append(rx.corr(ry))
+    found = S.bootstrap_spearman(rows, "x", "y", "c", draws=30, seed=5, at_once=7).first()
+    assert (found["ci_low"], found["ci_high"]) == pytest.approx(tuple(np.quantile(rhos, [0.025, 0.975])))
+    assert found["p"] == pytest.approx(min(1, 2 * min(np.mean(np.array(rhos) <= 0), np.mean(np.array(rhos) >= 0))))
+    assert np.mean(list(weights.values())) == pytest.approx(1, abs=0.2)
+    assert S.bootstrap_spearman(rows.limit(0), "x", "y", "c", draws=5).count() == 0
 
 
 def test_partial_spearman_edges(spark):
