@@ -282,7 +282,7 @@ def first_thresholds(rows: DataFrame, at: str, existence: str, deployable: str)
 def grouped_cells(rows: DataFrame, cond: Column, split: Column, seed: Column, value: Column) -> DataFrame:
     """Cells of measured rows: the mean of ``value`` for each condition, split and seed; rows without a condition take no part."""
     named = rows.select(cond.alias("cond"), split.cast("int").alias("split"), seed.cast("int").alias("seed"), value.alias("v")).where("cond IS NOT NULL")
-    return named.groupBy("cond", "split", "seed").agg(F.round(F.avg("v"), 6).alias("acc"))
+    return named.groupBy("cond", "split", "seed").agg(F.round(F.avg("v"), 9).alias("acc"))
 
 
 def hash_cells(spark, conditions: dict[str, float], splits: int = 10, seeds: int = 3, spread: float = 0.02) -> DataFrame:

@@ -14,7 +14,7 @@ from graphloom.sources.tables import table
 PRIORITY = {"1-URGENT": "oracle", "2-HIGH": "label_free", "3-MEDIUM": "random", "4-NOT SPECIFIED": "uniform", "5-LOW": "control"}
 CELLS = f"""
 WITH cells AS (
-  SELECT cond, split, seed, round(avg(v), 6) AS acc
+  SELECT cond, split, seed, round(avg(v), 9) AS acc
   FROM (SELECT CASE o_orderpriority {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in PRIORITY.items())} END AS cond, (o_custkey % 10)::INTEGER AS split, (o_orderkey % 3)::INTEGER AS seed, o_totalprice / 500000.0::DOUBLE AS v FROM orders)
   WHERE cond IS NOT NULL GROUP BY ALL
 ), means AS (SELECT cond, split, avg(acc) AS acc FROM cells GROUP BY ALL),
@@ -166,7 +166,7 @@ def bootstrap_ci(spark, folder):
 
 FLAGS = {"A": "spectral", "N": "degree", "R": "random"}
 RUNS = f""", runs AS (
-  SELECT method, n, budget, seed, round(avg(l_discount), 6) AS err, round(avg(l_quantity) / 50.0::DOUBLE, 6) AS gap
+  SELECT method, n, budget, seed, round(avg(l_discount), 9) AS err, round(avg(l_quantity) / 50.0::DOUBLE, 9) AS gap
   FROM (SELECT *, CASE l_returnflag {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in FLAGS.items())} END AS method, (64 << (l_linenumber % 3)::INTEGER)::INTEGER AS n, (l_suppkey % 2 * 2 + 2)::DOUBLE AS budget, (l_orderkey % 5)::INTEGER AS seed FROM lineitem)
   WHERE method IS NOT NULL GROUP BY ALL)"""
 
@@ -178,7 +178,7 @@ def _runs(spark, folder):
         method = method.when(F.col("l_returnflag") == flag, name)
     rows = table(spark, folder, "lineitem").select(method.alias("method"), F.lit(64).cast("int").alias("base"), "l_linenumber", ((F.col("l_suppkey") % 2) * 2 + 2).cast("double").alias("budget"), (F.col("l_orderkey") % 5).cast("int").alias("seed"), "l_discount", "l_quantity")
     rows = rows.withColumn("n", F.expr("shiftleft(base, CAST(l_linenumber % 3 AS INT))")).where("method IS NOT NULL")
-    return rows.groupBy("method", "n", "budget", "seed").agg(F.round(F.avg("l_discount"), 6).alias("err"), F.round(F.avg("l_quantity") / 50.0, 6).alias("gap"))
+    return rows.groupBy("method", "n", "budget", "seed").agg(F.round(F.avg("l_discount"), 9).alias("err"), F.round(F.avg("l_quantity") / 50.0, 9).alias("gap"))
 
 
 @query("bands", CELLS + RUNS + f", long AS (SELECT n, budget, method, 'err' AS metric, err AS value FROM runs UNION ALL SELECT n, budget, method, 'gap', gap FROM runs) SELECT n, budget, method, metric, {r('avg(value)', 'mean')}, {r('stddev_pop(value)', 'std')}, {r('min(value)', 'least')}, {r('max(value)', 'most')}, count(value)::BIGINT AS n_1 FROM long GROUP BY n, budget, method, metric")
