@@ -11,6 +11,11 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def place(df: DataFrame, name: str) -> str:
+    """What ``numbered`` calls a column."""
+    return f"c{df.columns.index(name)}"
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` with its columns named c0, c1 and so on: what finds columns by name then takes any."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm import columns
 from graphloom.llm.store import by_bytes, staged
 from graphloom.llm.subwords import slices
 from graphloom.llm.textkernel import hash_spans, mix, numbered, utf8, words
@@ -96,7 +97,7 @@ def normal_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 def _measured(documents: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """A row for each document, with a key of its own, its figures and its distinct lines (hash, words)."""
-    source = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.col(text_col).alias("text"))
+    source = documents.select(columns.named(id_col).alias("id"), F.coalesce(columns.named(host_col).cast("string"), F.lit("")).alias("host"), columns.named(text_col).alias("text"))
     line = T.StructType([T.StructField("hash", T.LongType()), T.StructField("words", T.LongType())])
     schema = T.StructType([T.StructField("key", T.LongType()), *source.schema.fields[:2], *[T.StructField(f, T.LongType()) for f in FIGURES], T.StructField("lines", T.ArrayType(line))])
 
@@ -144,12 +145,19 @@ def line_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def remove_frequent_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """``documents`` with each text less its frequent lines; ids must be unique here."""
-    measured = staged(_measured(documents, id_col, text_col, host_col), "lines")
-    lines = measured.select("id", "host", F.explode("lines").alias("line")).select("id", "host", "line.hash")
-    gone = lines.join(frequent_lines(measured, share, least), ["host", "hash"]).groupBy("id").agg(F.collect_set("hash").alias("_gone"))
-    joined = documents.join(gone.withColumnRenamed("id", "_gone_id"), F.col(id_col) == F.col("_gone_id"), "left").drop("_gone_id")
-    names, at = documents.columns, documents.columns.index(text_col)
+    """``documents`` with each text less its frequent lines.
+
+    Null texts stay null; ids may be null or repeat, as rows are told apart by id, host and text; a null host is one host. Other
+    columns are kept, whatever their names. An empty table gives no rows.
+    """
+    plain, text = columns.numbered(documents), columns.place(documents, text_col)
+    mark = F.struct(F.col(columns.place(documents, id_col)), F.coalesce(F.col(columns.place(documents, host_col)).cast("string"), F.lit("")), F.xxhash64(text))
+    marked = plain.withColumn("mark", mark)
+    measured = staged(_measured(marked.select("mark", text, columns.place(documents, host_col)), "mark", text, columns.place(documents, host_col)), "lines")
+    lines = measured.select("id", "host", F.explode("lines").alias("line")).select("id", "host", "line.hash").distinct()
+    gone = lines.join(frequent_lines(measured, share, least), ["host", "hash"]).groupBy("id").agg(F.collect_set("hash").alias("gone"))
+    joined = marked.join(gone, F.col("mark").eqNullSafe(F.col("id")), "left").select(*plain.columns, "gone")
+    names, at = plain.columns, documents.columns.index(text_col)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +169,7 @@ def remove_frequent_lines(documents: DataFrame, id_col: str = "doc_id", text_col
                 out[row] = "\n".join(line for i, line in enumerate(out[row].split("\n")) if i not in drop)
             yield pa.RecordBatch.from_arrays([pa.array(out, texts.type) if i == at else batch.column(i) for i in range(batch.num_columns - 1)], names)
 
-    return by_bytes(joined).mapInArrow(strip, documents.schema)
+    return by_bytes(joined).mapInArrow(strip, plain.schema).toDF(*documents.columns)
 
 
 ORACLE_SQL = r"""

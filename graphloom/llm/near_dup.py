@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm import columns
 from graphloom.llm.components import components
 from graphloom.llm.store import by_bytes, staged
 from graphloom.llm.subwords import forget_encoders, slices
@@ -262,7 +263,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     equal. Ids may be null or repeated; a class whose ids are all null has a null class_id. Other columns play
     no part. An empty table gives no rows.
     """
-    source = documents.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(text_col, F.lit("")))).alias("node"), F.coalesce(text_col, F.lit("")).alias("text"))
+    text = F.coalesce(columns.named(text_col), F.lit(""))
+    source = documents.select(columns.named(id_col).alias("id"), F.unhex(F.md5(text)).alias("node"), text.alias("text"))
     signed = staged(_signed(source, bands, rows, words), "signatures")
     nodes = signed.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
     members = nodes.select("node", "keys", F.explode("keys").alias("key"))
@@ -292,7 +294,16 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each class of near-duplicates: that of the smallest id (null last), of its smallest text hash if that id repeats."""
+    """One row of each class of near-duplicates: that of the smallest id (null last), of its smallest text hash if that id repeats.
+
+    Of rows equal in id and text any one stays. Other columns are kept, whatever their names; null texts are empty. An
+    empty table gives no rows.
+    """
+    return _firsts(columns.numbered(documents), columns.place(documents, id_col), columns.place(documents, text_col), options).toDF(*documents.columns)
+
+
+def _firsts(documents: DataFrame, id_col: str, text_col: str, options: dict) -> DataFrame:
+    """``drop_near_duplicates`` of numbered columns, whose names are none of those added here."""
     node = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     classed = near_duplicates(documents, id_col, text_col, with_node=True, **options)
     first = classed.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("lacks"), F.col(id_col).alias("id"), F.col("node"))).alias("kept"))

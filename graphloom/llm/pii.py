@@ -31,6 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.columns import numbered, place
 from graphloom.llm.store import staged
 
 KEY = "change-me"
@@ -329,6 +330,12 @@ def replace_entities(documents: DataFrame, id_col: str = "doc_id", text_col: str
     Every row stays; null texts stay null, and texts without entities stay as they are. Equal rows are changed alike.
     Other columns are kept, whatever their names.
     """
+    changed = _replaced(numbered(documents), place(documents, id_col), place(documents, text_col), key, count_col is not None)
+    return changed.toDF(*documents.columns, *([count_col] if count_col else []))
+
+
+def _replaced(documents: DataFrame, id_col: str, text_col: str, key: str, counted: bool) -> DataFrame:
+    """``replace_entities`` of numbered columns, whose names are none of those added here."""
     listed = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.explode(entities(F.col(text_col))).alias("entity"))
     listed = staged(listed.distinct(), "found")
     changed = staged(clashes(listed.select("entity").distinct(), key), "clashes")
@@ -342,6 +349,6 @@ def replace_entities(documents: DataFrame, id_col: str = "doc_id", text_col: str
     woven = F.array_join(F.zip_with(between, made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     joined = joined.withColumn("_pii", entities(F.col(text_col), between=True))
     columns = [F.when(F.size(found) > 0, woven).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in documents.columns]
-    if count_col:
-        columns.append(F.size(found).cast("long").alias(count_col))
+    if counted:
+        columns.append(F.size(found).cast("long").alias("n_entities"))
     return joined.select(*columns)

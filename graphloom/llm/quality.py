@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm import columns
 from graphloom.llm.line_rules import figures
 from graphloom.llm.store import by_bytes
 from graphloom.llm.subwords import forget_encoders, slices
@@ -159,8 +160,12 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def score(documents: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``documents`` with a score (0 to 1) in ``score_col``; null texts are empty ones and score 0."""
-    schema = T.StructType([*documents.schema.fields, T.StructField(score_col, T.DoubleType())])
+    """``documents`` with a score (0 to 1) in ``score_col``; null texts are empty ones and score 0.
+
+    Other columns are kept, whatever their names. Neighbours that tie for the last places are taken in any order.
+    """
+    plain = columns.numbered(documents)
+    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())])
     at = documents.columns.index(text_col)
     packed = io.BytesIO()
     np.savez(packed, project=model.project, vectors=model.vectors, labels=model.labels, weights=model.weights)
@@ -174,7 +179,7 @@ def score(documents: DataFrame, model: Model, text_col: str = "text", score_col:
                 part = batch.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.score(part.column(at)))], schema.names)
 
-    return by_bytes(documents).mapInArrow(apply, schema)
+    return by_bytes(plain).mapInArrow(apply, schema).toDF(*documents.columns, score_col)
 
 
 def classify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.columns import numbered, place
 from graphloom.llm.store import by_bytes, staged
 from graphloom.llm.subwords import forget_encoders, slices
 from graphloom.llm.textkernel import hash_spans, mix, runs, utf8, words
@@ -152,6 +153,12 @@ def drop_repeated_spans(documents: DataFrame, id_col: str = "doc_id", text_col:
     of fewer words than ``least_words`` have no runs and stay as they are. Rows equal in id and text are one
     document: they are changed alike. A null id comes before all others. Other columns are kept, whatever their names.
     """
+    left = _dropped(numbered(documents), place(documents, id_col), place(documents, text_col), run, least_words, "removed" if removed_col else None)
+    return left.toDF(*documents.columns, *([removed_col] if removed_col else []))
+
+
+def _dropped(documents: DataFrame, id_col: str, text_col: str, run: int, least_words: int, removed_col: str | None) -> DataFrame:
+    """``drop_repeated_spans`` of numbered columns, whose names are none of those added here."""
     found = repeated_runs(documents, id_col, text_col, run, least_words).select(F.col("id").alias("_span_id"), F.col("text_hash").alias("_span_hash"), F.col("runs").alias("_span_runs"))
     joined = documents.join(found, F.col(id_col).eqNullSafe(F.col("_span_id")) & (F.xxhash64(text_col) == F.col("_span_hash")), "left")
     at, n = documents.columns.index(text_col), len(documents.columns)

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from graphloom.llm import conversation_trie, fill_middle, registry, sim_hash
+from graphloom.llm import conversation_trie, fill_middle, line_rules, near_dup, pii, quality, registry, sim_hash, span_dedup
 
 FOLDER = "/root/testdata/sf0.001"
 on_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -227,3 +227,27 @@ def test_op13(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     found = registry.QUERIES["op13_family_trie"](spark, FOLDER)
     assert collections.Counter(tuple(r[c] for c in COLUMNS) for r in found.collect()) == brute_trie(rows)
+
+
+# names that the operators of earlier rounds use inside
+
+INSIDE = ["_pii", "_pii_id", "_pii_hash", "_pii_own", "_span_id", "_span_hash", "_span_runs", "_node", "_kept_id", "_kept_node", "_gone", "_gone_id", "gone", "mark", "c0", "c1", "kept", "a.dot", "score"]
+
+
+def test_columns_may_have_any_name(spark):
+    """Other columns come back as they were, whatever they are called; null and repeated ids lose their frequent lines too."""
+    body = "\n".join(f"line number {i} of the text, which is long enough to count. " for i in range(6))
+    texts = [None, "", "Write to jane.doe@mail.example.com now.", body, body + " and more", *[f"terms and conditions apply\nown words {i} here" for i in range(12)]]
+    rows = spark.createDataFrame([(None if i % 5 == 0 else i // 2, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    rows = rows.select("*", *[F.monotonically_increasing_id().alias(n) for n in INSIDE]).persist()
+    model = quality.fit(rows, spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int"))
+    outs = [pii.replace_entities(rows), span_dedup.drop_repeated_spans(rows), near_dup.drop_near_duplicates(rows), line_rules.remove_frequent_lines(rows, least=3, share=0.1), quality.score(rows, model, score_col="given")]
+    carried = {r["_pii"]: tuple(r) for r in rows.drop("text").collect()}
+    for out in outs:
+        assert out.columns[: len(rows.columns)] == rows.columns
+        found = out.toDF(*[*rows.columns, *out.columns[len(rows.columns) :]]).collect()
+        at = [i for i, c in enumerate(rows.columns) if c != "text"]
+        assert all(tuple(r[i] for i in at) == carried[r["_pii"]] for r in found) and len(found) <= len(texts)
+    left = [r["text"] for r in outs[3].collect()]
+    assert not any("terms and conditions" in (t or "") for t in left) and sum("own words" in (t or "") for t in left) == 12
+    assert line_rules.remove_frequent_lines(rows.limit(0)).count() == 0
