@@ -160,17 +160,22 @@ def router_targets(predictions: DataFrame, nodes: DataFrame, n_channels: int = 3
     return right.select("split", "seed", "node_id", F.array(*[F.when(total > 0, F.col(f"r{k}") / total).otherwise(1.0 / n_channels) for k in range(n_channels)]).alias("target"))
 
 
-def kmeans_gates(features: DataFrame, order: str, k: int = 3, tries: int = 10, seed: int = 0) -> DataFrame:
-    """(node_id, gates): k-means on standardised fields (node_id, x), clusters named by falling mean of field ``order``; best of ``tries``."""
+def kmeans_gates(features: DataFrame, order: str, k: int = 3, tries: int = 10, seed: int = 0, scaled: bool = True) -> DataFrame:
+    """(node_id, gates): k-means on the fields (node_id, x), standardised or as they are, clusters named by falling mean of field ``order``; best of ``tries``."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    width = len(features.select("x").first()["x"])
+    features = staged(features, "fields")
+    first = features.select(F.size("x").alias("n")).first()
+    if first is None:
+        return features.select("node_id", F.array(*[F.lit(0.0)] * k).alias("gates"))
+    width = first["n"]
     moments = features.agg(*[f(F.get("x", i)).alias(f"{n}{i}") for i in range(width) for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))])
-    scaled = features.join(F.broadcast(moments)).select("node_id", "x", array_to_vector(F.array(*[(F.get("x", i) - F.col(f"m{i}")) / (F.col(f"s{i}") + 1e-8) for i in range(width)])).alias("features")).persist()
-    fitted = [KMeans(k=k, seed=seed + i, maxIter=50).fit(scaled) for i in range(tries)]
+    field = lambda i: (F.get("x", i) - F.col(f"m{i}")) / (F.col(f"s{i}") + 1e-8) if scaled else F.get("x", i)
+    scaled_rows = features.join(F.broadcast(moments)).select("node_id", "x", array_to_vector(F.array(*[field(i) for i in range(width)])).alias("features"))  # one row is broadcast
+    fitted = [KMeans(k=k, seed=seed + i, maxIter=50).fit(scaled_rows) for i in range(tries)]
     best = min(fitted, key=lambda m: m.summary.trainingCost)
-    named = best.transform(scaled)
+    named = best.transform(scaled_rows)
     means = sorted(named.groupBy("prediction").agg(F.avg(F.get("x", int(order))).alias("m")).collect(), key=lambda r: -r["m"])
     place = {r["prediction"]: i for i, r in enumerate(means)}
     channel = F.element_at(F.create_map(*[F.lit(v) for pair in place.items() for v in pair]), F.col("prediction"))

@@ -119,7 +119,24 @@ def interpolation(order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: What a filter is before training, as a function of the node in [-1, 1], where -1 is the lowest frequency.
-FILTERS = {"low": lambda t: (1 - t) / 2, "high": lambda t: (1 + t) / 2, "band": lambda t: 1 - t * t, "all": lambda t: np.ones_like(t)}
+FILTERS = {
+    "low": lambda t: (1 - t) / 2, "high": lambda t: (1 + t) / 2, "band": lambda t: np.exp(-4 * t * t), "band_reject": lambda t: 1 - np.exp(-4 * t * t),
+    "comb": lambda t: 0.5 + 0.5 * np.cos(2 * np.pi * t), "all": lambda t: np.ones_like(t),
+}
+
+
+def _times(weight: float):
+    return lambda v: v * weight
+
+
+def filtered(terms: DataFrame, kind: str, order: int, name: str = "x") -> DataFrame:
+    """(node_id, name): a filter of ``FILTERS``, interpolated at Chebyshev's nodes, applied to the terms (node_id, t0, t1 and so on) of ``scores.chebyshev``."""
+    at, matrix = interpolation(order)
+    weights = (matrix @ FILTERS[kind](at)).tolist()
+    out = F.transform("t0", lambda v: v * weights[0])
+    for term, weight in zip(range(1, order + 1), weights[1:], strict=True):
+        out = F.zip_with(out, F.transform(f"t{term}", _times(weight)), lambda a, b: a + b)
+    return terms.select("node_id", out.alias(name))
 
 
 class Cheb:

@@ -10,13 +10,14 @@ from graphloom.operators import components as C
 from graphloom.operators import experts as E
 from graphloom.operators import generators as B
 from graphloom.operators import iterative as I  # noqa: E741
+from graphloom.operators import label_free as L
 from graphloom.operators import routing as R
 from graphloom.operators import scores as S
 from graphloom.operators import sparsify as X
 from graphloom.operators import spectral as K
-from graphloom.operators import splits as L
+from graphloom.operators import splits as P
 from graphloom.operators import stats as T
-from graphloom.plans.graph_queries import NAMED, PLANTED, RETENTIONS, STRONG, r, rounded, sql
+from graphloom.plans.graph_queries import NAMED, PLANTED, RETENTIONS, STRONG, D, r, rounded, sql
 from graphloom.plans.register import query
 from graphloom.sources.tables import part_graph
 from graphloom.storage import staged
@@ -190,58 +191,58 @@ def mode_scores_all(spark, folder):
 
 @query("kmeans_pool")
 def kmeans_pool(spark, folder):
-    g = _planted(spark)
-    return E.kmeans_gates(g.nodes.select("node_id", "x"), "0")
+    """A pool that never sees labels: clusters of the features as they are."""
+    return E.kmeans_gates(part_graph(spark, folder).nodes.select("node_id", "x"), "0", scaled=False)
 
 
 @query("label_free_kmeans")
 def label_free_kmeans(spark, folder):
-    g = _planted(spark)
-    fields = S.feature_homophily(g, 8).join(S.degree_family(g), "node_id").select("node_id", F.array("hx", "log_degree", "degree_proxy").alias("x"))
-    return E.kmeans_gates(fields, "0")
+    return L.assigned(L.structural_features(part_graph(spark, folder), D), "kmeans")
 
 
-def _pool(spark):
-    g = _planted(spark)
-    one = S.propagate(g, g.nodes.select("node_id", "x"), 8).withColumnRenamed("x", "x1")
-    nodes = g.nodes.join(one, "node_id").select("node_id", "y", "regime", F.concat("x", "x1").alias("x"))
+def _pool(spark, folder):
+    """Experts on terciles of label homophily over the parts' graph, and the channels of the conditions that are compared."""
+    g = _whole(spark, folder)
+    one = S.propagate(g, g.nodes.select("node_id", "x"), D).withColumnRenamed("x", "x1")
+    nodes = staged(g.nodes.join(one, "node_id").select("node_id", F.col("y").cast("int").alias("y"), F.concat("x", "x1").alias("x")), "nodes")
     splits = None
     for split in range(3):
-        part = L.stratified_split(nodes, 0.5, split).select(F.lit(split).alias("split"), F.lit(0).alias("seed"), "node_id", "part")
+        part = P.stratified_split(nodes, 0.5, split).select(F.lit(split).alias("split"), F.lit(0).alias("seed"), "node_id", "part")
         splits = part if splits is None else splits.union(part)
-    return nodes, E.fit_pool(nodes, splits, R.by_regime(nodes, "regime"), 5).persist()
+    oracle = staged(R.bucket_by_homophily(S.label_homophily(g), adaptive=True), "oracle")
+    free = staged(R.bucket_by_quantile(S.feature_homophily(g, D).withColumnRenamed("hx", "score")), "free")
+    gates = {"oracle": oracle, "label_free": free, "uniform": R.uniform_gates(nodes), "random": R.random_like(oracle)}
+    return nodes, staged(E.fit_pool(nodes, staged(splits, "splits"), oracle, 5), "predictions"), gates
 
 
-def _cells(spark):
-    nodes, predictions = _pool(spark)
-    oracle = R.by_regime(nodes, "regime")
-    named = {"oracle": oracle, "uniform": R.uniform_gates(nodes), "random": R.random_like(oracle)}
+def _cells(spark, folder):
+    nodes, predictions, gates = _pool(spark, folder)
     conditions = None
-    for name, gates in named.items():
-        part = R.with_channel(gates).select(F.lit(name).alias("cond"), "node_id", "channel")
+    for name, routed in gates.items():
+        part = R.with_channel(routed).select(F.lit(name).alias("cond"), "node_id", "channel")
         conditions = part if conditions is None else conditions.union(part)
     return E.mixture_cells(predictions, nodes, conditions)
 
 
 @query("protocol_b_cells")
 def protocol_b_cells(spark, folder):
-    return _cells(spark)
+    return _cells(spark, folder)
 
 
 @query("d2_table")
 def d2_table(spark, folder):
-    return T.holm(T.comparisons(T.paired(_cells(spark), [("oracle vs uniform", "oracle", "uniform"), ("oracle vs random", "oracle", "random")])), "p_wilcoxon")
+    return T.holm(T.comparisons(T.paired(_cells(spark, folder), T.RULES)), "p_wilcoxon")
 
 
 @query("ensemble_soft_vote")
 def ensemble_soft_vote(spark, folder):
-    nodes, predictions = _pool(spark)
+    nodes, predictions, _ = _pool(spark, folder)
     return E.soft_vote(predictions, nodes, 5)
 
 
 @query("router_targets")
 def router_targets(spark, folder):
-    nodes, predictions = _pool(spark)
+    nodes, predictions, _ = _pool(spark, folder)
     return E.router_targets(predictions, nodes)
 
 
