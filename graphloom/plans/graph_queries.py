@@ -567,45 +567,69 @@ def _normal_sql(seed: str, tag: str, key: str) -> str:
     return f"sqrt(-2 * ln({sql_uniform(seed, tag, key, chr(39) + 'a' + chr(39))} + pow(2.0::DOUBLE, -33))) * cos(6.283185307179586::DOUBLE * {sql_uniform(seed, tag, key, chr(39) + 'b' + chr(39))})"
 
 
-@query("gen_positive_control", f"""WITH f AS (SELECT i::BIGINT AS node_id, (i % 3)::INTEGER AS grp, {_normal_sql("0", "'f0'", "i")} AS f0, {_normal_sql("0", "'f1'", "i")} AS f1, {_normal_sql("0", "'f2'", "i")} AS f2 FROM (SELECT unnest(range(0, 600)) AS i))
-SELECT node_id, (CASE grp WHEN 0 THEN f0 WHEN 1 THEN -f0 ELSE f1 END > 0)::INTEGER AS y, grp, [round(f0, 6) + 0.0, round(f1, 6) + 0.0, round(f2, 6) + 0.0, CASE grp WHEN 0 THEN 5.0 WHEN 1 THEN -5.0 ELSE 0.0 END::DOUBLE] AS x FROM f""")
+def links_sql(rules: list[tuple], nodes: str, seed: int = 0) -> str:
+    """CTEs that end with links (src, dst, w): the rows of ``generators.block_links`` over the blocks of CTE ``nodes`` (id, block)."""
+    rows = ", ".join(f"({a}, {b}, {order}, {size}, {[float(p) for p in cdf]}, {low!r}::DOUBLE, {high!r}::DOUBLE)" for a, b, order, size, cdf, low, high in B.chunked(rules))
+    return f""", rules(a, b, ord, size, cdf, low, high) AS (VALUES {rows}),
+stood AS (SELECT id, block, row_number() OVER (PARTITION BY block ORDER BY id) - 1 AS place FROM {nodes}), sizes AS (SELECT block, count(*) AS n FROM {nodes} GROUP BY block),
+cells AS (SELECT r.*, y.n AS nb, x.n * y.n AS total FROM rules r JOIN sizes x ON x.block = a JOIN sizes y ON y.block = b),
+chunks AS (SELECT *, unnest(range(0, ((total + size - 1) // size)::BIGINT)) AS chunk FROM cells),
+counted AS (SELECT *, {sql_uniform(str(seed), "'n'", 'a', 'b', 'ord', 'chunk')} AS u FROM chunks),
+points AS (SELECT *, unnest(range(1, len(list_filter(cdf, lambda p: p::DOUBLE <= u)) + 1)) AS i FROM counted),
+hit AS (SELECT DISTINCT a, b, ord, low, high, nb, total, chunk * size + floor({sql_uniform(str(seed), "'c'", 'a', 'b', 'ord', 'chunk', 'i')} * size)::BIGINT AS cell FROM points),
+ends AS (SELECT x.id AS ia, y.id AS ib, ord, low, high FROM hit JOIN stood x ON x.block = a AND x.place = cell // nb JOIN stood y ON y.block = b AND y.place = cell % nb WHERE cell < total AND (a <> b OR cell // nb < cell % nb)),
+pairs AS (SELECT least(ia, ib) AS src, greatest(ia, ib) AS dst, low, high FROM ends WHERE ord = 0 OR (ord = 1 AND ia < ib) OR (ord = -1 AND ia > ib)),
+links AS (SELECT src, dst, low + (high - low) * {sql_uniform(str(seed), "'w'", 'src', 'dst')} AS w FROM pairs)"""
+
+
+def _customers(spark, folder):
+    return table(spark, folder, "customer").select(F.col("c_custkey").cast("long").alias("id"))
+
+
+CONTROL = f"""WITH f AS (SELECT c_custkey::BIGINT AS id, (c_custkey % 3)::INTEGER AS block, {_normal_sql("0", "'f0'", "c_custkey")} AS f0, {_normal_sql("0", "'f1'", "c_custkey")} AS f1, {_normal_sql("0", "'f2'", "c_custkey")} AS f2 FROM customer)"""
+OWN = "CASE block WHEN 0 THEN f0 + f1 WHEN 1 THEN f1 - f2 ELSE f2 - f0 END"
+GROUPED = "block AS grp, [round(f0, 6) + 0.0, round(f1, 6) + 0.0, round(f2, 6) + 0.0, CASE block WHEN 0 THEN 5.0 WHEN 1 THEN -5.0 ELSE 0.0 END::DOUBLE] AS x FROM f"
+
+
+@query("gen_positive_control", f"{CONTROL} SELECT id AS node_id, ({OWN} > 0)::INTEGER AS y, {GROUPED}")
 def gen_positive_control(spark, folder):
-    return rounded(B.positive_control(spark, 600))
+    return rounded(B.positive_control(spark, 0, ids=_customers(spark, folder)))
 
 
-@query("gen_separable", f"""WITH f AS (SELECT i::BIGINT AS node_id, (i % 3)::INTEGER AS grp, {_normal_sql("0", "'f0'", "i")} AS f0, {_normal_sql("0", "'f1'", "i")} AS f1, {_normal_sql("0", "'f2'", "i")} AS f2 FROM (SELECT unnest(range(0, 600)) AS i))
-SELECT node_id, (0.4::DOUBLE * f2 + 0.6::DOUBLE * CASE grp WHEN 0 THEN f0 WHEN 1 THEN -f0 ELSE f1 END > 0)::INTEGER AS y, grp, [round(f0, 6) + 0.0, round(f1, 6) + 0.0, round(f2, 6) + 0.0, (grp - 1)::DOUBLE] AS x FROM f""")
+@query("gen_separable", f"{CONTROL} SELECT id AS node_id, (0.4::DOUBLE * (f0 + f1) + 0.6::DOUBLE * {OWN} > 0)::INTEGER AS y, {GROUPED}")
 def gen_separable(spark, folder):
-    return rounded(B.separable(spark, 600, 0.6))
+    return rounded(B.separable(spark, 0, 0.6, ids=_customers(spark, folder)))
+
+
+@query("gen_control_links", CONTROL + links_sql([(i, j, 0, 0.02 if i == j else 0.005, 1.0, 1.0) for i in range(3) for j in range(i, 3)], "f") + f" SELECT src, dst, {r('w', 'w')} FROM links")
+def gen_control_links(spark, folder):
+    """Links within the groups of the control, and fewer across them."""
+    return rounded(B.group_links(B.positive_control(spark, 0, ids=_customers(spark, folder)), 0.02, 0.005))
 
 
-ROLES = "WITH n AS (SELECT i::BIGINT AS id, (CASE WHEN i < 40 THEN 0 WHEN i < 110 THEN 1 WHEN i < 120 THEN 2 ELSE 3 END)::INTEGER AS r FROM (SELECT unnest(range(0, 200)) AS i))"
+ROLES = "WITH c AS (SELECT c_custkey::BIGINT AS id, row_number() OVER (ORDER BY c_custkey) AS i, greatest(1, floor(0.2::DOUBLE * count(*) OVER ())) AS s, greatest(1, floor(0.35::DOUBLE * count(*) OVER ())) AS v, greatest(1, floor(0.05::DOUBLE * count(*) OVER ())) AS h FROM customer), n AS (SELECT id, (CASE WHEN i <= s THEN 0 WHEN i <= s + v THEN 1 WHEN i <= s + v + h THEN 2 ELSE 3 END)::INTEGER AS block FROM c)"
+PATH = f""", ranked AS (SELECT id, row_number() OVER (ORDER BY {sql_uniform('0', "'b'", 'id')}, id) AS place FROM n),
+path AS (SELECT least(l.id, m.id) AS src, greatest(l.id, m.id) AS dst, 0.3::DOUBLE AS w FROM ranked l JOIN ranked m ON m.place = l.place + 1)
+SELECT src, dst, {r('max(w)', 'w')} FROM (SELECT * FROM links UNION ALL SELECT * FROM path) GROUP BY src, dst"""
 
 
-@query("gen_roles", ROLES + f""", rules(a, b, p) AS (VALUES (0, 1, 0.30::DOUBLE), (0, 2, 0.10::DOUBLE), (1, 1, 0.05::DOUBLE), (1, 3, 0.25::DOUBLE), (2, 3, 0.15::DOUBLE), (1, 2, 0.20::DOUBLE)),
-drawn AS (SELECT x.id AS src, z.id AS dst, 0.2::DOUBLE + 0.8::DOUBLE * {sql_uniform('0', "'w'", 'x.id', 'z.id')} AS w FROM n x JOIN n z ON x.id < z.id JOIN rules ON rules.a = x.r AND rules.b = z.r WHERE {sql_uniform('0', 'x.id', 'z.id')} < p),
-placed AS (SELECT id, row_number() OVER (ORDER BY {sql_uniform('0', "'b'", 'id')}, id) AS place FROM n),
-path AS (SELECT least(l.id, m.id) AS src, greatest(l.id, m.id) AS dst, 0.3::DOUBLE AS w FROM placed l JOIN placed m ON m.place = l.place + 1)
-SELECT src, dst, {r('max(w)', 'w')} FROM (SELECT * FROM drawn UNION ALL SELECT * FROM path) GROUP BY src, dst""")
+@query("gen_roles", ROLES + links_sql([(a, b, 0, p, low, high) for a, b, p, low, high in B.ROLE_RULES], "n") + PATH)
 def gen_roles(spark, folder):
-    return rounded(B.roles(spark, 200).edges)
+    return rounded(B.roles(spark, 0, ids=_customers(spark, folder)).edges)
 
 
-ERP = f"""WITH n AS (SELECT i::BIGINT AS id, (floor({sql_uniform('0', "'y'", 'i')} * 5)::INTEGER % 5)::INTEGER AS y, (CASE WHEN i < 40 THEN 0 WHEN i < 110 THEN 1 WHEN i < 120 THEN 2 ELSE 3 END)::INTEGER AS r FROM (SELECT unnest(range(0, 200)) AS i)),
-g AS (SELECT *, (CASE r WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 1 END)::INTEGER AS regime, (r = 2)::INTEGER AS fraud FROM n)"""
+ERP = ROLES + f""", n0 AS (SELECT id, block AS role, floor({sql_uniform('0', "'y'", 'id')} * 5)::INTEGER AS y FROM n),
+g AS (SELECT id, y, role, (role * 5 + y)::INTEGER AS block, (CASE role WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END)::INTEGER AS regime, (role = 2)::INTEGER AS fraud FROM n0)"""
 
 
-@query("gen_erp_nodes", ERP + " SELECT id AS node_id, y, r AS role, regime, fraud FROM g")
+@query("gen_erp_nodes", ERP + " SELECT id AS node_id, y, role, regime, fraud FROM g")
 def gen_erp_nodes(spark, folder):
-    return B.erp_fraud(spark, 200).nodes.select("node_id", "y", "role", "regime", "fraud")
+    return B.erp_fraud(spark, 0, ids=_customers(spark, folder)).nodes.select("node_id", "y", "role", "regime", "fraud")
 
 
-@query("gen_erp_edges", ERP + f""", rules(low, high, chance) AS (VALUES {", ".join(f"({a}, {b}, {c}::DOUBLE)" for a, b, c in B.ERP_RULES)})
-SELECT a.id AS src, b.id AS dst, {r("0.2::DOUBLE + 0.8::DOUBLE * " + sql_uniform('0', "'w'", 'a.id', 'b.id'), 'w')}
-FROM g a JOIN g b ON a.id < b.id JOIN rules ON low = least(a.r, b.r) AND high = greatest(a.r, b.r)
-WHERE {sql_uniform('0', 'a.id', 'b.id')} < chance * 0.2::DOUBLE * CASE WHEN a.r <> b.r THEN 1.0::DOUBLE WHEN a.regime = 0 THEN CASE WHEN a.y = b.y THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END WHEN a.regime = 1 THEN CASE WHEN (a.y + 1) % 5 = b.y OR (b.y + 1) % 5 = a.y THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END ELSE 0.5::DOUBLE END""")
+@query("gen_erp_edges", ERP + links_sql(B.erp_rules(), "g") + PATH)
 def gen_erp_edges(spark, folder):
-    return rounded(B.erp_fraud(spark, 200).edges)
+    return rounded(B.erp_fraud(spark, 0, ids=_customers(spark, folder)).edges)
 
 
 BLOCKS = [[0.3, 0.02, 0.05], [0.02, 0.1, 0.1], [0.05, 0.1, 0.02]]
