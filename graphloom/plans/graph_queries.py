@@ -534,39 +534,6 @@ def equal_blocks(spark, folder):
     return P.equal_blocks(table(spark, folder, "documents").select("doc_id", F.floor(F.col("n_chars") / 10).alias("n")), "doc_id", "n")
 
 
-SBM = f"""WITH n AS (SELECT i::BIGINT AS id, (i * 3 // 120)::INTEGER AS y FROM (SELECT unnest(range(0, 120)) AS i))
-SELECT a.id AS src, b.id AS dst, {r(f'0.05::DOUBLE + 0.95::DOUBLE * {sql_uniform("0", "'w'", "a.id", "b.id")}', 'w')} FROM n a JOIN n b ON a.id < b.id
-WHERE {sql_uniform('0', 'a.id', 'b.id')} < CASE WHEN a.y = b.y THEN 0.5::DOUBLE ELSE 0.05::DOUBLE END"""
-
-
-@query("gen_sbm", SBM)
-def gen_sbm(spark, folder):
-    return rounded(B.sbm(spark, 120, 3).edges)
-
-
-PLANTED = f"""WITH n AS (SELECT i::BIGINT AS id, (i % 5)::INTEGER AS y, (i * 3 // 300)::INTEGER AS g FROM (SELECT unnest(range(0, 300)) AS i)), e AS (
-  SELECT a.id AS src, b.id AS dst FROM n a JOIN n b ON a.id < b.id AND a.g = b.g
-  WHERE {sql_uniform('1', 'a.id', 'b.id')} < 0.2::DOUBLE * CASE a.g WHEN 0 THEN (a.y = b.y)::INTEGER::DOUBLE WHEN 1 THEN ((a.y + 1) % 5 = b.y OR (b.y + 1) % 5 = a.y)::INTEGER::DOUBLE ELSE 0.2::DOUBLE END
-)"""
-
-
-@query("gen_planted_regimes", PLANTED + "SELECT src, dst, 1.0::DOUBLE AS w FROM e")
-def gen_planted_regimes(spark, folder):
-    return B.planted_regimes(spark, 300, seed=1).edges
-
-
-@query("dilution_ladder", PLANTED + f""", o AS (SELECT id, y, row_number() OVER (ORDER BY k, y) AS place FROM (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY {sql_uniform('1', "'d'", 'id')}, id) AS k FROM n)),
-c AS (SELECT id, y FROM o WHERE place <= 150)
-SELECT src, dst, 1.0::DOUBLE AS w FROM e WHERE src NOT IN (SELECT id FROM c) AND dst NOT IN (SELECT id FROM c)
-UNION ALL SELECT least(c.id, n.id), greatest(c.id, n.id), 1.0::DOUBLE FROM c JOIN n ON n.y = c.y AND n.id <> c.id WHERE (n.id NOT IN (SELECT id FROM c) OR n.id < c.id) AND {sql_uniform('1', "'r'", 'c.id', 'n.id')} < 0.2::DOUBLE""")
-def dilution_ladder(spark, folder):
-    return B.dilute(B.planted_regimes(spark, 300, seed=1), 0.5, 0.2, 1).edges
-
-
-def _normal_sql(seed: str, tag: str, key: str) -> str:
-    return f"sqrt(-2 * ln({sql_uniform(seed, tag, key, chr(39) + 'a' + chr(39))} + pow(2.0::DOUBLE, -33))) * cos(6.283185307179586::DOUBLE * {sql_uniform(seed, tag, key, chr(39) + 'b' + chr(39))})"
-
-
 def links_sql(rules: list[tuple], nodes: str, seed: int = 0) -> str:
     """CTEs that end with links (src, dst, w): the rows of ``generators.block_links`` over the blocks of CTE ``nodes`` (id, block)."""
     rows = ", ".join(f"({a}, {b}, {order}, {size}, {[float(p) for p in cdf]}, {low!r}::DOUBLE, {high!r}::DOUBLE)" for a, b, order, size, cdf, low, high in B.chunked(rules))
@@ -586,6 +553,47 @@ def _customers(spark, folder):
     return table(spark, folder, "customer").select(F.col("c_custkey").cast("long").alias("id"))
 
 
+CUSTOMERS = "WITH c AS (SELECT c_custkey::BIGINT AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS i, count(*) OVER () AS m FROM customer)"
+SBM = CUSTOMERS + ", n AS (SELECT id, floor(i * 3 / m::DOUBLE)::INTEGER AS block FROM c)" + links_sql([(i, j, 0, 0.5 if i == j else 0.05, 0.05, 1.0) for i in range(3) for j in range(i, 3)], "n")
+
+
+@query("gen_sbm", SBM + f" SELECT src, dst, {r('w', 'w')} FROM links")
+def gen_sbm(spark, folder):
+    return rounded(B.sbm(spark, 0, 3, ids=_customers(spark, folder)).edges)
+
+
+PLANTED = f"""WITH g AS (SELECT c_custkey::BIGINT AS id, floor({sql_uniform('1', "'y'", 'c_custkey')} * 5)::INTEGER AS y, {sql_uniform('1', "'g'", 'c_custkey')} AS u FROM customer),
+n AS (SELECT id, y, ((CASE WHEN u < 0.4::DOUBLE THEN 0 WHEN u < 0.8::DOUBLE THEN 1 ELSE 2 END) * 5 + y)::INTEGER AS block FROM g)"""
+PLANTED_LINKS = PLANTED + links_sql(B.planted_rules(), "n", 1)
+
+
+def _planted(spark, folder):
+    return B.planted_regimes(spark, 0, seed=1, ids=_customers(spark, folder))
+
+
+@query("gen_planted_regimes", PLANTED_LINKS + " SELECT src, dst, w FROM links")
+def gen_planted_regimes(spark, folder):
+    return _planted(spark, folder).edges
+
+
+@query("planted_label_counts", PLANTED + " SELECT y, count(*)::BIGINT AS n FROM n GROUP BY y")
+def planted_label_counts(spark, folder):
+    return _planted(spark, folder).nodes.groupBy("y").agg(F.count("*").alias("n"))
+
+
+ORDERED = f", o AS (SELECT id, y, row_number() OVER (ORDER BY k, y) AS place FROM (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY {sql_uniform('1', chr(39) + 'd' + chr(39), 'id')}, id) AS k FROM n)), cv AS (SELECT id, y FROM o WHERE place <= (SELECT round_even(count(*) / 2.0::DOUBLE, 0) FROM n))"
+REDRAWN = ", q AS (SELECT n.id, (n.y + CASE WHEN cv.id IS NULL THEN 5 ELSE 0 END)::INTEGER AS block FROM n LEFT JOIN cv ON cv.id = n.id)" + links_sql([rule for y in range(5) for rule in ((y, y, 0, 0.2, 1.0, 1.0), (y, 5 + y, 0, 0.2, 1.0, 1.0))], "q", 1)
+
+
+@query("dilution_ladder", f"WITH e AS ({PLANTED_LINKS} SELECT src, dst, w FROM links), {PLANTED.removeprefix('WITH ')}{ORDERED}{REDRAWN} SELECT src, dst, w FROM e WHERE src NOT IN (SELECT id FROM cv) AND dst NOT IN (SELECT id FROM cv) UNION ALL SELECT src, dst, w FROM links")
+def dilution_ladder(spark, folder):
+    return B.dilute(_planted(spark, folder), 0.5, 0.2, 1).edges
+
+
+def _normal_sql(seed: str, tag: str, key: str) -> str:
+    return f"sqrt(-2 * ln({sql_uniform(seed, tag, key, chr(39) + 'a' + chr(39))} + pow(2.0::DOUBLE, -33))) * cos(6.283185307179586::DOUBLE * {sql_uniform(seed, tag, key, chr(39) + 'b' + chr(39))})"
+
+
 CONTROL = f"""WITH f AS (SELECT c_custkey::BIGINT AS id, (c_custkey % 3)::INTEGER AS block, {_normal_sql("0", "'f0'", "c_custkey")} AS f0, {_normal_sql("0", "'f1'", "c_custkey")} AS f1, {_normal_sql("0", "'f2'", "c_custkey")} AS f2 FROM customer)"""
 OWN = "CASE block WHEN 0 THEN f0 + f1 WHEN 1 THEN f1 - f2 ELSE f2 - f0 END"
 GROUPED = "block AS grp, [round(f0, 6) + 0.0, round(f1, 6) + 0.0, round(f2, 6) + 0.0, CASE block WHEN 0 THEN 5.0 WHEN 1 THEN -5.0 ELSE 0.0 END::DOUBLE] AS x FROM f"
@@ -635,14 +643,14 @@ def gen_erp_edges(spark, folder):
 BLOCKS = [[0.3, 0.02, 0.05], [0.02, 0.1, 0.1], [0.05, 0.1, 0.02]]
 
 
-@query("gen_homophily_range", f"WITH n AS (SELECT i::BIGINT AS id, (i % 3)::INTEGER AS y FROM (SELECT unnest(range(0, 150)) AS i)), p(a, b, c) AS (VALUES {', '.join(f'({i}, {j}, {c}::DOUBLE)' for i, row in enumerate(BLOCKS) for j, c in enumerate(row))}) SELECT x.id AS src, z.id AS dst, 1.0::DOUBLE AS w FROM n x JOIN n z ON x.id < z.id JOIN p ON a = x.y AND b = z.y WHERE {sql_uniform('0', 'x.id', 'z.id')} < c")
+@query("gen_homophily_range", "WITH n AS (SELECT c_custkey::BIGINT AS id, (c_custkey % 3)::INTEGER AS block FROM customer)" + links_sql([(i, j, 0, BLOCKS[i][j], 1.0, 1.0) for i in range(3) for j in range(i, 3)], "n") + " SELECT src, dst, w FROM links")
 def gen_homophily_range(spark, folder):
-    return B.homophily_range(spark, 150, BLOCKS).edges
+    return B.homophily_range(spark, 0, BLOCKS, ids=_customers(spark, folder)).edges
 
 
-@query("gen_sbm_halved", SBM.replace("0.05::DOUBLE + 0.95::DOUBLE * ", "0.025::DOUBLE + 0.475::DOUBLE * "))
+@query("gen_sbm_halved", SBM + f" SELECT src, dst, {r('w / 2', 'w')} FROM links")
 def gen_sbm_halved(spark, folder):
-    return rounded(B.halved_sbm(spark, 120, 3).edges)
+    return rounded(B.halved_sbm(spark, 0, 3, ids=_customers(spark, folder)).edges)
 
 
 @query("labelled_block", sql("SELECT src, dst, round(w, 6) + 0.0 AS w FROM edges WHERE src >= 500 AND dst >= 500"))

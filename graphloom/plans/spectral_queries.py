@@ -8,7 +8,6 @@ from graphloom import graph as G
 from graphloom.graph import Graph
 from graphloom.operators import components as C
 from graphloom.operators import experts as E
-from graphloom.operators import generators as B
 from graphloom.operators import iterative as I  # noqa: E741
 from graphloom.operators import label_free as L
 from graphloom.operators import routing as R
@@ -17,7 +16,7 @@ from graphloom.operators import sparsify as X
 from graphloom.operators import spectral as K
 from graphloom.operators import splits as P
 from graphloom.operators import stats as T
-from graphloom.plans.graph_queries import NAMED, PLANTED, RETENTIONS, STRONG, D, r, rounded, sql
+from graphloom.plans.graph_queries import NAMED, RETENTIONS, STRONG, D, r, rounded, sql
 from graphloom.plans.register import query
 from graphloom.sources.tables import part_graph
 from graphloom.storage import staged
@@ -28,10 +27,6 @@ def _strong(spark, folder) -> Graph:
     return Graph(g.nodes, X.threshold(g.edges, 0.6))
 
 
-def _planted(spark) -> Graph:
-    return B.planted_regimes(spark, 300, seed=1)
-
-
 @query("trace_identity", sql(f"SELECT {r('(SELECT sum(w) * 2 FROM strong)', 'trace')}, {r('(SELECT sum(d * d) FROM (SELECT src, sum(w) AS d FROM (SELECT src, w FROM strong UNION ALL SELECT dst, w FROM strong) GROUP BY src)) + 2 * (SELECT sum(w * w) FROM strong)', 'trace_square')}, ((SELECT count(*) FROM nodes) - (SELECT count(DISTINCT component) FROM named))::BIGINT AS resistance_energy, (SELECT count(DISTINCT component) FROM named)::BIGINT AS zeros", STRONG, recursive=True))
 def trace_identity(spark, folder):
     return rounded(K.identities(_strong(spark, folder)))
@@ -244,8 +239,3 @@ def ensemble_soft_vote(spark, folder):
 def router_targets(spark, folder):
     nodes, predictions, _ = _pool(spark, folder)
     return E.router_targets(predictions, nodes)
-
-
-@query("planted_label_counts", PLANTED + "SELECT y, count(*)::BIGINT AS n FROM n GROUP BY y")
-def planted_label_counts(spark, folder):
-    return _planted(spark).nodes.groupBy("y").agg(F.count("*").alias("n"))

@@ -151,6 +151,19 @@ def test_dilution_is_nested(spark):
     assert all(y[r["src"]] == y[r["dst"]] for r in full.edges.collect())
 
 
+def test_links_of_blocks(spark):
+    """As many links as chances say, within blocks as rules say, and of the order that a rule asks for."""
+    nodes = spark.range(300).select(F.col("id").alias("node_id"), (F.col("id") % 3).cast("int").alias("block"))
+    links = B.block_links(nodes, [(0, 0, 0, 0.3, 1.0, 2.0), (0, 1, 1, 0.5, 3.0, 3.0), (0, 1, -1, 0.1, 4.0, 4.0), (2, 2, 0, 0.9, 5.0, 5.0)], 7).collect()
+    assert len({(r["src"], r["dst"]) for r in links}) == len(links) and all(r["src"] < r["dst"] for r in links)
+    counted = {k: sum(f(r) for r in links) for k, f in {"own": lambda r: 1 <= r["w"] < 2, "up": lambda r: r["w"] == 3, "down": lambda r: r["w"] == 4, "dense": lambda r: r["w"] == 5}.items()}
+    assert sum(counted.values()) == len(links)
+    for name, pairs, chance in (("own", 4950, 0.3), ("up", 5050, 0.5), ("down", 4950, 0.1), ("dense", 4950, 0.9)):
+        assert abs(counted[name] - pairs * chance) < 5 * math.sqrt(pairs * chance * (1 - chance)), name
+    assert all((r["src"] % 3, r["dst"] % 3) == ((0, 1) if r["w"] == 3 else (1, 0)) for r in links if r["w"] in (3, 4))
+    assert B.block_links(nodes.limit(0), [(0, 0, 0, 0.3, 1.0, 2.0)]).count() == 0
+
+
 def test_roles_are_connected(spark):
     assert C.connected_components(B.roles(spark, 60)).select("component").distinct().count() == 1
 

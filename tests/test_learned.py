@@ -177,7 +177,7 @@ def test_generators_by_rules(spark):
 
 
 def test_preserved_signal_of_a_sample(spark):
-    g = B.planted_regimes(spark, 90, seed=1)
+    g = B.planted_regimes(spark, 90, d=8, seed=1)
     part = tables.largest_sample(g, 20)
     assert part.nodes.count() >= 2 and part.nodes.agg(F.count_distinct("y")).first()[0] > 1
     assert S.signal_preservation(part, 8).count() == part.nodes.count()
