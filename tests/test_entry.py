@@ -12,7 +12,7 @@ from graphloom import catalog  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-SOME = ["emb_homophily_route", "graph_norm_adj", "label_homophily", "score_triangles", "router_gate_features", "connected_components", "sparsify_degree", "assign_quantile", "split_fit_router", "attention_topk", "equal_blocks", "dilution_ladder", "wilcoxon_exact", "holm_adjust", "partial_spearman", "bands", "purity_mapping"]
+SOME = ["emb_homophily_route", "graph_norm_adj", "label_homophily", "score_triangles", "router_gate_features", "connected_components", "sparsify_degree", "assign_quantile", "split_fit_router", "attention_topk", "equal_blocks", "dilution_ladder", "wilcoxon_exact", "holm_adjust", "partial_spearman", "bands", "purity_mapping", "protocol_table", "decision_rules", "gen_erp_edges", "edges_through_mat", "event_leaves", "streamed_points", "filter_responses"]
 
 
 def plain(v):
