@@ -33,7 +33,7 @@ def cosines(vectors: DataFrame, id_col: str, vector_col: str, k: int, block: int
     """(query, key, p): each vector's k largest cosines, rounded to 9 places, with other vectors; ties stay.
 
     Exhaustive, so the work is quadratic; vectors are sent to the tasks in blocks of ``block`` rows, and each task
-    keeps only what can still be among the k largest of a query.
+    keeps only what can still be among the k largest of a query. A block's finds are written before the next block is sent.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda v: v.cast("double")).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
@@ -60,7 +60,8 @@ def cosines(vectors: DataFrame, id_col: str, vector_col: str, k: int, block: int
                 q, c = np.nonzero((p >= bar[:, None]) & np.isfinite(p))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(keys[c]), pa.array(p[q, c])], schema.names)
 
-        part = rows.mapInArrow(nearest, schema)
+        part = staged(rows.mapInArrow(nearest, schema), "cosines")
+        sent.destroy()
         found = part if found is None else found.union(part)
     return spark.createDataFrame([], schema) if found is None else found
 
