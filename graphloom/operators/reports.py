@@ -66,17 +66,19 @@ def pooled_and_each(rows: DataFrame, group: str, aggregate, name: str) -> DataFr
     return rows.select(F.explode(F.array(F.col(group), F.lit("all"))).alias(group), *[c for c in rows.columns if c != group]).groupBy(group).agg(aggregate.alias(name))
 
 
-def latex_table(rows: DataFrame, columns: list[str]) -> str:
-    """A LaTeX table of a (small) report."""
+def latex_table(rows: DataFrame, columns: list[str], caption: str | None = None) -> str:
+    """A LaTeX table of a (small) report, in a float of its own if it has a caption."""
     special = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "_": r"\_", "#": r"\#", "$": r"\$", "{": r"\{", "}": r"\}"}
     tex = lambda v: "".join(special.get(c, c) for c in (f"{v:.4f}" if isinstance(v, float) else str(v)))
     body = [" & ".join(map(tex, r)) + r" \\" for r in rows.select(*columns).collect()]
-    return "\n".join([rf"\begin{{tabular}}{{{'l' * len(columns)}}}", " & ".join(map(tex, columns)) + r" \\ \hline", *body, r"\end{tabular}"])
+    table = [rf"\begin{{tabular}}{{{'l' * len(columns)}}}", " & ".join(map(tex, columns)) + r" \\ \hline", *body, r"\end{tabular}"]
+    return "\n".join(table if caption is None else [r"\begin{table}", *table, rf"\caption{{{tex(caption)}}}", r"\end{table}"])
 
 
 def markdown_table(rows: DataFrame, columns: list[str]) -> str:
-    show = lambda v: f"{v:.4f}" if isinstance(v, float) else str(v)
-    return "\n".join(["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *["| " + " | ".join(map(show, r)) + " |" for r in rows.select(*columns).collect()]])
+    """A Markdown table of a (small) report; bars and line ends in values do not break its cells."""
+    show = lambda v: (f"{v:.4f}" if isinstance(v, float) else str(v)).replace("|", "\\|").replace("\n", " ")
+    return "\n".join(["| " + " | ".join(map(show, columns)) + " |", "|" + "---|" * len(columns), *["| " + " | ".join(map(show, r)) + " |" for r in rows.select(*columns).collect()]])
 
 
 def finite_scores(scores: DataFrame, candidate: str = "candidate", score: str = "score") -> DataFrame:

@@ -156,7 +156,7 @@ def chebyshev(graph: Graph, width: int, order: int) -> DataFrame:
     return joined
 
 
-def pagerank(graph: Graph, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def pagerank(graph: Graph, damping: float = 0.85, rounds: int = 100) -> DataFrame:
     """(node_id, rank) after a fixed number of rounds; what isolated nodes hold is not handed on."""
     deg = degrees(graph).select("node_id", "deg")
     n = graph.nodes.agg(F.count("*").cast("double").alias("n"))

@@ -94,6 +94,9 @@ def test_reports(spark):
     assert P.purity_mapping(spark.createDataFrame([("a", 1), ("a", 0)], "g string, c int"), "g", "c").first()["c"] == 0
     assert "\\_" in P.latex_table(spark.createDataFrame([("a_b", 0.5)], "name string, v double"), ["name", "v"])
     assert P.markdown_table(rows.limit(1), ["method", "err"]).count("\n") == 2
+    odd = spark.createDataFrame([("a|b", 0.5)], "name string, v double")
+    assert "a\\|b" in P.markdown_table(odd, ["name", "v"])
+    assert P.latex_table(odd, ["name", "v"], "50 % of a_b").endswith("\\caption{50 \\% of a\\_b}\n\\end{table}")
 
 
 @pytest.fixture(scope="module")
