@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import graph as G
+from graphloom.functions.hashing import uniform_array
 from graphloom.operators import attention as A
 from graphloom.operators import components as C
 from graphloom.operators import generators as B
@@ -198,3 +199,34 @@ def test_matrix_bounds():
     b[0, 1] = b[1, 0] = 0
     found = K.bounds(a, b)
     assert found["weyl"] and found["interlacing"]
+
+
+def test_arrays_of_uniform_numbers():
+    import hashlib
+
+    x, y = np.array([0, 5, -7, 10, 99, 100, 12345678901234, -1000, 2**60]), np.arange(9) * 37
+    wanted = [int(hashlib.md5(f"3:w:{a}:{b}:-1".encode()).hexdigest()[:8], 16) / 2**32 for a, b in zip(x, y, strict=True)]
+    assert uniform_array(3, "w", x, y, -1).tolist() == wanted
+
+
+def test_links_of_pages_are_those_of_points_and_no_link_is_shuffled(spark):
+    nodes = spark.range(2700).select(F.col("id").alias("node_id"), F.when(F.col("id") < 2200, 0).otherwise(1).alias("block"))
+    rules = [(0, 0, 0, 0.02, 0.5, 1.0), (0, 1, 1, 0.3, 1.0, 1.0), (0, 1, -1, 0.01, 2.0, 3.0)]
+    placed = nodes.withColumn("place", F.when(F.col("block") == 0, F.col("node_id")).otherwise(F.col("node_id") - 2200))
+    cells = spark.createDataFrame(B.chunked(rules), "a int, b int, ord int, size long, cdf array<double>, low double, high double").withColumn("na", F.lit(2200).cast("long"))
+    points = B._links_of_points(placed, cells.withColumn("nb", F.when(F.col("b") == 0, 2200).otherwise(500).cast("long")), 5)
+    found = B.block_links(nodes, rules, 5)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, points.collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("MapInArrow")
+    linked = {(r["src"], r["dst"]): r["w"] for r in B.linked_along_path(nodes, [(0, 0, 0, 0.02, 0.05, 0.5)], 5).collect()}
+    place = sorted(range(2700), key=lambda i: (_hashed(f"5:b:{i}"), i))
+    path = {(min(p), max(p)) for p in zip(place, place[1:], strict=False)}
+    plain = {(r["src"], r["dst"]): r["w"] for r in B.block_links(nodes, [(0, 0, 0, 0.02, 0.05, 0.5)], 5).collect()}
+    assert linked == plain | {p: max(0.3, plain.get(p, 0)) for p in path}
+
+
+def _hashed(text):
+    import hashlib
+
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
