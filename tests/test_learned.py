@@ -182,3 +182,29 @@ def test_preserved_signal_of_a_sample(spark):
     assert part.nodes.count() >= 2 and part.nodes.agg(F.count_distinct("y")).first()[0] > 1
     assert S.signal_preservation(part, 8).count() == part.nodes.count()
     assert tables.labelled_block(g, 30).nodes.count() == 60
+
+
+def _small_groups(spark, n=36):
+    """Two groups on one graph with a node without neighbours, and their features."""
+    rng = np.random.default_rng(3)
+    edges = spark.createDataFrame([(i, j, 1.0) for i in range(n - 1) for j in range(i + 1, n - 1) if rng.random() < 0.15], "src long, dst long, w double")
+    nodes = spark.createDataFrame([(i, int(rng.integers(3)), rng.standard_normal(4).tolist()) for i in range(n)], "node_id long, y int, x array<double>")
+    return Graph(nodes, edges), spark.range(n).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("split"), F.lit(2).alias("seed"), F.col("id").alias("node_id"), F.when(F.col("id") % 2 == 0, "train").otherwise("test").alias("part"))
+
+
+def test_gates_by_rounds_are_those_of_one_task(spark):
+    graph, splits = _small_groups(spark)
+    target = F.when((F.col("node_id") + F.col("split")) % 3 > 0, F.transform(F.array(*[F.lit(k) for k in range(3)]), lambda k: (k == F.col("y")).cast("double")))
+    rows = splits.join(N.with_neighbours(graph), "node_id").withColumn("target", target)
+    for kind in N.GATES:
+        one, rounds = ({(r["split"], r["node_id"]): r["gates"] for r in N.learned_gates(rows, kind, epochs=4, limit=limit).collect()} for limit in (50, 10))
+        assert len(one) == 72 and all(np.allclose(rounds[k], v, atol=1e-9) for k, v in one.items()), kind
+
+
+def test_mixtures_by_rounds_are_those_of_one_task(spark):
+    graph, splits = _small_groups(spark)
+    terms = S.chebyshev(graph, 4, 2)
+    for gate in ("graph", "plain", "uniform"):
+        one, rounds = ({(r["split"], r["node_id"]): (r["pred"], r["proba"], r["gates"]) for r in N.node_mixture(terms, graph, splits, 2, 3, gate, 3, limit).collect()} for limit in (50, 10))
+        assert len(one) == 36 and set(one) == set(rounds)
+        assert all(a[0] == rounds[k][0] and np.allclose(a[1], rounds[k][1], atol=1e-9) and np.allclose(a[2], rounds[k][2], atol=1e-9) for k, a in one.items()), gate
