@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import experts as E
 from graphloom.operators import fitting
-from graphloom.sources import containers, nested
+from graphloom.sources import containers, nested, tables
 from graphloom.streaming import points
 
 
@@ -135,3 +135,17 @@ def test_lbfgs_minimises_several_functions():
         return np.array([0.5 * o @ m @ o for o, m in zip(off, matrices, strict=True)]), np.array([m @ o for o, m in zip(off, matrices, strict=True)])
 
     assert fitting.lbfgs(evaluate, np.zeros((2, 3)), 1e-9) == pytest.approx(aims, abs=1e-6)
+
+
+def test_cosines_of_a_small_file_are_the_work_of_all_tasks(spark):
+    rng = np.random.default_rng(1)
+    v = np.round(rng.standard_normal((1300, 3)), 1)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").coalesce(1)
+    found = tables.cosines(rows, "id", "v", 4)
+    assert found.rdd.getNumPartitions() > 1
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    p = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(p, -np.inf)
+    wanted = {(i, j) for i in range(1300) for j in np.flatnonzero(p[i] >= np.sort(p[i])[-4])}  # ties stay
+    made = {(r["query"], r["key"]): r["p"] for r in found.collect()}
+    assert wanted <= set(made) and all(abs(made[k] - p[k]) < 2e-9 for k in wanted)
