@@ -144,3 +144,13 @@ def test_resistance_method(spark, few):
     assert kept == {0.2: round(0.2 * len(edges)), 0.5: round(0.5 * len(edges)), 1.0: len(edges)}
     with pytest.raises(ValueError):
         X.retention_grid(g, [0.5], methods=("nothing",))
+
+
+def test_estimated_resistances_sum_to_what_is_known(spark):
+    rng = np.random.default_rng(8)
+    edges = [(base + i, base + (i + 1) % n, float(rng.uniform(0.5, 2))) for base, n in ((0, 40), (100, 60), (200, 5)) for i in range(n)]
+    edges += [(base, base + k, 1.0) for base in (0, 100) for k in (7, 19, 23)]
+    g = graph(spark, 260, [(min(a, b), max(a, b), w) for a, b, w in edges])
+    found = K.effective_resistance(g, limit=20, width=16).collect()
+    sums = [sum(r["w"] * r["r"] for r in found if low <= r["src"] < low + 100) for low in (0, 100, 200)]
+    assert len(found) == len(edges) and sums == pytest.approx([39, 59, 4], abs=1e-9)
