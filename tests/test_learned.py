@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
+from graphloom.operators import experts as E
 from graphloom.operators import generators as B
 from graphloom.operators import learned as N
 from graphloom.operators import reports as R
@@ -208,3 +209,22 @@ def test_mixtures_by_rounds_are_those_of_one_task(spark):
         one, rounds = ({(r["split"], r["node_id"]): (r["pred"], r["proba"], r["gates"]) for r in N.node_mixture(terms, graph, splits, 2, 3, gate, 3, limit).collect()} for limit in (50, 10))
         assert len(one) == 36 and set(one) == set(rounds)
         assert all(a[0] == rounds[k][0] and np.allclose(a[1], rounds[k][1], atol=1e-9) and np.allclose(a[2], rounds[k][2], atol=1e-9) for k, a in one.items()), gate
+
+
+def test_experts_by_passes_are_those_of_one_task(spark):
+    graph, splits = _small_groups(spark)
+    terms = S.chebyshev(graph, 4, 2)
+    held = sorted(terms.join(graph.nodes.select("node_id", "y"), "node_id").collect(), key=lambda r: r["node_id"])
+    t, y, train = np.array([[r["t0"], r["t1"], r["t2"]] for r in held]), np.array([r["y"] for r in held]), np.arange(36) % 2 == 0
+    wanted = N.Cheb(2, 4, 3, "low", seed=2).train(t, y, train, 4).forward(t)
+    cheb = N.cheb_expert(terms, graph.nodes, splits, 2, 3, epochs=4)
+    assert "FlatMapGroups" not in cheb._jdf.queryExecution().optimizedPlan().toString()
+    found = cheb.collect()
+    assert len(found) == 36 and all(np.allclose(r["proba"], wanted[r["node_id"]], atol=1e-9) for r in found)
+    moved = {r["node_id"]: r["x"] for r in S.propagate(graph, graph.nodes.select("node_id", "x"), 4).collect()}
+    x = np.array([[*r["x"], *moved[r["node_id"]]] for r in sorted(graph.nodes.collect(), key=lambda r: r["node_id"])])
+    count = np.bincount(y[train], minlength=3)
+    weight = train.sum() / (3 * count)
+    wanted = E.Logistic(3).fit(x[train], y[train], weight[y[train]]).predict_proba(x)
+    found = N.graph_expert(graph, splits, 4, 3).collect()
+    assert len(found) == 36 and all(np.allclose(r["proba"], wanted[r["node_id"]], atol=1e-4) for r in found)
