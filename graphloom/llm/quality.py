@@ -139,20 +139,34 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(ends, pa.array(columns, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(matrix[rows, columns]))], ["label_id", "label", "term", "weight"])
 
     schema = T.StructType([T.StructField("label_id", documents.schema[id_col].dataType), T.StructField("label", known.schema["label"].dataType), T.StructField("term", T.ArrayType(T.IntegerType())), T.StructField("weight", T.ArrayType(T.FloatType()))])
-    rows = by_bytes(texts.select("label_id", "label", "text")).mapInArrow(terms, schema).dropDuplicates(["label_id"]).orderBy("label_id").limit(sample).collect()
-    matrix, y = np.zeros((len(rows), TERMS), np.float32), np.array([r["label"] for r in rows], np.float64)
-    for i, r in enumerate(rows):
-        matrix[i, r["term"]] = r["weight"]
-    if not len(rows):
+    found = by_bytes(texts.select("label_id", "label", "text")).mapInArrow(terms, schema).dropDuplicates(["label_id"]).orderBy("label_id").limit(sample).toArrow()
+    y, n = found.column("label").to_numpy().astype(np.float64), len(found)
+    if not n:
         return Model(np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), y, y)
-    idf = (np.log((1 + len(rows)) / (1 + (matrix > 0).sum(0))) + 1).astype(np.float32)
-    matrix *= idf
-    basis = matrix.T @ (matrix @ np.random.default_rng(0).standard_normal((TERMS, min(TERMS, dimensions + 16)), np.float32))
+    ends = np.concatenate([[0], np.cumsum(np.concatenate([c.value_lengths().to_numpy() for c in found.column("term").chunks]))])
+    term, weight = (np.concatenate([c.flatten().to_numpy() for c in found.column(name).chunks]) for name in ("term", "weight"))
+    idf = (np.log((1 + n) / (1 + np.bincount(term[weight > 0], minlength=TERMS))) + 1).astype(np.float32)
+    weight = weight * idf[term]
+
+    def blocks(size: int = 256) -> Iterator[np.ndarray]:
+        """The sample's matrix, some rows at a time: whole it has 200 MB."""
+        for at in range(0, n, size):
+            own = ends[at : at + size + 1]
+            out = np.zeros((len(own) - 1, TERMS), np.float32)
+            out[np.repeat(np.arange(len(out)), np.diff(own)), term[own[0] : own[-1]]] = weight[own[0] : own[-1]]
+            yield out
+
+    def turned(basis: np.ndarray) -> np.ndarray:
+        """The matrix's transpose times itself times the basis."""
+        return sum((block.T @ (block @ basis) for block in blocks()), np.zeros_like(basis))
+
+    basis = turned(np.random.default_rng(0).standard_normal((TERMS, min(TERMS, dimensions + 16)), np.float32))
     for _ in range(4):  # subspace iteration: the range of the leading singular vectors
-        basis = matrix.T @ (matrix @ np.linalg.qr(basis)[0])
+        basis = turned(np.linalg.qr(basis)[0])
     basis = np.linalg.qr(basis)[0]
-    leading = (basis @ np.linalg.svd(matrix @ basis, full_matrices=False)[2].T)[:, :dimensions]
-    vectors = matrix @ leading
+    placed = np.concatenate([block @ basis for block in blocks()])
+    leading = (basis @ np.linalg.svd(placed, full_matrices=False)[2].T)[:, :dimensions]
+    vectors = np.concatenate([block @ leading for block in blocks()])
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     used = {label: max(1, int((y == label).sum())) for label in (0, 1)}
     model = Model((leading * idf[:, None]).astype(np.float32), vectors.astype(np.float32), y, np.array([sizes[label] / used[label] for label in y]))

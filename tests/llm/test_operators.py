@@ -613,3 +613,15 @@ def test_empty_tables(spark, empty):
     assert quality.classify(empty, quality.fit(empty, spark.createDataFrame([], "doc_id long, quality int"))).count() == 0
 
 
+
+
+def test_fit_of_quality_never_holds_the_whole_matrix(spark):
+    import tracemalloc
+
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of"), F.hash("id").cast("string"), F.when(F.col("id") % 2 == 0, "a plain text").otherwise("##")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("quality"))
+    tracemalloc.start()
+    model = quality.fit(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.vectors) > 1000 and peak < len(model.vectors) * quality.TERMS * 4 * 0.8
