@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.store import by_bytes, staged
-from graphloom.llm.subwords import END_ID, encoder, slices, vocabulary_path, with_end
+from graphloom.llm.subwords import END_ID, ChunkEncoder, encoder, slices, vocabulary_path, with_end
 
 MAX_LENGTH = 1024
 #: Shares of the fitted repeats that are tried: whole patterns waste nothing, but use up the short pieces that fill the other sequences.
 SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.0)
+#: Bytes of text that a worker cuts at once: what the encoder holds beside its chunks is some 30 times that.
+SLICE_BYTES = 1 << 20
 
 
 @dataclass
@@ -167,6 +169,20 @@ def cut(n: int, most: int = MAX_LENGTH) -> list[tuple[int, int]]:
     return ([(0, rest)] if rest else []) + [(s, most) for s in range(rest, n, most)]
 
 
+def cut_batch(coder: ChunkEncoder, batch: pa.RecordBatch, names: list[str], most: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """The pieces of a batch's documents (id, text), by slices of ``SLICE_BYTES``."""
+    for at, end in slices(batch.column(1), SLICE_BYTES):
+        ids, counts = with_end(*coder.encode(batch.column(1).slice(at, end - at)), end_id)
+        ends = np.cumsum(counts)
+        made = [(row, k, s, n, ends[row] - counts[row] + s) for row, total in enumerate(counts.tolist()) for k, (s, n) in enumerate(cut(total, most))]
+        rows, piece, start, length, place = map(list, zip(*made, strict=True))
+        raw = ids.astype("<u4")
+        columns = [batch.column(0).slice(at, end - at).take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([zlib.crc32(raw[p : p + n]) for p, n in zip(place, length, strict=True)], pa.int64())]
+        if with_ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ids, pa.int32())))
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
 def pieces(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, most: int = MAX_LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """The pieces of every document: id, piece, start, length, ids_crc32, and their ids on request.
 
@@ -180,16 +196,7 @@ def pieces(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            for at, end in slices(batch.column(1)):
-                ids, counts = with_end(*coder.encode(batch.column(1).slice(at, end - at)), end_id)
-                ends = np.cumsum(counts)
-                made = [(row, k, s, n, ends[row] - counts[row] + s) for row, total in enumerate(counts.tolist()) for k, (s, n) in enumerate(cut(total, most))]
-                rows, piece, start, length, place = map(list, zip(*made, strict=True))
-                raw = ids.astype("<u4")
-                columns = [batch.column(0).slice(at, end - at).take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([zlib.crc32(raw[p : p + n]) for p, n in zip(place, length, strict=True)], pa.int64())]
-                if with_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(ids, pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
+            yield from cut_batch(coder, batch, [f.name for f in fields], most, end_id, with_ids)
 
     return by_bytes(documents.select(id_col, text_col)).mapInArrow(encode, T.StructType(fields))
 

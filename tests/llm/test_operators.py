@@ -625,3 +625,21 @@ def test_fit_of_quality_never_holds_the_whole_matrix(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(model.vectors) > 1000 and peak < len(model.vectors) * quality.TERMS * 4 * 0.8
+
+
+def test_cutting_into_pieces_holds_little_beside_its_batch():
+    """A worker that cuts a whole batch at once holds some 30 times its text."""
+    import tracemalloc
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    names, coder = ["doc_id", "piece", "start", "length", "ids_crc32"], subwords.encoder(subwords.vocabulary_path())
+    rows = lambda made: pa.Table.from_batches(made).to_pylist()
+    wanted = [r for i in range(0, len(texts), 100) for r in rows(packing.cut_batch(coder, batch.slice(i, 100), names, 1024, subwords.END_ID, False))]
+    tracemalloc.start()
+    found = list(packing.cut_batch(coder, batch, names, 1024, subwords.END_ID, False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows(found) == wanted and batch.nbytes > 3 << 20 and peak < 40 << 20
