@@ -169,12 +169,14 @@ def poisson_weight(*parts: Column | str | int) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda p: p <= u)).cast("double")
 
 
-def _weighted_ranks(held: DataFrame, value: str, draws: int) -> DataFrame:
+def _weighted_ranks(held: DataFrame, value: str, draws: int, weights: list[Column] | None = None) -> DataFrame:
     """(value, rank) of each distinct value: its average rank among all rows, in each draw, rows counting as often as they weigh.
 
-    Weights are summed by value, and summed up along the sorted values: within a task, then over the tasks before.
+    Weights are ``w``, or the given columns. They are summed by value, and summed up along the sorted values (null first): within a task,
+    then over the tasks before.
     """
-    schema = T.StructType([T.StructField(value, T.DoubleType()), T.StructField("part", T.IntegerType()), T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("upto", T.ArrayType(T.DoubleType()))])
+    weights = weights or [F.get("w", i) for i in range(draws)]
+    schema = T.StructType([T.StructField(value, held.schema[value].dataType), T.StructField("part", T.IntegerType()), T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("upto", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), np.zeros(draws)
@@ -187,7 +189,7 @@ def _weighted_ranks(held: DataFrame, value: str, draws: int) -> DataFrame:
             ends = np.arange(len(batch) + 1, dtype=np.int32) * draws
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(batch), part, np.int32)), *[pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1))) for x in (w, upto)]], schema.names)
 
-    summed = held.groupBy(value).agg(F.array(*[F.sum(F.get("w", i)) for i in range(draws)]).alias("w"))
+    summed = held.groupBy(value).agg(F.array(*[F.sum(w) for w in weights]).alias("w"))
     along = staged(summed.repartitionByRange(value).sortWithinPartitions(value).mapInArrow(run, schema), "along")
     parts = {r["part"]: np.array(r["w"]) for r in along.groupBy("part").agg(F.array(*[F.sum(F.get("w", i)) for i in range(draws)]).alias("w")).collect()}  # one row a task
     rows, total = [], np.zeros(draws)
@@ -232,10 +234,31 @@ def bootstrap_spearman(rows: DataFrame, x: str, y: str, cluster: str, draws: int
     return rho.select("rho", F.lit(low).cast("double").alias("ci_low"), F.lit(high).cast("double").alias("ci_high"), F.lit(None if p is None else float(p)).cast("double").alias("p"))
 
 
-def leave_one_out(rows: DataFrame, x: str, y: str, group: str) -> DataFrame:
-    """(left_out, rho): Spearman's rho of the pooled rows of all groups but one."""
-    folds = rows.select(F.col(group).alias("left_out")).distinct()
-    return spearman(rows.join(F.broadcast(folds), F.col(group) != F.col("left_out")), x, y, "left_out").select("left_out", "rho")
+def leave_one_out(rows: DataFrame, x: str, y: str, group: str, at_once: int = 32) -> DataFrame:
+    """(left_out, rho): Spearman's rho of the pooled rows of all groups but one.
+
+    No row is copied for a group: ranks without a group are ranks in which its rows weigh 0, and those of ``at_once`` groups share
+    a pass. Rows without a group take no part; null values come first; a constant side gives null.
+    """
+    held = staged(rows.select(F.col(group).alias("g"), F.col(x).alias("x"), F.col(y).alias("y")).where("g IS NOT NULL"), "rows")
+    sizes = [(r["g"], r["count"]) for r in held.groupBy("g").count().orderBy("g").collect()]  # one row a group
+    whole, found = sum(n for _, n in sizes), []
+    for at in range(0, len(sizes) if len(sizes) > 1 else 0, at_once):
+        some = sizes[at : at + at_once]
+        placed = held.select((F.array_position(F.array(*[F.lit(g) for g, _ in some]), F.col("g")) - 1).cast("int").alias("k"), "x", "y")
+        weights = [(F.col("k") != i).cast("double") for i in range(len(some))]
+        ranks = {c: _weighted_ranks(placed, c, len(some), weights).withColumnRenamed(c, f"of_{c}") for c in ("x", "y")}
+        ranked = placed.join(ranks["x"], F.col("x").eqNullSafe(F.col("of_x"))).join(ranks["y"], F.col("y").eqNullSafe(F.col("of_y")))
+        left = np.array([whole - n for _, n in some], float)
+
+        def sums(b: dict[str, np.ndarray], left: np.ndarray = left) -> np.ndarray:
+            w = b["k"][:, None] != np.arange(len(left))
+            p, q = (np.where(w, b[c] - (left + 1) / 2, 0.0) for c in ("rank_x", "rank_y"))
+            return np.concatenate([(p * p).sum(0), (q * q).sum(0), (p * q).sum(0)])
+
+        pp, qq, pq = totals(ranked.select("k", "rank_x", "rank_y"), sums, 3 * len(some)).reshape(3, -1)
+        found += [(g, float(c / np.sqrt(a) / np.sqrt(b)) if a > 0 and b > 0 else None) for (g, _), a, b, c in zip(some, pp, qq, pq, strict=True)]
+    return rows.sparkSession.createDataFrame(found, T.StructType([T.StructField("left_out", rows.schema[group].dataType), T.StructField("rho", T.DoubleType())]))
 
 
 def monotone(rows: DataFrame, method: str, order: str, value: str) -> DataFrame:

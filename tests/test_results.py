@@ -12,6 +12,7 @@ from graphloom.operators import routing as R
 from graphloom.operators import splits as L
 from graphloom.operators import stats as S
 from graphloom.plans import ranking
+from graphloom.storage import staged
 
 
 def test_p_values():
@@ -136,3 +137,29 @@ def test_heads_learn():
     line = (x[:, 0] > 0).astype(int)
     assert (E.Logistic(2).fit(x, line).predict_proba(x).argmax(1) == line).mean() > 0.95
     assert E.Logistic(3).fit(x, np.full(300, 2)).predict_proba(x).argmax(1).tolist() == [2] * 300
+
+
+def test_leave_one_out_copies_no_rows(spark, monkeypatch):
+    """Every rank table is of the rows at most, whatever the number of groups; ties, null values and null groups as before."""
+    rng = np.random.default_rng(9)
+    data = pd.DataFrame({"g": rng.integers(0, 12, 300), "x": rng.integers(0, 40, 300).astype(float), "y": rng.normal(size=300).round(1)})
+    data["y"] += data["x"] / 30 * (data["g"] > 5)
+    plain = [(None if i % 50 == 7 else int(g), None if i % 60 == 3 else float(x), float(y)) for i, (g, x, y) in enumerate(data.itertuples(index=False))]
+    rows = spark.createDataFrame(plain, "g int, x double, y double")
+    written = []
+
+    def counted(df, name):
+        out = staged(df, name)
+        written.append(out.count())
+        return out
+
+    for module in (S, ranking):
+        monkeypatch.setattr(module, "staged", counted)
+    found = {r["left_out"]: r["rho"] for r in S.leave_one_out(rows, "x", "y", "g", at_once=5).collect()}
+    kept = pd.DataFrame([(g, -1.0 if x is None else x, y) for g, x, y in plain if g is not None], columns=["g", "x", "y"])
+    wanted = {g: kept[kept.g != g].x.rank().corr(kept[kept.g != g].y.rank()) for g in range(12)}
+    assert found == pytest.approx(wanted, abs=1e-12) and max(written) <= len(rows.collect())
+    one = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 1.0)], "g string, x double, y double")
+    assert S.leave_one_out(one, "x", "y", "g").count() == 0
+    two = one.union(spark.createDataFrame([("b", 1.0, 5.0), ("b", 2.0, 5.0)], one.schema))
+    assert {r["left_out"]: r["rho"] for r in S.leave_one_out(two, "x", "y", "g").collect()} == {"a": None, "b": pytest.approx(-1)}
