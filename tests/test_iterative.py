@@ -154,3 +154,21 @@ def test_estimated_resistances_sum_to_what_is_known(spark):
     found = K.effective_resistance(g, limit=20, width=16).collect()
     sums = [sum(r["w"] * r["r"] for r in found if low <= r["src"] < low + 100) for low in (0, 100, 200)]
     assert len(found) == len(edges) and sums == pytest.approx([39, 59, 4], abs=1e-9)
+
+
+def test_sketch_errors_solve_no_more_than_they_compare(spark, few, monkeypatch):
+    """Beside a component above the limit and many lone nodes: neither is solved, and none of them reaches a dense kernel."""
+    ring = [(100 + i, 100 + (i + 1) % 8, 1.0 + i / 8) for i in range(8)]
+    small = [(min(a, b), max(a, b), w) for a, b, w in ring] + [(120, 121, 2.0)]
+    g = graph(spark, 400, [*few, *small])
+    seen = []
+
+    def noted(part, width):
+        seen.append(part.nodes.count())
+        return I.sketched_resistance(part, width)
+
+    monkeypatch.setattr(K, "sketched_resistance", noted)
+    found = K.sketch_errors(g, limit=20, width=256).first()
+    assert seen == [10] and 0 < found["mean"] < 0.3
+    parts = K.parted(g, 20)
+    assert parts.linked().count() == len(small) and parts.lone().count() == 400 - 40 - 10
