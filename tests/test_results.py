@@ -163,3 +163,17 @@ def test_leave_one_out_copies_no_rows(spark, monkeypatch):
     assert S.leave_one_out(one, "x", "y", "g").count() == 0
     two = one.union(spark.createDataFrame([("b", 1.0, 5.0), ("b", 2.0, 5.0)], one.schema))
     assert {r["left_out"]: r["rho"] for r in S.leave_one_out(two, "x", "y", "g").collect()} == {"a": None, "b": pytest.approx(-1)}
+
+
+def test_pool_makes_no_routing_that_its_callers_do_not_compare(spark, monkeypatch):
+    from graphloom.plans import spectral_queries as Q
+
+    def refused(*args, **options):
+        raise AssertionError("a routing of another query")
+
+    monkeypatch.setattr(Q, "_whole", lambda spark, folder: Q.Graph(spark.createDataFrame([(i, i % 2, [float(i)] * Q.D) for i in range(12)], "node_id long, y int, x array<double>"), spark.createDataFrame([(i, i + 1, 1.0) for i in range(11)], "src long, dst long, w double")))
+    monkeypatch.setattr(Q.E, "fit_pool", lambda nodes, splits, oracle, n: nodes)
+    monkeypatch.setattr(Q.S, "feature_homophily", refused)
+    monkeypatch.setattr(Q.R, "random_like", refused)
+    nodes, predictions, _, oracle = Q._pool(spark, "")
+    assert nodes.count() == predictions.count() == oracle.count() == 12
