@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from graphloom.functions.hashing import uniform
 from graphloom.operators.iterative import totals
 from graphloom.plans.ranking import average_rank, global_rank
-from graphloom.storage import staged
+from graphloom.storage import discard, staged
 
 
 def seed_means(cells: DataFrame) -> DataFrame:
@@ -165,8 +165,8 @@ POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in
 
 def poisson_weight(*parts: Column | str | int) -> Column:
     """How often a draw takes a cluster: a Poisson number of mean 1 from the parts' hash."""
-    u = uniform(*parts)
-    return F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda p: p <= u)).cast("double")
+    hashed = F.array(uniform(*parts))  # bound once, as a lambda would hash again for each chance
+    return F.get(F.transform(hashed, lambda u: F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda p: p <= u)).cast("double")), 0)
 
 
 def _weighted_ranks(held: DataFrame, value: str, draws: int, weights: list[Column] | None = None) -> DataFrame:
@@ -201,7 +201,114 @@ def _weighted_ranks(held: DataFrame, value: str, draws: int, weights: list[Colum
     return whole.select(value, F.transform(F.arrays_zip("w", "upto", "before"), lambda t: t["before"] + t["upto"] - t["w"] + (t["w"] + 1) / 2).alias(f"rank_{value}"))
 
 
-def bootstrap_spearman(rows: DataFrame, x: str, y: str, cluster: str, draws: int = 2000, seed: int = 0, level: float = 0.95, at_once: int = 50) -> DataFrame:
+#: Rows of a bucket of neighbouring values, about; columns of draws that a task has as doubles at once.
+BUCKET, COLUMNS = 25_000, 16
+
+
+def _cuts(held: DataFrame, value: str, rows: int) -> np.ndarray:
+    """Ascending values, each the largest of a bucket of about ``BUCKET`` rows; a value that fills a bucket has one to itself."""
+    many = max(8, rows // BUCKET)
+    found = np.array(held.agg(F.approx_percentile(value, F.array(*[F.lit(i / many) for i in range(1, many + 1)]), F.lit(10 * many))).first()[0])
+    often = found[1:][found[1:] == found[:-1]]
+    return np.unique(np.concatenate([found, np.nextafter(often, -np.inf), [np.inf]]))
+
+
+def _bucket(cuts: np.ndarray, values: np.ndarray, spread: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each value's bucket, and a key that its rows may meet by: buckets of one value are dealt by ``spread`` too, as they are not ranked within."""
+    alone = np.append(False, cuts[:-1] == np.nextafter(cuts[1:], -np.inf))
+    at = np.searchsorted(cuts, values)
+    return at, at + np.where(alone[at], len(cuts) * spread, 0)
+
+
+def _inner_ranks(values: np.ndarray, w: np.ndarray, total: np.ndarray, alone: bool) -> np.ndarray:
+    """Twice the average rank of each row in its bucket, by draw; ``total`` is the bucket's weight, which a bucket of one value needs only."""
+    if alone:
+        return np.broadcast_to(total.astype(np.int64) + 1, w.shape)
+    order = np.argsort(values, kind="stable")
+    upto = np.vstack([np.zeros((1, w.shape[1]), np.int64), np.cumsum(w[order], axis=0, dtype=np.int64)])
+    first = np.flatnonzero(np.append(True, np.diff(values[order]) != 0))
+    run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(values))))
+    out = np.empty(w.shape, np.int64)
+    out[order] = (upto[first] + upto[np.append(first[1:], len(values))] + 1)[run]
+    return out
+
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    """A row of bytes of each row of a matrix."""
+    rows = np.ascontiguousarray(rows).reshape(len(rows), -1).view(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.py_buffer(rows.reshape(-1))])
+
+
+def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of a column of equally long rows."""
+    return np.concatenate([np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1) for c in column.chunks if len(c)])
+
+
+def _weighted_moments(drawn: DataFrame, cuts: dict[str, np.ndarray], draws: int) -> np.ndarray:
+    """Rows: weights, and sums of squares and products of the average ranks of x and y less their means, in each draw.
+
+    Ranks are a bucket's weight below it and the rank inside. The first come from one pass over the rows, the second where
+    the rows of a bucket of x meet; they go on as bytes, sorted by their weight so that what is 0 packs well, to where the
+    rows of a bucket of y meet. A task has one bucket at a time.
+    """
+    spark, shape = drawn.sparkSession, {c: (len(cuts[c]), draws) for c in ("x", "y")}
+
+    def weigh(b: dict[str, np.ndarray]) -> np.ndarray:
+        out = []
+        for c in ("x", "y"):
+            at, sums = np.searchsorted(cuts[c], b[c]), np.zeros(shape[c])
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(at[order]) != 0))
+            sums[at[order][first]] = np.add.reduceat(b["w"][order], first, axis=0, dtype=np.float64)
+            out.append(sums.reshape(-1))
+        return np.concatenate(out)
+
+    found = totals(drawn, weigh, sum(a * b for a, b in shape.values()))
+    inside = {"x": found[: shape["x"][0] * draws].reshape(shape["x"]), "y": found[shape["x"][0] * draws :].reshape(shape["y"])}
+    whole = inside["x"].sum(0)
+    sent = spark.sparkContext.broadcast((cuts, inside, {c: np.cumsum(v, axis=0) - v for c, v in inside.items()}))  # a row for each bucket
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for i, batch in enumerate(batches):
+            if len(batch):
+                w = batch.column(2).flatten().to_numpy().reshape(len(batch), draws)
+                _, key = _bucket(sent.value[0]["x"], batch.column(0).to_numpy(), 1 + part + (i << 20))
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(1), _packed(w)], ["key", "x", "y", "w"])
+
+    def ranked(values: np.ndarray, w: np.ndarray, side: str) -> Iterator[tuple[slice, int, np.ndarray]]:
+        cuts, inside, _ = sent.value
+        at = int(np.searchsorted(cuts[side], values[0]))
+        alone = at > 0 and cuts[side][at - 1] == np.nextafter(cuts[side][at], -np.inf)
+        for j in range(0, draws, COLUMNS):
+            some = slice(j, j + COLUMNS)
+            yield some, at, _inner_ranks(values, w[:, some], inside[side][at, some], alone)
+
+    def by_x(rows: pa.Table) -> pa.Table:
+        x, y, w = rows["x"].to_numpy(), rows["y"].to_numpy(), _unpacked(rows["w"])
+        planes, at = np.empty((len(x), 4, draws), np.uint8), 0
+        for some, at, inner in ranked(x, w, "x"):
+            planes[:, :, some] = np.ascontiguousarray(inner, "<i4").view(np.uint8).reshape(len(x), -1, 4).transpose(0, 2, 1)
+        _, key = _bucket(sent.value[0]["y"], y, 1 + at)
+        return pa.table([pa.array(key), pa.array(np.full(len(x), at, np.int32)), pa.array(y), _packed(w), _packed(planes)], ["key", "at", "y", "w", "p"])
+
+    def by_y(rows: pa.Table) -> pa.Table:
+        at, y, w = rows["at"].to_numpy(), rows["y"].to_numpy(), _unpacked(rows["w"])
+        planes, below, out = _unpacked(rows["p"]).reshape(len(y), 4, draws), sent.value[2], np.zeros((3, draws))
+        for some, mine, inner in ranked(y, w, "y"):
+            p = np.ascontiguousarray(planes[:, :, some].transpose(0, 2, 1)).view("<i4")[:, :, 0] / 2 + below["x"][at, some] - (whole[some] + 1) / 2
+            q, v = inner / 2 + below["y"][mine, some] - (whole[some] + 1) / 2, w[:, some]
+            out[:, some] = (v * p * p).sum(0), (v * q * q).sum(0), (v * p * q).sum(0)
+        return pa.table([pa.array([out.reshape(-1).tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    met = drawn.mapInArrow(deal, "key long, x double, y double, w binary").groupBy("key").applyInArrow(by_x, "key long, at int, y double, w binary, p binary")
+    sums = met.groupBy("key").applyInArrow(by_y, "sums array<double>")
+    out = totals(sums, lambda b: b["sums"].sum(0), 3 * draws).reshape(3, draws)
+    sent.destroy()
+    return np.vstack([whole, out])
+
+
+def bootstrap_spearman(rows: DataFrame, x: str, y: str, cluster: str, draws: int = 2000, seed: int = 0, level: float = 0.95, at_once: int = 256) -> DataFrame:
     """One row: Spearman's rho, its percentile interval and p-value over ``draws`` Poisson draws of clusters.
 
     In a draw every cluster counts as often as a Poisson number of mean 1 says, which depends on (seed, cluster, draw) only; ranks
@@ -209,29 +316,27 @@ def bootstrap_spearman(rows: DataFrame, x: str, y: str, cluster: str, draws: int
     A draw in which either side is constant, or that is empty, does not count; without any, interval and p are null.
     """
     held = staged(rows.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.coalesce(F.col(cluster).cast("string"), F.lit("")).alias("c")).where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)"), "rows")
-    clusters = staged(held.select("c").distinct(), "clusters")
+    schema = "rho double, ci_low double, ci_high double, p double"
+    many = held.count()
+    if not many:
+        return held.sparkSession.createDataFrame([], schema)
+    cuts = {c: _cuts(held, c, many) for c in ("x", "y")}
+    tasks = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # also where adaptive execution would take fewer: a cluster is a hash for each draw
     found: list[float] = []
-    for at in range(0, draws, at_once):
-        many = min(at_once, draws - at)
-        weights = clusters.select("c", F.transform(F.sequence(F.lit(at), F.lit(at + many - 1)), lambda i: poisson_weight(seed, "c", i)).alias("w"))
-        drawn = staged(held.join(weights, "c").select("x", "y", "w"), "drawn")
-        if not drawn.take(1):
-            break
-        ranked = drawn.join(_weighted_ranks(drawn, "x", many), "x").join(_weighted_ranks(drawn, "y", many), "y")
-
-        def sums(b: dict[str, np.ndarray]) -> np.ndarray:
-            w, p, q = b["w"], b["rank_x"], b["rank_y"]
-            return np.concatenate([w.sum(0), (w * p).sum(0), (w * q).sum(0), (w * p * p).sum(0), (w * q * q).sum(0), (w * p * q).sum(0)])
-
-        n, p, q, pp, qq, pq = totals(ranked.select("w", "rank_x", "rank_y"), sums, 6 * many).reshape(6, many)
-        n = np.maximum(n, 1)
-        below = (pp / n - (p / n) ** 2) * (qq / n - (q / n) ** 2)
-        good = below > 1e-9
-        found += ((pq / n - p / n * q / n)[good] / np.sqrt(below[good])).tolist()
-    rho = spearman(held.select(F.lit(1).alias("_g"), "x", "y"), "x", "y", "_g")
+    for at in range(0, draws + 1, at_once):  # the first draw takes every row once
+        part = range(at, min(at + at_once, draws + 1))
+        weights = F.transform(F.sequence(F.lit(part[0] - 1), F.lit(part[-1] - 1)), lambda i: F.when(i < 0, 1.0).otherwise(poisson_weight(seed, "c", i)).cast("byte"))
+        weighed = held.select("c").repartition(tasks, "c").distinct().select("c", weights.alias("w"))
+        drawn = staged(held.join(weighed, "c").select("x", "y", "w"), "drawn")
+        n, pp, qq, pq = _weighted_moments(drawn, cuts, len(part))
+        discard(drawn)
+        below = pp * qq / np.maximum(n, 1) ** 2
+        rhos = np.where(below > 1e-9, pq / np.sqrt(np.where(below > 1e-9, pp * qq, 1)), np.nan)
+        found += rhos.tolist()
+    whole, found = found[0], [v for v in found[1:] if not math.isnan(v)]
     low, high = np.quantile(found, [(1 - level) / 2, (1 + level) / 2]).tolist() if found else (None, None)
-    p = min(1.0, 2 * min(np.mean(np.array(found) <= 0), np.mean(np.array(found) >= 0))) if found else None
-    return rho.select("rho", F.lit(low).cast("double").alias("ci_low"), F.lit(high).cast("double").alias("ci_high"), F.lit(None if p is None else float(p)).cast("double").alias("p"))
+    p = float(min(1.0, 2 * min(np.mean(np.array(found) <= 0), np.mean(np.array(found) >= 0)))) if found else None
+    return held.sparkSession.createDataFrame([(None if math.isnan(whole) else whole, low, high, p)], schema)
 
 
 def leave_one_out(rows: DataFrame, x: str, y: str, group: str, at_once: int = 32) -> DataFrame:

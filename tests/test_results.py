@@ -83,6 +83,25 @@ def test_bootstrap_against_repeated_rows(spark):
     assert S.bootstrap_spearman(rows.limit(0), "x", "y", "c", draws=5).count() == 0
 
 
+def test_bootstrap_ranks_by_buckets(spark, monkeypatch):
+    """Buckets of a few rows, values that fill several of them, and ranks that go on as integers: as of the repeated rows."""
+    monkeypatch.setattr(S, "BUCKET", 5)
+    monkeypatch.setattr(S, "COLUMNS", 3)
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random(300) < 0.4, 2.0, rng.normal(size=300))
+    y = np.where(rng.random(300) < 0.3, -0.5, np.round(x + rng.normal(size=300), 1))
+    held = spark.createDataFrame([(float(a), float(b), i % 90) for i, (a, b) in enumerate(zip(x, y, strict=True))], "x double, y double, c long")
+    cuts = {c: S._cuts(held, c, 300) for c in ("x", "y")}
+    assert len(cuts["x"]) > 20 and 2.0 in cuts["x"] and np.nextafter(2.0, 0) in cuts["x"]
+    weights = rng.poisson(1, (90, 8))
+    drawn = spark.createDataFrame([(r["x"], r["y"], weights[r["c"]].tolist()) for r in held.collect()], "x double, y double, w array<tinyint>")
+    found = S._weighted_moments(drawn.repartition(3), cuts, 8)
+    for d in range(8):
+        times = weights[np.arange(300) % 90, d]
+        p, q = (pd.Series(np.repeat(v, times)).rank().to_numpy() - (times.sum() + 1) / 2 for v in (x, y))
+        assert found[:, d] == pytest.approx([times.sum(), p @ p, q @ q, p @ q])
+
+
 def test_partial_spearman_edges(spark):
     few = spark.createDataFrame([("g", 1.0, 2.0, 3.0)] * 3, "g string, x double, y double, z double")
     assert S.partial_spearman(few, "x", "y", "z", "g").first()["rho"] is None
