@@ -230,3 +230,51 @@ def _hashed(text):
     import hashlib
 
     return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
+
+def test_points_outside_a_rules_order_are_not_hashed(spark, monkeypatch):
+    hashed = []
+    plain = B.uniform_array
+    monkeypatch.setattr(B, "uniform_array", lambda *parts: hashed.append(max(len(p) for p in parts if isinstance(p, np.ndarray))) or plain(*parts))
+    made = {}
+    for order in (1, -1, 0):
+        _, _, _, size, cdf, low, high = B.chunked([(0, 1, order, 0.3, 1.0, 1.0)])[0]
+        for shift in (0, 32, 64):
+            row = {"a": 0, "b": 1, "ord": order, "size": size, "cdf": np.array(cdf), "nb": 64, "low": low, "high": high, "page_a": 0, "page_b": 0, "ids_a": np.arange(64) * 2 + 1, "ids_b": (np.arange(64) + 64 - shift) * 2}
+            hashed.clear()
+            links = [pair for src, dst, _ in B._page_links(row, 3, None) for pair in zip(src.tolist(), dst.tolist(), strict=True)]
+            made[order, shift] = (sum(hashed), len(links))
+            assert not order or all((s % 2 == 1) == (order > 0) for s, _ in links)
+    assert made[-1, 0] == (0, 0) and made[1, 0][1] > 1000  # no pair of these pages is of order -1
+    assert 0 < made[-1, 32][0] < 0.25 * made[0, 32][0]  # an eighth of the pairs
+    assert 0.35 * made[0, 64][0] < made[1, 64][0] < 0.65 * made[0, 64][0]  # half of the pairs
+
+
+def test_arrays_of_uniform_numbers_of_mixed_forms():
+    import hashlib
+
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(0, 10 ** rng.integers(1, 17, 3000)), rng.integers(-(10**6), 10**9, 3000)
+    for parts in (("0", "w", x, y), (x, "c", y), (5, "n", 10, 11, -1, x), (0, "w", np.arange(3000) + 5000, np.arange(3000) + 70_000)):
+        rows = zip(*[p if isinstance(p, np.ndarray) else [p] * 3000 for p in parts], strict=True)
+        assert uniform_array(*parts).tolist() == [_hashed(":".join(map(str, row))) / 2**32 for row in rows]
+    assert len(uniform_array(0, np.zeros(0, np.int64))) == 0
+    with pytest.raises(ValueError):
+        uniform_array("x" * 60, x)
+
+
+def test_weights_of_links_are_rounded_without_decimals(spark):
+    from graphloom.plans.graph_queries import rounded, rounded_links
+
+    links = spark.range(100_000).select(F.col("id").alias("src"), (0.05 + 0.95 * F.rand(1)).alias("w")).union(spark.createDataFrame([(0, 1.0), (1, 0.3), (2, 0.05), (3, 0.0000004), (4, 0.1234565)], "src long, w double"))
+    links = links.persist()
+    assert rounded_links(links).exceptAll(rounded(links)).count() == 0
+    assert "round(" not in rounded_links(links)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_links_of_regimes_do_not_wait_for_features(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(B, "staged", lambda df, name, plain=B.staged: written.append((name, df.columns)) or plain(df, name))
+    graphs = B.planted_regimes(spark, 40), B.erp_fraud(spark, 40)
+    assert [c for name, columns in written if name == "nodes" for c in columns if c == "x"] == []
+    assert all(len(r["x"]) == 16 for g in graphs for r in g.nodes.collect())
