@@ -172,3 +172,19 @@ def test_sketch_errors_solve_no_more_than_they_compare(spark, few, monkeypatch):
     assert seen == [10] and 0 < found["mean"] < 0.3
     parts = K.parted(g, 20)
     assert parts.linked().count() == len(small) and parts.lone().count() == 400 - 40 - 10
+
+
+def test_right_sides_of_a_projection_are_summed_after_the_shuffle(spark):
+    edges = [(i, j, 1.0 + (i * j) % 5) for i in range(12) for j in range(i + 1, 12) if (i + j) % 3]
+    graph = Graph(spark.range(12).withColumnRenamed("id", "node_id"), spark.createDataFrame(edges, "src long, dst long, w double"))
+    right = I.projected(graph, 70, 4)
+    plan = right._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines()
+    moved = [i for i, line in enumerate(plan) if "Exchange" in line]
+    assert len(moved) == 1 and moved[0] > max(i for i, line in enumerate(plan) if "Aggregate" in line)  # a plan's lowest line runs first
+    drawn = {(r["src"], r["dst"]): np.array(r["s"]) for r in graph.edges.select("src", "dst", I.signs(70, 4, "src", "dst").alias("s")).collect()}
+    wanted = np.zeros((12, 70))
+    for src, dst, w in edges:
+        wanted[src] += drawn[src, dst] * np.sqrt(w / 70)
+        wanted[dst] -= drawn[src, dst] * np.sqrt(w / 70)
+    found = {r["node_id"]: r["b"] for r in right.collect()}
+    assert np.allclose([found[i] for i in range(12)], wanted)
