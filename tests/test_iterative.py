@@ -188,3 +188,36 @@ def test_right_sides_of_a_projection_are_summed_after_the_shuffle(spark):
         wanted[dst] -= drawn[src, dst] * np.sqrt(w / 70)
     found = {r["node_id"]: r["b"] for r in right.collect()}
     assert np.allclose([found[i] for i in range(12)], wanted)
+
+
+def test_resistances_are_exact_whichever_way_a_component_goes(spark, few):
+    """Trees, chains, a ring, parallel chains and a dense core: through the inverse of one task, the columns of several, and rounds."""
+    from graphloom.operators.resistance import exact_resistances
+
+    ring = [(100 + min(i, (i + 1) % 30), 100 + max(i, (i + 1) % 30), 1.0 + i / 8) for i in range(30)]
+    chains = [(0, 50, 2.0), (50, 51, 0.5), (51, 52, 3.0), (9, 52, 1.0), (3, 60, 1.0), (9, 60, 2.0), (60, 61, 0.25)]
+    edges = [*few, *chains, *ring]
+    g = graph(spark, 130, edges)
+    wanted = np.linalg.pinv(laplacian(130, edges), hermitian=True)
+    right = {(a, b): wanted[a, a] + wanted[b, b] - 2 * wanted[a, b] for a, b, _ in edges}
+    key = lambda t: {(r["src"], r["dst"]): r["r"] for r in t.collect()}
+    for found in (K.effective_resistance(g), K.effective_resistance(g, limit=20), K.resistances(g, limit=3)):
+        assert key(found) == pytest.approx(right, rel=1e-8)
+    tiny = [(0, 1, 1.0), (1, 2, 2.0), (0, 2, 0.5), (2, 3, 1.0), (1, 3, 4.0), (3, 4, 0.5)]
+    named = spark.createDataFrame([(0, a, b, w) for a, b, w in tiny], "component long, src long, dst long, w double")
+    alone = np.linalg.pinv(laplacian(5, tiny), hermitian=True)
+    by_rounds = key(exact_resistances(named, 2, width=3, task_nodes=4))
+    assert by_rounds == pytest.approx({(a, b): alone[a, a] + alone[b, b] - 2 * alone[a, b] for a, b, _ in tiny}, rel=1e-8)
+
+
+def test_columns_of_a_component_are_dealt_and_joined():
+    from graphloom.operators import resistance as Z
+
+    src, dst, w = (np.array(x) for x in zip(*random_edges(5, 60, 200)))
+    edges = Z.placed(src * 7, dst * 7, w)
+    lap = np.linalg.pinv(laplacian(60, list(zip(src, dst, w))), hermitian=True)
+    wanted = lap[src, src] + lap[dst, dst] - 2 * lap[src, dst]
+    dealt = [Z.columns(edges, Z.solved(edges)[part::3], 7) for part in range(3)]
+    assert Z.joined(edges, *(np.concatenate(x) for x in zip(*dealt))) == pytest.approx(wanted, rel=1e-8)
+    steps, left = Z.core(edges)
+    assert left.n < 60 and Z.back(steps, Z.dense(left)) == pytest.approx(wanted, rel=1e-8)
