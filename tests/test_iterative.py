@@ -221,3 +221,19 @@ def test_columns_of_a_component_are_dealt_and_joined():
     assert Z.joined(edges, *(np.concatenate(x) for x in zip(*dealt))) == pytest.approx(wanted, rel=1e-8)
     steps, left = Z.core(edges)
     assert left.n < 60 and Z.back(steps, Z.dense(left)) == pytest.approx(wanted, rel=1e-8)
+
+
+def test_blocks_are_not_broadcast(spark, few, monkeypatch):
+    """However small a plan takes them to be: an array counts as one number there."""
+    plans = []
+
+    def noted(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return staged(df, name)
+
+    staged = I.staged
+    monkeypatch.setattr(I, "staged", noted)
+    I.sketched_resistance(graph(spark, 40, few), width=8)
+    I.extreme_modes(graph(spark, 40, few), 2, rounds=1)
+    wide = [plan for name, plan in plans if name in ("block", "resistances")]
+    assert len(wide) > 3 and not any("Broadcast" in plan for plan in wide)
