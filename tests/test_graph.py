@@ -250,6 +250,20 @@ def test_points_outside_a_rules_order_are_not_hashed(spark, monkeypatch):
     assert 0.35 * made[0, 64][0] < made[1, 64][0] < 0.65 * made[0, 64][0]  # half of the pairs
 
 
+def test_links_do_not_depend_on_the_length_of_pages(spark, monkeypatch):
+    """Longer pages are sent less often, as soon as enough pairs of them meet."""
+    nodes = spark.range(2700).select(F.col("id").alias("node_id"), F.when(F.col("id") < 2200, 0).otherwise(1).alias("block"))
+    rules = [(0, 0, 0, 0.02, 0.5, 1.0), (0, 1, 1, 0.3, 1.0, 1.0), (0, 1, -1, 0.01, 2.0, 3.0)]
+    made = []
+    for page in (1024, 2048):
+        monkeypatch.setattr(B, "page_length", lambda *_, page=page: page)
+        made.append([sorted(map(tuple, links.collect())) for links in (B.block_links(nodes, rules, 5), B.linked_along_path(nodes, rules, 5))])
+    assert made[0] == made[1] and len(made[0][0]) > 100_000
+    monkeypatch.undo()
+    lengths = [B.page_length([(0, 0), (0, 1)], {0: n, 1: n}, 100) for n in (1000, 40_000, 10**6)]
+    assert lengths == [1024, 4096, 16384]
+
+
 def test_arrays_of_uniform_numbers_of_mixed_forms():
     import hashlib
 
